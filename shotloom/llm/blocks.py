@@ -36,7 +36,8 @@ def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFram
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = scan_bytes(docs)
     # stored text is some 0.6 of its size; a plan without statistics is taken to be absurdly large
-    n = int(size / 0.6 / block_bytes) + 1 if size < UNKNOWN else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # with fewer, Spark would deal the blocks out again
+    n = max(n, int(size / 0.6 / block_bytes) + 1) if size < UNKNOWN else n
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

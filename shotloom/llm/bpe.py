@@ -60,7 +60,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLO
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int32()), pa.array(some, pa.binary())], names=["block", "word"])
 
     # dealt by word once, for the table and for the join with it; then back to the blocks' own partitions
-    pairs = blocks.mapInArrow(distinct, "block int, word binary").repartition("word")
+    pairs = blocks.mapInArrow(distinct, "block int, word binary").where("word IS NOT NULL").repartition("word")
     found = pairs.join(word_table(pairs, path), "word").select("block", "word", "ids").repartition(n, "block")
 
     def place(texts: pa.Table, words: pa.Table) -> pa.Table:

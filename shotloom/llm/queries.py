@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitfile, bpe, packing, token_count
+from . import bitfile, bpe, packing, quality_rules, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,42 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+    base = sum(quality_rules.BITS[x] for x in quality_rules.BASE)
+    return rows.select(
+        "doc_id",
+        *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
+        (F.col("failed").bitwiseAND(F.lit(base)) != 0).alias("base_failed"),
+        "kept",
+        "failed",
+        "n_wordy_lines",
+        "n_loud_chars",
+        "n_separators",
+    )
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS lines FROM d),
+g AS (SELECT r, i, w[i:i+4] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+p AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
+c AS (SELECT r, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM p) GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+  len(lines)::BIGINT AS n_wordy_lines, coalesce(list_sum(list_transform(list_filter(lines, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')), lambda x: length(x))), 0)::BIGINT AS n_loud_chars,
+  len(list_filter(w, lambda x: x = '|'))::BIGINT AS n_separators FROM w LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 10 AS b0, 100 * n_repeat_words > 20 * n_words AS b1, 100 * n_separators > 20 * n_words AS b2,
+  100 * n_loud_chars > 40 * word_chars AS b3, 100 * n_symbols > 10 * word_chars AS b4, 100 * n_dup_lines > 50 * n_wordy_lines AS b5,
+  word_chars > 20 * n_words OR word_chars < 2 * n_words AS b6 FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b0 OR b1 AS base_failed,
+  NOT (b0 OR b1 OR b2 OR b3 OR b4 OR b5) AS kept,
+  (b0::INT + 2 * b1::INT + 4 * b2::INT + 8 * b3::INT + 16 * b4::INT + 32 * b5::INT + 64 * b6::INT)::BIGINT AS failed,
+  n_wordy_lines, n_loud_chars, n_separators FROM b
+"""
+
+
 def op7_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitfile.read_documents(spark, bitfile.write_tokens(_table(spark, sf_dir, "documents")))
 
@@ -37,9 +73,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_bpe_encode_decode, op7_bit_packed_tokens, op10_token_counts]
+    found = [op1_best_fit_packing, op2_bpe_encode_decode, op5_quality_rules, op7_bit_packed_tokens, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": OP5_SQL}
