@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitfile, bpe, packing, quality_rules, token_count
+from . import bitfile, bpe, classifier, embedding_dedup, minhash, packing, quality_rules, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS lines FROM d),
@@ -68,12 +72,22 @@ def op7_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitfile.read_documents(spark, bitfile.write_tokens(_table(spark, sf_dir, "documents")))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    rows = classifier.score(docs, classifier.fit(docs, classifier.learnable(labels)), "doc_id")
+    return rows.select("doc_id", (classifier.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.document_tokens(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_bpe_encode_decode, op5_quality_rules, op7_bit_packed_tokens, op10_token_counts]
+    found = [op1_best_fit_packing, op2_bpe_encode_decode, op5_quality_rules, op6_minhash_near_dedup, op7_bit_packed_tokens, op8_quality_classifier, op9_embedding_near_dedup, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
