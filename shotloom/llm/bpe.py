@@ -10,13 +10,14 @@ Defined cases: a null or empty text has no ids and decodes to the empty string;
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, to_blocks, unsqueeze
 from .tokens import encoder, tokenizer_path
@@ -24,51 +25,76 @@ from .tokens import encoder, tokenizer_path
 ENCODED = "doc_id long, ids array<int>"
 
 
-def word_table(words: DataFrame, tokenizer: str) -> DataFrame:
-    """Distinct words (binary) to their ids, packed as 32-bit integers; each is encoded once."""
+def _pack(words: list[bytes]) -> bytes:
+    return zstandard.compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words), 3)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        for batch in batches:
-            words = batch.column(0)
-            yield pa.RecordBatch.from_arrays([words, pa.array([_narrow(enc.encode_chunk(w.decode())) for w in words.to_pylist()], pa.binary())], names=["word", "ids"])
 
-    return words.select("word").distinct().mapInArrow(run, "word binary, ids binary")
+def _unpack(data: bytes) -> list[bytes]:
+    data = zstandard.decompress(data)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = (np.cumsum(np.frombuffer(data, "<u4", n + 1)[1:].astype(np.int64)) + 4 * (n + 1)).tolist()
+    return [data[a:b] for a, b in zip([4 * (n + 1), *ends], ends, strict=False)]
 
 
-def _narrow(ids: bytes) -> bytes:
-    """Ids in 3 bytes each, which any vocabulary of up to 16 million fits."""
-    return np.frombuffer(ids, np.uint8).reshape(-1, 4)[:, :3].tobytes()
+def _parts_of(words, parts: int) -> dict[int, list[bytes]]:
+    """Words in order, by the part of the word table that they belong to."""
+    out: dict[int, list[bytes]] = {}
+    for w in words:
+        out.setdefault(zlib.crc32(w) % parts, []).append(w)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _words_of(rows, enc) -> set[bytes]:
+    found: set[bytes] = set()
+    for row in rows:
+        for _, text in unsqueeze(row):
+            found.update(enc.parts(text))
+    return found
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id and the ids of each whole text."""
+    """doc_id and the ids of each whole text.
+
+    The word table is partitioned by a hash of the word. A block sends each partition the words that it holds, in order,
+    as one row; the partition encodes every word that it hasn't met and answers with ids in the same order, which the
+    block puts in the places of its words.
+    """
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
     blocks, n = to_blocks(docs, block_bytes)
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, found = encoder(path), {}
         for batch in batches:
             for block, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = found.setdefault(block, set())
-                for _, text in unsqueeze(texts):
-                    own.update(enc.parts(text))
+                found.setdefault(block, set()).update(_words_of([texts], enc))
         for block, words in found.items():
-            words = list(words)
-            for k in range(0, len(words), 50_000):
-                some = words[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int32()), pa.array(some, pa.binary())], names=["block", "word"])
-
-    # dealt by word once, for the table and for the join with it; then back to the blocks' own partitions
-    pairs = blocks.mapInArrow(distinct, "block int, word binary").where("word IS NOT NULL").repartition("word")
-    found = pairs.join(word_table(pairs, path), "word").select("block", "word", "ids").repartition(n, "block")
-
-    def place(texts: pa.Table, words: pa.Table) -> pa.Table:
-        enc = encoder(path)
-        known = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
+            for part, own in _parts_of(words, n).items():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([_pack(own)], pa.binary())], names=["part", "block", "words"])
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, known = encoder(path), {}
+        for batch in batches:
+            for part, block, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = []
+                for w in _unpack(words):
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = known[w] = _narrow(enc.encode_chunk(w.decode()))
+                    out.append(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([_pack(out)], pa.binary())], names=["block", "part", "ids"])
+
+    asked = blocks.mapInArrow(ask, "part int, block int, words binary").repartition(n, "part")
+    answers = asked.mapInArrow(table, "block int, part int, ids binary").repartition(n, "block")
+
+    def place(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        enc, known = encoder(path), {}
+        rows = texts.column("texts").to_pylist()
+        asked = _parts_of(_words_of(rows, enc), n)
+        for part, ids in zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist(), strict=True):
+            known.update(zip(asked.pop(part), _unpack(ids), strict=True))
         doc_ids, datas = [], []
-        for row in texts.column("texts"):
-            for doc_id, text in unsqueeze(row.as_py()):
+        for row in rows:
+            for doc_id, text in unsqueeze(row):
                 doc_ids.append(doc_id)
                 datas.append(b"".join(map(known.__getitem__, enc.parts(text))))
         ends = np.cumsum([0] + [len(x) // 3 for x in datas]).astype(np.int32)
@@ -76,7 +102,12 @@ def encode(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLO
         wide[:, :3] = np.frombuffer(b"".join(datas), np.uint8).reshape(-1, 3)
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(wide.reshape(-1).view("<i4")))})
 
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(place, ENCODED)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(place, ENCODED)
+
+
+def _narrow(ids: bytes) -> bytes:
+    """Ids in 3 bytes each, which any vocabulary of up to 16 million fits."""
+    return np.frombuffer(ids, np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
 def pieces(tokenizer: str) -> list[str]:
