@@ -223,3 +223,9 @@ def score(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
 def learnable(labels: DataFrame, folds: int = 5) -> DataFrame:
     """Labelled rows outside the held-out fold 0."""
     return labels.where(fold(F.col("doc_id"), folds) != 0)
+
+
+def filter_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that the model predicts as label 1, with all their columns."""
+    rows = score(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "text"), model, "document")
+    return rows.where("predicted = 1").select("document.*")

@@ -218,3 +218,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     own = keyed.select("doc_id", F.when(F.col("text").isNotNull(), F.col("k1")).alias("k1"), "k2")
     out = own.join(classes, ["k1", "k2"], "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The documents with all their columns, one of each class; of equal rows of one id one stays."""
+    found = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = staged(found, "near-kept")
+    key = F.col("doc_id").cast("long") == F.col("near_id")
+    once, more = (found.where(c).select(F.col("doc_id").alias("near_id")) for c in ("n = 1", "n > 1"))
+    again = docs.join(more, key, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(once, key, "left_semi").unionByName(again).unionByName(docs.where("doc_id IS NULL"))
