@@ -127,5 +127,7 @@ def ablation(ledger_rows: DataFrame, version: str = CURRENT) -> DataFrame:
 def filter_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The documents that a policy keeps, with all their columns; each row stands on its own, so no join is needed."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    # a filter that looks random isn't pushed below the measurements, where it would compute each of them again
-    return apply_policy(ledger(docs, row), version).where(F.when(F.rand() >= 0, F.col("kept"))).select("row.*")
+    # a filter isn't pushed below a projection that looks random, where it would compute the measurements again for
+    # every rule; 1 is above any number of [0, 1), and 0 above none
+    rows = apply_policy(ledger(docs, row), version).withColumn("u", F.rand(0))
+    return rows.where(F.col("kept").cast("double") > F.col("u")).select("row.*")
