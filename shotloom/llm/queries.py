@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitfile, bpe, classifier, embedding_dedup, html_extract, minhash, packing, quality_rules, token_count
+from . import bitfile, bpe, classifier, embedding_dedup, html_extract, language_model, minhash, packing, quality_rules, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = html_extract.extract_pages(_table(spark, sf_dir, "pages"), "page_id", "url")
     return rows.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -92,7 +96,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_bpe_encode_decode, op4_html_extraction, op5_quality_rules, op6_minhash_near_dedup, op7_bit_packed_tokens, op8_quality_classifier, op9_embedding_near_dedup, op10_token_counts]
+    found = [op1_best_fit_packing, op2_bpe_encode_decode, op3_language_model, op4_html_extraction, op5_quality_rules, op6_minhash_near_dedup, op7_bit_packed_tokens, op8_quality_classifier, op9_embedding_near_dedup, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
