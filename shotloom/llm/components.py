@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import staged
 
+#: Edges that one task finishes by itself; longer lists are contracted until they are as short.
+TASK_EDGES = 200_000
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+
+def _finish(left: DataFrame) -> DataFrame:
+    """(node, to) for a list of at most TASK_EDGES edges: every node moves to its component's smallest."""
+
+    def run(batches):
+        to: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while to.setdefault(x, x) != x:
+                to[x] = to[to[x]]
+                x = to[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = find(a), find(b)
+                to[max(a, b)] = min(a, b)
+        if to:
+            yield pa.RecordBatch.from_arrays([pa.array(list(to)), pa.array([find(x) for x in list(to)])], names=["node", "to"])
+
+    return left.coalesce(1).mapInArrow(run, "node long, to long")
+
+
+def connected_components(edges: DataFrame, name: str = "components", task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); the component is its smallest node.
 
     In each round every node moves to the node of least priority among itself and its neighbours, the priority being a
@@ -20,9 +46,16 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     a, b = F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")
     left = staged(edges.select(a, b).where("a <> b").distinct(), name)
+    size, turn = left.count(), 0
+    if size <= task_edges:
+        return staged(_finish(left), f"{name}-labels").select("node", F.col("to").alias("component"))
     nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    moved, turn = nodes.withColumn("label", F.col("node")), 0
-    while not left.isEmpty():
+    moved = nodes.withColumn("label", F.col("node"))
+    while size:
+        if size <= task_edges:
+            least = staged(_finish(left), f"{name}-moves")
+            moved = staged(_move(moved, least), f"{name}-labels")
+            break
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("p"), F.col(c).alias("v"))  # noqa: B023, E731
         least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(rank("b")), F.min(rank("a")))["v"].alias("to"))
@@ -30,8 +63,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         to_a, to_b = least.select(F.col("node").alias("a"), F.col("to").alias("ta")), least.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         left = left.join(to_a, "a").join(to_b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
         left = staged(left, name)
-        moved = moved.join(least.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        moved = staged(moved, f"{name}-labels")
-        turn += 1
+        moved = staged(_move(moved, least), f"{name}-labels")
+        size, turn = left.count(), turn + 1
     smallest = moved.groupBy("label").agg(F.min("node").alias("component"))
     return moved.join(smallest, "label").select("node", "component")
+
+
+def _move(moved: DataFrame, least: DataFrame) -> DataFrame:
+    return moved.join(least.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
