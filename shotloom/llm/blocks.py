@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text of a block, and of a compressed row, before compression.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 CHUNK_BYTES = 2 << 20
 UNKNOWN = 1 << 60
 SCHEMA = "block int, texts binary"

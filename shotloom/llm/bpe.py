@@ -88,10 +88,12 @@ def encode(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLO
 
     def place(texts: pa.Table, answers: pa.Table) -> pa.Table:
         enc, known = encoder(path), {}
+        enc.forget()
         rows = texts.column("texts").to_pylist()
         asked = _parts_of(_words_of(rows, enc), n)
         for part, ids in zip(answers.column("part").to_pylist(), answers.column("ids").to_pylist(), strict=True):
             known.update(zip(asked.pop(part), _unpack(ids), strict=True))
+        del answers
         doc_ids, datas = [], []
         for row in rows:
             for doc_id, text in unsqueeze(row):

@@ -16,7 +16,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = r"[^\S\x1c-\x1f]"
 _CHUNK = re.compile(rf" ?[\S\x1c-\x1f]+|{_SPACE}+(?![\S\x1c-\x1f])|{_SPACE}+")
 #: Chunks that a worker remembers (about 150 bytes each); then it starts anew.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 400_000
 #: Where none of these is in a text, its white space is single spaces and line breaks between other characters.
 _ODD = tuple(x.encode() for x in ("  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x85\xa0\u1680\u205f\u3000")) + (b"\xe2\x80",)
 #: Printable ASCII and Latin letters whose NFC form is themselves and whose lower case is one character.
@@ -131,8 +131,10 @@ class Encoder:
         parts = data.replace(b"\n", b" \n").split(b" ")
         return self.first[parts[0]] + b"".join(map(self.known.__getitem__, parts[1:]))
 
-    def decode_piece(self, i: int) -> str:
-        return self.tok.id_to_token(i)
+    def forget(self) -> None:
+        """Empty the caches, where a task needs the memory."""
+        for cache in (self.known, self.first, self.pieces):
+            cache.clear()
 
 
 @lru_cache(maxsize=4)
