@@ -206,8 +206,11 @@ def initial(table: Table, seed: int = 5) -> Weights:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+    """Row softmax, in place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
 
 
 def _add_rows(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -219,25 +222,33 @@ def _add_rows(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def window(w: Weights, x: np.ndarray, target: np.ndarray, mask: np.ndarray, h: np.ndarray, kind: np.ndarray, learn: bool):
-    """One window of documents: natural log-likelihood per document, the state behind it, and gradients if learning."""
-    n, steps = x.shape
-    gate = 1 / (1 + np.exp(-w["gate"][x]))
+def window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray, kind: np.ndarray, learn: bool):
+    """One window of documents: natural log-likelihood per document, and gradients if learning; ``h`` moves on.
+
+    x: symbols by (step, document); documents come in falling order of their lengths in this window, so that those
+    alive at a step are the first ones and no step needs a mask.
+    """
+    steps, n = x.shape
+    alive = (lengths[None] > np.arange(steps)[:, None]).sum(1)
+    gate = w["gate"][x]
+    np.negative(gate, out=gate)
+    np.exp(gate, out=gate)
+    gate += 1
+    np.reciprocal(gate, out=gate)
     new = w["new"][x]
-    states = np.empty((steps, n, HIDDEN), np.float32)
-    for t in range(steps):
+    states = np.empty_like(new)
+    for t, k in enumerate(alive.tolist()):
         states[t] = h
-        h = np.where(mask[:, t, None], h + gate[:, t] * (new[:, t] - h), h)
+        h[:k] += gate[t, :k] * (new[t, :k] - h[:k])
     # the symbol at t is foretold by the state before it
-    flat, live = states.transpose(1, 0, 2).reshape(-1, HIDDEN), mask.reshape(-1)
-    at = np.flatnonzero(live)
-    s, y = flat[at], target.reshape(-1)[at]
+    at = np.flatnonzero((np.arange(n)[None] < alive[:, None]).reshape(-1))
+    s, y = states.reshape(-1, HIDDEN)[at], x.reshape(-1)[at]
     c = kind[y]
-    p = _softmax(s @ w["out"] + w["out_b"])
-    score = np.log(np.maximum(p[np.arange(len(at)), c], 1e-30))
+    p, every = _softmax(s @ w["out"] + w["out_b"]), np.arange(len(at))
+    score = np.log(np.maximum(p[every, c], 1e-30))
     grads, back = {}, None
     if learn:
-        p[np.arange(len(at)), c] -= 1
+        p[every, c] -= 1
         grads["out"], grads["out_b"] = s.T @ p, p.sum(0)
         back = p @ w["out"].T
         grads["in"], grads["in_b"] = np.zeros_like(w["in"]), np.zeros_like(w["in_b"])
@@ -246,28 +257,28 @@ def window(w: Weights, x: np.ndarray, target: np.ndarray, mask: np.ndarray, h: n
     for g in range(TOP // CLASS):
         own = order[ends[g] : ends[g + 1]]
         if len(own):
-            q = _softmax(s[own] @ w["in"][g] + w["in_b"][g])
-            k = y[own] - g * CLASS
-            score[own] += np.log(np.maximum(q[np.arange(len(own)), k], 1e-30))
+            state, k, each = s[own], y[own] - g * CLASS, every[: len(own)]
+            q = _softmax(state @ w["in"][g] + w["in_b"][g])
+            score[own] += np.log(np.maximum(q[each, k], 1e-30))
             if learn:
-                q[np.arange(len(own)), k] -= 1
-                grads["in"][g], grads["in_b"][g] = s[own].T @ q, q.sum(0)
+                q[each, k] -= 1
+                grads["in"][g], grads["in_b"][g] = state.T @ q, q.sum(0)
                 back[own] += q @ w["in"][g].T
-    total = np.zeros(n * steps)
-    total[at] = score
     if learn:
-        foretold = np.zeros((n * steps, HIDDEN), np.float32)
+        foretold = np.zeros((steps * n, HIDDEN), new.dtype)
         foretold[at] = back
-        foretold = foretold.reshape(n, steps, HIDDEN)
-        d_gate, d_new, carry = np.zeros_like(gate), np.zeros_like(new), np.zeros((n, HIDDEN), np.float32)
+        foretold = foretold.reshape(steps, n, HIDDEN)
+        d_gate, d_new, carry = np.zeros_like(gate), np.zeros_like(new), np.zeros((n, HIDDEN), new.dtype)
         for t in range(steps - 1, -1, -1):
-            own = np.where(mask[:, t, None], carry, 0)
-            d_gate[:, t] = own * (new[:, t] - states[t]) * gate[:, t] * (1 - gate[:, t])
-            d_new[:, t] = own * gate[:, t]
-            carry = carry - own * gate[:, t] + foretold[:, t]
+            k = int(alive[t])
+            moved = carry[:k] * gate[t, :k]
+            d_new[t, :k] = moved
+            d_gate[t, :k] = moved * (new[t, :k] - states[t, :k]) * (1 - gate[t, :k])
+            carry[:k] -= moved
+            carry += foretold[t]
         grads["gate"] = _add_rows(SYMBOLS, x.reshape(-1), d_gate.reshape(-1, HIDDEN))
         grads["new"] = _add_rows(SYMBOLS, x.reshape(-1), d_new.reshape(-1, HIDDEN))
-    return total.reshape(n, steps).sum(1), h, grads
+    return np.bincount(at % n, score, n), grads
 
 
 def run_documents(w: Weights, docs: list[np.ndarray], learn: bool, state: dict | None = None) -> np.ndarray:
@@ -282,15 +293,13 @@ def run_documents(w: Weights, docs: list[np.ndarray], learn: bool, state: dict |
             own = own[length[own] > start]
             h = h[: len(own)]
             steps = int(min(WINDOW, length[own].max() - start))
-            x, mask = np.zeros((len(own), steps), np.int64), np.zeros((len(own), steps), bool)
+            x, lengths = np.zeros((len(own), steps), np.int64), np.minimum(length[own] - start, steps)
             for k, d in enumerate(own):
-                part = docs[d][start : start + steps]
-                x[k, : len(part)] = part
-                mask[k, : len(part)] = True
-            score, h, grads = window(w, x, x, mask, h, kind, learn)
+                x[k, : lengths[k]] = docs[d][start : start + steps]
+            score, grads = window(w, np.ascontiguousarray(x.T), lengths, h, kind, learn)
             out[own] += score
             for k, g in grads.items():
-                g = g / np.sqrt(mask.sum())
+                g = g / np.sqrt(lengths.sum())
                 state[k] = state.get(k, 0.1) + g * g
                 w[k] -= (RATE * g / np.sqrt(state[k])).astype(np.float32)
     return out

@@ -105,9 +105,9 @@ def test_symbols_are_a_distribution():
     w, kind = language_model.initial(t), language_model.class_of()
     total = 0.0
     for s in range(language_model.SYMBOLS):
-        x = np.array([[0, s]])
-        score, _, _ = language_model.window(w, x, x, np.array([[True, True]]), np.zeros((1, language_model.HIDDEN), np.float32), kind, False)
-        first, _, _ = language_model.window(w, x[:, :1], x[:, :1], np.array([[True]]), np.zeros((1, language_model.HIDDEN), np.float32), kind, False)
+        x = np.array([[0], [s]])
+        score, _ = language_model.window(w, x, np.array([2]), np.zeros((1, language_model.HIDDEN), np.float32), kind, False)
+        first, _ = language_model.window(w, x[:1], np.array([1]), np.zeros((1, language_model.HIDDEN), np.float32), kind, False)
         total += np.exp(score[0] - first[0])
     assert total == pytest.approx(1, abs=1e-3)
 
@@ -116,16 +116,15 @@ def test_gradients():
     rng = np.random.default_rng(0)
     t = language_model.Table(100, 5, 10, [(b"a", 50), (b"b", 20)], np.ones(language_model.BANDS, int), np.ones(language_model.BANDS, int))
     w = {k: v.astype(np.float64) for k, v in language_model.initial(t).items()}
-    kind, x = language_model.class_of(), rng.integers(0, 60, (3, 7))
-    mask = np.arange(7)[None] < np.array([7, 5, 2])[:, None]
-    h = np.zeros((3, language_model.HIDDEN))
-    _, _, grads = language_model.window(w, x, x, mask, h, kind, True)
+    kind, x, lengths = language_model.class_of(), rng.integers(0, 60, (7, 3)), np.array([7, 5, 2])
+    start = lambda: np.zeros((3, language_model.HIDDEN))
+    _, grads = language_model.window(w, x, lengths, start(), kind, True)
     for name in ("gate", "new", "out", "in", "in_b"):
         at = np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
         old, step, out = w[name][at], 1e-3, []
         for d in (step, -step):
             w[name][at] = old + d
-            out.append(language_model.window(w, x, x, mask, h, kind, False)[0].sum())
+            out.append(language_model.window(w, x, lengths, start(), kind, False)[0].sum())
         w[name][at] = old
         assert -(out[0] - out[1]) / (2 * step) == pytest.approx(grads[name][at], rel=0.02)
 
