@@ -37,7 +37,8 @@ from .storage import staged
 
 TOP, CLASS = 768, 24
 HIDDEN, WINDOW, BATCH, ROUNDS = 32, 48, 192, 2
-BANDS = 48
+#: Counts from 2^23 on, which hardly any word outside the frequent ones has, share the last band.
+BANDS = 26
 RATE = 0.02
 UNSEEN, END = TOP + BANDS, TOP + BANDS + 1
 SYMBOLS, CLASSES = TOP + BANDS + 2, TOP // CLASS + BANDS + 2
@@ -54,7 +55,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def band(c: np.ndarray) -> np.ndarray:
     """Counts 1, 2 and 3 have bands of their own, larger ones by powers of two; count 0 has band 0."""
-    return np.where(c < 4, c, 2 + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64))
+    return np.minimum(np.where(c < 4, c, 2 + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)), BANDS - 1)
 
 
 def _counts(data: bytes) -> np.ndarray:
