@@ -93,7 +93,9 @@ def measures(docs: DataFrame, *carry: Column) -> DataFrame:
         if(size(array_distinct(h)) = size(h), 0L,
            aggregate({places}, struct(CAST(-{WINDOW} AS INT) AS last, 0L AS n),
                      (s, p) -> struct(p AS last, s.n + least({WINDOW}, p - s.last) AS n), s -> s.n))"""
-    return df.withColumn("n_repeat_words", F.expr(covered)).select(*own, *MEASURES)
+    df = df.withColumn("n_repeat_words", F.expr(covered))
+    # a generator of one row: filters on measurements stay above it, where below they would compute them again for every use
+    return df.select(*own, F.inline(F.array(F.struct(*MEASURES))))
 
 
 def ledger(docs: DataFrame, *carry: Column) -> DataFrame:
@@ -127,7 +129,4 @@ def ablation(ledger_rows: DataFrame, version: str = CURRENT) -> DataFrame:
 def filter_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The documents that a policy keeps, with all their columns; each row stands on its own, so no join is needed."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    # a filter isn't pushed below a projection that looks random, where it would compute the measurements again for
-    # every rule; 1 is above any number of [0, 1), and 0 above none
-    rows = apply_policy(ledger(docs, row), version).withColumn("u", F.rand(0))
-    return rows.where(F.col("kept").cast("double") > F.col("u")).select("row.*")
+    return apply_policy(ledger(docs, row), version).where("kept").select("row.*")
