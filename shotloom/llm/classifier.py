@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import forget_all
 from .words import Words, batched, mix, words_of
 
 #: Labelled documents that fitting may take.
@@ -175,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     shared = spark.sparkContext.broadcast(index)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_all()
         out = np.zeros((BUCKETS, DIM), np.float32)
         for b in batches:
             out += context_sums([t.encode() for t in b.column(0).to_pylist()], shared.value)
@@ -212,6 +214,7 @@ def score(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_all()
         for b in batches:
             s = shared.value.scores([t.encode() for t in b.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(s, pa.float64())], names=["row", "score"])

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import staged
+from .tokens import forget_all
 from .words import batched, mix, shingle_hashes, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -92,6 +93,7 @@ def buckets(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     """texts (id, text) to (id, buckets: array of long); texts without words are left out."""
 
     def run(batches):
+        forget_all()
         for batch in batches:
             ids, raw = batch.column(0), [t.encode() for t in batch.column(1).to_pylist()]
             for part in batched(raw, 1 << 20):

@@ -137,7 +137,17 @@ class Encoder:
             cache.clear()
 
 
+_encoders: list[Encoder] = []
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, as_text: bool = False) -> Encoder:
     """One encoder a worker and file, so that its cache serves all of the worker's tasks."""
-    return Encoder(path, as_text)
+    _encoders.append(Encoder(path, as_text))
+    return _encoders[-1]
+
+
+def forget_all() -> None:
+    """Empty the caches of a worker whose tasks have gone on to another operator."""
+    for enc in _encoders:
+        enc.forget()

@@ -10,6 +10,8 @@ _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 #: Bytes of text that are worked on together.
 BATCH_BYTES = 4 << 20
+#: Powers that a worker keeps; longer texts make their own.
+KEPT_POWERS = 3 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,9 +26,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        have = np.full(max(n, BATCH_BYTES + (1 << 20)), base, np.uint64)
+        have = np.full(max(n, KEPT_POWERS), base, np.uint64)
         have[0] = 1
-        have = _powers[name] = np.cumprod(have, dtype=np.uint64)
+        have = np.cumprod(have, dtype=np.uint64)
+        if len(have) == KEPT_POWERS:
+            _powers[name] = have
     return have[:n]
 
 
