@@ -112,6 +112,21 @@ def test_symbols_are_a_distribution():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_vocabulary_grows_with_the_corpus(spark):
+    words = [f"w{k}" for k in range(1500)]
+    rows = [(k, " ".join(words)) for k in range(60)]
+    n = sum(not language_model.held_out(k) for k, _ in rows)
+    _, t = language_model.count_words(*language_model.to_blocks(spark.createDataFrame(rows, "doc_id long, text string"), language_model.BLOCK_BYTES))
+    assert n >= language_model.least_count(n * 1500) and sorted(w for w, _ in t.top) == sorted(map(str.encode, words))
+    w, kind = language_model.initial(t), language_model.class_of(t.shape)
+    x, h = np.stack([np.zeros(len(kind), int), np.arange(len(kind))]), lambda: np.zeros((len(kind), language_model.HIDDEN), np.float32)
+    score, grads = language_model.window(w, x, np.full(len(kind), 2), h(), kind, True)
+    first, _ = language_model.window(w, x[:1], np.full(len(kind), 1), h(), kind, False)
+    assert np.exp(score - first).sum() == pytest.approx(1, abs=1e-3)
+    assert all(g.shape == w[k].shape for k, g in grads.items())
+    assert language_model.rounds_for(10**9) > language_model.rounds_for(10**8) > language_model.ROUNDS
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     t = language_model.Table(100, 5, 10, [(b"a", 50), (b"b", 20)], np.ones(language_model.BANDS, int), np.ones(language_model.BANDS, int))
