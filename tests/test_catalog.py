@@ -24,6 +24,17 @@ def test_against_sql(spark, sf, duck, name):
     assert rows(own) == rows(sql)
 
 
+@pytest.mark.parametrize("name", ["fisher_exact_all", "finishing_family_all"])
+def test_whole_finishing_family(spark, sf, duck, name):
+    test_against_sql(spark, sf, duck, name)
+    shots = catalog.load(spark, sf, "shots").groupBy("player_id").count().where("count >= 15").count()
+    own = catalog.QUERIES[name](spark, sf).toPandas()
+    assert len(own) == shots > catalog.QUERIES["fisher_exact"](spark, sf).count()
+    if "bonferroni" in own:
+        small = own[own.p_value > 0.0001]
+        assert (small.bonferroni - (small.p_value * shots).clip(upper=1)).abs().max() < 1e-5 * shots
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
