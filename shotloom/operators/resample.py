@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The reference's number of replicates.
+REPLICATES = 10_000
+#: Rows of a chunk of the bootstrap by rows.
+CHUNK = 1 << 19
+
 
 def draw(seed: int, *parts: str | Column) -> Column:
     """32 uniform bits of a hash of the seed and the parts."""
@@ -27,8 +32,9 @@ def units(df: DataFrame, value: str, cluster: str, *strata: str) -> DataFrame:
 def bootstrap_means(unit_sums: DataFrame, replicates: int, seed: int = 42, strata: tuple[str, ...] = ()) -> DataFrame:
     """(replicate, mean) of resamples of whole units with replacement; each stratum keeps its number of units."""
     sizes = unit_sums.groupBy(*strata).agg(F.count("*").alias("m"))
-    slots = sizes.select(*strata, "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("slot"))
-    drawn = slots.select(*strata, "slot", "m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    # replicates are dealt out first: draws are made in many tasks, and counted where they are made
+    turns = sizes.select(*strata, "m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).repartition(max(64, replicates // 100), "replicate")
+    drawn = turns.select(*strata, "replicate", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("slot"))
     drawn = drawn.withColumn("pos", F.pmod(draw(seed, "replicate", *strata, "slot"), F.col("m")))
     # how often each unit is drawn, before the sums are joined
     times = drawn.groupBy(*strata, "replicate", "pos").agg(F.count("*").alias("k"))
@@ -48,6 +54,50 @@ def bootstrap_summary(means: DataFrame, unit_sums: DataFrame, confidence: float
     return rows.select("replicates", "units", "estimate", "se", "bias", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"), warn.alias("warnings"))
 
 
+def bootstrap_row_means(df: DataFrame, value: str, key: str, replicates: int, seed: int = 42) -> DataFrame:
+    """(replicate, mean) of resamples of single rows with replacement, for tables of more rows than can be joined to every draw.
+
+    Rows lie in chunks by a hash of ``key``. A replicate's draws fall on the chunks by their sizes (multinomial), then on a
+    chunk's rows alike: the same as drawing from all rows. Draws depend on seed, replicate and chunk, not on partitions.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    m = rows.count()
+    chunks, step = max(1, -(-m // CHUNK)), 500
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(chunks)).cast("int"))
+    found = {r["chunk"]: r["count"] for r in rows.groupBy("chunk").count().collect()}
+    sizes = np.array([found.get(c, 0) for c in range(chunks)])
+
+    def draws(group: pa.Table) -> pa.Table:
+        chunk, first = group.column("chunk")[0].as_py(), group.column("first")[0].as_py()
+        v = group.sort_by([("k", "ascending"), ("v", "ascending")]).column("v").to_numpy()
+        known = ~np.isnan(v)
+        full, v = known.all(), np.where(known, v, 0.0)
+        out = []
+        for r in range(first, min(first + step, replicates + 1)):
+            n = np.random.default_rng([seed, r]).multinomial(m, sizes / m)[chunk]
+            at = np.random.default_rng([seed, r, chunk]).integers(0, len(v), n, dtype=np.int32)
+            out.append((r, float(v[at].sum()), int(n if full else known[at].sum())))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["replicate", "s1", "n"])
+
+    spread = rows.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(step))))
+    drawn = spread.groupBy("chunk", "first").applyInArrow(draws, "replicate int, s1 double, n long")
+    return drawn.groupBy("replicate").agg((F.sum("s1") / F.sum("n")).alias("mean"))
+
+
+def compare_resampling_units(df: DataFrame, value: str, key: str, cluster: str, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
+    """Summaries of the bootstraps by rows and by whole clusters, one row each, and the clusters' standard error over the rows'."""
+    clusters = units(df, value, cluster)
+    row_sums = df.select(F.col(value).cast("double").alias("s1"), F.col(value).isNotNull().cast("long").alias("n"))
+    by_row = bootstrap_summary(bootstrap_row_means(df, value, key, replicates, seed), row_sums)
+    by_cluster = bootstrap_summary(bootstrap_means(clusters, replicates, seed), clusters)
+    both = by_row.withColumn("unit", F.lit("row")).unionByName(by_cluster.withColumn("unit", F.lit("cluster")))
+    ratio = F.max(F.when(F.col("unit") == "cluster", F.col("se"))).over(Window.partitionBy()) / F.max(F.when(F.col("unit") == "row", F.col("se"))).over(Window.partitionBy())  # two rows
+    return both.select("unit", *by_row.columns, ratio.alias("se_ratio"))
+
+
 def bootstrap_callable(df: DataFrame, statistic, replicates: int, seed: int = 42) -> DataFrame:
     """(replicate, stat) for any function of a sample's values (a numpy array), on samples small enough for one task each."""
     import numpy as np

@@ -578,8 +578,7 @@ def bootstrap_strata(t):
 
 @query()
 def compare_units(t):
-    u = _units(t)
-    return resample.bootstrap_summary(resample.bootstrap_means(u, B), u)
+    return resample.compare_resampling_units(t("shots"), "price", "event_id", "player_id")
 
 
 @query(

@@ -85,3 +85,23 @@ def test_logistic_and_artifacts(spark, tmp_path):
     assert models.load_metrics(spark, "logistic_baseline", str(tmp_path))["roc_auc"] > 0.7
     with pytest.raises(ValueError):
         models.save_artifact(fit, "../x", str(tmp_path), d, {})
+
+
+def test_compare_resampling_units(spark):
+    # rows of a cluster are equal: ten independent values, not 200
+    df = spark.range(200).select("id", (F.col("id") % 10).alias("g"), ((F.col("id") % 10) * 1.0).alias("v"))
+    got = {r.unit: r for r in resample.compare_resampling_units(df, "v", "id", "g", 2000).collect()}
+    assert set(got) == {"row", "cluster"} and got["row"].units == 200 and got["cluster"].units == 10
+    sd = math.sqrt(8.25)
+    assert got["row"].se == pytest.approx(sd / math.sqrt(200), rel=0.08) and got["cluster"].se == pytest.approx(sd / math.sqrt(10), rel=0.08)
+    assert got["row"].se_ratio == pytest.approx(got["cluster"].se / got["row"].se)
+
+
+def test_row_draws_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(resample, "CHUNK", 30)
+    df = spark.range(200).select("id", F.when(F.col("id") < 190, F.col("id") * 1.0).alias("v"))
+    a, b = (sorted(map(tuple, resample.bootstrap_row_means(df.repartition(n), "v", "id", 1000).collect())) for n in (2, 5))
+    assert a == b and len(a) == 1000
+    mean = sum(x for _, x in a) / 1000
+    assert mean == pytest.approx(94.5, abs=0.6)
+    assert math.sqrt(sum((x - mean) ** 2 for _, x in a) / 999) == pytest.approx(math.sqrt((190**2 - 1) / 12 / 190), rel=0.1)
