@@ -593,7 +593,24 @@ def permutation_clusters(t):
 @query()
 def permutation_summary(t):
     u = resample.units(t("shots").withColumn("g", F.col("player_id") % 2), "price", "player_id", "g")
-    return resample.permutation_test(u, "g", 1, B)
+    return resample.permutation_test(u, "g", 1, resample.REPLICATES)
+
+
+# The SQL of three of the queries above is fixed at B replicates, so the reference's number has queries of its own.
+@query()
+def bootstrap_clusters_all(t):
+    return rounded(resample.bootstrap_means(_units(t), resample.REPLICATES), 4)
+
+
+@query()
+def bootstrap_strata_all(t):
+    return rounded(resample.bootstrap_means(_units(t, "stage"), resample.REPLICATES, strata=("stage",)), 4)
+
+
+@query()
+def permutation_clusters_all(t):
+    u = resample.units(t("shots").withColumn("g", F.col("player_id") % 2), "price", "player_id", "g")
+    return rounded(resample.permutation_differences(u, "g", 1, resample.REPLICATES), 4)
 
 
 for _name in ("bootstrap_clusters", "bootstrap_strata", "permutation_clusters"):

@@ -35,6 +35,17 @@ def test_whole_finishing_family(spark, sf, duck, name):
         assert (small.bonferroni - (small.p_value * shots).clip(upper=1)).abs().max() < 1e-5 * shots
 
 
+@pytest.mark.parametrize("name", ["bootstrap_clusters", "bootstrap_strata", "permutation_clusters"])
+def test_all_replicates(spark, sf, name):
+    whole = catalog.QUERIES[f"{name}_all"](spark, sf).toPandas().set_index("replicate").iloc[:, 0]
+    some = catalog.QUERIES[name](spark, sf).toPandas().set_index("replicate").iloc[:, 0]
+    assert sorted(whole.index) == list(range(1, 10_001)) and (whole[some.index] == some).all()
+
+
+def test_permutation_summary_has_all_replicates(spark, sf):
+    assert catalog.QUERIES["permutation_summary"](spark, sf).first().replicates == 10_000
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
