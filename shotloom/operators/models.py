@@ -73,23 +73,36 @@ def fit_logistic(train: DataFrame, numeric=BASELINE, categorical=(), boolean=(),
     return Fitted(Pipeline(stages=[*stages, last]).fit(rows), names)
 
 
-def fit_boosted(train: DataFrame, group: str = "match_id", numeric=BASELINE, categorical=(), boolean=(), *, step: float = 0.05, depth: int = 3, least: int = 5, subsample: float = 0.8, most: int = 60, patience: int = 40, seed: int = 42) -> Fitted:
+def chosen_trees(losses, most: int, patience: int) -> int:
+    """Trees up to the least of ``losses(n)``, with n doubled until patience runs out; longer trials begin with the same trees."""
+    n = min(most, 2 * patience)
+    while True:
+        best, found = 0, losses(n)
+        for k, x in enumerate(found):
+            if x < found[best]:
+                best = k
+            elif k - best >= patience:
+                return best + 1
+        if n >= most:
+            return best + 1
+        n = min(most, 2 * n)
+
+
+def fit_boosted(train: DataFrame, group: str = "match_id", numeric=BASELINE, categorical=(), boolean=(), *, step: float = 0.05, depth: int = 3, least: int = 5, subsample: float = 0.8, colsample: float = 0.8, most: int = 600, patience: int = 40, seed: int = 42) -> Fitted:
     """Gradient-boosted trees; the number of trees is chosen on a fifth of the groups, with patience, then refitted."""
     rows = _labelled(train.dropna(subset=list(numeric)))
     split = rows.join(group_split(rows, group, 0.2, seed), group)
     inner, held = split.where("NOT is_test"), split.where("is_test")
-    make = lambda n: GBTClassifier(stepSize=step, maxDepth=depth, minInstancesPerNode=least, subsamplingRate=subsample, maxIter=n, seed=seed)
+    make = lambda n: GBTClassifier(stepSize=step, maxDepth=depth, minInstancesPerNode=least, subsamplingRate=subsample, featureSubsetStrategy=str(colsample), maxIter=n, seed=seed)
     stages, _ = _encoder(inner, numeric, categorical, boolean, False)
-    trial = Pipeline(stages=[*stages, make(most)]).fit(inner)
-    losses = trial.stages[-1].evaluateEachIteration(trial.stages[1].transform(trial.stages[0].transform(held)))
-    best = 0
-    for k, x in enumerate(losses):
-        if x < losses[best]:
-            best = k
-        elif k - best >= patience:
-            break
+
+    def losses(n: int) -> list[float]:
+        trial = Pipeline(stages=[*stages, make(n)]).fit(inner)
+        return trial.stages[-1].evaluateEachIteration(trial.stages[1].transform(trial.stages[0].transform(held)))
+
+    trees = chosen_trees(losses, most, patience)
     stages, names = _encoder(rows, numeric, categorical, boolean, False)
-    return Fitted(Pipeline(stages=[*stages, make(best + 1)]).fit(rows), names, best + 1)
+    return Fitted(Pipeline(stages=[*stages, make(trees)]).fit(rows), names, trees)
 
 
 def predict(fitted: PipelineModel, df: DataFrame) -> DataFrame:

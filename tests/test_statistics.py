@@ -105,3 +105,16 @@ def test_row_draws_in_chunks(spark, monkeypatch):
     mean = sum(x for _, x in a) / 1000
     assert mean == pytest.approx(94.5, abs=0.6)
     assert math.sqrt(sum((x - mean) ** 2 for _, x in a) / 999) == pytest.approx(math.sqrt((190**2 - 1) / 12 / 190), rel=0.1)
+
+
+def test_boosting_ends_by_patience_not_by_its_budget(spark):
+    import inspect
+
+    given = {k: v.default for k, v in inspect.signature(models.fit_boosted).parameters.items()}
+    assert (given["most"], given["patience"]) == (600, 40)
+    for least in (0, 59, 150, 590):
+        assert models.chosen_trees(lambda n, m=least: [abs(k - m) for k in range(n)], given["most"], given["patience"]) == least + 1
+    d = spark.range(200).select((F.col("id") % 20).alias("match_id"), (2 + F.rand(1) * 38).alias("shot_distance"), F.rand(2).alias("shot_angle"))
+    d = d.withColumn("goal", F.rand(3) < 1 / (1 + F.exp(-(1.5 - 0.22 * F.col("shot_distance"))))).cache()
+    fit = models.fit_boosted(d, step=0.5, most=4, patience=2)
+    assert 1 <= fit.trees <= 4 and fit.model.stages[-1].getFeatureSubsetStrategy() == "0.8"
