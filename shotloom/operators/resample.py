@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 REPLICATES = 10_000
 #: Rows of a chunk of the bootstrap by rows.
 CHUNK = 1 << 19
+#: Units whose sums, a few MB, are sent to every task of the draws.
+FEW_UNITS = 100_000
 
 
 def draw(seed: int, *parts: str | Column) -> Column:
@@ -38,7 +40,10 @@ def bootstrap_means(unit_sums: DataFrame, replicates: int, seed: int = 42, strat
     drawn = drawn.withColumn("pos", F.pmod(draw(seed, "replicate", *strata, "slot"), F.col("m")))
     # how often each unit is drawn, before the sums are joined
     times = drawn.groupBy(*strata, "replicate", "pos").agg(F.count("*").alias("k"))
-    rows = times.join(unit_sums, [*strata, "pos"]).groupBy("replicate")
+    # Spark takes the draws, exploded from few rows, for the smaller side and would broadcast them
+    few = unit_sums.limit(FEW_UNITS + 1).count() <= FEW_UNITS
+    rows = times.hint("merge").join(unit_sums, [*strata, "pos"]) if not few else times.join(F.broadcast(unit_sums), [*strata, "pos"])
+    rows = rows.groupBy("replicate")
     return rows.agg((F.sum(F.col("k") * F.col("s1")) / F.sum(F.col("k") * F.col("n"))).alias("mean"))
 
 

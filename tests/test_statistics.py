@@ -118,3 +118,14 @@ def test_boosting_ends_by_patience_not_by_its_budget(spark):
     d = d.withColumn("goal", F.rand(3) < 1 / (1 + F.exp(-(1.5 - 0.22 * F.col("shot_distance"))))).cache()
     fit = models.fit_boosted(d, step=0.5, most=4, patience=2)
     assert 1 <= fit.trees <= 4 and fit.model.stages[-1].getFeatureSubsetStrategy() == "0.8"
+
+
+def test_draws_are_never_broadcast(spark, monkeypatch):
+    u = resample.units(spark.range(50).select("id", (F.col("id") * 1.0).alias("v")), "v", "id")
+    few = resample.bootstrap_means(u, 300)
+    assert "BuildLeft" not in few._jdf.queryExecution().toString() and "BuildRight" in few._jdf.queryExecution().toString()
+    monkeypatch.setattr(resample, "FEW_UNITS", 10)
+    many = resample.bootstrap_means(u, 300)
+    assert "SortMergeJoin" in many._jdf.queryExecution().toString()
+    near = lambda df: [round(r.mean, 9) for r in df.orderBy("replicate").collect()]
+    assert near(few) == near(many)
