@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import free, staged
 
 #: Edges that one task finishes by itself; longer lists are contracted until they are as short.
 TASK_EDGES = 200_000
@@ -48,13 +48,16 @@ def connected_components(edges: DataFrame, name: str = "components", task_edges:
     left = staged(edges.select(a, b).where("a <> b").distinct(), name)
     size, turn = left.count(), 0
     if size <= task_edges:
-        return staged(_finish(left), f"{name}-labels").select("node", F.col("to").alias("component"))
+        out = staged(_finish(left).select("node", F.col("to").alias("component")), f"{name}-labels")
+        free(left)
+        return out
     nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    moved = nodes.withColumn("label", F.col("node"))
+    moved, spent = nodes.withColumn("label", F.col("node")), left
     while size:
         if size <= task_edges:
             least = staged(_finish(left), f"{name}-moves")
-            moved = staged(_move(moved, least), f"{name}-labels")
+            last, moved = moved, staged(_move(moved, least), f"{name}-labels")
+            free(last, least)
             break
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("p"), F.col(c).alias("v"))  # noqa: B023, E731
@@ -62,11 +65,15 @@ def connected_components(edges: DataFrame, name: str = "components", task_edges:
         least = staged(least, f"{name}-moves")
         to_a, to_b = least.select(F.col("node").alias("a"), F.col("to").alias("ta")), least.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         left = left.join(to_a, "a").join(to_b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-        left = staged(left, name)
-        moved = staged(_move(moved, least), f"{name}-labels")
+        before, left = spent, staged(left, name)
+        last, moved = moved, staged(_move(moved, least), f"{name}-labels")
+        free(before, last, least)
+        spent = left
         size, turn = left.count(), turn + 1
     smallest = moved.groupBy("label").agg(F.min("node").alias("component"))
-    return moved.join(smallest, "label").select("node", "component")
+    out = staged(moved.join(smallest, "label").select("node", "component"), f"{name}-components")
+    free(spent, moved)
+    return out
 
 
 def _move(moved: DataFrame, least: DataFrame) -> DataFrame:

@@ -3,48 +3,80 @@
 A document is its set of five-word shingles (the words of a shorter one are a single shingle), weighted by how often each
 occurs. ProbMinHash lets every shingle arrive at registers by a Poisson process of its weight as rate; a register keeps
 its first arrival, and a shingle stops as soon as its next arrival is later than all registers. Two documents agree in a
-register with the probability Jaccard similarity of their weights. Registers are banded into buckets, and pairs that
-share a bucket are verified by the exact Jaccard similarity of their shingle sets, ``THRESHOLD`` or more.
-
-Texts that are equal in their words are one class from the start, so that copies cost one row. In each bucket all members
-are verified against the smallest (a star, linear in the bucket); components of the links follow. Buckets that still
-hold several components are finished exactly: pairs of unlike components are compared inside tasks, in chunks, without a
-row per pair, and what they find joins the components. No bucket is capped.
-
-Defined cases: null, empty and blank texts have no shingles: each is a class of its own and is kept; repeated rows of one
-doc_id are one document per text; a null ``doc_id`` is a class of its own; other columns are ignored; an empty table
-gives no rows.
+register with the probability Jaccard similarity of their weights. Registers are banded into buckets, and candidate pairs
+are verified by that same similarity, computed exactly, ``THRESHOLD`` or more. Where no shingle repeats within a text, it
+is the Jaccard similarity of the shingle sets.
+
+Nodes are texts, not ids: texts that are equal in their words (by a 128-bit hash) are one node from the start, so that
+copies cost one row. Classes are the components of the links between nodes, found in rounds that are linear in the
+buckets' members:
+
+1. In each bucket a hub, the member with most bucket mates, meets all others; a node's best hub by the signatures is
+   verified first.
+2. In buckets that still hold several components, members outside the largest one meet all members of other components
+   through one byte per register, inside tasks, in chunks; each hands in its best ``TRIES`` partners for verification.
+3. What is still in several components hands in all its partners of other components.
+
+Pairs whose signatures agree in fewer than ``least_agreement`` registers are not verified: at the threshold a pair is so
+far below its expectation once in some 10^11 pairs. No bucket is capped, and texts are never brought together: a scan
+makes signatures, and only the shingle hashes of nodes that share a bucket are looked at again.
+
+Defined cases: null, empty and blank texts have no shingles: each is a class of its own and is kept; a row with a null
+``doc_id`` takes no part and is kept; rows of one doc_id with other texts are documents of their own that share an id, and
+each is kept or not by its own text; repeated rows of one id and text are marked alike, and ``keep_one`` leaves one of
+them; other columns are carried by ``keep_one`` whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
-from .storage import staged
+from .storage import free, staged
 from .tokens import forget_all
-from .words import batched, mix, shingle_hashes, words_of
+from .words import Words, batched, mix, shingle_hashes, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
-#: Members of a leftover bucket that a task compares with as many others.
-CHUNK = 512
+#: Members of a bucket that one task compares, by a byte per register, with as many others.
+CHUNK = 8192
+#: Partners that a member hands in for verification before it hands in all.
+TRIES = 8
+#: Pairs that are verified beside one copy of their hub's shingles.
+HUB_PAIRS = 512
+_KEY = "k1 long, k2 long"
 
 
-def weighted_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weighted_sets(words: Words, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle hash, number of times) of all texts, by text and hash."""
-    doc, own = shingle_hashes(words_of(texts), width)
-    order = np.lexsort((own, doc))
+    doc, own = shingle_hashes(words, width)
+    order = np.argsort(own)
+    small = doc[order].astype(np.uint16) if words.n_docs <= 1 << 16 else doc[order]
+    order = order[np.argsort(small, kind="stable")]
     doc, own = doc[order], own[order]
     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])])) if len(doc) else np.zeros(0, np.int64)
     return doc[first], own[first], np.diff(np.concatenate([first, [len(doc)]]))
 
 
+def text_keys(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, k1, k2) of the texts that have words: hashes of their words in order."""
+    if not len(words.doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], words.doc[1:] != words.doc[:-1]]))
+    place = np.arange(len(words.doc)) - np.repeat(first, np.diff(np.concatenate([first, [len(words.doc)]])))
+    h = mix(words.hash + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    k1 = np.add.reduceat(h, first)
+    k2 = np.add.reduceat((h ^ (h >> np.uint64(29))) * np.uint64(0xE7037ED1A0B428DB), first)
+    return words.doc[first], k1.view(np.int64), k2.view(np.int64)
+
+
 def signatures(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: int, size: int = BANDS * ROWS) -> np.ndarray:
     """ProbMinHash signatures of weighted sets: per document and register the item that arrives first (0: none)."""
     time, who = np.full(n_docs * size, np.inf), np.zeros(n_docs * size, np.uint64)
@@ -89,144 +121,271 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return out.view(np.int64)
 
 
-def buckets(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """texts (id, text) to (id, buckets: array of long); texts without words are left out."""
+def least_agreement(registers: int, threshold: float) -> int:
+    """Registers in which a pair at the threshold agrees but for odds of some 10^-11: seven deviations below the mean."""
+    return max(1, math.floor(registers * threshold - 7 * math.sqrt(registers * threshold * (1 - threshold))))
+
+
+def _texts(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[slice, Words]]:
+    raw = [(t or "").encode() for t in batch.column(column).to_pylist()]
+    for part in batched(raw, most):
+        yield part, words_of(raw[part])
+
+
+def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs (doc_id, text) to (doc_id, k1, k2, buckets, marks); all but doc_id are null where there are no words or no id.
+
+    ``marks`` is a byte of each register's item.
+    """
+    size = bands * rows
 
     def run(batches):
         forget_all()
         for batch in batches:
-            ids, raw = batch.column(0), [t.encode() for t in batch.column(1).to_pylist()]
-            for part in batched(raw, 1 << 20):
-                some = raw[part]
-                doc, item, weight = weighted_sets(some)
-                got = np.unique(doc)
-                if len(got):
-                    own = band_hashes(signatures(np.searchsorted(got, doc), item, weight, len(got), bands * rows), bands, rows)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * bands, pa.int32()), pa.array(own.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(part.start, len(some)).take(pa.array(got)), lists], names=["id", "buckets"])
+            for part, words in _texts(batch, "text"):
+                ids = batch.column("doc_id").slice(part.start, part.stop - part.start)
+                at, k1, k2 = text_keys(words)
+                known = ids.is_valid().to_numpy(zero_copy_only=False)
+                doc, item, weight = weighted_sets(words)
+                place = np.full(len(ids), -1)
+                place[at] = np.arange(len(at))
+                who = signatures(place[doc], item, weight, len(at), size) if len(at) else np.zeros((0, size), np.uint64)
+                keep = known[at]
+                at, k1, k2, who = at[keep], k1[keep], k2[keep], who[keep]
+                where = np.full(len(ids), -1)
+                where[at] = np.arange(len(at))
+                take = pa.array(np.maximum(where, 0), mask=where < 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * bands, pa.int32()), pa.array(band_hashes(who, bands, rows).reshape(-1)))
+                # the low byte of a scramble, as shingle hashes of one band agree in full anyway
+                marks = pa.array([m.tobytes() for m in (mix(who) & np.uint64(255)).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, *[x.take(take) for x in (pa.array(k1), pa.array(k2), lists, marks)]], names=["doc_id", "k1", "k2", "buckets", "marks"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {_KEY}, buckets array<long>, marks binary")
+
+
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """rows (node, k1, k2, text) to (node, items, weights) where the text has that key: sorted shingle hashes as 64-bit and
+    their counts as 32-bit integers; weights are empty where all are one."""
 
-    return texts.select("id", "text").mapInArrow(run, "id long, buckets array<long>")
+    def run(batches):
+        for batch in batches:
+            nodes, k1, k2 = (batch.column(c).to_numpy() for c in ("node", "k1", "k2"))
+            for part, words in _texts(batch, "text"):
+                at, h1, h2 = text_keys(words)
+                same = (k1[part][at] == h1) & (k2[part][at] == h2)
+                doc, item, weight = weighted_sets(words)
+                ends = np.searchsorted(doc, at[same], side="right")
+                begun = np.searchsorted(doc, at[same])
+                items = [item[i:j].tobytes() for i, j in zip(begun, ends, strict=True)]
+                weights = [b"" if (w := weight[i:j]).max() == 1 else w.astype("<u4").tobytes() for i, j in zip(begun, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[part][at[same]]), pa.array(items, pa.binary()), pa.array(weights, pa.binary())], names=["node", "items", "weights"])
 
+    return rows.select("node", "k1", "k2", "text").mapInArrow(run, "node long, items binary, weights binary")
 
-def _set(text: bytes) -> np.ndarray:
-    return np.unique(shingle_hashes(words_of([text]), WIDTH)[1])
 
+Shingles = tuple[np.ndarray, np.ndarray | None]
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted arrays of distinct hashes."""
-    if not len(a) or not len(b):
-        return 0.0
-    both = len(a) + len(b) - len(np.union1d(a, b))
-    return both / (len(a) + len(b) - both)
 
+def _set(items: bytes, weights: bytes) -> Shingles:
+    return np.frombuffer(items, np.uint64), np.frombuffer(weights, "<u4").astype(float) if weights else None
 
-def _reaches(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-        return False
-    return jaccard(a, b) >= threshold - 1e-12
 
+def similarity(a: Shingles, b: Shingles) -> float:
+    """Probability Jaccard similarity of two weighted sets: sorted distinct hashes and their weights (None: all one).
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity; a is the side that many pairs may share."""
-    one, two = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    The sum over common items i of 1 / sum over all items j of max(x_j / x_i, y_j / y_i); for weights of one, the share of
+    common items among all.
+    """
+    (p, x), (q, y) = a, b
+    if not len(p) or not len(q):
+        return 0.0
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    both = q[at] == p
+    n = int(both.sum())
+    if x is None and y is None:
+        return n / (len(p) + len(q) - n)
+    x, y = np.ones(len(p)) if x is None else x, np.ones(len(q)) if y is None else y
+    cx, cy = x[both], y[at[both]]
+    order = np.argsort(cx / cy)
+    cx, cy = cx[order], cy[order]
+    # items of a larger ratio x/y, and those of a alone, count by x, the others by y
+    by_x = x.sum() - np.cumsum(cx)
+    by_y = y.sum() - cy.sum() + np.cumsum(cy)
+    return float((1 / (by_x / cx + by_y / cy)).sum())
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose similarity reaches the threshold; a is the side that many pairs may share.
+
+    b's shingles go to the pair, a's to every ``HUB_PAIRS`` of its pairs, where they are read first.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("parts"))
+    heads = parts.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "items", "weights")
+    tails = pairs.join(parts, "a").join(sets.withColumnRenamed("node", "b"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b", "items", "weights")
 
     def run(batches):
-        sets: OrderedDict[int, np.ndarray] = OrderedDict()
+        at, head = None, None
         for batch in batches:
-            out = []
-            for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if a not in sets:
-                    sets[a] = _set(text_a.encode())
-                    if len(sets) > 64:
-                        sets.popitem(last=False)
-                out.append(_reaches(sets[a], _set(text_b.encode()), threshold))
+            a, part, b = (batch.column(c).to_pylist() for c in ("a", "part", "b"))
+            out = np.zeros(batch.num_rows, bool)
+            for k, (items, weights) in enumerate(zip(batch.column("items"), batch.column("weights"), strict=True)):
+                own = _set(items.as_buffer(), weights.as_buffer() if len(weights.as_buffer()) else b"")
+                if b[k] is None:
+                    at, head = (a[k], part[k]), (own[0].copy(), own[1])
+                elif at == (a[k], part[k]):
+                    out[k] = similarity(head, own) >= threshold - 1e-12
             yield batch.select(["a", "b"]).filter(pa.array(out))
 
-    # pairs meet b's text first: b is in few pairs, while a hub's text goes to many, which skewed joins split
-    rows = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+    rows = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").isNotNull())
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _finish(left: DataFrame, texts: DataFrame, threshold: float, chunk: int) -> DataFrame:
-    """Links between unlike components of leftover buckets.
+def _marks(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def agreeing(pairs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose marks agree ``least`` times, and how often they do."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                n = (_marks(batch.column("x")) == _marks(batch.column("y"))).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n.astype(np.int32))], names=["a", "b", "n"]).filter(pa.array(n >= least))
+
+    one, two = marks.toDF("a", "x"), marks.toDF("b", "y")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n int")
 
-    left: (bucket, id, label, buckets). In a bucket the largest component's members are compared with the others only,
-    the others with each other too; a pair is compared in the first of the buckets that it shares.
+
+def proposals(labelled: DataFrame, marks: DataFrame, least: int, chunk: int, tries: int | None) -> DataFrame:
+    """Pairs of unlike components that agree, from buckets that hold several: (bucket, node, label) to (a, b).
+
+    Members outside the bucket's largest component meet all its members; each hands in its ``tries`` best partners, or
+    all. A bucket of more than ``chunk`` members is cut into chunks that meet each other.
     """
-    sizes = left.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor"))
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    major = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
     major = major.select("bucket", "major", F.ceil(F.col("n") / chunk).alias("p"), F.ceil(F.col("minor") / chunk).alias("q"))
-    rows = left.join(major, "bucket").withColumn("side", F.col("label") != F.col("major"))
-    # every member goes to each chunk of minor members; a minor member also heads its own chunk for all chunks of members
-    own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("p")).alias("p0")
-    head = F.pmod(F.xxhash64("id", F.lit(4)), F.col("q")).alias("q0")
-    members = rows.select("bucket", "id", "label", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("q0"), F.lit(False).alias("head"))
-    heads = rows.where("side").select("bucket", "id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)).alias("p0"), head, F.lit(True).alias("head"))
-    both = members.select("bucket", "id", "label", "p0", "q0", "head").unionByName(heads.select("bucket", "id", "label", "p0", "q0", "head"))
-    facts = left.select("id", "buckets").dropDuplicates(["id"]).join(texts.select("id", "text"), "id")
-    both = both.join(facts, "id")
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, labels, head = (table.column(c).to_pylist() for c in ("id", "label", "head"))
-        bucket = table.column("bucket")[0].as_py()
-        sets = [_set(t.encode()) for t in table.column("text").to_pylist()]
-        own = np.array(table.column("buckets").to_pylist(), np.int64)
-        group = {x: x for x in labels}
-
-        def find(x):
-            while group[x] != x:
-                group[x] = group[group[x]]
-                x = group[x]
-            return x
-
-        out = []
-        members = [i for i, h in enumerate(head) if not h]
-        for i in (i for i, h in enumerate(head) if h):
-            same = own[i] == own[members]
-            firsts = np.where(same.any(1), own[i][same.argmax(1)], 0)
-            for j, first in zip(members, firsts.tolist(), strict=True):
-                if ids[i] != ids[j] and first == bucket and find(labels[i]) != find(labels[j]) and _reaches(sets[i], sets[j], threshold):
-                    group[find(labels[j])] = find(labels[i])
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-    return both.groupBy("bucket", "p0", "q0").applyInArrow(compare, "a long, b long")
+    rows = labelled.join(major, "bucket").join(marks, "node")
+    rows = rows.withColumns({"side": F.col("label") != F.col("major"), "own_p": F.pmod(F.xxhash64("node", F.lit(3)), F.col("p")), "own_q": F.pmod(F.xxhash64("node", F.lit(4)), F.col("q"))})
+    places = F.expr("""concat(
+        transform(sequence(0L, q - 1), k -> struct(own_p AS p0, k AS q0, true AS member, side AND k = own_q AS head)),
+        transform(filter(sequence(0L, p - 1), k -> side AND k <> own_p), k -> struct(k AS p0, own_q AS q0, false AS member, true AS head)))""")
+    dealt = rows.select("bucket", "node", "label", "marks", F.inline(places))
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        own = _marks(table.column("marks"))
+        members, heads = (np.flatnonzero(table.column(c).to_numpy()) for c in ("member", "head"))
+        a, b = [], []
+        step = max(1, (32 << 20) // max(1, len(members) * own.shape[1]))
+        for at in range(0, len(heads), step):
+            some = heads[at : at + step]
+            n = (own[some][:, None, :] == own[members][None, :, :]).sum(2, dtype=np.int32)
+            n[(label[some][:, None] == label[members][None, :]) | (n < least)] = -1
+            for i, row in zip(some, n, strict=True):
+                hit = np.flatnonzero(row >= 0)
+                if tries is not None and len(hit) > tries:
+                    hit = hit[np.argsort(-row[hit], kind="stable")[:tries]]
+                other = node[members[hit]]
+                a.append(np.maximum(node[i], other))
+                b.append(np.minimum(node[i], other))
+        empty = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+
+    return dealt.groupBy("bucket", "p0", "q0").applyInArrow(meet, "a long, b long")
+
+
+def _unlike(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are in different components."""
+    one, two = parts.toDF("a", "la"), parts.toDF("b", "lb")
+    return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def _rows(docs: DataFrame, threshold: float, bands: int, rows: int, chunk: int) -> DataFrame:
+    """Per row of docs: doc_id, k1, k2, class_id and kept."""
+    least = least_agreement(bands * rows, threshold)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = staged(sketch(base, bands, rows), "near-sketches")
+    texts = keyed.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"), F.first("marks").alias("marks"))
+    texts = staged(texts.withColumn("node", F.monotonically_increasing_id()), "near-texts")
+    marks = texts.select("node", "marks")
+    placed = texts.select("node", F.explode("buckets").alias("bucket"))
+    several = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = staged(placed.join(several, "bucket"), "near-shared")
+    mates = shared.groupBy("node").agg(F.sum("n").alias("mates"))
+    hubs = shared.join(mates, "node").groupBy("bucket").agg(F.max_by("node", F.struct("mates", "node")).alias("hub"))
+    stars = shared.join(hubs, "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = staged(agreeing(stars, marks, least), "near-stars")
+    # whole texts are read again for the nodes that have bucket mates only
+    asked = shared.select("node").distinct().join(texts.select("node", "doc_id", "k1", "k2"), "node")
+    sets = staged(shingle_sets(base.join(asked, "doc_id")).dropDuplicates(["node"]), "near-sets")
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    links = [staged(verified(best, sets, threshold), "near-links")]
+    parts = connected_components(links[0], "near-parts")
+    for tries in (TRIES, None):
+        labelled = shared.where("n > 2").join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+        pairs = proposals(labelled, marks, least, chunk, tries)
+        if tries:
+            pairs = pairs.unionByName(_unlike(stars.select("a", "b"), parts))
+        pairs = staged(pairs.distinct(), "near-pairs")
+        found = staged(verified(pairs, sets, threshold), "near-links")
+        free(pairs)
+        if found.isEmpty():
+            # nothing joined: the pairs that are left out by ``tries`` are still to be seen
+            if tries is None:
+                break
+            continue
+        links.append(found)
+        every = links[0]
+        for x in links[1:]:
+            every = every.unionByName(x)
+        last, parts = parts, connected_components(every, "near-parts")
+        free(last)
+    own = texts.select("node", "doc_id", "k1", "k2")
+    members = own.join(parts, "node")
+    chosen = members.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("x")).select("component", F.col("x.doc_id").alias("class_id"), F.col("x.node").alias("stays"))
+    members = members.join(chosen, "component").select("node", "class_id", "stays")
+    classes = own.join(members, "node", "left").select("k1", "k2", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("stays") == F.col("node"), F.lit(True)).alias("stays"))
+    out = keyed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    out = out.select("doc_id", "k1", "k2", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("stays") & (F.col("doc_id") == F.col("class_id")), F.lit(True)).alias("kept"))
+    out = staged(out, "near-rows")
+    free(keyed, texts, shared, stars, sets, parts, *links)
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
     """Per document: doc_id, class_id (the smallest doc_id of its class) and ``kept`` (one document of each class)."""
-    # words joined by one space: texts that differ in white space only are equal in their words
-    text = F.trim(F.regexp_replace(F.col("text").cast("string"), "[ \\t-\\r]+", " "))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    keyed = base.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), F.when(F.col("doc_id").isNotNull() & (F.col("text") != ""), F.col("text")).alias("text"))
-    worded = keyed.where("text IS NOT NULL")
-    # a row per different text; its smallest id stands for it
-    texts = staged(worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("id"), "x.text"), "near-texts")
-    bands_of = staged(buckets(texts, bands, rows), "near-buckets")
-    placed = bands_of.select("id", F.explode("buckets").alias("bucket"))
-    stars = placed.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = staged(stars, "near-stars")
-    shared = staged(placed.join(stars, "bucket").select("bucket", "id", "a", "n"), "near-shared")
-    pairs = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    found = staged(verified(pairs, texts, threshold), "near-links")
-    parts = connected_components(found, "near-parts")
-    # a bucket of two is done by its star; in larger ones all pairs of unlike components but the star's remain
-    labelled = shared.where("n > 2").join(parts.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "a", F.coalesce("component", "id").alias("label"))
-    several = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("bucket")
-    left = labelled.join(several, "bucket").join(bands_of, "id").select("bucket", "id", "label", "buckets")
-    more = staged(_finish(left, texts, threshold, chunk), "near-more")
-    parts = connected_components(found.unionByName(more), "near-classes")
-    classes = texts.select("k1", "k2", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("class"))
-    own = keyed.select("doc_id", F.when(F.col("text").isNotNull(), F.col("k1")).alias("k1"), "k2")
-    out = own.join(classes, ["k1", "k2"], "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents with all their columns, one of each class; of equal rows of one id one stays."""
-    found = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    found = staged(found, "near-kept")
-    key = F.col("doc_id").cast("long") == F.col("near_id")
-    once, more = (found.where(c).select(F.col("doc_id").alias("near_id")) for c in ("n = 1", "n > 1"))
-    again = docs.join(more, key, "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(once, key, "left_semi").unionByName(again).unionByName(docs.where("doc_id IS NULL"))
+    return _rows(docs, threshold, bands, rows, chunk).select("doc_id", "class_id", "kept")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
+    """The documents with all their columns, one of each class; of repeated rows of one id and text one stays."""
+    found = _rows(docs, threshold, bands, rows, chunk)
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"))
+    ids = staged(ids.where("n_kept = 0 OR n > 1"), "near-ids")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = whole.join(ids.select("doc_id"), "doc_id", "left_anti").select("row.*")
+    again = ids.where("n_kept > 0")
+    if again.isEmpty():
+        return out
+    # ids of several rows: each row is looked up by its own text
+    mine = whole.join(again.select("doc_id"), "doc_id", "left_semi").withColumn("text", F.col("row.text").cast("string"))
+    schema = T.StructType([*mine.schema.fields, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
+
+    def keys(batches):
+        for batch in batches:
+            for part, words in _texts(batch, "text"):
+                at, k1, k2 = text_keys(words)
+                some = batch.slice(part.start, part.stop - part.start)
+                where = np.full(some.num_rows, -1)
+                where[at] = np.arange(len(at))
+                take = pa.array(np.maximum(where, 0), mask=where < 0)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(k1).take(take), pa.array(k2).take(take)], names=[*some.schema.names, "k1", "k2"])
+
+    mine = mine.mapInArrow(keys, schema)
+    stay = found.where("kept").select("doc_id", "k1", "k2").distinct()
+    same = [mine[c].eqNullSafe(stay[c]) for c in ("doc_id", "k1", "k2")]
+    mine = mine.join(stay, same[0] & same[1] & same[2], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+    return out.unionByName(mine.select("row.*"))

@@ -30,7 +30,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing will read any more; other frames are left alone."""
+    for df in frames:
+        if path := getattr(df, "_staged_at", None):
+            drop_dir(df.sparkSession, path)
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,14 @@ from .conftest import prose
 
 def shingles(text):
     w = (text or "").encode().split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+
+def alike(a, b):
+    """Probability Jaccard similarity of two texts' shingle counts."""
+    x, y = Counter(a), Counter(b)
+    every = set(x) | set(y)
+    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in every) for i in set(x) & set(y))
 
 
 def classes(ids, linked):
@@ -40,7 +48,8 @@ def test_components(spark, limit):
     assert got == classes(sorted(ids), lambda i, j: frozenset((i, j)) in own)
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("chunk", [minhash.CHUNK, 3])
+def test_near_duplicates(spark, chunk):
     rng, rows = random.Random(8), []
     for g in range(6):
         base = prose(g, 80).split()
@@ -50,11 +59,11 @@ def test_near_duplicates(spark):
                 w[rng.randrange(len(w))] = f"w{rng.randint(0, 99)}"
             rows.append((len(rows), " ".join(w)))
     rows += [(900, None), (901, ""), (902, " \n"), (903, "a b"), (904, "a  b"), (905, prose(77, 50) + "\n" + prose(0, 30)), (906, rows[3][1]), (906, rows[3][1]), (907, prose(0, 80) * 9)]
-    df = spark.createDataFrame([*[(*r, "x") for r in rows], (None, rows[0][1], "y")], "doc_id long, text string, kept string").repartition(3)
+    df = spark.createDataFrame([*[(*r, "x", 1) for r in rows], (None, rows[0][1], "y", 1)], "doc_id long, text string, kept string, near_id int").repartition(3)
     text = dict(rows)
     s = {i: shingles(t) for i, t in text.items()}
-    want = classes(sorted(text), lambda i, j: bool(s[i]) and bool(s[j]) and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]))
-    got = minhash.near_duplicates(df, chunk=3).collect()
+    want = classes(sorted(text), lambda i, j: bool(s[i]) and bool(s[j]) and alike(s[i], s[j]) >= 0.8)
+    got = minhash.near_duplicates(df, chunk=chunk).collect()
     assert len(got) == df.count()
     for r in got:
         assert r.class_id == (want[r.doc_id] if r.doc_id is not None else None)
@@ -66,6 +75,32 @@ def test_near_duplicates(spark):
 
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
+    assert minhash.keep_one(empty).count() == 0
+
+
+def test_repeated_ids_of_other_texts(spark):
+    """A text is not lost because its id belongs to another one too."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a, 10), (5, b, 20), (5, a + " extra", 30), (7, c, 40), (7, c, 41), (8, " " + c, 50), (9, b + " more", 60), (9, None, 70), (9, None, 71), (None, a, 80), (None, a, 81)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, near_id int")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(0, 0, True), (0, 0, True), (1, 1, True), (5, 1, False), (5, 5, True), (7, 7, True), (7, 7, True), (8, 7, False), (9, 5, False), (9, 9, True), (9, 9, True)]
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns
+    left = sorted(r.near_id for r in kept.collect())
+    assert left in ([10, 20, x, y, 80, 81] for x in (40, 41) for y in (70, 71))
+
+
+def test_similarity_of_weighted_sets():
+    rng = np.random.default_rng(4)
+    for weighted in (False, True):
+        for _ in range(20):
+            sets = []
+            for _ in range(2):
+                items = np.unique(rng.integers(1, 40, 25)).astype(np.uint64)
+                sets.append((items, rng.integers(1, 5, len(items)).astype(float) if weighted else None))
+            texts = [[k for k, n in zip(i.tolist(), w if w is not None else [1] * len(i), strict=True) for _ in range(int(n))] for i, w in sets]
+            assert abs(minhash.similarity(*sets) - alike(*texts)) < 1e-9
 
 
 def test_signatures_estimate_weighted_similarity():
