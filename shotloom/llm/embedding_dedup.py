@@ -3,17 +3,20 @@
 Unit vectors x, y of cosine c have squared distance 2 - 2c, which any orthogonal rotation keeps. If the rotated vectors
 are split into blocks, the blocks' squared distances sum to it, so one block at least has no more than its share, in
 proportion to its width. Each block is range-joined under that budget: a grid over the block's first coordinates brings
-those within reach together, every pair in one cell; inside, block distances beyond the budget drop out by one matrix
-product, and what is left is verified on the whole vectors in double precision. A pair counts in the first block that
-has it within budget, so the union over blocks needs no pass over pairs, and a task returns a row per vector: its number
-of links and the smallest vector that it reaches there.
+those within reach together, every pair in one cell; inside, vectors meet along a further coordinate within reach, block
+distances beyond the budget drop out by one matrix product, and what is left is verified on the whole vectors in double
+precision. A pair counts in the first block that has it within budget, so the union over blocks needs no pass over pairs,
+and a task returns a row per vector: its number of links and the smallest vector that it reaches there.
 
-Identical vectors are one row with a multiplicity before the join. Cells of more than ``CHUNK`` vectors are cut into
-chunks that meet pairwise, so a task holds two chunks at most.
+Every coordinate of the grid makes cells some 2.5 times smaller and doubles the copies of a vector; ``grid_for`` takes
+the number at which copies and comparisons together cost least, so that it grows with the table. Identical vectors are
+one row with a multiplicity before the join. Cells of more than ``CHUNK`` rows are cut into chunks that meet pairwise, so
+a task holds two chunks at most.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are kept;
-vectors of different lengths never link; a null ``vec_id`` takes no part in links and returns as its own row; repeated
-ids with other vectors are separate vectors of one id; other columns are ignored; an empty table gives no rows.
+vectors of different lengths never link; a null ``vec_id`` takes no part in links and returns as its own row; rows of one
+id with other vectors are vectors of their own that share an id, each with its own links; components of floats and of
+doubles are taken as they are; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ from .storage import staged
 THRESHOLD = 0.95
 BLOCK_WIDTH = 8
 CHUNK = 16_384
-TILE = 2048
+#: Rows of a tile that is compared at once, on either side.
+TILE = (512, 4096)
+#: Seconds that a copy of a vector costs, and a comparison within a cell, about.
+COPY_S, COMPARE_S = 4e-6, 3e-9
 _SLACK = 1e-6
 
 
@@ -41,6 +47,7 @@ def rotation(n: int, seed: int = 11) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -50,118 +57,147 @@ def budgets(n: int, threshold: float, width: int = BLOCK_WIDTH) -> tuple[list[sl
     return blocks, np.array([(2 - 2 * threshold) * (b.stop - b.start) / n for b in blocks])
 
 
+def grid_for(total: int) -> int:
+    """Coordinates of the grid: a vector has (2^g + 1) / 2 copies, and a cell's share of all vectors is 2.5^-g."""
+    cost = lambda g: (2**g + 1) / 2 * (COPY_S + COMPARE_S * total / 2.5**g)
+    return min(range(1, BLOCK_WIDTH + 1), key=cost)
+
+
 def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def _near(y: np.ndarray, members: np.ndarray, along: np.ndarray, reach: float, most: float):
+    """Pairs (member, any) of rows of y whose distance is within the budget, with some that are not, tile by tile."""
+    square = (y * y).sum(1, keepdims=True)
+    one = np.ones_like(square)
+    left, right = np.hstack([-2 * y, square, one]), np.hstack([y, one, square])
+    every, members = np.argsort(along, kind="stable"), members[np.argsort(along[members], kind="stable")]
+    place = along[every]
+    right = np.ascontiguousarray(right[every])
+    for i in range(0, len(members), TILE[0]):
+        some = members[i : i + TILE[0]]
+        own = left[some]
+        first, last = np.searchsorted(place, (along[some[0]] - reach, along[some[-1]] + reach), side="left") + (0, 1)
+        for j in range(first, min(last, len(every)), TILE[1]):
+            b = right[j : min(j + TILE[1], last)]
+            hit = np.flatnonzero((own @ b.T).reshape(-1) <= most)
+            if len(hit):
+                s, t = np.divmod(hit, len(b))
+                yield some[s], every[j + t]
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, grid: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """vectors (id, n, v: array<float>), distinct and valid, to rows (id, root, n_links); some ids in several rows."""
-    total = vectors.count()
-    # a normal coordinate has some 4 cells of use for each grid dimension: cells of the order of a chunk
-    grid = grid or int(np.clip(np.ceil(np.log(max(2, 4 * total / chunk)) / np.log(2.5)), 2, BLOCK_WIDTH))
+    """vectors (node, n, v: array), distinct and valid, to rows (node, root, n_links); some nodes in several rows."""
+    grid = grid or grid_for(vectors.count())
+    kind = vectors.schema["v"].dataType.simpleString()
+
+    def placed(batch):
+        """Per length of vectors: the rows of that length, and per row its place in them, cell, block and whether it is at home there."""
+        for size in set(batch.column("size").to_pylist()):
+            own = batch.filter(pc.equal(batch.column("size"), size))
+            x = _unit(_vectors(own.column("v"))) @ rotation(size)
+            blocks, most = budgets(size, threshold)
+            out = []
+            for k, (b, m) in enumerate(zip(blocks, most, strict=True)):
+                reach, g = np.sqrt(m) * (1 + _SLACK) + _SLACK, min(grid, b.stop - b.start)
+                y, width = x[:, b][:, :g], 2 * np.sqrt(m)
+                home, low, high = (np.floor(z / width).astype(np.int64) for z in (y, y - reach, y + reach))
+                for step in range(3**g):
+                    move = np.array([step // 3**j % 3 - 1 for j in range(g)])
+                    to = home + move
+                    # to cells that come later in the order of coordinates only: each pair meets once
+                    ahead = not move.any() or move[np.flatnonzero(move)[0]] > 0
+                    hit = np.flatnonzero(((to >= low) & (to <= high)).all(1)) if ahead else []
+                    if len(hit):
+                        key = np.full(len(hit), size * 64 + k, np.int64)
+                        for j in range(g):
+                            key = key * 1_000_003 + to[hit, j] + 500
+                        out.append((hit, key, np.full(len(hit), k, np.int32), np.full(len(hit), bool(move.any()))))
+            yield own, *(np.concatenate(z) for z in zip(*out, strict=True))
 
     def cells(batches):
         for batch in batches:
-            for size in set(batch.column("size").to_pylist()):
-                own = batch.filter(pc.equal(batch.column("size"), size))
-                x = _unit(_vectors(own.column("v")).astype(np.float64)) @ rotation(size)
-                blocks, most = budgets(size, threshold)
-                out = []
-                for k, (b, m) in enumerate(zip(blocks, most, strict=True)):
-                    reach, g = np.sqrt(m) * (1 + _SLACK) + _SLACK, min(grid, b.stop - b.start)
-                    y, width = x[:, b][:, :g], 2 * np.sqrt(m)
-                    home, low, high = (np.floor(z / width).astype(np.int64) for z in (y, y - reach, y + reach))
-                    for step in range(3**g):
-                        move = np.array([step // 3**j % 3 - 1 for j in range(g)])
-                        to = home + move
-                        # to cells that come later in the order of coordinates only: each pair meets once
-                        ahead = not move.any() or move[np.flatnonzero(move)[0]] > 0
-                        hit = np.flatnonzero(((to >= low) & (to <= high)).all(1)) if ahead else []
-                        if len(hit):
-                            key = np.full(len(hit), size * 64 + k, np.int64)
-                            for j in range(g):
-                                key = key * 1_000_003 + to[hit, j] + 500
-                            out.append((hit, key, np.full(len(hit), k, np.int32), np.full(len(hit), bool(move.any()))))
-                at, key, block, probe = (np.concatenate(z) for z in zip(*out, strict=True))
+            for own, at, key, block, probe in placed(batch):
                 rows = own.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(block), pa.array(probe), rows.column("id"), rows.column("n"), rows.column("v")], names=["cell", "block", "probe", "id", "n", "v"])
-
-    kept = vectors.select("id", "n", F.size("v").alias("size"), "v")
-    rows = kept.mapInArrow(cells, "cell long, block int, probe boolean, id long, n long, v array<float>")
-    sizes = kept.select("id", "n", "size", "v").mapInArrow(cells, "cell long, block int, probe boolean, id long, n long, v array<float>").groupBy("cell").count().where(F.col("count") > chunk)
-    # only cells beyond a chunk: at most rows / chunk of them
-    hot = {r["cell"]: -(-r["count"] // chunk) for r in sizes.toLocalIterator()}
-    if hot:
-        parts = rows.sparkSession.createDataFrame(list(hot.items()), "cell long, parts long")
-        rows = rows.join(F.broadcast(parts), "cell", "left").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.coalesce("parts", F.lit(1))))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))
-        rows = rows.select("*", other.alias("other")).select("cell", "block", "probe", "id", "n", "v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own")
-    else:
-        rows = rows.withColumn("p", F.lit(0).cast("long")).withColumn("q", F.lit(0).cast("long")).withColumn("own", F.lit(0).cast("long"))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(block), pa.array(probe), *rows.select(["node", "n", "v"]).columns], names=["cell", "block", "probe", "node", "n", "v"])
+
+    def sizes(batches):
+        for batch in batches:
+            for _, _, key, _, _ in placed(batch):
+                cell, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "size"])
+
+    kept = vectors.select("node", "n", F.size("v").alias("size"), "v")
+    # a row per cell beyond a chunk
+    parts = kept.mapInArrow(sizes, "cell long, size long").groupBy("cell").agg(F.ceil(F.sum("size") / chunk).alias("parts"))
+    parts = staged(parts.where("parts > 1"), "vector-cells")
+    rows = kept.mapInArrow(cells, f"cell long, block int, probe boolean, node long, n long, v {kind}").join(parts, "cell", "left")
+    rows = rows.withColumns({"parts": F.coalesce("parts", F.lit(1)), "own": F.pmod(F.xxhash64("node", F.lit(5)), F.coalesce("parts", F.lit(1)))})
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    rows = rows.select("*", other).select("cell", "block", "probe", "node", "n", "v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own")
 
     def join(table: pa.Table) -> pa.Table:
-        ids, weight = table.column("id").to_numpy(), table.column("n").to_numpy()
-        probe, own = table.column("probe").to_numpy(), table.column("own").to_numpy()
+        nodes = table.column("node").to_numpy()
+        order = np.argsort(nodes, kind="stable")  # smaller places are smaller nodes
+        weight, probe, own = (table.column(c).to_numpy()[order] for c in ("n", "probe", "own"))
+        nodes, x = nodes[order], _unit(_vectors(table.column("v")))[order]
         k, p, q = (table.column(c)[0].as_py() for c in ("block", "p", "q"))
-        x = _unit(_vectors(table.column("v")).astype(np.float64))
         blocks, most = budgets(x.shape[1], threshold)
         turn = rotation(x.shape[1])
         y = (x @ turn[:, blocks[k]]).astype(np.float32)
-        square = (y * y).sum(1)
-        count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        order = np.argsort(ids, kind="stable")  # smaller places are smaller ids
-        ids, weight, probe, own, x, y, square = (z[order] for z in (ids, weight, probe, own, x, y, square))
-        for i in range(0, len(ids), TILE):
-            a = slice(i, i + TILE)
-            for j in range(i, len(ids), TILE):
-                b = slice(j, j + TILE)
-                near = square[a][:, None] + square[b][None, :] - 2 * (y[a] @ y[b].T) <= most[k] + 1e-5
-                s, t = np.nonzero(near)
-                s, t = s + i, t + j
-                # a probe meets members only; chunks p and q meet each other, and themselves where p is q
-                ok = (s < t) & ~(probe[s] & probe[t]) & ((own[s] != own[t]) | (p == q))
-                s, t = s[ok], t[ok]
-                for at in range(0, len(s), 200_000):
-                    u, v = s[at : at + 200_000], t[at : at + 200_000]
-                    ok = np.einsum("ij,ij->i", x[u], x[v]) >= threshold
-                    u, v = u[ok], v[ok]
-                    d = ((x[u] - x[v]) @ turn) ** 2
-                    within = np.stack([d[:, z].sum(1) for z in blocks], 1) <= most * (1 + _SLACK) + 1e-12
-                    ok = within.argmax(1) == k
-                    u, v = u[ok], v[ok]
-                    count += np.bincount(u, weight[v], len(ids)).astype(np.int64) + np.bincount(v, weight[u], len(ids)).astype(np.int64)
-                    while len(u):
-                        low = np.minimum(root[u], root[v])
-                        apart = root[u] != root[v]
-                        if not apart.any():
-                            break
-                        for w in (root[u], root[v], u, v):
-                            np.minimum.at(root, w, low)
-                        u, v = u[apart], v[apart]
+        count, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        along = y[:, min(grid, y.shape[1] - 1)]
+        for s, t in _near(y, np.flatnonzero(~probe), along, np.sqrt(most[k]) + 1e-5, most[k] + 1e-5):
+            # two members meet once; chunks p and q meet each other, and themselves where p is q
+            ok = (probe[t] | (s < t)) & ((own[s] != own[t]) | (p == q))
+            s, t = s[ok], t[ok]
+            for at in range(0, len(s), 200_000):
+                u, v = s[at : at + 200_000], t[at : at + 200_000]
+                ok = np.einsum("ij,ij->i", x[u], x[v]) >= threshold
+                u, v = u[ok], v[ok]
+                d = ((x[u] - x[v]) @ turn) ** 2
+                within = np.stack([d[:, z].sum(1) for z in blocks], 1) <= most * (1 + _SLACK) + 1e-12
+                ok = within.argmax(1) == k
+                u, v = u[ok], v[ok]
+                if not len(u):
+                    continue
+                count += np.bincount(u, weight[v], len(nodes)).astype(np.int64) + np.bincount(v, weight[u], len(nodes)).astype(np.int64)
+                while len(u):
+                    low = np.minimum(root[u], root[v])
+                    apart = root[u] != root[v]
+                    if not apart.any():
+                        break
+                    for w in (root[u], root[v], u, v):
+                        np.minimum.at(root, w, low)
+                    u, v = u[apart], v[apart]
         while (nxt := root[root]).tolist() != root.tolist():
             root = nxt
         some = count > 0
-        return pa.table({"id": pa.array(ids[some]), "root": pa.array(ids[root[some]]), "n_links": pa.array(count[some])})
+        return pa.table({"node": pa.array(nodes[some]), "root": pa.array(nodes[root[some]]), "n_links": pa.array(count[some])})
 
-    return rows.groupBy("cell", "p", "q").applyInArrow(join, "id long, root long, n_links long")
+    return rows.groupBy("cell", "p", "q").applyInArrow(join, "node long, root long, n_links long")
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per vector: its id, ``n_links``, ``component_id`` and ``kept``."""
-    v = F.col(vector_col).cast("array<float>")
+    kind = "float" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    v = F.col(vector_col).cast(f"array<{kind}>")
     sound = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.when(sound & F.col(id_col).isNotNull(), F.transform(v, lambda x: x + F.lit(0).cast("float"))).alias("v"))
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.when(sound & F.col(id_col).isNotNull(), F.transform(v, lambda x: x + F.lit(0).cast(kind))).alias("v"))
     # vectors that are equal in all components share two 64-bit hashes
     keyed = rows.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(9), "v"))
     distinct = keyed.where("v IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
-    distinct = staged(distinct, "vectors")
+    distinct = staged(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     found = staged(links(distinct, threshold), "vector-links")
-    counts = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "vector-components")
-    known = distinct.select("k1", "k2", "id", "n").join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("k1", "k2", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
+    counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "vector-components")
+    known = distinct.select("k1", "k2", "node", "id", "n").join(counts, "node", "left").join(parts, "node", "left")
+    known = known.withColumn("component", F.coalesce("component", "node"))
+    least = known.groupBy("component").agg(F.min("id").alias("component_id"))
+    known = known.join(least, "component").select("k1", "k2", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
     # copies of one vector may be a third of all rows: the side with a row per vector meets them in parts that Spark splits
     out = keyed.select("vec_id", F.when(F.col("v").isNotNull(), F.col("k1")).alias("k1"), "k2").join(known, ["k1", "k2"], "left")
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -136,3 +136,12 @@ def test_embeddings(spark, chunk, monkeypatch):
         assert got[i].component_id == want[i] and got[i].kept == (want[i] == i)
     assert got[None].n_links == 0 and got[None].kept
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embeddings_of_one_id_and_doubles(spark):
+    """Rows of one id with other vectors don't merge; doubles beyond a float's range link."""
+    x, y, z = np.eye(8)[0] * 1e39, np.eye(8)[1] * 1e300, np.eye(8)[2]
+    rows = [(7, x), (7, y), (8, 2 * x), (9, 3 * y), (10, y / 7), (11, z), (11, z)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(7, 1, 7), (7, 2, 7), (8, 1, 7), (9, 2, 7), (10, 2, 7), (11, 1, 11), (11, 1, 11)]
