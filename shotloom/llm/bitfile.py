@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import new_dir, open_fs, write_whole
-from .tokens import encoder, tokenizer_path
+from .tokens import encoded, encoder, tokenizer_path
 
 MAGIC = b"SLBITS01"
 BLOCK = 65_536
@@ -160,7 +160,7 @@ def write_tokens(docs: DataFrame, target: str | None = None, tokenizer: str | No
 
         enc, shard = encoder(path), TaskContext.get().partitionId()
         writer = Writer(bits_for(max(enc.size, end_id + 1)))
-        ids = ((d, enc.ids(t) + end) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        ids = ((d, x.tobytes() + end) for b in batches for d, x in encoded(enc, b))
         first = next(ids, None)
         if first is None:
             return

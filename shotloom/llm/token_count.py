@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import new_dir, open_fs, staged, write_whole
-from .tokens import encoder, tokenizer_path
+from .tokens import encoded, encoder, tokenizer_path
 
 RANGE_BYTES = 8 << 20
 
@@ -52,8 +52,8 @@ def write_flat(docs: DataFrame, target: str | None = None, tokenizer: str | None
 
         def parts():
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    data = np.frombuffer(enc.ids(text), "<u4").astype(kind).tobytes() + last
+                for doc_id, ids in encoded(enc, batch):
+                    data = ids.astype(kind).tobytes() + last
                     doc_ids.append(doc_id)
                     ends.append(len(data))
                     yield data
