@@ -12,10 +12,9 @@ copies cost one row. Classes are the components of the links between nodes, foun
 buckets' members:
 
 1. In each bucket a hub, the member with most bucket mates, meets all others; a node's best hub by the signatures is
-   verified first.
+   verified first, its other hubs if they are in other components then.
 2. In buckets that still hold several components, members outside the largest one meet all members of other components
-   through one byte per register, inside tasks, in chunks; each hands in its best ``TRIES`` partners for verification.
-3. What is still in several components hands in all its partners of other components.
+   inside tasks, in chunks, without a row per pair; a pair is verified in the first bucket that it shares.
 
 Pairs whose signatures agree in fewer than ``least_agreement`` registers are not verified: at the threshold a pair is so
 far below its expectation once in some 10^11 pairs. No bucket is capped, and texts are never brought together: a scan
@@ -45,10 +44,8 @@ from .words import Words, batched, mix, shingle_hashes, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
-#: Members of a bucket that one task compares, by a byte per register, with as many others.
-CHUNK = 8192
-#: Partners that a member hands in for verification before it hands in all.
-TRIES = 8
+#: Members of a bucket, and bytes of their shingles, that one task compares with as many others.
+CHUNK, CHUNK_BYTES = 4096, 64 << 20
 #: Pairs that are verified beside one copy of their hub's shingles.
 HUB_PAIRS = 512
 _KEY = "k1 long, k2 long"
@@ -164,23 +161,30 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """rows (node, k1, k2, text) to (node, items, weights) where the text has that key: sorted shingle hashes as 64-bit and
-    their counts as 32-bit integers; weights are empty where all are one."""
+    """rows (node, k1, k2, text) to (node, size, items, weights) where the text has that key: sorted shingle hashes as
+    64-bit and their counts as 32-bit integers; weights are empty where all are one. A task returns a node once; others
+    may return it too, if rows are repeated."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             nodes, k1, k2 = (batch.column(c).to_numpy() for c in ("node", "k1", "k2"))
             for part, words in _texts(batch, "text"):
                 at, h1, h2 = text_keys(words)
                 same = (k1[part][at] == h1) & (k2[part][at] == h2)
+                for k, x in enumerate(nodes[part][at].tolist()):
+                    same[k] &= x not in seen
+                    if same[k]:
+                        seen.add(x)
                 doc, item, weight = weighted_sets(words)
                 ends = np.searchsorted(doc, at[same], side="right")
                 begun = np.searchsorted(doc, at[same])
                 items = [item[i:j].tobytes() for i, j in zip(begun, ends, strict=True)]
                 weights = [b"" if (w := weight[i:j]).max() == 1 else w.astype("<u4").tobytes() for i, j in zip(begun, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[part][at[same]]), pa.array(items, pa.binary()), pa.array(weights, pa.binary())], names=["node", "items", "weights"])
+                sizes = pa.array([len(x) + len(y) for x, y in zip(items, weights, strict=True)], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[part][at[same]]), sizes, pa.array(items, pa.binary()), pa.array(weights, pa.binary())], names=["node", "size", "items", "weights"])
 
-    return rows.select("node", "k1", "k2", "text").mapInArrow(run, "node long, items binary, weights binary")
+    return rows.select("node", "k1", "k2", "text").mapInArrow(run, "node long, size long, items binary, weights binary")
 
 
 Shingles = tuple[np.ndarray, np.ndarray | None]
@@ -220,8 +224,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     b's shingles go to the pair, a's to every ``HUB_PAIRS`` of its pairs, where they are read first.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("parts"))
-    heads = parts.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "items", "weights")
-    tails = pairs.join(parts, "a").join(sets.withColumnRenamed("node", "b"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b", "items", "weights")
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    tails = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    rows = heads.unionByName(tails).withColumn("node", F.coalesce("b", "a")).join(sets, "node").select("a", "part", "b", "items", "weights")
 
     def run(batches):
         at, head = None, None
@@ -236,7 +241,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
                     out[k] = similarity(head, own) >= threshold - 1e-12
             yield batch.select(["a", "b"]).filter(pa.array(out))
 
-    rows = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").isNotNull())
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").isNotNull())
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -258,41 +263,66 @@ def agreeing(pairs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, n int")
 
 
-def proposals(labelled: DataFrame, marks: DataFrame, least: int, chunk: int, tries: int | None) -> DataFrame:
-    """Pairs of unlike components that agree, from buckets that hold several: (bucket, node, label) to (a, b).
+def _reaching(head: Shingles, others: list[Shingles], threshold: float) -> np.ndarray:
+    """Which of the sets reach the threshold with the head's: those without weights all at once."""
+    out = np.zeros(len(others), bool)
+    even = [k for k, x in enumerate(others) if head[1] is None and x[1] is None]
+    if even:
+        size = np.array([len(others[k][0]) for k in even])
+        flat = np.concatenate([others[k][0] for k in even])
+        both = head[0][np.minimum(np.searchsorted(head[0], flat), len(head[0]) - 1)] == flat
+        n = np.add.reduceat(both, np.cumsum(size) - size, dtype=np.int64)
+        out[even] = n >= (threshold - 1e-12) * (size + len(head[0]) - n)
+    for k in set(range(len(others))).difference(even):
+        out[k] = similarity(head, others[k]) >= threshold - 1e-12
+    return out
+
 
-    Members outside the bucket's largest component meet all its members; each hands in its ``tries`` best partners, or
-    all. A bucket of more than ``chunk`` members is cut into chunks that meet each other.
+def leftovers(labelled: DataFrame, texts: DataFrame, sets: DataFrame, least: int, threshold: float, chunk: int) -> DataFrame:
+    """Links (a, b) between unlike components of buckets that hold several: labelled (bucket, node, label).
+
+    Members outside the bucket's largest component meet all its members. A bucket of more than ``chunk`` members, or more
+    than ``CHUNK_BYTES``, is cut into chunks that meet each other.
     """
-    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
-    major = major.select("bucket", "major", F.ceil(F.col("n") / chunk).alias("p"), F.ceil(F.col("minor") / chunk).alias("q"))
-    rows = labelled.join(major, "bucket").join(marks, "node")
+    rows = labelled.join(sets.select("node", "size").dropDuplicates(["node"]), "node")
+    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    major = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor"), F.sum("size").alias("size")).where("minor > 0")
+    cuts = F.ceil(F.col("size") / CHUNK_BYTES)
+    major = major.select("bucket", "major", F.greatest(F.ceil(F.col("n") / chunk), cuts).alias("p"), F.greatest(F.ceil(F.col("minor") / chunk), F.ceil(cuts * F.col("minor") / F.col("n"))).alias("q"))
+    rows = labelled.join(major, "bucket")
     rows = rows.withColumns({"side": F.col("label") != F.col("major"), "own_p": F.pmod(F.xxhash64("node", F.lit(3)), F.col("p")), "own_q": F.pmod(F.xxhash64("node", F.lit(4)), F.col("q"))})
     places = F.expr("""concat(
         transform(sequence(0L, q - 1), k -> struct(own_p AS p0, k AS q0, true AS member, side AND k = own_q AS head)),
         transform(filter(sequence(0L, p - 1), k -> side AND k <> own_p), k -> struct(k AS p0, own_q AS q0, false AS member, true AS head)))""")
-    dealt = rows.select("bucket", "node", "label", "marks", F.inline(places))
+    dealt = rows.select("bucket", "node", "label", F.inline(places)).join(texts.select("node", "buckets", "marks"), "node").join(sets.drop("size"), "node")
 
     def meet(table: pa.Table) -> pa.Table:
-        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
-        own = _marks(table.column("marks"))
+        bucket, node = table.column("bucket")[0].as_py(), table.column("node").to_numpy()
+        group = {x: x for x in table.column("label").to_pylist()}
+        label = np.array(table.column("label").to_pylist())
+        own, bands = _marks(table.column("marks")), np.array(table.column("buckets").to_pylist(), np.int64)
+        items = [_set(x, w) for x, w in zip(table.column("items").to_pylist(), table.column("weights").to_pylist(), strict=True)]
         members, heads = (np.flatnonzero(table.column(c).to_numpy()) for c in ("member", "head"))
-        a, b = [], []
-        step = max(1, (32 << 20) // max(1, len(members) * own.shape[1]))
-        for at in range(0, len(heads), step):
-            some = heads[at : at + step]
-            n = (own[some][:, None, :] == own[members][None, :, :]).sum(2, dtype=np.int32)
-            n[(label[some][:, None] == label[members][None, :]) | (n < least)] = -1
-            for i, row in zip(some, n, strict=True):
-                hit = np.flatnonzero(row >= 0)
-                if tries is not None and len(hit) > tries:
-                    hit = hit[np.argsort(-row[hit], kind="stable")[:tries]]
-                other = node[members[hit]]
-                a.append(np.maximum(node[i], other))
-                b.append(np.minimum(node[i], other))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+
+        def find(x):
+            while group[x] != x:
+                x = group[x]
+            return x
+
+        out = []
+        for i in heads.tolist():
+            n = (own[i] == own[members]).sum(1, dtype=np.int32)
+            some = members[(n >= least) & (label[members] != label[i])]
+            same = bands[i] == bands[some]
+            some = some[bands[i][same.argmax(1)] == bucket] if len(some) else some
+            for at in range(0, len(some), 256):
+                part = [j for j in some[at : at + 256].tolist() if find(label[j]) != find(label[i])]
+                hit = _reaching(items[i], [items[j] for j in part], threshold) if part else []
+                for j in (j for j, x in zip(part, hit, strict=True) if x):
+                    if find(label[j]) != find(label[i]):
+                        group[find(label[j])] = find(label[i])
+                        out.append((max(node[i], node[j]), min(node[i], node[j])))
+        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
 
     return dealt.groupBy("bucket", "p0", "q0").applyInArrow(meet, "a long, b long")
 
@@ -320,29 +350,20 @@ def _rows(docs: DataFrame, threshold: float, bands: int, rows: int, chunk: int)
     stars = staged(agreeing(stars, marks, least), "near-stars")
     # whole texts are read again for the nodes that have bucket mates only
     asked = shared.select("node").distinct().join(texts.select("node", "doc_id", "k1", "k2"), "node")
-    sets = staged(shingle_sets(base.join(asked, "doc_id")).dropDuplicates(["node"]), "near-sets")
+    sets = staged(shingle_sets(base.join(asked, "doc_id")), "near-sets")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    links = [staged(verified(best, sets, threshold), "near-links")]
-    parts = connected_components(links[0], "near-parts")
-    for tries in (TRIES, None):
-        labelled = shared.where("n > 2").join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-        pairs = proposals(labelled, marks, least, chunk, tries)
-        if tries:
-            pairs = pairs.unionByName(_unlike(stars.select("a", "b"), parts))
-        pairs = staged(pairs.distinct(), "near-pairs")
-        found = staged(verified(pairs, sets, threshold), "near-links")
-        free(pairs)
-        if found.isEmpty():
-            # nothing joined: the pairs that are left out by ``tries`` are still to be seen
-            if tries is None:
-                break
-            continue
-        links.append(found)
-        every = links[0]
-        for x in links[1:]:
-            every = every.unionByName(x)
-        last, parts = parts, connected_components(every, "near-parts")
-        free(last)
+    links = staged(verified(best, sets, threshold), "near-links")
+    parts = connected_components(links, "near-parts")
+    for rest in (True, False):
+        if rest:
+            found = verified(_unlike(stars.select("a", "b"), parts), sets, threshold)
+        else:  # a bucket of two is done by its hub
+            labelled = shared.where("n > 2").join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+            found = leftovers(labelled, texts, sets, least, threshold, chunk)
+        last = links, parts
+        links = staged(links.unionByName(found), "near-links")
+        parts = connected_components(links, "near-parts")
+        free(*last)
     own = texts.select("node", "doc_id", "k1", "k2")
     members = own.join(parts, "node")
     chosen = members.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("x")).select("component", F.col("x.doc_id").alias("class_id"), F.col("x.node").alias("stays"))
@@ -351,7 +372,7 @@ def _rows(docs: DataFrame, threshold: float, bands: int, rows: int, chunk: int)
     out = keyed.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"], "left")
     out = out.select("doc_id", "k1", "k2", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("stays") & (F.col("doc_id") == F.col("class_id")), F.lit(True)).alias("kept"))
     out = staged(out, "near-rows")
-    free(keyed, texts, shared, stars, sets, parts, *links)
+    free(keyed, texts, shared, stars, sets, parts, links)
     return out
 
 
