@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import new_dir, open_fs, write_whole
-from .tokens import encoded, encoder, tokenizer_path
+from .tokens import encoded, encoder, release, tokenizer_path
 
 MAGIC = b"SLBITS01"
 BLOCK = 65_536
@@ -158,6 +158,7 @@ def write_tokens(docs: DataFrame, target: str | None = None, tokenizer: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release()
         enc, shard = encoder(path), TaskContext.get().partitionId()
         writer = Writer(bits_for(max(enc.size, end_id + 1)))
         ids = ((d, x.tobytes() + end) for b in batches for d, x in encoded(enc, b))

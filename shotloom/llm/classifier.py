@@ -216,8 +216,10 @@ def score(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_all()
         for b in batches:
-            s = shared.value.scores([t.encode() for t in b.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(s, pa.float64())], names=["row", "score"])
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
+                s = shared.value.scores([t.encode() for t in some.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column(1), pa.array(s, pa.float64())], names=["row", "score"])
 
     out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
     return out.select("row.*", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

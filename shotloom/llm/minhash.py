@@ -166,6 +166,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     may return it too, if rows are repeated."""
 
     def run(batches):
+        forget_all()
         seen: set[int] = set()
         for batch in batches:
             nodes, k1, k2 = (batch.column(c).to_numpy() for c in ("node", "k1", "k2"))

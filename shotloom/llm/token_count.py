@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import new_dir, open_fs, staged, write_whole
-from .tokens import encoded, encoder, tokenizer_path
+from .tokens import encoded, encoder, release, tokenizer_path
 
 RANGE_BYTES = 8 << 20
 
@@ -47,6 +47,7 @@ def write_flat(docs: DataFrame, target: str | None = None, tokenizer: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release()
         enc, uri = encoder(path, as_text=True), posixpath.join(target, f"flat-{TaskContext.get().partitionId():06d}.bin")
         last, doc_ids, ends = np.array([end], kind).tobytes(), [], []
 

@@ -7,22 +7,26 @@ encoded by the tokenizers library's own model, so ids are the library's.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .words import batched, words_of
 
+_LIBC = ctypes.CDLL(None)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = r"[^\S\x1c-\x1f]"
 _CHUNK = re.compile(rf" ?[\S\x1c-\x1f]+|{_SPACE}+(?![\S\x1c-\x1f])|{_SPACE}+")
 #: Chunks that a worker remembers (about 150 bytes each); then it starts anew.
 CACHE_CHUNKS = 400_000
 #: Chunks in the table of arrays (about 50 bytes each), likewise.
-TABLE_CHUNKS = 1_000_000
+TABLE_CHUNKS = 600_000
 #: Where none of these is in a text, its white space is single spaces and line breaks between other characters.
 _ODD = tuple(x.encode() for x in ("  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x85\xa0\u1680\u205f\u3000")) + (b"\xe2\x80",)
 #: Printable ASCII and Latin letters whose NFC form is themselves and whose lower case is one character.
@@ -272,14 +276,26 @@ def encoder(path: str, as_text: bool = False) -> Encoder:
     return _encoders[-1]
 
 
-def encoded(enc: Encoder, batch, rows: int = 512):
-    """(id, token ids) of each row of a batch of (id, text), some rows at a time."""
-    for at in range(0, batch.num_rows, rows):
-        some = batch.slice(at, rows)
+def encoded(enc: Encoder, batch: pa.RecordBatch, most: int = 1 << 20):
+    """(id, token ids) of each row of a batch of (id, text), about ``most`` bytes of text at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        some = batch.slice(at, stop - at)
         yield from zip(some.column(0).to_pylist(), enc.many(some.column(1).to_pylist()), strict=True)
+        at = stop
 
 
 def forget_all() -> None:
     """Empty the caches of a worker whose tasks have gone on to another operator."""
     for enc in _encoders:
         enc.forget()
+    release()
+
+
+def release() -> None:
+    """Give memory that earlier tasks of a worker have freed back to the system, which its allocators would keep."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc has it, other C libraries don't
+        _LIBC.malloc_trim(0)
