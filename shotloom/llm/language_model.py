@@ -22,9 +22,10 @@ initial weights; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, to_blocks, unsqueeze
-from .bpe import _pack, _parts_of, _unpack
 from .storage import staged
+from .tokens import forget_all
+from .words import batched, words_of
 
 #: The least numbers of words' symbols and of a class's members, for small corpora.
 TOP, CLASS = 768, 24
@@ -57,8 +59,54 @@ def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+#: Bytes of text whose words are hashed together.
+PIECE = 1 << 20
+
+
+def _cut(text: bytes) -> Iterator[bytes]:
+    """Pieces of a text of about PIECE bytes, cut at white space."""
+    at = 0
+    while len(text) - at > PIECE:
+        stop = max(text.rfind(c, at + 1, at + PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
+        if stop < 0:
+            found = [k for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f") if (k := text.find(c, at + 1)) >= 0]
+            stop = min(found, default=len(text))
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all texts' words, ASCII letters lower-cased, and the number of each text's words."""
+    pieces, owner = [], []
+    for k, t in enumerate(texts):
+        data = (t or "").encode().lower()
+        for piece in _cut(data):
+            pieces.append(piece)
+            owner.append(k)
+    found, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for part in batched(pieces, PIECE):
+        words = words_of(pieces[part])
+        found.append(words.hash)
+        np.add.at(counts, owner[part.start : part.stop], words.counts())
+    return np.concatenate(found), counts
+
+
+def _distinct(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes by part of the word table and hash, and for each hash its place in them; also their parts."""
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
+    place = np.empty(len(hashes), np.int64)
+    place[order] = np.cumsum(new) - 1
+    own = ranked[new]
+    if n == 1:
+        return own, place, np.zeros(len(own), np.int64)
+    part = ((own >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rank = np.empty(len(own), np.int64)
+    rank[order] = np.arange(len(own))
+    return own[order], rank[place], part[order]
 
 
 def band(c: np.ndarray) -> np.ndarray:
@@ -96,7 +144,7 @@ class Table:
     tokens: int  # N, with ends
     distinct: int  # V, with the end
     ends: int
-    top: list[tuple[bytes, int]]
+    top: list[tuple[int, int]]  # the hash and count of each word that is a symbol
     band_words: np.ndarray  # words of each band that aren't in top
     band_tokens: np.ndarray  # the sum of their counts
 
@@ -114,46 +162,50 @@ def count_words(blocks: DataFrame, n: int, top: int = TOP) -> tuple[DataFrame, T
     """The blocks' words' counts, as rows (block, part, data), and the corpus's totals."""
 
     def ask(batches):
-        found: dict[int, Counter] = {}
+        forget_all()
+        found: dict[int, list] = {}
         for batch in batches:
             for block, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = found.setdefault(block, Counter())
-                for doc_id, text in unsqueeze(texts):
-                    words = words_of(text)
-                    if held_out(doc_id):
-                        own.update(dict.fromkeys(words, 0))
-                    else:
-                        own.update(words)
-        for block, own in found.items():
-            for part, words in _parts_of(own, n).items():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([_pack(words)], pa.binary()), pa.array([_squeezed(np.fromiter(map(own.__getitem__, words), np.int64, len(words)))], pa.binary())], names=["part", "block", "words", "counts"])
+                docs = list(unsqueeze(texts))
+                hashes, counts = word_hashes([t for _, t in docs])
+                own, place, _ = _distinct(hashes, 1)
+                learned = np.repeat(np.array([not held_out(d) for d, _ in docs], float), counts)
+                found.setdefault(block, []).append((own, np.bincount(place, learned, len(own)).astype(np.int64)))
+        for block, parts in found.items():
+            hashes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            own, place, part = _distinct(hashes, n)
+            counts = np.bincount(place, counts, len(own)).astype(np.int64)
+            ends = np.searchsorted(part, np.arange(n + 1))
+            for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+                i, j = ends[k], ends[k + 1]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([_squeezed(own[i:j].view(np.int64))], pa.binary()), pa.array([_squeezed(counts[i:j])], pa.binary())], names=["part", "block", "words", "counts"])
 
     def tell(rows: pa.Table) -> pa.Table:
-        total: Counter = Counter()
-        for words, counts in zip(rows.column("words"), rows.column("counts"), strict=True):
-            for w, c in zip(_unpack(words.as_py()), _counts(counts.as_py()).tolist(), strict=True):
-                total[w] += c
+        own = [_counts(x.as_py()).view(np.uint64) for x in rows.column("words")]
+        every, place, _ = _distinct(np.concatenate(own), 1)
+        total = np.bincount(place, np.concatenate([_counts(x.as_py()) for x in rows.column("counts")]), len(every)).astype(np.int64)
         out = {"block": [], "part": [], "word": [], "c": [], "data": []}
 
         def add(block, word, c, data):
             for k, v in zip(out, (block, rows.column("part")[0].as_py(), word, c, data), strict=True):
                 out[k].append(v)
 
-        for block, words in zip(rows.column("block").to_pylist(), rows.column("words"), strict=True):
-            own = _unpack(words.as_py())
-            add(block, None, None, _squeezed(np.fromiter(map(total.__getitem__, own), np.int64, len(own))))
-        for k, (w, c) in enumerate(sorted(((w, c) for w, c in total.items() if c), key=lambda x: (-x[1], x[0]))):
-            if k >= top and c < LEAST:
+        at = 0
+        for block, hashes in zip(rows.column("block").to_pylist(), own, strict=True):
+            add(block, None, None, _squeezed(total[place[at : at + len(hashes)]]))
+            at += len(hashes)
+        order = np.lexsort((every, -total))
+        for rank, k in enumerate(order.tolist()):
+            if not total[k] or (rank >= top and total[k] < LEAST):
                 break
-            add(None, w, c, None)
-        c = np.fromiter(total.values(), np.int64, len(total))
-        where = band(c)
-        for b in np.unique(where[c > 0]).tolist():
-            add(int(b), None, int((where == b).sum()), _squeezed(np.array([c[where == b].sum()])))
-        return pa.table(out, schema=pa.schema([("block", pa.int32()), ("part", pa.int32()), ("word", pa.binary()), ("c", pa.int64()), ("data", pa.binary())]))
+            add(None, int(every[k].view(np.int64)), int(total[k]), None)
+        where = band(total)
+        for b in np.unique(where[total > 0]).tolist():
+            add(int(b), None, int((where == b).sum()), _squeezed(np.array([total[where == b].sum()])))
+        return pa.table(out, schema=pa.schema([("block", pa.int32()), ("part", pa.int32()), ("word", pa.int64()), ("c", pa.int64()), ("data", pa.binary())]))
 
     asked = blocks.mapInArrow(ask, "part int, block int, words binary, counts binary").repartition(n, "part")
-    told = staged(asked.groupBy("part").applyInArrow(tell, "block int, part int, word binary, c long, data binary"), "lm-counts")
+    told = staged(asked.groupBy("part").applyInArrow(tell, "block int, part int, word long, c long, data binary"), "lm-counts")
     words, tokens = np.zeros(BANDS, np.int64), np.zeros(BANDS, np.int64)
     for r in told.where("c IS NOT NULL AND word IS NULL").toLocalIterator():  # some 30 rows of a few bytes for each partition of the table
         words[r["block"]] += r["c"]
@@ -163,7 +215,7 @@ def count_words(blocks: DataFrame, n: int, top: int = TOP) -> tuple[DataFrame, T
     rows = ranked.where(F.col("c") >= least_count(all_tokens)).collect()
     if len(rows) < top:
         rows = ranked.orderBy(F.desc("c"), "word").limit(top).collect()
-    best = sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    best = sorted(((r["word"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
     at = band(np.array([c for _, c in best], np.int64)) if best else np.zeros(0, np.int64)
     for (_, c), b in zip(best, at.tolist(), strict=True):
         words[b] -= 1
@@ -176,32 +228,38 @@ def to_symbols(blocks: DataFrame, answers: DataFrame, n: int, table: Table) -> D
     shared = blocks.sparkSession.sparkContext.broadcast(table)
 
     def place(texts: pa.Table, told: pa.Table) -> pa.Table:
+        forget_all()
         t = shared.value
         docs = [d for r in texts.column("texts").to_pylist() for d in unsqueeze(r)]
-        asked = _parts_of({w for _, text in docs for w in words_of(text)}, n)
-        known: dict[bytes, int] = {}
-        counts = [np.array([t.ends], np.int64)]
-        for part, data in zip(told.column("part").to_pylist(), told.column("data").to_pylist(), strict=True):
-            own = asked.pop(part)
-            known.update(zip(own, range(len(known) + 1, len(known) + 1 + len(own)), strict=True))
-            counts.append(_counts(data))
-        c = np.concatenate(counts)
+        hashes, counts = word_hashes([x for _, x in docs])
+        own, at, part = _distinct(hashes, n)
+        c = np.zeros(len(own) + 1, np.int64)
+        c[-1] = t.ends
+        for k, data in zip(told.column("part").to_pylist(), told.column("data").to_pylist(), strict=True):
+            c[np.searchsorted(part, k) : np.searchsorted(part, k, side="right")] = _counts(data)
         base = np.log10((c + 1) / (t.tokens + t.distinct + 1))
         where = band(c)
         symbol = np.where(c > 0, t.bands_at + where, t.bands_at + BANDS).astype("<u4")
         share = (t.band_words + t.band_tokens).astype(float)
         tail = np.where(c > 0, np.log10((c + 1) / np.maximum(share[where], 1)), 0.0)
-        symbol[0], tail[0] = t.bands_at + BANDS + 1, 0.0
-        for k, (w, _) in enumerate(t.top):
-            if w in known:
-                symbol[known[w]], tail[known[w]] = k, 0.0
-        rows = []
-        for doc_id, text in docs:
-            words = words_of(text)
-            at = np.zeros(len(words) + 1, np.int64)
-            at[:-1] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            rows.append((doc_id, held_out(doc_id), len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(tail[at].sum()), zstandard.compress(symbol[at].tobytes(), 1)))
-        columns = list(zip(*rows, strict=True)) or [()] * 7
+        symbol[-1], tail[-1] = t.bands_at + BANDS + 1, 0.0
+        if t.top:
+            best = np.array([w for w, _ in t.top], np.int64).view(np.uint64)
+            order = np.argsort(best)
+            found = np.minimum(np.searchsorted(best, own, sorter=order), len(best) - 1)
+            is_top = np.flatnonzero(best[order[found]] == own)
+            symbol[is_top], tail[is_top] = order[found[is_top]], 0.0
+        # every document's words, then its end
+        stops = np.cumsum(counts + 1)
+        places = np.full(int(stops[-1]) if len(stops) else 0, len(own))
+        inner = np.ones(len(places), bool)
+        inner[stops - 1] = False
+        places[inner] = at
+        starts = stops - counts - 1
+        sums = [np.add.reduceat(x[places], starts) if len(starts) else x[:0] for x in ((c > 0).astype(np.int64), base, tail)]
+        symbols = symbol[places]
+        data = [zstandard.compress(symbols[i:j].tobytes(), 1) for i, j in zip(starts.tolist(), stops.tolist(), strict=True)]
+        columns = [[d for d, _ in docs], [held_out(d) for d, _ in docs], counts + 1, *sums, data]
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
         return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCORED.split(", ")])
 
@@ -247,12 +305,21 @@ def initial(table: Table, seed: int = 5) -> Weights:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """Row softmax, in place."""
-    z -= z.max(1, keepdims=True)
+def _class_odds(s: np.ndarray, weights: np.ndarray, bias: np.ndarray, y: np.ndarray, every: np.ndarray, learn: bool):
+    """Row softmax of s @ weights + bias (unfinished unless learning), and the log-probability of y in each row.
+
+    Logits are kept below 80, where a float's exponential and the sum of thousands are finite, rather than shifted.
+    """
+    z = s @ weights
+    z += bias
+    np.minimum(z, 80, out=z)
+    own = z[every, y]
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    total = z @ np.ones(z.shape[1], z.dtype)
+    score = own - np.log(np.maximum(total, 1e-30))
+    if learn:
+        z *= (1 / np.maximum(total, 1e-30))[:, None]
+    return z, np.maximum(score, -69.0)
 
 
 def _add_rows(at: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -272,32 +339,37 @@ def window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray, kind:
     return score, out
 
 
-def sparse_window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray, kind: np.ndarray, learn: bool):
-    """One window of documents: natural log-likelihood per document, and gradients if learning; ``h`` moves on.
+def sparse_window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray, kind: np.ndarray, learn: bool, owner: np.ndarray | None = None, fresh: np.ndarray | None = None):
+    """One window of lanes of documents: natural log-likelihood per document, and gradients if learning; ``h`` moves on.
 
     Gradients are pairs of rows and their values, as a window meets few of the symbols and classes.
 
-    x: symbols by (step, document); documents come in falling order of their lengths in this window, so that those
-    alive at a step are the first ones and no step needs a mask.
+    x: symbols by (step, lane); lanes come in falling order of their lengths in this window, so that those alive at a step
+    are the first ones and no step needs a mask. ``owner`` is the document of each place (the lane unless given);
+    ``fresh`` says where a document begins, from the empty state.
     """
     steps, n = x.shape
     alive = (lengths[None] > np.arange(steps)[:, None]).sum(1)
-    gate = w["gate"][x]
-    np.negative(gate, out=gate)
-    np.exp(gate, out=gate)
-    gate += 1
-    np.reciprocal(gate, out=gate)
+    # a symbol's gate is worked out once for all its occurrences
+    some, at_symbol = np.unique(x, return_inverse=True) if learn else (slice(None), x)
+    opened = w["gate"][some] if learn else w.get("opened")
+    if opened is None or learn:
+        opened = 1 / (1 + np.exp(-(w["gate"] if opened is None else opened)))
+    gate = opened[at_symbol.reshape(x.shape)]
     new = w["new"][x]
     states = np.empty_like(new)
+    begins = fresh.any(1).tolist() if fresh is not None else [False] * steps
     for t, k in enumerate(alive.tolist()):
+        if begins[t]:
+            h[fresh[t]] = 0
         states[t] = h
         h[:k] += gate[t, :k] * (new[t, :k] - h[:k])
     # the symbol at t is foretold by the state before it
     at = np.flatnonzero((np.arange(n)[None] < alive[:, None]).reshape(-1))
     s, y = states.reshape(-1, HIDDEN)[at], x.reshape(-1)[at]
     c = kind[y]
-    p, every = _softmax(s @ w["out"] + w["out_b"]), np.arange(len(at))
-    score = np.log(np.maximum(p[every, c], 1e-30))
+    every = np.arange(len(at))
+    p, score = _class_odds(s, w["out"], w["out_b"], c, every, learn)
     grads, back = {}, None
     if learn:
         p[every, c] -= 1
@@ -311,8 +383,8 @@ def sparse_window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray,
     for at_met, g in enumerate(met.tolist()):
         own = order[ends[g] : ends[g + 1]]
         state, k, each = s[own], y[own] - g * size, every[: ends[g + 1] - ends[g]]
-        q = _softmax(state @ w["in"][g] + w["in_b"][g])
-        score[own] += np.log(np.maximum(q[each, k], 1e-30))
+        q, inside = _class_odds(state, w["in"][g], w["in_b"][g], k, each, learn)
+        score[own] += inside
         if learn:
             q[each, k] -= 1
             inner[0][at_met], inner[1][at_met] = state.T @ q, q.sum(0)
@@ -322,7 +394,8 @@ def sparse_window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray,
         foretold = np.zeros((steps * n, HIDDEN), new.dtype)
         foretold[at] = back
         foretold = foretold.reshape(steps, n, HIDDEN)
-        d_gate, d_new, carry = np.zeros_like(gate), np.zeros_like(new), np.zeros((n, HIDDEN), new.dtype)
+        both, carry = np.zeros((steps, n, 2 * HIDDEN), new.dtype), np.zeros((n, HIDDEN), new.dtype)
+        d_gate, d_new = both[:, :, :HIDDEN], both[:, :, HIDDEN:]
         for t in range(steps - 1, -1, -1):
             k = int(alive[t])
             moved = carry[:k] * gate[t, :k]
@@ -330,35 +403,49 @@ def sparse_window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray,
             d_gate[t, :k] = moved * (new[t, :k] - states[t, :k]) * (1 - gate[t, :k])
             carry[:k] -= moved
             carry += foretold[t]
-        rows, d_gate, d_new = _add_rows(x.reshape(-1), d_gate.reshape(-1, HIDDEN), d_new.reshape(-1, HIDDEN))
-        grads["gate"], grads["new"] = (rows, d_gate), (rows, d_new)
-    return np.bincount(at % n, score, n), grads
+            if begins[t]:
+                carry[fresh[t]] = 0
+        rows, both = _add_rows(x.reshape(-1), both.reshape(-1, 2 * HIDDEN))
+        grads["gate"], grads["new"] = (rows, both[:, :HIDDEN]), (rows, both[:, HIDDEN:])
+    return np.bincount(at % n if owner is None else owner.reshape(-1)[at], score, n if owner is None else 0), grads
 
 
 def run_documents(w: Weights, docs: list[np.ndarray], learn: bool, state: dict | None = None) -> np.ndarray:
     """Natural log-likelihood of each document; when learning, ``w`` moves by Adagrad after every window."""
+    if not learn:
+        w = w | {"opened": 1 / (1 + np.exp(-w["gate"]))}
     out, kind = np.zeros(len(docs)), class_of((w["in"].shape[0], w["in"].shape[2]))
-    length = np.array([len(d) for d in docs])
-    order = np.argsort(-length, kind="stable")
-    for at in range(0, len(docs), BATCH):
-        own = order[at : at + BATCH]
-        h = np.zeros((len(own), HIDDEN), np.float32)
-        for start in range(0, int(length[own].max(initial=0)), WINDOW):
-            own = own[length[own] > start]
-            h = h[: len(own)]
-            steps = int(min(WINDOW, length[own].max() - start))
-            x, lengths = np.zeros((len(own), steps), np.int64), np.minimum(length[own] - start, steps)
-            for k, d in enumerate(own):
-                x[k, : lengths[k]] = docs[d][start : start + steps]
-            score, grads = sparse_window(w, np.ascontiguousarray(x.T), lengths, h, kind, learn)
-            out[own] += score
-            for k, (rows, g) in grads.items():
-                if k not in state:
-                    state[k] = np.full_like(w[k], START if isinstance(rows, slice) else START_SPARSE)
-                g = g * np.float32(1 / np.sqrt(lengths.sum()))
-                squares = state[k][rows] + g * g
-                state[k][rows] = squares
-                w[k][rows] -= np.float32(RATE) * g / np.sqrt(squares)
+    # documents are dealt to lanes, the longest first to the shortest lane, so that windows are full
+    heap, lanes = [(0, k) for k in range(min(BATCH, len(docs)))], [[] for _ in range(min(BATCH, len(docs)))]
+    for d in np.argsort([-len(d) for d in docs], kind="stable").tolist():
+        size, k = heap[0]
+        lanes[k].append(d)
+        heapq.heapreplace(heap, (size + len(docs[d]), k))
+    lanes.sort(key=lambda own: -sum(len(docs[d]) for d in own))
+    streams = [np.concatenate([docs[d] for d in own]) for own in lanes]
+    owners = [np.repeat(own, [len(docs[d]) for d in own]) for own in lanes]
+    total = np.array([len(x) for x in streams], np.int64)
+    h = np.zeros((len(lanes), HIDDEN), np.float32)
+    for start in range(0, int(total.max(initial=0)), WINDOW):
+        n = int((total > start).sum())
+        h = h[:n]
+        steps = int(min(WINDOW, total[0] - start))
+        x, owner, lengths = np.zeros((n, steps), np.int64), np.full((n, steps), -1), np.minimum(total[:n] - start, steps)
+        fresh = np.zeros((n, steps), bool)
+        for k in range(n):
+            x[k, : lengths[k]] = streams[k][start : start + steps]
+            own = owners[k][max(0, start - 1) : start + steps]
+            owner[k, : lengths[k]] = own[min(1, start) :]
+            fresh[k, int(start == 0) : lengths[k]] = own[1:] != own[:-1]
+        score, grads = sparse_window(w, np.ascontiguousarray(x.T), lengths, h, kind, learn, np.ascontiguousarray(owner.T), np.ascontiguousarray(fresh.T))
+        out[: len(score)] += score
+        for k, (rows, g) in grads.items():
+            if k not in state:
+                state[k] = np.full_like(w[k], START if isinstance(rows, slice) else START_SPARSE)
+            g = g * np.float32(1 / np.sqrt(lengths.sum()))
+            squares = state[k][rows] + g * g
+            state[k][rows] = squares
+            w[k][rows] -= np.float32(RATE) * g / np.sqrt(squares)
     return out
 
 

@@ -87,7 +87,7 @@ def test_language_model(spark, odd, empty):
     rows = [(k, prose(k, 30 + k % 50)) for k in range(200)] + [(r.doc_id, r.text) for r in odd.collect() if r.doc_id is None]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double").repartition(2)
     got = language_model.score_documents(df).collect()
-    tokens = {i: [*language_model.words_of(t), None] for i, t in rows}
+    tokens = {i: [*(t or '').encode().lower().split(), None] for i, t in rows}
     count = Counter(x for i, t in tokens.items() if not language_model.held_out(i) for x in t)
     n, v = sum(count.values()), len(count)
     for r in got:
@@ -100,6 +100,37 @@ def test_language_model(spark, odd, empty):
     assert language_model.score_documents(empty).count() == 0
 
 
+def test_scores_are_those_of_single_steps():
+    """Lanes, windows and classes against the model's definition, token by token."""
+    rng = np.random.default_rng(1)
+    t = language_model.Table(100, 5, 10, [(1, 50), (2, 20)], np.ones(language_model.BANDS, int), np.ones(language_model.BANDS, int))
+    w, kind = language_model.initial(t), language_model.class_of()
+    for k in w:
+        w[k] = w[k] + rng.normal(0, 0.2, w[k].shape).astype(np.float32)
+    docs = [rng.integers(0, language_model.SYMBOLS, n) for n in [1, 2, 5, 130, 49, 48, 47, *rng.integers(1, 90, 220)]]
+    got = language_model.run_documents(w, docs, False)
+    size = w["in"].shape[2]
+    for d, score in zip(docs, got, strict=True):
+        h, want = np.zeros(language_model.HIDDEN), 0.0
+        for y in d.tolist():
+            z = h @ w["out"] + w["out_b"]
+            want += z[kind[y]] - np.log(np.exp(z).sum())
+            if kind[y] < len(w["in"]):
+                z = h @ w["in"][kind[y]] + w["in_b"][kind[y]]
+                want += z[y - kind[y] * size] - np.log(np.exp(z).sum())
+            h = h + (w["new"][y] - h) / (1 + np.exp(-w["gate"][y]))
+        assert score == pytest.approx(want, rel=1e-3)
+
+
+def test_words_of_long_texts_are_cut_at_white_space(monkeypatch):
+    texts = ["Ab cD  e", None, "", "x" * 50, "\t".join(prose(k, 9) for k in range(9)), " " * 40]
+    whole, counts = language_model.word_hashes(texts)
+    monkeypatch.setattr(language_model, "PIECE", 7)
+    assert counts.tolist() == [len((t or "").split()) for t in texts]
+    again, same = language_model.word_hashes(texts)
+    assert (again == whole).all() and (same == counts).all()
+
+
 def test_symbols_are_a_distribution():
     t = language_model.Table(100, 5, 10, [(b"a", 50), (b"b", 20)], np.zeros(language_model.BANDS, int), np.zeros(language_model.BANDS, int))
     w, kind = language_model.initial(t), language_model.class_of()
@@ -117,7 +148,7 @@ def test_vocabulary_grows_with_the_corpus(spark):
     rows = [(k, " ".join(words)) for k in range(60)]
     n = sum(not language_model.held_out(k) for k, _ in rows)
     _, t = language_model.count_words(*language_model.to_blocks(spark.createDataFrame(rows, "doc_id long, text string"), language_model.BLOCK_BYTES))
-    assert n >= language_model.least_count(n * 1500) and sorted(w for w, _ in t.top) == sorted(map(str.encode, words))
+    assert n >= language_model.least_count(n * 1500) and sorted(w for w, _ in t.top) == sorted(language_model.word_hashes(words)[0].view(np.int64).tolist())
     w, kind = language_model.initial(t), language_model.class_of(t.shape)
     x, h = np.stack([np.zeros(len(kind), int), np.arange(len(kind))]), lambda: np.zeros((len(kind), language_model.HIDDEN), np.float32)
     score, grads = language_model.window(w, x, np.full(len(kind), 2), h(), kind, True)
