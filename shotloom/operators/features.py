@@ -22,7 +22,7 @@ def orphans(shots: DataFrame, matches: DataFrame) -> DataFrame:
 
 def build_shot_features(shots: DataFrame, matches: DataFrame, *, include_shootouts: bool = False) -> DataFrame:
     """Exactly DATASET_COLUMNS; geometry only where the location is valid, raw coordinates untouched."""
-    context = matches.select("match_id", "competition_id", "season_id", "match_date", "stage", "shot_fidelity_version", "xy_fidelity_version")
+    context = matches.select("match_id", "competition_id", "season_id", "match_date", "stage", "shot_fidelity_version")
     if not matches.groupBy("match_id").count().where("count > 1").isEmpty():
         raise DatasetError("matches has repeated match_id")
     if not orphans(shots, context).isEmpty():
@@ -36,6 +36,7 @@ def build_shot_features(shots: DataFrame, matches: DataFrame, *, include_shootou
             "shot_distance": F.when(valid, shot_distance(F.col("x"), F.col("y"))),
             "shot_angle": F.when(valid, shot_angle(F.col("x"), F.col("y"))),
             "high_fidelity_coordinates": F.col("shot_fidelity_version").isNotNull(),
+            "has_valid_location": valid,
         }
     )
     return df.select(*DATASET_COLUMNS)

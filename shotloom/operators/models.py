@@ -130,7 +130,8 @@ def save_artifact(fitted: Fitted, name: str, root: str, test: DataFrame, metadat
         raise ValueError("an artifact's name is a bare path segment")
     spark = test.sparkSession
     fitted.model.write().overwrite().save(f"{root}/{name}/model")
-    found = metrics(predict(fitted.model, test), "goal", "probability").first().asDict()
+    # the metrics of what was saved, not of the fitted object with its training summary
+    found = metrics(predict(PipelineModel.load(f"{root}/{name}/model"), test), "goal", "probability").first().asDict()
     for file, content in (("metrics.json", found), ("metadata.json", metadata | {"features": fitted.names})):
         spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}/{file}")
 

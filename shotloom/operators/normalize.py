@@ -20,11 +20,21 @@ def flag(name: str) -> Column:
 
 
 def deduplicate(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key in the given order."""
+    """The first row of each key in the given order, which should be total."""
     first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
+def in_file_order(raw: DataFrame, key: str) -> DataFrame:
+    """The first raw record of each key: by file, then by its place in the file's array.
+
+    A file is read whole by one task, in order, so rows are numbered as they come.
+    """
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place"))
+    first = F.row_number().over(Window.partitionBy(key).orderBy("_file", "_place"))
+    return placed.withColumn("_n", first).where("_n = 1").drop("_n", "_file", "_place")
+
+
 def normalize_matches(raw: DataFrame) -> DataFrame:
     return apply_schema(
         raw.select(
@@ -91,7 +101,7 @@ def normalize_shots(raw: DataFrame) -> DataFrame:
     return apply_schema(
         s.select(
             *_common(),
-            *[F.col(f"{c}.id").alias(f"{c}_id") for c in ("team", "player")],
+            *[require(f"{c}.id").alias(f"{c}_id") for c in ("team", "player")],
             *[F.col(f"{c}.name").alias(c) for c in ("team", "player", "position", "play_pattern")],
             F.get("location", F.lit(0)).alias("x"),
             F.get("location", F.lit(1)).alias("y"),
@@ -137,10 +147,11 @@ def build_players(listings: DataFrame) -> DataFrame:
 
 
 def build_tables(matches: DataFrame, events: DataFrame, lineups: DataFrame) -> dict[str, DataFrame]:
-    """The four processed tables from raw records; duplicates keep their first row."""
+    """The four processed tables from raw records as they are read; repeated ids keep the first record of the files."""
+    once = in_file_order(events, "id")
     return {
-        "matches": deduplicate(normalize_matches(matches), PRIMARY_KEY["matches"], "match_date"),
-        "events": deduplicate(normalize_events(events), PRIMARY_KEY["events"], "match_id", "index"),
-        "shots": deduplicate(normalize_shots(events), PRIMARY_KEY["shots"], "match_id", "index"),
+        "matches": normalize_matches(in_file_order(matches, PRIMARY_KEY["matches"])),
+        "events": normalize_events(once),
+        "shots": normalize_shots(once),
         "players": build_players(squad_listings(lineups)),
     }

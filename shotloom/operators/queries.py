@@ -34,15 +34,15 @@ def match_counts_by_competition(matches: DataFrame) -> DataFrame:
 
 
 def shots_by_player(shots: DataFrame, players: DataFrame, *, min_shots: int = 1, limit: int | None = None, include_shootouts: bool = False) -> DataFrame:
-    own = in_play(shots, include_shootouts).groupBy("player_id").agg(F.count("*").alias("shots"), decimal_round(F.avg("statsbomb_xg"), 4).alias("mean_xg")).where(F.col("shots") >= min_shots)
+    own = in_play(shots, include_shootouts).groupBy("player_id").agg(F.count("*").alias("shots"), decimal_round(F.avg("statsbomb_xg"), 4).alias("mean_statsbomb_xg")).where(F.col("shots") >= min_shots)
     rows = own.join(players.select("player_id", "display_name", "team"), "player_id")
-    return _top(rows.select("player_id", F.col("display_name").alias("player"), "team", "shots", "mean_xg"), limit, F.desc("shots"), F.asc("player"), F.asc("player_id"))
+    return _top(rows.select("player_id", F.col("display_name").alias("player"), "team", "shots", "mean_statsbomb_xg"), limit, F.desc("shots"), F.asc("player"), F.asc("player_id"))
 
 
 def goals_by_player(shots: DataFrame, players: DataFrame, *, limit: int | None = None, include_shootouts: bool = False) -> DataFrame:
     own = in_play(shots, include_shootouts).groupBy("player_id").agg(F.count_if("is_goal").alias("goals"), F.count("*").alias("shots")).where("goals > 0")
     rows = own.join(players.select("player_id", "display_name", "team"), "player_id")
-    rows = rows.select("player_id", F.col("display_name").alias("player"), "team", "goals", "shots", decimal_round(F.try_divide("goals", "shots"), 4).alias("conversion"))
+    rows = rows.select("player_id", F.col("display_name").alias("player"), "team", "goals", "shots")
     return _top(rows, limit, F.desc("goals"), F.asc("shots"), F.asc("player"), F.asc("player_id"))
 
 
@@ -55,22 +55,22 @@ def appearances(matches: DataFrame) -> DataFrame:
 def shots_by_team(shots: DataFrame, matches: DataFrame, *, include_shootouts: bool = False) -> DataFrame:
     """The denominator of shots per match is the matches that a team played, with or without a shot."""
     played = appearances(matches).groupBy("team").agg(F.countDistinct("match_id").alias("matches"))
-    own = in_play(shots, include_shootouts).groupBy("team").agg(F.count("*").alias("shots"), F.count_if("is_goal").alias("goals"), decimal_round(F.sum("statsbomb_xg"), 2).alias("xg"))
-    rows = own.join(played, "team").select("team", "matches", "shots", "goals", "xg", decimal_round(F.try_divide("shots", "matches"), 2).alias("shots_per_match"))
+    own = in_play(shots, include_shootouts).groupBy("team").agg(F.count("*").alias("shots"), F.count_if("is_goal").alias("goals"), decimal_round(F.sum("statsbomb_xg"), 2).alias("statsbomb_xg"))
+    rows = own.join(played, "team").select("team", "matches", "shots", "goals", "statsbomb_xg", decimal_round(F.try_divide("shots", "matches"), 2).alias("shots_per_match"))
     return rows.orderBy(F.desc("shots"), "team")
 
 
 def player_conversion_rates(shots: DataFrame, players: DataFrame, *, min_shots: int = 0, include_shootouts: bool = False) -> DataFrame:
     """All players; without a shot the rate is null, not zero. Shots are counted per player before the join."""
-    own = in_play(shots, include_shootouts).groupBy("player_id").agg(F.count("event_id").alias("shots"), F.count_if("is_goal").alias("goals"))
-    rows = players.join(own, "player_id", "left").select("player_id", F.col("display_name").alias("player"), "team", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("shots", "goals")])
-    rows = rows.where(F.col("shots") >= min_shots).withColumn("conversion", decimal_round(F.try_divide("goals", "shots"), 4))
+    own = in_play(shots, include_shootouts).groupBy("player_id").agg(F.count("event_id").alias("shots"), F.count_if("is_goal").alias("goals"), decimal_round(F.sum("statsbomb_xg"), 3).alias("statsbomb_xg"))
+    rows = players.join(own, "player_id", "left").select("player_id", F.col("display_name").alias("player"), "team", "squad_listings", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("shots", "goals")], "statsbomb_xg")
+    rows = rows.where(F.col("shots") >= min_shots).withColumn("conversion_rate", decimal_round(F.try_divide("goals", "shots"), 4))
     return rows.orderBy(F.desc("goals"), F.desc("shots"), "player", "player_id")
 
 
 def team_conversion_rates(shots: DataFrame, *, include_shootouts: bool = False) -> DataFrame:
     rows = in_play(shots, include_shootouts).groupBy("team").agg(F.count("*").alias("shots"), F.count_if("is_goal").alias("goals"))
-    return rows.withColumn("conversion", decimal_round(F.try_divide("goals", "shots"), 4)).orderBy(F.desc_nulls_last("conversion"), F.desc("shots"), "team")
+    return rows.withColumn("conversion_rate", decimal_round(F.try_divide("goals", "shots"), 4)).orderBy(F.desc_nulls_last("conversion_rate"), F.desc("shots"), "team")
 
 
 def dataset_summary(matches: DataFrame, players: DataFrame, shots: DataFrame) -> DataFrame:

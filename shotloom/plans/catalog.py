@@ -45,7 +45,7 @@ def match_counts(t):
     return m.withColumns({c: F.col(c).cast("string") for c in ("first_match", "last_match")})
 
 
-_SHOTS_BY_PLAYER = f"SELECT player_id, display_name AS player, p.team, count(*) AS shots, {DR.format('avg(statsbomb_xg)', 4)} AS mean_xg FROM shots s JOIN players p USING (player_id) WHERE {{}} GROUP BY ALL {{}}"
+_SHOTS_BY_PLAYER = f"SELECT player_id, display_name AS player, p.team, count(*) AS shots, {DR.format('avg(statsbomb_xg)', 4)} AS mean_statsbomb_xg FROM shots s JOIN players p USING (player_id) WHERE {{}} GROUP BY ALL {{}}"
 
 
 @query(_SHOTS_BY_PLAYER.format("NOT is_shootout", ""))
@@ -68,7 +68,7 @@ def shots_by_player_incl(t):
     return queries.shots_by_player(t("shots"), t("players"), include_shootouts=True)
 
 
-_GOALS = f"SELECT player_id, display_name AS player, p.team, count(*) FILTER (WHERE is_goal) AS goals, count(*) AS shots, {DR.format('count(*) FILTER (WHERE is_goal) / count(*)', 4)} AS conversion FROM shots s JOIN players p USING (player_id) WHERE {{}} GROUP BY ALL HAVING goals > 0"
+_GOALS = f"SELECT player_id, display_name AS player, p.team, count(*) FILTER (WHERE is_goal) AS goals, count(*) AS shots FROM shots s JOIN players p USING (player_id) WHERE {{}} GROUP BY ALL HAVING goals > 0"
 
 
 @query(_GOALS.format("NOT is_shootout"))
@@ -83,19 +83,19 @@ def goals_by_player_incl(t):
 
 @query(
     f"WITH app AS (SELECT home_team AS team, match_id FROM matches UNION ALL SELECT away_team, match_id FROM matches), played AS (SELECT team, count(DISTINCT match_id) AS matches FROM app GROUP BY team), "
-    f"own AS (SELECT team, count(*) AS shots, count(*) FILTER (WHERE is_goal) AS goals, {DR.format('sum(statsbomb_xg)', 2)} AS xg FROM shots WHERE NOT is_shootout GROUP BY team) "
-    f"SELECT team, played.matches, shots, goals, xg, {DR.format('shots / played.matches', 2)} AS shots_per_match FROM own JOIN played USING (team)"
+    f"own AS (SELECT team, count(*) AS shots, count(*) FILTER (WHERE is_goal) AS goals, {DR.format('sum(statsbomb_xg)', 2)} AS statsbomb_xg FROM shots WHERE NOT is_shootout GROUP BY team) "
+    f"SELECT team, played.matches, shots, goals, statsbomb_xg, {DR.format('shots / played.matches', 2)} AS shots_per_match FROM own JOIN played USING (team)"
 )
 def shots_by_team(t):
     return queries.shots_by_team(t("shots"), t("matches"))
 
 
-@query(f"SELECT p.player_id, display_name AS player, p.team, count(s.event_id) AS shots, count(*) FILTER (WHERE s.is_goal) AS goals, {DR.format('count(*) FILTER (WHERE s.is_goal) / nullif(count(s.event_id), 0)', 4)} AS conversion FROM players p LEFT JOIN shots s ON p.player_id = s.player_id AND NOT s.is_shootout GROUP BY ALL")
+@query(f"SELECT p.player_id, display_name AS player, p.team, p.squad_listings, {DR.format('sum(s.statsbomb_xg)', 3)} AS statsbomb_xg, count(s.event_id) AS shots, count(*) FILTER (WHERE s.is_goal) AS goals, {DR.format('count(*) FILTER (WHERE s.is_goal) / nullif(count(s.event_id), 0)', 4)} AS conversion_rate FROM players p LEFT JOIN shots s ON p.player_id = s.player_id AND NOT s.is_shootout GROUP BY ALL")
 def player_conversion(t):
     return queries.player_conversion_rates(t("shots"), t("players"))
 
 
-@query(f"SELECT team, count(*) AS shots, count(*) FILTER (WHERE is_goal) AS goals, {DR.format('count(*) FILTER (WHERE is_goal) / count(*)', 4)} AS conversion FROM shots WHERE NOT is_shootout GROUP BY team")
+@query(f"SELECT team, count(*) AS shots, count(*) FILTER (WHERE is_goal) AS goals, {DR.format('count(*) FILTER (WHERE is_goal) / count(*)', 4)} AS conversion_rate FROM shots WHERE NOT is_shootout GROUP BY team")
 def team_conversion(t):
     return queries.team_conversion_rates(t("shots"))
 
@@ -198,7 +198,7 @@ def valid_location(t):
 
 
 def _dataset(t) -> DataFrame:
-    shots = t("shots").withColumns({c: F.lit(None).cast("string") for c in ("play_pattern", "position")} | {c: F.lit(False) for c in ("open_goal", "deflected", "aerial_won", "follows_dribble", "redirect")} | {"second": F.lit(0)}).drop("stage", "season_id")
+    shots = t("shots").withColumns({c: F.lit(None).cast("string") for c in ("play_pattern", "position")} | {c: F.lit(False) for c in ("open_goal", "deflected", "aerial_won", "follows_dribble", "redirect")} | {"second": F.lit(0)}).drop("stage", "season_id").withColumn("has_freeze_frame", F.col("under_pressure"))
     return features.build_shot_features(shots, t("matches"))
 
 
@@ -207,6 +207,19 @@ def shot_features(t):
     return _dataset(t).select("shot_id", "match_id", "competition_id", "season_id", "x", "y", F.round("shot_distance", R).alias("shot_distance"), F.round("shot_angle", R).alias("shot_angle"), "high_fidelity_coordinates", "goal")
 
 
+_FLAGS = ("open_goal", "deflected", "aerial_won", "follows_dribble", "redirect")
+
+
+@query(
+    f"SELECT event_id AS shot_id, s.match_id, m.competition_id, m.season_id, s.team_id, s.player_id, s.player, s.team, m.match_date::VARCHAR AS match_date, m.stage, 0 AS second, "
+    f"CASE WHEN {_VALID} THEN round({_GEO}, 6) END AS shot_distance, CASE WHEN {_VALID} THEN round({_ANGLE}, 6) END AS shot_angle, s.x, s.y, minute, period, shot_type, body_part, technique, NULL::VARCHAR AS play_pattern, NULL::VARCHAR AS position, "
+    f"under_pressure, first_time, one_on_one, {', '.join(f'FALSE AS {c}' for c in _FLAGS)}, under_pressure AS has_freeze_frame, shot_fidelity_version IS NOT NULL AS high_fidelity_coordinates, coalesce({_VALID}, FALSE) AS has_valid_location, s.statsbomb_xg, is_goal AS goal "
+    "FROM shots s JOIN matches m ON s.match_id = m.match_id WHERE NOT is_shootout"
+)
+def shot_dataset(t):
+    return _dataset(t).withColumns({c: F.round(c, R) for c in ("shot_distance", "shot_angle")} | {"match_date": F.col("match_date").cast("string")})
+
+
 @query(
     f"WITH d AS (SELECT *, {_VALID} AS v, CASE WHEN {_VALID} THEN {_GEO} END AS dist, CASE WHEN {_VALID} THEN degrees({_ANGLE}) END AS ang FROM shots WHERE NOT is_shootout) "
     "SELECT count(*) AS shots, count(*) FILTER (WHERE is_goal) AS goals, round(avg(is_goal::INT), 6) AS goal_rate, round(min(dist), 6) AS min_distance, round(avg(dist), 6) AS mean_distance, round(max(dist), 6) AS max_distance, round(min(ang), 6) AS min_angle, round(avg(ang), 6) AS mean_angle, round(max(ang), 6) AS max_angle, "

@@ -28,7 +28,7 @@ SELECT o.o_orderkey AS match_id, CAST(n.n_regionkey AS BIGINT) AS competition_id
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 """,
     "players": """
-SELECT c.c_custkey AS player_id, c.c_name AS display_name, concat('Team ', CAST(c.c_nationkey AS STRING)) AS team, CAST(c.c_nationkey AS BIGINT) AS team_id FROM {customer} c
+SELECT c.c_custkey AS player_id, c.c_name AS display_name, concat('Team ', CAST(c.c_nationkey AS STRING)) AS team, CAST(c.c_nationkey AS BIGINT) AS team_id, CAST(1 + c.c_custkey % 9 AS BIGINT) AS squad_listings FROM {customer} c
 """,
 }
 SOURCES = ("lineitem", "orders", "customer", "nation")

@@ -26,13 +26,14 @@ TABLES = {
     "players": "player_id long, player_name string, player_nickname string, display_name string, country string, team_id long, team string, squad_listings long, matches_with_position long",
 }
 
+# The feature table's column groups, in its order.
 IDENTIFIERS = ("shot_id", "match_id", "competition_id", "season_id", "team_id", "player_id")
 CONTEXT = ("player", "team", "match_date", "stage", "second")
 NUMERIC = ("shot_distance", "shot_angle", "x", "y", "minute", "period")
-CATEGORICAL = ("body_part", "shot_type", "technique", "play_pattern", "position")
+CATEGORICAL = ("shot_type", "body_part", "technique", "play_pattern", "position")
 BOOLEAN = ("under_pressure", *SHOT_FLAGS)
-PROVENANCE = ("shot_fidelity_version", "xy_fidelity_version", "high_fidelity_coordinates")
+PROVENANCE = ("has_freeze_frame", "high_fidelity_coordinates", "has_valid_location")
 BENCHMARK, TARGET = "statsbomb_xg", "goal"
 DATASET_COLUMNS = (*IDENTIFIERS, *CONTEXT, *NUMERIC, *CATEGORICAL, *BOOLEAN, *PROVENANCE, BENCHMARK, TARGET)
-#: Never features: the vendor's own probability, and what is known only after the shot.
-LEAKY = frozenset({"statsbomb_xg", "outcome", "outcome_id", "is_goal", "end_x", "end_y", "end_z"})
+#: Never features: the vendor's own probability, the target, and what is known only after the shot.
+LEAKY = frozenset({"statsbomb_xg", "goal", "outcome", "outcome_id", "is_goal", "end_x", "end_y", "end_z"})

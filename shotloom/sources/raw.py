@@ -45,8 +45,30 @@ def load_lineups(spark: SparkSession, root: str) -> DataFrame:
     return _with_match_id(_read(spark, "lineups", f"{root}/lineups/*.json"))
 
 
+def _required(df: DataFrame, *names: str) -> DataFrame:
+    """The frame with an error, when it runs, at a row that lacks one of the fields."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.raise_error(F.lit(f"required field {c} is missing"))) for c in names})
+
+
 def competition_seasons(competitions: DataFrame) -> DataFrame:
-    return competitions.select("competition_id", "season_id", "competition_name", "season_name")
+    """A row per competition and season; both ids are required."""
+    return _required(competitions, "competition_id", "season_id").select("competition_id", "season_id", "competition_name", "season_name")
+
+
+def match_ids(matches: DataFrame) -> DataFrame:
+    """The ids of raw match records, which are required."""
+    return _required(matches, "match_id").select("match_id")
+
+
+def player_names(lineups: DataFrame) -> DataFrame:
+    """(match_id, player_id, player_name) of both teams' players: the nickname, else the full name, one of which must be there.
+
+    A player who is listed again in a match has the name of the last listing.
+    """
+    rows = lineups.select("match_id", F.posexplode("lineup").alias("_pos", "p"), "team_id")
+    rows = rows.select("match_id", "team_id", "_pos", F.col("p.player_id").alias("player_id"), F.coalesce(F.nullif(F.col("p.player_nickname"), F.lit("")), F.nullif(F.col("p.player_name"), F.lit(""))).alias("player_name"))
+    rows = _required(rows, "player_id", "player_name")
+    return rows.groupBy("match_id", "player_id").agg(F.max_by("player_name", F.struct("team_id", "_pos")).alias("player_name"))
 
 
 def missing_matches(wanted: DataFrame, present: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shotloom.operators import features, normalize, queries
@@ -55,9 +56,22 @@ def test_players(built):
 
 def test_queries_and_features(built):
     rows = queries.player_conversion_rates(built["shots"], built["players"]).collect()
-    assert [(r.player_id, r.shots, r.conversion) for r in rows] == [(7, 1, 1.0), (8, 0, None)]
+    assert [(r.player_id, r.shots, r.conversion_rate) for r in rows] == [(7, 1, 1.0), (8, 0, None)]
     data = features.build_shot_features(built["shots"], built["matches"])
     assert data.columns == list(DATASET_COLUMNS) and data.count() == 1
+    # the contract, written out: a constant compared with itself would not see a slip
+    assert data.columns == [
+        *["shot_id", "match_id", "competition_id", "season_id", "team_id", "player_id", "player", "team", "match_date", "stage", "second"],
+        *["shot_distance", "shot_angle", "x", "y", "minute", "period", "shot_type", "body_part", "technique", "play_pattern", "position"],
+        *["under_pressure", "first_time", "one_on_one", "open_goal", "deflected", "aerial_won", "follows_dribble", "redirect"],
+        *["has_freeze_frame", "high_fidelity_coordinates", "has_valid_location", "statsbomb_xg", "goal"],
+    ]
+    row = data.first()
+    assert row.has_freeze_frame and row.has_valid_location and not row.high_fidelity_coordinates
+    assert queries.shots_by_player(built["shots"], built["players"]).columns == ["player_id", "player", "team", "shots", "mean_statsbomb_xg"]
+    assert queries.goals_by_player(built["shots"], built["players"]).columns == ["player_id", "player", "team", "goals", "shots"]
+    assert queries.shots_by_team(built["shots"], built["matches"]).columns == ["team", "matches", "shots", "goals", "statsbomb_xg", "shots_per_match"]
+    assert set(queries.player_conversion_rates(built["shots"], built["players"]).columns) == {"player_id", "player", "team", "squad_listings", "shots", "goals", "conversion_rate", "statsbomb_xg"}
     with pytest.raises(features.DatasetError):
         features.build_shot_features(built["shots"], built["matches"].limit(0))
 
@@ -77,3 +91,26 @@ def test_round_trip(built, spark, tmp_path):
         assert tables.write_table(df, name, str(tmp_path)).rows == df.count()
     tables.register_views(spark, str(tmp_path))
     assert spark.sql("SELECT count(*) FROM shots").first()[0] == 2
+
+
+def test_ids_and_names_are_required(spark, lake, tmp_path):
+    """A shot without a player or team fails, as do lineups without a name; the first of repeated events stays."""
+    events = raw.load_events(spark, lake)
+    for field in ("player", "team"):
+        with pytest.raises(Exception, match=f"{field}.id is missing"):
+            normalize.normalize_shots(events.withColumn(field, F.lit(None).cast(events.schema[field].dataType))).collect()
+    assert {r.player_id: r.player_name for r in raw.player_names(raw.load_lineups(spark, lake)).collect()} == {7: "Ana Beatriz", 8: "B"}
+    assert [r.match_id for r in raw.match_ids(raw.load_matches(spark, lake)).collect()] == [51]
+    with pytest.raises(Exception, match="season_id is missing"):
+        raw.competition_seasons(spark.createDataFrame([(1, None, "a", "b")], "competition_id long, season_id long, competition_name string, season_name string")).collect()
+    assert models_refuse(["x", "goal"]) and models_refuse(["statsbomb_xg"]) and not models_refuse(["x", "under_pressure"])
+
+
+def models_refuse(names):
+    from shotloom.operators import models
+
+    try:
+        models.reject_leaky_features(names)
+    except ValueError:
+        return True
+    return False
