@@ -11,7 +11,8 @@ The network is a minimal gated recurrent unit: a gate and a candidate from the s
 from the old to the candidate by the gate. The next symbol's class has a softmax over the state, and a class of frequent
 words another one over its members; classes and members both number about the square root of the vocabulary. Training is by
 truncated backpropagation in numpy over all training documents, once: in each round tasks start from the same weights,
-train on their documents, and their weights are averaged. The rounds grow as the square root of the training tokens. A word's own
+train on their documents, and their weights are averaged. The rounds grow as the fourth root of the training tokens, and the tasks of a round as the square root; a
+task sends how far its weights moved, in half precision. A word's own
 occurrence isn't evidence for itself, so in training a word counted once stands for the unseen word, one counted twice
 for a word counted once, and so on. State is carried over windows, so a document is scored as a whole.
 
@@ -120,7 +121,14 @@ def least_count(tokens: int) -> int:
 
 
 def rounds_for(tokens: int) -> int:
-    return max(ROUNDS, round(math.sqrt(tokens / ROUND_TOKENS)))
+    """Rounds grow as the fourth root of the tokens, and a round's tasks as the square root, so that the weights that tasks
+    send, which grow as the square root themselves, stay near the size of the corpus."""
+    return max(ROUNDS, round(2 * (tokens / ROUND_TOKENS) ** 0.25))
+
+
+def tasks_for(tokens: int) -> int:
+    """Tasks that train in a round."""
+    return max(1, math.ceil(math.sqrt(tokens / ROUND_TOKENS)))
 
 
 def class_shape(words: int) -> tuple[int, int]:
@@ -449,32 +457,33 @@ def run_documents(w: Weights, docs: list[np.ndarray], learn: bool, state: dict |
     return out
 
 
-def _pickled(w: Weights) -> bytes:
-    return np.concatenate([w[k].reshape(-1) for k in sorted(w)]).astype("<f4").tobytes()
+def _flat(w: Weights) -> np.ndarray:
+    return np.concatenate([w[k].reshape(-1) for k in sorted(w)])
 
 
-def _unpickled(data: bytes, like: Weights) -> Weights:
-    flat, out, at = np.frombuffer(data, "<f4"), {}, 0
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).copy()
-        at += like[k].size
-    return out
+def _shaped(flat: np.ndarray, like: Weights) -> Weights:
+    ends = np.cumsum([0] + [like[k].size for k in sorted(like)])
+    return {k: flat[i:j].reshape(like[k].shape).astype(np.float32) for k, i, j in zip(sorted(like), ends[:-1], ends[1:], strict=True)}
 
 
 def _symbols(column) -> list[np.ndarray]:
     return [np.frombuffer(zstandard.decompress(x), "<u4").astype(np.int64) for x in column.to_pylist()]
 
 
-def train(streams: DataFrame, weights: Weights, rounds: int = ROUNDS) -> Weights:
+def _moved(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, "<f2" if len(data) == 2 * size else "<f4").astype(np.float64)
+
+
+def train(streams: DataFrame, weights: Weights, rounds: int = ROUNDS, tasks: int = 1) -> Weights:
     """One pass over all training documents, in rounds after which the tasks' weights are averaged by their tokens."""
     spark, moved = streams.sparkSession, in_training(weights["in_b"].size)
-    schema = "n long, data binary"
+    schema, size = "n long, data binary", sum(v.size for v in weights.values())
 
     def average(batches):
         n, total = 0, 0.0
         for batch in batches:
             for k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, total = n + k, total + k * np.frombuffer(data, "<f4").astype(np.float64)
+                n, total = n + k, total + k * _moved(data, size)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["n", "data"])
 
@@ -489,17 +498,18 @@ def train(streams: DataFrame, weights: Weights, rounds: int = ROUNDS) -> Weights
                     run_documents(w, docs, True, state)
                     n += sum(map(len, docs))
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([_pickled(w)], pa.binary())], names=["n", "data"])
+                data = np.clip(_flat(w) - _flat(shared.value), -60000, 60000).astype("<f2").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([data], pa.binary())], names=["n", "data"])
 
         own = streams.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rounds)) == turn)).select("symbols")
-        parts = max(1, len(own.inputFiles()))
-        found = own.mapInArrow(local, schema)
+        parts = tasks
+        found = own.coalesce(tasks).mapInArrow(local, schema)
         while parts > 1:  # averages of averages, so that one row reaches the driver
             parts = -(-parts // 16)
             found = found.repartition(parts).mapInArrow(average, schema)
-        got = [(r["n"], np.frombuffer(r["data"], "<f4").astype(np.float64)) for r in found.collect()]
+        got = [(r["n"], _moved(r["data"], size)) for r in found.collect()]
         if got:
-            weights = _unpickled((sum(n * x for n, x in got) / sum(n for n, _ in got)).astype("<f4").tobytes(), weights)
+            weights = _shaped(_flat(weights) + sum(n * x for n, x in got) / sum(n for n, _ in got), weights)
     return weights
 
 
@@ -511,7 +521,7 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     table.ends = docs.where(folded).count()
     table.tokens, table.distinct = table.tokens + table.ends, table.distinct + (table.ends > 0)
     streams = staged(to_symbols(blocks, answers, n, table), "lm-symbols")
-    weights = train(streams, initial(table), rounds_for(table.tokens))
+    weights = train(streams, initial(table), rounds_for(table.tokens), tasks_for(table.tokens))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
