@@ -60,6 +60,8 @@ def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
+#: Tokens whose classes are scored together.
+TILE = 1024
 #: Bytes of text whose words are hashed together.
 PIECE = 1 << 20
 
@@ -377,12 +379,17 @@ def sparse_window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray,
     s, y = states.reshape(-1, HIDDEN)[at], x.reshape(-1)[at]
     c = kind[y]
     every = np.arange(len(at))
-    p, score = _class_odds(s, w["out"], w["out_b"], c, every, learn)
-    grads, back = {}, None
+    score, grads, back = np.empty(len(at), new.dtype), {}, np.empty_like(s) if learn else None
     if learn:
-        p[every, c] -= 1
-        grads["out"], grads["out_b"] = (slice(None), s.T @ p), (slice(None), p.sum(0))
-        back = p @ w["out"].T
+        grads["out"], grads["out_b"] = (slice(None), np.zeros_like(w["out"])), (slice(None), np.zeros_like(w["out_b"]))
+    for i in range(0, len(at), TILE):  # so many rows of all classes stay in a core's cache
+        rows = slice(i, i + TILE)
+        p, score[rows] = _class_odds(s[rows], w["out"], w["out_b"], c[rows], every[: len(s[rows])], learn)
+        if learn:
+            p[every[: len(p)], c[rows]] -= 1
+            grads["out"][1][...] += s[rows].T @ p
+            grads["out_b"][1][...] += p.sum(0)
+            np.matmul(p, w["out"].T, out=back[rows])
     groups, _, size = w["in"].shape
     order = np.argsort(c, kind="stable")
     ends = np.searchsorted(c[order], np.arange(groups + 1))
