@@ -1,8 +1,8 @@
 """BPE encoding and decoding of whole corpora through a table of distinct words.
 
 Texts are split into words; each distinct word of the corpus is encoded once, in the table; the ids come back to the
-blocks of documents that hold the word (see ``blocks``) and are put in place by position. Decoding joins ids to the
-vocabulary's pieces: a table bounded by the vocabulary, sent to the tasks, in which an id is a row number.
+blocks of documents that hold the word (see ``blocks``) and are put in place by position. Decoding joins the distinct ids
+of each block to the table of the vocabulary's pieces, which come back to the block in the same way.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string; repeated rows give a row each; a null
 ``doc_id`` stays null; other columns are ignored; an empty table gives no rows.
@@ -18,11 +18,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, to_blocks, unsqueeze
+from .storage import staged
 from .tokens import encoder, tokenizer_path
 
 ENCODED = "doc_id long, ids array<int>"
+#: Ids that are decoded together.
+BLOCK_IDS = 2 << 20
 
 
 def _pack(words: list[bytes]) -> bytes:
@@ -120,25 +124,47 @@ def pieces(tokenizer: str) -> list[str]:
     return [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
 
 
-def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def decode(encoded: DataFrame, tokenizer: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Adds ``decoded``: each row's pieces joined by one space, as files without a decoder of their own decode.
 
-    Special tokens stay. Ids outside the vocabulary are an error. Null ids give the empty string.
+    Special tokens stay. Ids outside the vocabulary are an error. Null ids give the empty string. Rows are taken in blocks
+    of about ``block_ids`` ids (a longer row alone); a block's distinct ids are joined to the table of pieces, and the
+    pieces come back to the block, where they are put in the places of their ids.
     """
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
-    table = encoded.sparkSession.sparkContext.broadcast(pieces(path))
-    names = encoded.columns
+    spark, names = encoded.sparkSession, encoded.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    block, own, piece, asker = (_unused(x, names) for x in ("block", "id", "piece", "asker"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pa.array(table.value, pa.string())
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                ids = pc.fill_null(some.column(names.index("ids")), pa.scalar([], pa.list_(pa.int32())))
-                flat = own.take(ids.flatten())
-                counts = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([*some.columns, pc.binary_join(lists, " ")], names=[*names, "decoded"])
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded string")
+        first, seen = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(names.index("ids"))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = first + (seen + np.cumsum(lengths)) // block_ids
+            seen += int(lengths.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*names, block])
+
+    rows = staged(encoded.mapInArrow(number, f"{fields}, `{block}` long"), "encoded")
+    vocabulary = spark.createDataFrame(list(enumerate(pieces(path))), f"`{own}` int, `{piece}` string")
+    used = rows.select(F.col(block).alias(asker), F.explode("ids").alias(own)).distinct()
+    found = used.join(vocabulary, own, "left").select(asker, own, F.coalesce(piece, F.raise_error(F.lit("an id outside the vocabulary"))).alias(piece))
+
+    def place(rows: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by(own)
+        known, held = found.column(own).to_numpy(), found.column(piece).combine_chunks().cast(pa.large_string())
+        ids = rows.column("ids").combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        flat = held.take(pa.array(np.searchsorted(known, ids.flatten().to_numpy(zero_copy_only=False))))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), flat)
+        return rows.select(names).append_column("decoded", pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string()))
+
+    return rows.groupBy(block).cogroup(found.groupBy(asker)).applyInArrow(place, f"{fields}, decoded string")
+
+
+def _unused(name: str, names: list[str]) -> str:
+    """``name``, with as many underscores before it as no column's name takes."""
+    while name.lower() in {x.lower() for x in names}:
+        name = "_" + name
+    return name

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shotloom.llm import bitfile, bpe, packing, token_count
@@ -34,6 +35,20 @@ def test_bpe_round_trip(odd, empty):
     want = [(r.doc_id if r.doc_id is not None else -1, tuple(ids(r.text)), tok.decode(ids(r.text), skip_special_tokens=False)) for r in odd.collect()]
     assert got == sorted(want)
     assert bpe.encode(empty).count() == 0
+    assert bpe.decode(bpe.encode(empty)).count() == 0
+
+
+@pytest.mark.parametrize("block_ids", [1, 5, bpe.BLOCK_IDS])
+def test_decoding_joins_ids_to_pieces(spark, block_ids):
+    _, tok = library("word_bpe_49k.json")
+    rows = [(1, [5, 5, 900], 7), (2, [], 8), (3, None, 9), (3, [0, 49_000], 9), (None, [900], None)] * 2
+    df = spark.createDataFrame(rows, "block long, ids array<int>, id int").repartition(2)
+    got = bpe.decode(df, block_ids=block_ids)
+    assert got.columns == ["block", "ids", "id", "decoded"]
+    key = lambda r: (repr(r[0]), repr(r[1]))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(((*r, tok.decode(r[1] or [], skip_special_tokens=False)) for r in rows), key=key)
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        bpe.decode(df.withColumn("ids", F.array(F.lit(10_000_000)))).collect()
 
 
 def test_packing(odd, empty):
