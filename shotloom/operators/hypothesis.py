@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import by_alternative, chi2_sf, f_sf, lgamma, normal_sf, t_ppf, t_sf
+from . import exact
 from .describe import finite, skewness_g1
 from .explore import complete_table
 from .ranks import running_sums, value_ranks
@@ -55,31 +56,55 @@ def t_test(samples: DataFrame, *, equal_variance: bool = False, alternative: str
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first, second, *, alternative: str = "two-sided") -> DataFrame:
-    """U of the first sample by average ranks, the probability of superiority, and the normal p-value with tie and continuity corrections."""
+    """U of the first sample by average ranks, the probability of superiority, and a p-value.
+
+    The p-value is exact where the smaller sample has 8 values or fewer and none are tied, else normal with tie and
+    continuity corrections.
+    """
     own = df.where(F.col(group).isin(first, second) & finite(value))
     per = value_ranks(own, value, a=F.count_if(F.col(group) == first))
     s = per.agg(F.sum("a").alias("n1"), (F.sum("n") - F.sum("a")).alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n, u = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    rows = s.select("n1", "n2", u.alias("u"), (u / (n1 * n2)).alias("superiority"), (n1 * n2 / 2).alias("mean"), sd.alias("sd"))
+    rows = s.select("n1", "n2", u.alias("u"), F.try_divide(u, n1 * n2).alias("superiority"), (n1 * n2 / 2).alias("mean"), sd.alias("sd"), "ties")
     d = F.col("u") - F.col("mean")
-    upper, lower = normal_sf((d - 0.5) / F.col("sd")), normal_sf((-d - 0.5) / F.col("sd"))
-    return rows.select("n1", "n2", "u", "superiority", (d / F.col("sd")).alias("z"), by_alternative(lower, upper, alternative).alias("p_value"))
+    is_exact = (F.least("n1", "n2") <= exact.MANN_WHITNEY_LEAST) & (F.col("ties") == 0) & (F.col("n1") * F.col("n2") <= exact.MANN_WHITNEY_CELLS)
+    over = lambda v: exact.column(exact.mann_whitney_upper, F.when(is_exact, v), F.col("n1"), F.col("n2"))
+    upper = F.coalesce(over(F.col("u")), normal_sf(F.try_divide(d - 0.5, F.col("sd"))))
+    lower = F.coalesce(over(F.col("n1") * F.col("n2") - F.col("u")), normal_sf(F.try_divide(-d - 0.5, F.col("sd"))))
+    method = F.when(is_exact, "exact").otherwise("normal").alias("method")
+    warn = _warnings((F.col("ties") > 0, "ties: the p-value is not exact"), (F.lit(True), CLUSTERING))
+    return rows.select("n1", "n2", "u", "superiority", F.try_divide(d, F.col("sd")).alias("z"), by_alternative(lower, upper, alternative).alias("p_value"), method, warn)
+
 
+def kolmogorov_smirnov(df: DataFrame, value: str, group: str, first, second, *, alternative: str = "two-sided") -> DataFrame:
+    """The largest gap of two empirical distributions, both ways, and the p-value of ``d``.
 
-def kolmogorov_smirnov(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
-    """The largest gap of two empirical distributions, both ways, and the asymptotic two-sided p-value."""
+    ``d`` is the larger gap, or the one that the alternative names: that of the first distribution above the second
+    ("greater"), or below. The p-value is exact up to 10,000 values a sample, else asymptotic.
+    """
     own = df.where(F.col(group).isin(first, second) & finite(value))
     per = own.groupBy(value).agg(*[F.count_if(F.col(group) == g).alias(c) for c, g in (("a", first), ("b", second))])
     cum = running_sums(per, value, {"ca": "a", "cb": "b"})
     n = per.agg(F.struct(F.sum("a").alias("a"), F.sum("b").alias("b"))).scalar()
     gap = F.col("ca") / F.col("n.a") - F.col("cb") / F.col("n.b")
     s = cum.withColumn("n", n).select(gap.alias("g"), "n").agg(F.max("g").alias("d_plus"), F.max(-F.col("g")).alias("d_minus"), F.first("n.a").alias("n1"), F.first("n.b").alias("n2"))
-    s = s.withColumn("d", F.greatest("d_plus", "d_minus"))
-    scaled = F.pow(F.col("d"), F.lit(2.0)) * F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))
-    terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda t, k: t + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * scaled))
-    return s.select("n1", "n2", "d", "d_plus", "d_minus", F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms)).alias("p_value"))
+    chosen = {"two-sided": F.greatest("d_plus", "d_minus"), "greater": F.col("d_plus"), "less": F.col("d_minus")}
+    if alternative not in chosen:
+        raise ValueError(f"unknown alternative {alternative!r}")
+    s = s.withColumn("d", F.greatest(F.lit(0.0), chosen[alternative])).withColumn("tied", per.agg(F.sum(F.col("a") + F.col("b")) > F.count("*")).scalar())
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    scaled = F.col("d") * F.col("d") * n1 * n2 / (n1 + n2)
+    if alternative == "two-sided":
+        far = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda t, k: t + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * scaled))
+        far = F.when(scaled < 0.04, 1.0).otherwise(far)  # where the series, cut off, would not yet alternate to 1
+    else:
+        far = F.exp(-2 * scaled - 2 * F.sqrt(scaled) * (F.greatest(n1, n2) + 2 * F.least(n1, n2)) / F.sqrt(n1 * n2 * (n1 + n2)) / 3)
+    is_exact = F.greatest("n1", "n2") <= exact.KS_MOST
+    p = F.coalesce(exact.column(exact.smirnov_upper, F.when(is_exact, F.col("d")), F.col("n1"), F.col("n2"), F.lit(alternative == "two-sided")), far)
+    warn = _warnings((F.col("tied"), "ties: the p-value is conservative"), (F.lit(True), CLUSTERING))
+    return s.select("n1", "n2", "d", "d_plus", "d_minus", F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)).alias("p_value"), F.when(is_exact, "exact").otherwise("asymptotic").alias("method"), warn)
 
 
 def expected_counts(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -125,16 +150,26 @@ def paired_t(pairs: DataFrame, a: str, b: str, *, alternative: str = "two-sided"
     return rows.withColumn("p_value", by_alternative(1 - t_sf(F.col("t"), F.col("df")), t_sf(F.col("t"), F.col("df")), alternative))
 
 
-def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Signed ranks of nonzero differences: the smaller rank sum, its normal p-value with tie correction, the median difference."""
+def wilcoxon(pairs: DataFrame, a: str, b: str, *, alternative: str = "two-sided") -> DataFrame:
+    """Signed ranks of nonzero differences: both rank sums, the median difference, and a p-value.
+
+    ``w`` is the smaller rank sum, or that of the positive differences with a one-sided alternative. The p-value is exact
+    up to 50 differences without ties or zeros, else normal with tie correction.
+    """
     d = pairs.where(finite(a) & finite(b)).select((F.col(a) - F.col(b)).alias("d"))
-    median = d.agg(F.percentile("d", F.lit(0.5))).scalar()
+    whole = d.agg(F.struct(F.percentile("d", F.lit(0.5)).alias("median"), F.count_if(F.col("d") == 0).alias("zeros"))).scalar()
     per = value_ranks(d.where("d <> 0").withColumn("m", F.abs("d")), "m", up=F.count_if(F.col("d") > 0))
     s = per.agg(F.sum("n").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w_plus"), F.sum((F.col("n") - F.col("up")) * F.col("rank")).alias("w_minus"), F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    rows = s.select("n", "w_plus", "w_minus", F.least("w_plus", "w_minus").alias("w"), ((F.least("w_plus", "w_minus") - n * (n + 1) / 4) / sd).alias("z"), median.alias("median_difference"))
-    return rows.withColumn("p_value", F.least(F.lit(1.0), 2 * normal_sf(F.abs("z"))))
+    w = F.least("w_plus", "w_minus") if alternative == "two-sided" else F.col("w_plus")
+    rows = s.select("n", "w_plus", "w_minus", w.alias("w"), sd.alias("sd"), "ties", whole.alias("o"))
+    mean = n * (n + 1) / 4
+    up, down = (F.try_divide(F.col(c) - mean, F.col("sd")) for c in ("w_plus", "w_minus"))
+    is_exact = (F.col("n") <= exact.WILCOXON_MOST) & (F.col("ties") == 0) & (F.col("o.zeros") == 0)
+    tails = [F.coalesce(exact.column(exact.wilcoxon_upper, F.when(is_exact, F.col(c)), F.col("n")), normal_sf(z)) for c, z in (("w_minus", down), ("w_plus", up))]
+    warn = _warnings((F.col("ties") > 0, "ties: the p-value is not exact"), (F.col("o.zeros") > 0, "zero differences were left out"), (F.lit(True), CLUSTERING))
+    return rows.select("n", "w_plus", "w_minus", "w", F.try_divide(F.col("w") - mean, F.col("sd")).alias("z"), F.col("o.median").alias("median_difference"), by_alternative(*tails, alternative).alias("p_value"), F.when(is_exact, "exact").otherwise("normal").alias("method"), warn)
 
 
 def group_statistics(df: DataFrame, value: str, group: str) -> DataFrame:

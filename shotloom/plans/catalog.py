@@ -416,7 +416,7 @@ def mann_whitney(t):
 
 @query("WITH o AS (SELECT quantity AS v, outcome AS g FROM shots WHERE outcome IN ('A', 'R')), p AS (SELECT v, count(*) FILTER (WHERE g = 'A') AS a, count(*) FILTER (WHERE g = 'R') AS b FROM o GROUP BY v), c AS (SELECT sum(a) OVER (ORDER BY v) / (SELECT sum(a) FROM p) - sum(b) OVER (ORDER BY v) / (SELECT sum(b) FROM p) AS g FROM p) SELECT (SELECT sum(a) FROM p)::BIGINT AS n1, (SELECT sum(b) FROM p)::BIGINT AS n2, round(max(abs(g)), 6) AS d, round(max(g), 6) AS d_plus, round(max(-g), 6) AS d_minus FROM c")
 def ks_2sample(t):
-    return rounded(hypothesis.kolmogorov_smirnov(t("shots"), "quantity", "outcome", "A", "R").drop("p_value"))
+    return rounded(hypothesis.kolmogorov_smirnov(t("shots"), "quantity", "outcome", "A", "R").select("n1", "n2", "d", "d_plus", "d_minus"))
 
 
 @query("WITH o AS (SELECT quantity AS v, outcome AS g FROM shots WHERE outcome IN ('A', 'R')), p AS (SELECT v, count(*) FILTER (WHERE g = 'A') AS a, count(*) FILTER (WHERE g = 'R') AS b FROM o GROUP BY v), c AS (SELECT sum(a) OVER (ORDER BY v) / (SELECT sum(a) FROM p) - sum(b) OVER (ORDER BY v) / (SELECT sum(b) FROM p) AS g FROM p) SELECT round(max(abs(g)), 6) AS d, round(max(g), 6) AS d_plus, round(max(-g), 6) AS d_minus FROM c")
@@ -525,6 +525,21 @@ def wilcoxon(t):
     return hypothesis.wilcoxon(w, "a", "b").select("n", "w_plus", "w_minus", "median_difference")
 
 
+@query()
+def mann_whitney_p_value(t):
+    return hypothesis.mann_whitney(t("shots"), "quantity", "outcome", "A", "R")
+
+
+@query()
+def ks_p_value(t):
+    return hypothesis.kolmogorov_smirnov(t("shots"), "quantity", "outcome", "A", "R")
+
+
+@query()
+def wilcoxon_p_value(t):
+    return hypothesis.wilcoxon(_pairs(t), "a", "b")
+
+
 _GROUPS = "WITH g AS (SELECT body_part, count(price) AS n, avg(price) AS mean, var_samp(price) AS v FROM shots GROUP BY body_part), t AS (SELECT sum(n * mean) / sum(n) AS m, sum(n) AS n FROM g) "
 
 
