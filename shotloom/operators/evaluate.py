@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,11 @@ def compare_models(df: DataFrame, truth: str, scores: list[str]) -> DataFrame:
     return long.groupBy("model").agg(F.count("*").alias("n"), F.avg(-F.when(F.col("y") == 1, F.ln(q)).otherwise(F.ln(1 - q))).alias("log_loss"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"))
 
 
+def compare_model_metrics(df: DataFrame, truth: str, scores: list[str]) -> DataFrame:
+    """All metrics of several score columns against one truth, a row per model."""
+    return reduce(DataFrame.unionByName, [metrics(df, truth, s).select(F.lit(s).alias("model"), "*") for s in scores])
+
+
 def group_split(df: DataFrame, group: str, test_size: float = 0.25, seed: int = 42) -> DataFrame:
     """(group, is_test): the share of groups, rounded up, with the smallest hashes; rows follow by a join on the group."""
     groups = df.select(group).where(F.col(group).isNotNull()).distinct()
@@ -78,11 +85,21 @@ def standardize(df: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({f"{c}_z": F.try_divide(F.col(c) - F.col(f"_m.{c}.m"), F.col(f"_m.{c}.s")) for c in columns}).drop("_m")
 
 
-def ordered_target_statistic(df: DataFrame, category: str, target: str, key: str, prior: float, weight: float = 1.0, seed: int = 42) -> DataFrame:
-    """Each row's category as the mean target of that category's earlier rows, in an order by hash, drawn to the prior."""
-    before = Window.partitionBy(category).orderBy(draw(seed, key), key).rowsBetween(Window.unboundedPreceding, -1)
-    y = F.col(target).cast("double")
-    return df.withColumn("target_statistic", (F.coalesce(F.sum(y).over(before), F.lit(0.0)) + weight * prior) / (F.count(y).over(before) + weight))
+def ordered_target_statistic(df: DataFrame, category: str, target: str, key: str, prior: float, weight: float = 1.0, seed: int = 42, ranges: int = 1024) -> DataFrame:
+    """Each row's category as the mean target of that category's earlier rows, in an order by hash, drawn to the prior.
+
+    A category is cut into ranges of the hash, which are summed apart and offset by the ranges before, so that a frequent
+    category is many tasks' work.
+    """
+    h = draw(seed, key)
+    rows = df.withColumn("_c", F.col(category)).withColumn("_h", h).withColumn("_r", F.floor(F.col("_h") * ranges / 2**32)).withColumn("_y", F.col(target).cast("double"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inside, whole = before("_c", "_r").orderBy("_h", key), before("_c").orderBy("_r")
+    totals = rows.groupBy("_c", "_r").agg(F.sum("_y").alias("s"), F.count("_y").alias("n"))
+    totals = totals.select(F.col("_c").alias("_c2"), F.col("_r").alias("_r2"), F.coalesce(F.sum("s").over(whole), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("_n"))
+    rows = rows.withColumn("_si", F.coalesce(F.sum("_y").over(inside), F.lit(0.0))).withColumn("_ni", F.count("_y").over(inside))
+    rows = rows.join(totals, F.col("_c").eqNullSafe(F.col("_c2")) & (F.col("_r") == F.col("_r2")))
+    return rows.select(*df.columns, ((F.col("_s") + F.col("_si") + weight * prior) / (F.col("_n") + F.col("_ni") + weight)).alias("target_statistic"))
 
 
 def shrunken_rates(groups: DataFrame, hits: str, trials: str, a: float, b: float) -> DataFrame:

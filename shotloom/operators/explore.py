@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running_sums
+
 R = 6
 
 
@@ -106,9 +108,8 @@ def ecdf_gap(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
     """Where two samples' empirical distributions are farthest apart: per-value counts, summed over values in order."""
     own = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
     per = own.groupBy(value).agg(*[F.count_if(F.col(group) == g).alias(c) for c, g in (("a", first), ("b", second))])
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     sums = per.agg(F.struct(F.sum("a").alias("a"), F.sum("b").alias("b"))).scalar()
-    rows = per.select(value, (F.sum("a").over(w)).alias("ca"), (F.sum("b").over(w)).alias("cb"), sums.alias("n"))
+    rows = running_sums(per, value, {"ca": "a", "cb": "b"}).withColumn("n", sums)
     gap = F.col("ca") / F.col("n.a") - F.col("cb") / F.col("n.b")
     return rows.select(value, gap.alias("gap")).agg(_r(F.max(F.abs("gap"))).alias("d"), _r(F.max("gap")).alias("d_plus"), _r(F.max(-F.col("gap"))).alias("d_minus"))
 
@@ -128,3 +129,15 @@ def reconciliation(matches: DataFrame, shots: DataFrame) -> DataFrame:
 def spanning(df: DataFrame, key: str, column: str) -> DataFrame:
     """Keys with more than one value of a column."""
     return df.groupBy(key).agg(F.countDistinct(column).alias("levels")).where("levels > 1")
+
+
+def keys_with_all(df: DataFrame, key: str, condition: Column) -> DataFrame:
+    """One row: how many keys there are, and how many whose every row meets the condition; a null does not meet it."""
+    per = df.groupBy(key).agg(F.bool_and(F.coalesce(condition, F.lit(False))).alias("every"))
+    return per.agg(F.count("*").alias("keys"), F.count_if("every").alias("keys_with_all"))
+
+
+def phase_means(df: DataFrame, value: str, keys: list[str], phase: str, first, second, least: int = 5) -> DataFrame:
+    """Mean and size of a value in two phases, side by side for each key; keys with ``least`` values or more in both."""
+    out = [f(F.when(F.col(phase) == g, F.col(value))).alias(f"{n}_{k}") for k, g in ((1, first), (2, second)) for n, f in (("mean", F.avg), ("n", F.count))]
+    return df.groupBy(*keys).agg(*out).where((F.col("n_1") >= least) & (F.col("n_2") >= least))

@@ -7,9 +7,15 @@ an md5, modulo the number of units.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb, sqrt
+from statistics import fmean, median, variance
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.special import lgamma
+
 #: The reference's number of replicates.
 REPLICATES = 10_000
 #: Rows of a chunk of the bootstrap by rows.
@@ -59,8 +65,8 @@ def bootstrap_summary(means: DataFrame, unit_sums: DataFrame, confidence: float
     return rows.select("replicates", "units", "estimate", "se", "bias", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"), warn.alias("warnings"))
 
 
-def bootstrap_row_means(df: DataFrame, value: str, key: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, mean) of resamples of single rows with replacement, for tables of more rows than can be joined to every draw.
+def bootstrap_row_sums(df: DataFrame, value: str, key: str, replicates: int, seed: int = 42) -> DataFrame:
+    """(replicate, n, s1, s2) of resamples of single rows with replacement, for tables of more rows than can be joined to every draw.
 
     Rows lie in chunks by a hash of ``key``. A replicate's draws fall on the chunks by their sizes (multinomial), then on a
     chunk's rows alike: the same as drawing from all rows. Draws depend on seed, replicate and chunk, not on partitions.
@@ -84,12 +90,18 @@ def bootstrap_row_means(df: DataFrame, value: str, key: str, replicates: int, se
         for r in range(first, min(first + step, replicates + 1)):
             n = np.random.default_rng([seed, r]).multinomial(m, sizes / m)[chunk]
             at = np.random.default_rng([seed, r, chunk]).integers(0, len(v), n, dtype=np.int32)
-            out.append((r, float(v[at].sum()), int(n if full else known[at].sum())))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["replicate", "s1", "n"])
+            got = v[at]
+            out.append((r, float(got.sum()), float(got @ got), int(n if full else known[at].sum())))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["replicate", "s1", "s2", "n"])
 
     spread = rows.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(step))))
-    drawn = spread.groupBy("chunk", "first").applyInArrow(draws, "replicate int, s1 double, n long")
-    return drawn.groupBy("replicate").agg((F.sum("s1") / F.sum("n")).alias("mean"))
+    drawn = spread.groupBy("chunk", "first").applyInArrow(draws, "replicate int, s1 double, s2 double, n long")
+    return drawn.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+
+
+def bootstrap_row_means(df: DataFrame, value: str, key: str, replicates: int, seed: int = 42) -> DataFrame:
+    """(replicate, mean) of resamples of single rows with replacement."""
+    return bootstrap_row_sums(df, value, key, replicates, seed).select("replicate", (F.col("s1") / F.col("n")).alias("mean"))
 
 
 def compare_resampling_units(df: DataFrame, value: str, key: str, cluster: str, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
@@ -103,12 +115,18 @@ def compare_resampling_units(df: DataFrame, value: str, key: str, cluster: str,
     return both.select("unit", *by_row.columns, ratio.alias("se_ratio"))
 
 
-def bootstrap_callable(df: DataFrame, statistic, replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, stat) for any function of a sample's values (a numpy array), on samples small enough for one task each."""
+def bootstrap_callable(df: DataFrame, statistic, replicates: int, seed: int = 42, most: int = 1_000_000) -> DataFrame:
+    """(replicate, stat) for any function of a sample's values (a numpy array).
+
+    Such a function sees a whole resample at once, so a task must hold one: more than ``most`` rows are an error.
+    """
     import numpy as np
     import pandas as pd
 
-    values = np.array([r[0] for r in df.select(df.columns[0]).collect()], float)
+    found = df.select(F.col(df.columns[0]).cast("double")).limit(most + 1).toArrow().column(0)
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows; use a bootstrap of sums")
+    values = np.sort(found.drop_null().to_numpy())
     shared = df.sparkSession.sparkContext.broadcast(values)
 
     def run(frames):
@@ -118,46 +136,116 @@ def bootstrap_callable(df: DataFrame, statistic, replicates: int, seed: int = 42
     return df.sparkSession.range(1, replicates + 1).mapInPandas(run, "replicate long, stat double")
 
 
-def permutation_differences(unit_sums: DataFrame, group: str, first, replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, difference of means) with labels dealt anew to units; each replicate keeps the number of first-group units.
+STATISTICS = ("mean_difference", "median_difference", "welch_t")
+#: Labellings that are enumerated at most, and units below which a warning is given.
+MOST_LABELLINGS, FEW = 50_000, 8
 
-    Unit by unit, the label goes to those of the smallest hashes. A unit in both groups is an error.
-    """
-    labels = unit_sums.groupBy("unit").agg(F.count_distinct(group).alias("g"), F.max((F.col(group) == first).cast("int")).alias("is_first"), F.sum("n").alias("n"), F.sum("s1").alias("s1"))
-    labels = labels.withColumn("is_first", F.when(F.col("g") > 1, F.raise_error(F.lit("a cluster lies in both groups"))).otherwise(F.col("is_first")))
-    k = labels.agg(F.sum("is_first")).scalar()
-    reps = labels.select("unit", "n", "s1", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    rank = F.row_number().over(Window.partitionBy("replicate").orderBy(draw(seed, "replicate", "unit"), "unit"))
-    dealt = reps.withColumn("_a", rank <= k)
-    return dealt.groupBy("replicate").agg(difference("_a").alias("difference"))
 
+def _labels(unit_sums: DataFrame, group: str, first) -> DataFrame:
+    """A row per unit with its sums and whether it lies in the first group; a unit in both groups is an error."""
+    labels = unit_sums.groupBy("unit").agg(F.count_distinct(group).alias("g"), F.max((F.col(group) == first).cast("int")).alias("is_first"), *[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+    return labels.withColumn("is_first", F.when(F.col("g") > 1, F.raise_error(F.lit("a cluster lies in both groups"))).otherwise(F.col("is_first"))).drop("g")
 
-def difference(flag: str) -> Column:
-    """Mean of the flagged units' rows less the others'."""
-    part = lambda c, on: F.sum(F.when(F.col(flag) if on else ~F.col(flag), F.col(c)))
-    return part("s1", True) / part("n", True) - part("s1", False) / part("n", False)
 
+def permutation_differences(unit_sums: DataFrame, group: str, first, replicates: int, seed: int = 42, statistic: str = "mean_difference", rows: DataFrame | None = None) -> DataFrame:
+    """(replicate, difference) with labels dealt anew to units; each replicate keeps the number of first-group units.
 
-def permutation_test(unit_sums: DataFrame, group: str, first, replicates: int, seed: int = 42) -> DataFrame:
-    """Observed difference, Monte Carlo p-values (1 + count) / (1 + replicates), and the null's mean and deviation."""
-    observed = unit_sums.withColumn("_a", F.col(group) == first).agg(difference("_a")).scalar()
-    null = permutation_differences(unit_sums, group, first, replicates, seed).withColumn("o", observed)
+    Unit by unit, the label goes to those of the smallest hashes. A unit in both groups is an error. ``difference`` is the
+    statistic: of the rows' means, Welch's t, or of the rows' medians, which need the ``rows`` (unit, v) beside the sums.
+    """
+    labels = _labels(unit_sums, group, first)
+    k = labels.agg(F.sum("is_first")).scalar()
+    reps = labels.select("unit", "n", "s1", "s2", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    rank = F.row_number().over(Window.partitionBy("replicate").orderBy(draw(seed, "replicate", "unit"), "unit"))
+    dealt = reps.withColumn("_a", rank <= k)
+    if statistic == "median_difference":
+        dealt = rows.select("unit", "v").join(dealt.select("unit", "replicate", "_a"), "unit")
+    return dealt.groupBy("replicate").agg(difference("_a", statistic).alias("difference"))
+
+
+def difference(flag: str, statistic: str = "mean_difference") -> Column:
+    """The statistic of the flagged units' rows against the others'."""
+    on = lambda c, yes: F.when(F.col(flag) if yes else ~F.col(flag), F.col(c))
+    if statistic == "median_difference":
+        return F.percentile(on("v", True), F.lit(0.5)) - F.percentile(on("v", False), F.lit(0.5))
+    part = lambda c, yes: F.sum(on(c, yes))
+    means = [F.try_divide(part("s1", yes), part("n", yes)) for yes in (True, False)]
+    if statistic == "mean_difference":
+        return means[0] - means[1]
+    if statistic != "welch_t":
+        raise ValueError(f"unknown statistic {statistic!r}: {', '.join(STATISTICS)}")
+    var = [F.try_divide(F.greatest(F.lit(0.0), part("s2", yes) - part("s1", yes) * m), (part("n", yes) - 1) * part("n", yes)) for yes, m in zip((True, False), means, strict=True)]
+    return F.try_divide(means[0] - means[1], F.sqrt(var[0] + var[1]))
+
+
+def permutation_test(unit_sums: DataFrame, group: str, first, replicates: int, seed: int = 42, statistic: str = "mean_difference", rows: DataFrame | None = None) -> DataFrame:
+    """Observed statistic, Monte Carlo p-values (1 + count) / (1 + replicates), the null's mean and deviation, and warnings.
+
+    Warnings are of few units and of a smallest attainable two-sided p-value above 0.01.
+    """
+    labels = _labels(unit_sums, group, first)
+    flagged = labels.withColumn("_a", F.col("is_first") == 1)
+    if statistic == "median_difference":
+        if rows is None:
+            raise ValueError("medians need the rows (unit, v)")
+        flagged = rows.select("unit", "v").join(flagged.select("unit", "_a"), "unit")
+    observed = flagged.agg(difference("_a", statistic)).scalar()
+    null = permutation_differences(unit_sums, group, first, replicates, seed, statistic, rows).withColumn("o", observed)
     slack = 1e-12 * F.greatest(F.lit(1.0), F.abs("o"))
-    s = null.agg(F.first("o").alias("observed"), F.count("*").alias("replicates"), F.count_if(F.col("difference") >= F.col("o") - slack).alias("up"), F.count_if(F.col("difference") <= F.col("o") + slack).alias("down"), F.avg("difference").alias("null_mean"), F.stddev_samp("difference").alias("null_sd"))
+    s = null.agg(F.first("o").alias("observed"), F.count("difference").alias("replicates"), F.count_if(F.col("difference") >= F.col("o") - slack).alias("up"), F.count_if(F.col("difference") <= F.col("o") + slack).alias("down"), F.avg("difference").alias("null_mean"), F.stddev_samp("difference").alias("null_sd"))
     p = lambda c: (F.col(c) + 1) / (F.col("replicates") + 1)
-    return s.select("observed", "replicates", p("up").alias("p_greater"), p("down").alias("p_less"), F.least(F.lit(1.0), 2 * F.least(p("up"), p("down"))).alias("p_value"), "null_mean", "null_sd")
+    sizes = labels.agg(F.struct(F.count("*").cast("double").alias("m"), F.sum("is_first").cast("double").alias("k"))).scalar()
+    s = s.withColumn("z", sizes)
+    m, k = F.col("z.m"), F.col("z.k")
+    least = 2 * F.exp(lgamma(k + 1) + lgamma(m - k + 1) - lgamma(m + 1))
+    warn = F.array_compact(F.array(F.when(m < FEW, F.lit("fewer than 8 units are permuted")), F.when(least > 0.01, F.lit("the smallest attainable p-value is above 0.01")))).alias("warnings")
+    return s.select("observed", "replicates", p("up").alias("p_greater"), p("down").alias("p_less"), F.least(F.lit(1.0), 2 * F.least(p("up"), p("down"))).alias("p_value"), "null_mean", "null_sd", warn)
 
 
-def exact_permutation(values_a: list[float], values_b: list[float], alternative: str = "two-sided") -> float:
-    """All relabellings of two tiny samples (at most 50,000) by the difference of means."""
-    from itertools import combinations
-    from math import comb
+def permutation_auto(df: DataFrame, value: str, group: str, first, second, key: str, *, statistic: str = "mean_difference", replicates: int = REPLICATES, seed: int = 42, alternative: str = "two-sided", method: str = "auto") -> dict:
+    """Single rows permuted: every labelling where there are at most 50,000, else ``replicates`` of them by hashes.
 
+    Returns p_value, exact and the number of labellings or replicates. Only a sample that has so few labellings is
+    brought to the driver.
+    """
+    if method not in ("auto", "exact", "monte-carlo") or alternative not in ("two-sided", "less", "greater"):
+        raise ValueError("unknown method or alternative")
+    rows = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).select(F.col(key).alias("unit"), (F.col(group) == first).alias("is_first"), F.col(value).cast("double").alias("v"))
+    n, k = rows.agg(F.count("*"), F.count_if("is_first")).first()
+    few = n <= MOST_LABELLINGS and comb(n, k) <= MOST_LABELLINGS
+    if method == "exact" and not few:
+        raise ValueError("too many relabellings for enumeration")
+    if method != "monte-carlo" and few:
+        values = [(r["is_first"], r["v"]) for r in rows.orderBy("unit").collect()]
+        p = exact_permutation([v for yes, v in values if yes], [v for yes, v in values if not yes], alternative, statistic)
+        return {"p_value": p, "exact": True, "labellings": comb(n, k)}
+    sums = units(rows, "v", "unit", "is_first")
+    row = permutation_test(sums, "is_first", True, replicates, seed, statistic, rows).first()
+    return {"p_value": row[{"two-sided": "p_value", "less": "p_less", "greater": "p_greater"}[alternative]], "exact": False, "labellings": row["replicates"]}
+
+
+def _difference_of(statistic: str, a: list[float], b: list[float]) -> float:
+    if statistic == "median_difference":
+        return median(a) - median(b)
+    gap = fmean(a) - fmean(b)
+    if statistic == "mean_difference":
+        return gap
+    if statistic != "welch_t":
+        raise ValueError(f"unknown statistic {statistic!r}: {', '.join(STATISTICS)}")
+    se = sqrt(variance(a) / len(a) + variance(b) / len(b))
+    return gap / se if se else float("nan")
+
+
+def exact_permutation(values_a: list[float], values_b: list[float], alternative: str = "two-sided", statistic: str = "mean_difference") -> float:
+    """All relabellings of two tiny samples (at most 50,000)."""
     both, k = [*values_a, *values_b], len(values_a)
-    if comb(len(both), k) > 50_000:
+    if comb(len(both), k) > MOST_LABELLINGS:
         raise ValueError("too many relabellings for enumeration")
-    total, seen = sum(both), sum(values_a) / k - sum(values_b) / len(values_b)
-    stats = [sum(c) / k - (total - sum(c)) / (len(both) - k) for c in combinations(both, k)]
+    seen = _difference_of(statistic, values_a, values_b)
+    stats = []
+    for chosen in combinations(range(len(both)), k):
+        mine = set(chosen)
+        stats.append(_difference_of(statistic, [both[i] for i in chosen], [x for i, x in enumerate(both) if i not in mine]))
     slack = 1e-12 * max(1, abs(seen))
     up, down = (sum(f(s) for s in stats) / len(stats) for f in (lambda s: s >= seen - slack, lambda s: s <= seen + slack))
     return {"greater": up, "less": down, "two-sided": min(1.0, 2 * min(up, down))}[alternative]

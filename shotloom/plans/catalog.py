@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import is_valid_location, marker_radius, shot_angle, shot_distance
-from ..operators import describe, effects, evaluate, explore, features, hypothesis, multiplicity, normalize, queries, resample
+from ..operators import describe, effects, evaluate, explore, features, hypothesis, multiplicity, normalize, proportions, queries, resample
 from ..streaming.ingest import windowed_counts
 from .standins import load, oracle
 
@@ -377,9 +377,34 @@ def modified_z(t):
     return rounded(describe.modified_z_scores(t("shots").select("event_id", "price"), "price"))
 
 
-@query()
+_K2 = """WITH m AS (SELECT count(price)::DOUBLE AS n, avg(price) AS m FROM shots), c AS (SELECT any_value(n) AS n, avg((price - m) ** 3) / avg((price - m) ** 2) ** 1.5 AS g1, avg((price - m) ** 4) / avg((price - m) ** 2) ** 2 - 3 AS g2 FROM shots, m),
+s AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,
+  (g2 + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+  6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b FROM c),
+a AS (SELECT *, 6 + 8 / b * (2 / b + sqrt(1 + 4 / (b * b))) AS a, y * sqrt((w2 - 1) / 2) AS u FROM s),
+z AS (SELECT n, ln(u + sqrt(u * u + 1)) / sqrt(0.5 * ln(w2)) AS z1, (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2 FROM a)
+"""
+
+
+@query(_K2 + "SELECT n::BIGINT AS n, round(z1, 4) AS z_skewness, round(z2, 4) AS z_kurtosis, round(z1 * z1 + z2 * z2, 3) AS k2, round(exp(-(z1 * z1 + z2 * z2) / 2), 5) AS p_value FROM z")
 def dagostino_k2(t):
-    return describe.dagostino_k2(t("shots"), "price")
+    k = describe.dagostino_k2(t("shots"), "price")
+    return k.select("n", F.round("z_skewness", 4).alias("z_skewness"), F.round("z_kurtosis", 4).alias("z_kurtosis"), F.round("k2", 3).alias("k2"), F.round("p_value", 5).alias("p_value"))
+
+
+@query()
+def assess_normality(t):
+    return describe.assess_normality(t("shots"), "price", "team")
+
+
+@query("SELECT count(*) AS keys, count(*) FILTER (WHERE e) AS keys_with_all FROM (SELECT player_id, bool_and(coalesce(quantity < 40, false)) AS e FROM shots GROUP BY player_id)")
+def keys_with_all(t):
+    return explore.keys_with_all(t("shots"), "player_id", F.col("quantity") < 40)
+
+
+@query(f"SELECT season_id, team, {DR.format('m1', 4)} AS mean_1, n1 AS n_1, {DR.format('m2', 4)} AS mean_2, n2 AS n_2 FROM (SELECT season_id, team, avg(quantity) FILTER (WHERE shot_type = 'Open Play') AS m1, count(quantity) FILTER (WHERE shot_type = 'Open Play') AS n1, avg(quantity) FILTER (WHERE shot_type = 'Penalty') AS m2, count(quantity) FILTER (WHERE shot_type = 'Penalty') AS n2 FROM shots GROUP BY ALL) WHERE n1 >= 5 AND n2 >= 5")
+def phase_means(t):
+    return rounded(explore.phase_means(t("shots"), "quantity", ["season_id", "team"], "shot_type", "Open Play", "Penalty"), 4)
 
 
 # -- hypothesis tests -------------------------------------------------------------------------------------------------
@@ -576,9 +601,57 @@ def risk_difference(t):
     return r.select("player_id", F.round("risk_difference", R).alias("risk_difference"), F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
 
 
-@query()
+_V = _chi_sql("body_part", "outcome", "(n - e) ** 2 / e").replace("SELECT sum(n)::BIGINT AS n, (count", ", v AS (SELECT sum(n)::DOUBLE AS n, sum((n - e) ** 2 / e) / sum(n) AS phi, count(DISTINCT r) - 1 AS r, count(DISTINCT c) - 1 AS c FROM e) #").split("#")[0]
+
+
+@query(_V + "SELECT n::BIGINT AS n, round(sqrt(greatest(0, phi - r * c / (n - 1)) / least(r - r * r / (n - 1), c - c * c / (n - 1))), 6) AS cramers_v FROM v")
 def cramers_v_corrected(t):
-    return effects.cramers_v(hypothesis.chi_square(t("shots"), "body_part", "outcome"), bias_correction=True)
+    return rounded(effects.cramers_v(hypothesis.chi_square(t("shots"), "body_part", "outcome"), bias_correction=True))
+
+
+@query()
+def cramers_v_interval(t):
+    return effects.cramers_v_interval(t("shots"), "body_part", "outcome")
+
+
+@query()
+def cohens_d_interval(t):
+    return effects.cohens_d_interval(t("shots"), "price", "outcome", "A", "R", "event_id")
+
+
+@query()
+def conditional_odds_ratio(t):
+    return effects.conditional_odds_ratio(_finishing(t, MIN_SHOTS))
+
+
+_AB = "WITH c AS (SELECT player_id, count(*) FILTER (WHERE is_goal AND under_pressure) AS a, count(*) FILTER (WHERE NOT is_goal AND under_pressure) AS b, count(*) FILTER (WHERE is_goal AND NOT under_pressure) AS c, count(*) FILTER (WHERE NOT is_goal AND NOT under_pressure) AS d FROM shots GROUP BY player_id)"
+
+
+def _pressed(t) -> DataFrame:
+    """Each player's goals and misses under pressure and not."""
+    side = lambda goal, pressed: F.count_if((F.col("is_goal") if goal else ~F.col("is_goal")) & (F.col("under_pressure") if pressed else ~F.col("under_pressure")))
+    return t("shots").groupBy("player_id").agg(side(True, True).alias("a"), side(False, True).alias("b"), side(True, False).alias("c"), side(False, False).alias("d"))
+
+
+@query(_AB + ", p AS (SELECT *, (a + c) / (a + b + c + d) AS q FROM c WHERE a + b > 0 AND c + d > 0) SELECT player_id, round(a / (a + b), 6) AS rate_1, round(c / (c + d), 6) AS rate_2, CASE WHEN q > 0 AND q < 1 THEN round((a / (a + b) - c / (c + d)) / sqrt(q * (1 - q) * (1 / (a + b) + 1 / (c + d))), 5) END AS z FROM p")
+def two_proportion_z(t):
+    z = proportions.two_proportion_z(_pressed(t).where("a + b > 0 AND c + d > 0"))
+    return z.select("player_id", F.round("rate_1", R).alias("rate_1"), F.round("rate_2", R).alias("rate_2"), F.round("z", 5).alias("z"))
+
+
+@query(
+    _AB + ", k AS (SELECT *, unnest(range(0, c + 1)) AS i FROM c), p AS (SELECT player_id, a, b, c, d, sum(exp(lgamma(a + 1 + i) + lgamma(b + d + 2) - lgamma(a + b + d + 3 + i) - ln(d + 1 + i) - (lgamma(i + 1) + lgamma(d + 1) - lgamma(i + d + 2)) - (lgamma(a + 1) + lgamma(b + 1) - lgamma(a + b + 2)))) AS p FROM k GROUP BY ALL) "
+    "SELECT player_id, round((a + 1) / (a + b + 2), 6) AS posterior_1, round((c + 1) / (c + d + 2), 6) AS posterior_2, round(p, 5) AS p_second_better FROM p"
+)
+def beta_binomial(t):
+    b = proportions.beta_binomial(_pressed(t))
+    return b.select("player_id", F.round("posterior_1", R).alias("posterior_1"), F.round("posterior_2", R).alias("posterior_2"), F.round("p_second_better", 5).alias("p_second_better"))
+
+
+@query()
+def lift_interval(t):
+    teams = t("shots").groupBy("team").agg(*[F.count_if((F.col("is_goal") if g else ~F.col("is_goal")) & (F.col("under_pressure") if u else ~F.col("under_pressure"))).alias(n) for n, g, u in (("a", True, True), ("b", False, True), ("c", True, False), ("d", False, False))])
+    return proportions.lift_interval(teams, "team")
 
 
 # -- resampling -------------------------------------------------------------------------------------------------------
@@ -624,6 +697,12 @@ def permutation_summary(t):
     return resample.permutation_test(u, "g", 1, resample.REPLICATES)
 
 
+@query()
+def permutation_welch_t(t):
+    u = resample.units(t("shots").withColumn("g", F.col("player_id") % 2), "price", "player_id", "g")
+    return resample.permutation_test(u, "g", 1, resample.REPLICATES, statistic="welch_t")
+
+
 # The SQL of three of the queries above is fixed at B replicates, so the reference's number has queries of its own.
 @query()
 def bootstrap_clusters_all(t):
@@ -678,6 +757,16 @@ def compare_models(t):
     return rounded(evaluate.compare_models(_scored(t).withColumn("half", F.lit(0.5)), "y", ["p", "half"]))
 
 
+@query(
+    _SCORED + ", m AS (SELECT y, 'p' AS model, p FROM o UNION ALL SELECT y, 'half', 0.5 FROM o), k AS (SELECT model, y, p, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2 AS r FROM m), "
+    "s AS (SELECT model, count(*) AS n, sum(y) AS pos, sum(r) FILTER (WHERE y = 1) AS r, avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS ll, avg((p - y) ** 2) AS br FROM k GROUP BY model), c AS (SELECT model, p, count(*) AS n, sum(y) AS pos FROM m GROUP BY ALL), "
+    "a AS (SELECT model, sum(pos * cp / cn) / sum(pos) AS ap FROM (SELECT model, pos, sum(pos) OVER (PARTITION BY model ORDER BY p DESC) AS cp, sum(n) OVER (PARTITION BY model ORDER BY p DESC) AS cn FROM c) GROUP BY model) "
+    "SELECT model, n, round((r - pos * (pos + 1) / 2) / (pos * (n - pos)), 6) AS roc_auc, round(ap, 6) AS average_precision, round(ll, 6) AS log_loss, round(br, 6) AS brier FROM s JOIN a USING (model)"
+)
+def compare_model_metrics(t):
+    return rounded(evaluate.compare_model_metrics(_scored(t).withColumn("half", F.lit(0.5)), "y", ["p", "half"]).select("model", "n", "roc_auc", "average_precision", "log_loss", "brier"))
+
+
 @query("WITH g AS (SELECT DISTINCT match_id FROM shots), k AS (SELECT match_id, row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', '42', match_id)), 1, 8))::BIGINT, match_id) AS k FROM g) SELECT match_id, k <= (SELECT ceil(count(*) * 0.25) FROM g) AS is_test FROM k")
 def group_split(t):
     return evaluate.group_split(t("shots"), "match_id")
