@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import LEAKY
-from .evaluate import group_split, metrics, one_hot_levels
+from .evaluate import assert_no_leakage, group_split, metrics, one_hot_levels
 
 BASELINE = ("shot_distance", "shot_angle")
 CONTEXTUAL = {"numeric": BASELINE, "categorical": ("body_part", "shot_type", "technique"), "boolean": ("under_pressure", "first_time")}
@@ -124,6 +125,61 @@ def feature_importance(fitted: Fitted, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def passthrough(df: DataFrame, numeric=BASELINE, categorical=(), boolean=()) -> DataFrame:
+    """The feature columns as they are, for learners that encode for themselves; leaky or repeated names are an error."""
+    columns = [*numeric, *categorical, *boolean]
+    reject_leaky_features(columns)
+    if len(set(columns)) != len(columns) or not columns:
+        raise ValueError("feature columns must be given once each, and at least one")
+    return df.select(*columns)
+
+
+def repeated_splits(df: DataFrame, fits: dict, group: str = "match_id", seeds=range(8), test_size: float = 0.25) -> DataFrame:
+    """A row per seed and model: the metrics on the test groups of a split by that seed, of a model fitted on the others.
+
+    ``fits`` names functions of a training table that return a ``Fitted``. Models of one seed share its split.
+    """
+    out = []
+    for seed in seeds:
+        split = df.join(group_split(df, group, test_size, seed), group)
+        train, test = split.where("NOT is_test").drop("is_test"), split.where("is_test").drop("is_test")
+        for name, fit in fits.items():
+            found = metrics(predict(fit(train).model, test), "goal", "probability")
+            out.append((int(seed), name, *found.select("n", "roc_auc", "average_precision", "log_loss", "brier").first()))
+    return df.sparkSession.createDataFrame(out, "seed long, model string, n long, roc_auc double, average_precision double, log_loss double, brier double")
+
+
+#: What ``persist_all_models`` fits.
+ALL_MODELS = {
+    "logistic_baseline": lambda train, seed: fit_logistic(train),
+    "logistic_contextual": lambda train, seed: fit_logistic(train, **CONTEXTUAL),
+    "boosted_contextual": lambda train, seed: fit_boosted(train, **CONTEXTUAL, seed=seed),
+    "boosted_contextual_large_leaves": lambda train, seed: fit_boosted(train, **CONTEXTUAL, least=30, seed=seed),
+}
+
+
+def persist_all_models(df: DataFrame, root: str, group: str = "match_id", test_size: float = 0.25, seed: int = 42, fits: dict | None = None) -> list[str]:
+    """Fits every model on one split by groups and saves each with its metrics on the test groups; returns their names."""
+    split = df.join(group_split(df, group, test_size, seed), group)
+    train, test = split.where("NOT is_test").drop("is_test"), split.where("is_test").drop("is_test")
+    assert_no_leakage(train, test, group)
+    sizes = {
+        "training_samples": train.count(),
+        "test_samples": test.count(),
+        "n_train_groups": train.select(group).distinct().count(),
+        "n_test_groups": test.select(group).distinct().count(),
+        "validation_strategy": "group_by_match",
+        "group_column": group,
+        "test_size": test_size,
+        "random_state": seed,
+    }
+    fits = ALL_MODELS if fits is None else fits
+    for name, fit in fits.items():
+        fitted = fit(train, seed)
+        save_artifact(fitted, name, root, test, sizes | ({"n_trees": fitted.trees} if fitted.trees else {}))
+    return list(fits)
+
+
 def save_artifact(fitted: Fitted, name: str, root: str, test: DataFrame, metadata: dict) -> None:
     """model, metrics.json and metadata.json under root/name, written by Spark so that any store will do."""
     if not re.fullmatch(r"[A-Za-z0-9_-]+", name):
@@ -140,6 +196,26 @@ def load_metrics(spark: SparkSession, name: str, root: str, file: str = "metrics
     return json.loads(spark.read.text(f"{root}/{name}/{file}").first()[0])
 
 
+def list_artifacts(spark: SparkSession, root: str) -> list[str]:
+    """Names of the complete artifacts under a folder: those with a model, metrics and metadata. None for no folder."""
+    found = []
+    for part in ("model/metadata", "metrics.json", "metadata.json"):
+        try:
+            files = spark.read.text(f"{root}/*/{part}").select(F.col("_metadata.file_path").alias("f"))
+            names = {r["name"] for r in files.select(F.element_at(F.split("f", "/"), -2 - len(part.split("/"))).alias("name")).distinct().collect()}
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            names = set()
+        found.append(names)
+    return sorted(set.intersection(*found))
+
+
+def describe_artifact(spark: SparkSession, name: str, root: str) -> dict:
+    """An artifact's name, metrics and metadata; the model isn't loaded."""
+    return {"name": name, "metrics": load_metrics(spark, name, root), "metadata": load_metrics(spark, name, root, "metadata.json")}
+
+
 @lru_cache(maxsize=8)
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)

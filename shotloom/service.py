@@ -12,10 +12,18 @@ from .operators import features, hypothesis, models, queries
 from .sources.tables import read_table
 
 
+#: The model that answers where none is named.
+DEFAULT_MODEL = "logistic_contextual"
+
+
 class NotFoundError(LookupError):
     """No such match or model."""
 
 
+class UnavailableError(RuntimeError):
+    """No model has been trained or configured yet."""
+
+
 @dataclass(frozen=True)
 class Service:
     """Endpoints over one lake; models are looked up under ``models_root``."""
@@ -40,9 +48,21 @@ class Service:
     def dataset(self) -> DataFrame:
         return features.build_shot_features(self._table("shots"), self._table("matches"))
 
-    def _model(self, name: str):
+    def models(self) -> dict:
+        """The saved models with their metrics and metadata."""
+        names = models.list_artifacts(self.spark, self.models_root) if self.models_root else []
+        return {"items": [models.describe_artifact(self.spark, n, self.models_root) for n in names]}
+
+    def _model(self, name: str | None):
+        """The named model, or the default one."""
         if self.models_root is None:
-            raise NotFoundError("no models are configured")
+            raise UnavailableError("no models are configured")
+        name = name or DEFAULT_MODEL
+        found = models.list_artifacts(self.spark, self.models_root)
+        if not found:
+            raise UnavailableError("no models have been trained")
+        if name not in found:
+            raise NotFoundError(f"model {name}: there are {', '.join(found)}")
         return models.load_model(f"{self.models_root}/{name}/model")
 
     def match_shots(self, match_id: int, model: str | None = None) -> dict:
@@ -55,13 +75,18 @@ class Service:
         shots = queries.match_shots(data, self._table("shots"), match_id, scores)
         return {"match": match.asDict(), "shots": [r.asDict() for r in shots.collect()]}
 
-    def predict_shot(self, model: str, x: float, y: float, **context) -> float:
-        """The probability of a shot; its geometry is derived from the location."""
+    def predict_shot(self, model: str | None, x: float, y: float, **context) -> float:
+        """The probability of a shot by a model (the default one for None); its geometry is derived from the location."""
         if not (0 <= x <= 120 and 0 <= y <= 80):
             raise ValueError("the location lies outside the pitch")
+        fitted = self._model(model)
+        wanted = models.load_metrics(self.spark, model or DEFAULT_MODEL, self.models_root, "metadata.json")["features"]
+        missing = sorted({f.split("=")[0] for f in wanted} - {"shot_distance", "shot_angle", *(k for k, v in context.items() if v is not None)})
+        if missing:
+            raise ValueError(f"the model also needs {', '.join(missing)}")
         row = self.spark.createDataFrame([{"x": float(x), "y": float(y), **context}])
         row = row.withColumn("shot_distance", shot_distance(F.col("x"), F.col("y"))).withColumn("shot_angle", shot_angle(F.col("x"), F.col("y")))
-        return models.predict(self._model(model), row).first()["probability"]
+        return models.predict(fitted, row).first()["probability"]
 
     def statistics(self) -> dict:
         """Conversion by body part, Welch's test of the two busiest open-play teams, and independence of body part and goals."""
