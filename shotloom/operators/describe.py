@@ -70,7 +70,7 @@ def describe_by_group(df: DataFrame, value: str, *groups: str, digits: int = 6)
 
         def meet(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
             side, on = small(right, *columns)
-            return left.join(F.broadcast(side), on).drop(*[f"_{g}" for g in groups])
+            return left.join(side, on).drop(*[f"_{g}" for g in groups])
 
         near = meet(rows.select(*groups, "v"), first, "median", "q1", "q3")
     else:
