@@ -134,18 +134,20 @@ def passthrough(df: DataFrame, numeric=BASELINE, categorical=(), boolean=()) ->
     return df.select(*columns)
 
 
-def repeated_splits(df: DataFrame, fits: dict, group: str = "match_id", seeds=range(8), test_size: float = 0.25) -> DataFrame:
+def repeated_splits(df: DataFrame, fits: dict, root: str, group: str = "match_id", seeds=range(8), test_size: float = 0.25) -> DataFrame:
     """A row per seed and model: the metrics on the test groups of a split by that seed, of a model fitted on the others.
 
-    ``fits`` names functions of a training table that return a ``Fitted``. Models of one seed share its split.
+    ``fits`` names functions of a training table that return a ``Fitted``. Models of one seed share its split; each is kept
+    as the artifact ``name_seed`` under ``root``, and its metrics are those of the saved model.
     """
-    out = []
+    out, columns = [], ("n", "roc_auc", "average_precision", "log_loss", "brier")
     for seed in seeds:
         split = df.join(group_split(df, group, test_size, seed), group)
         train, test = split.where("NOT is_test").drop("is_test"), split.where("is_test").drop("is_test")
         for name, fit in fits.items():
-            found = metrics(predict(fit(train).model, test), "goal", "probability")
-            out.append((int(seed), name, *found.select("n", "roc_auc", "average_precision", "log_loss", "brier").first()))
+            save_artifact(fit(train), f"{name}_{seed}", root, test, {"random_state": int(seed), "test_size": test_size})
+            found = load_metrics(df.sparkSession, f"{name}_{seed}", root)
+            out.append((int(seed), name, *(found[c] for c in columns)))
     return df.sparkSession.createDataFrame(out, "seed long, model string, n long, roc_auc double, average_precision double, log_loss double, brier double")
 
 

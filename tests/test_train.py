@@ -51,9 +51,9 @@ def test_persist_list_and_serve(spark, shots, tmp_path):
         s.predict_shot("other", 108, 40)
 
 
-def test_repeated_splits(shots):
+def test_repeated_splits(shots, tmp_path):
     fits = {"near": models.fit_logistic, "angle": lambda d: models.fit_logistic(d, numeric=("shot_angle",))}
-    rows = models.repeated_splits(shots, fits, seeds=(1, 2)).collect()
+    rows = models.repeated_splits(shots, fits, str(tmp_path), seeds=(1, 2)).collect()
     assert [(r.seed, r.model) for r in rows] == [(1, "near"), (1, "angle"), (2, "near"), (2, "angle")]
     assert all(r.n == 100 and 0.5 < r.roc_auc < 1 for r in rows if r.model == "near") and rows[0].log_loss != rows[2].log_loss
 
