@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitfile, bpe, classifier, embedding_dedup, html_extract, language_model, minhash, packing, quality_rules, token_count
+from . import bitfile, bpe, classifier, embedding_dedup, html_extract, language_model, minhash, packing, prefix_trie, quality_rules, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,10 +95,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.document_tokens(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build_trie(_table(spark, sf_dir, "conversations"))
+
+
+#: Prefixes as lists, every node joined to the conversations' labels at its depth; the CRC is worked out bit by bit.
+OP11_SQL = """
+WITH own AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS v
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, v, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, z: xor(u >> 1, (u & 1) * 3988292384))), 4294967295) % 6 AS h FROM own),
+b AS (SELECT h.c, CASE WHEN h.h = 0 THEN [] ELSE coalesce(o.v[1:h.h], []) END || h.v[h.h + 1:] AS v FROM h LEFT JOIN own o ON o.c = h.c - h.c % 100),
+p AS (SELECT c, len(v) AS n, unnest(range(0, len(v) + 1)) AS depth, v FROM b),
+q AS (SELECT c, n, depth, CASE WHEN depth = 0 THEN [] ELSE v[1:depth] END AS k FROM p),
+m AS (SELECT c, n, depth, min(c) OVER (PARTITION BY depth, k) AS node, CASE WHEN depth = 0 THEN 0 ELSE length(k[depth].t) END AS len FROM q),
+d AS (SELECT node AS conv_id, depth, count(*) AS n_convs, any_value(len) AS len, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256 FROM m GROUP BY node, depth),
+e AS (SELECT d.*, m.node AS parent_conv_id FROM d LEFT JOIN m ON m.c = d.conv_id AND m.depth = d.depth - 1),
+f AS (SELECT e.*, coalesce(k.n, 0) AS n_children FROM e LEFT JOIN (SELECT parent_conv_id AS pc, depth - 1 AS pd, count(*) AS n FROM e WHERE depth > 0 GROUP BY ALL) k ON k.pc = e.conv_id AND k.pd = e.depth),
+s AS (SELECT m.node, m.depth AS at, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.len) AS saved FROM f JOIN m ON m.c = f.conv_id AND m.depth <= f.depth GROUP BY m.node, m.depth)
+SELECT f.conv_id, f.depth::BIGINT AS depth, f.parent_conv_id, f.n_convs, f.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.node = f.conv_id AND s.at = f.depth
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_bpe_encode_decode, op3_language_model, op4_html_extraction, op5_quality_rules, op6_minhash_near_dedup, op7_bit_packed_tokens, op8_quality_classifier, op9_embedding_near_dedup, op10_token_counts]
+    found = [op1_best_fit_packing, op2_bpe_encode_decode, op3_language_model, op4_html_extraction, op5_quality_rules, op6_minhash_near_dedup, op7_bit_packed_tokens, op8_quality_classifier, op9_embedding_near_dedup, op10_token_counts, op11_conversation_prefix_trie]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op11_conversation_prefix_trie": OP11_SQL}
