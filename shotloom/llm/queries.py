@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitfile, bpe, classifier, embedding_dedup, html_extract, language_model, minhash, packing, prefix_trie, quality_rules, token_count
+from . import bitfile, bpe, classifier, embedding_dedup, hard_negatives, html_extract, language_model, minhash, packing, prefix_trie, quality_rules, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,10 +118,27 @@ FROM f JOIN s ON s.node = f.conv_id AND s.at = f.depth
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("v")))
+
+
+OP13_SQL = """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS (SELECT a.id AS anchor_id, a.label AS anchor_label, b.id, b.label, list_dot_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.id % 100 = 0 AND b.id <> a.id AND len(a.v) = len(b.v)),
+p AS (SELECT * FROM s WHERE label = anchor_label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_bpe_encode_decode, op3_language_model, op4_html_extraction, op5_quality_rules, op6_minhash_near_dedup, op7_bit_packed_tokens, op8_quality_classifier, op9_embedding_near_dedup, op10_token_counts, op11_conversation_prefix_trie]
+    found = [op1_best_fit_packing, op2_bpe_encode_decode, op3_language_model, op4_html_extraction, op5_quality_rules, op6_minhash_near_dedup, op7_bit_packed_tokens, op8_quality_classifier, op9_embedding_near_dedup, op10_token_counts, op11_conversation_prefix_trie, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op11_conversation_prefix_trie": OP11_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op11_conversation_prefix_trie": OP11_SQL, "op13_hard_negatives": OP13_SQL}
