@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitfile, bpe, classifier, embedding_dedup, hard_negatives, html_extract, language_model, minhash, packing, prefix_trie, quality_rules, token_count
+from . import ann, bitfile, bpe, classifier, embedding_dedup, hard_negatives, html_extract, language_model, minhash, packing, prefix_trie, quality_rules, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +118,11 @@ FROM f JOIN s ON s.node = f.conv_id AND s.at = f.depth
 """
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return ann.nearest(rows).withColumnRenamed("id", "vec_id")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("v")))
@@ -136,7 +141,7 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_bpe_encode_decode, op3_language_model, op4_html_extraction, op5_quality_rules, op6_minhash_near_dedup, op7_bit_packed_tokens, op8_quality_classifier, op9_embedding_near_dedup, op10_token_counts, op11_conversation_prefix_trie, op13_hard_negatives]
+    found = [op1_best_fit_packing, op2_bpe_encode_decode, op3_language_model, op4_html_extraction, op5_quality_rules, op6_minhash_near_dedup, op7_bit_packed_tokens, op8_quality_classifier, op9_embedding_near_dedup, op10_token_counts, op11_conversation_prefix_trie, op12_nearest_neighbours, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
