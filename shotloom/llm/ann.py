@@ -164,7 +164,7 @@ def _matrix(column) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def _best(score: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
+def _best(score: np.ndarray, k: int) -> np.ndarray:
     """Places (row, column) of each row's k largest scores, ties at the last place included."""
     if score.shape[1] > k:
         least = np.partition(score, -k, axis=1)[:, -k]
@@ -174,6 +174,20 @@ def _best(score: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
     return np.stack(np.nonzero(np.ones(score.shape, bool)))
 
 
+def _trim(a: np.ndarray, b: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, row) once each, as many of a query as ``_best`` keeps."""
+    order = np.lexsort((b, a))
+    a, b, score = a[order], b[order], score[order]
+    one = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    a, b, score = a[one], b[one], score[one]
+    order = np.lexsort((-score, a))
+    a, b, score = a[order], b[order], score[order]
+    first = np.searchsorted(a, a)
+    last = score[np.minimum(first + k, np.searchsorted(a, a, side="right")) - 1]
+    kept = score >= last - np.where(np.isfinite(last), 1e-9 * np.abs(last), 0)
+    return a[kept], b[kept], score[kept]
+
+
 def fit(nodes: DataFrame) -> Index:
     """An index of vectors of one length (node, v), from a sample of them."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -217,7 +231,7 @@ def measure_ratio(posted: DataFrame, queries: DataFrame, index: Index, k: int) -
             if batch.num_rows:
                 score = q @ _matrix(batch.column("v")).T
                 score[own[:, None] == batch.column("node").to_numpy()] = -np.inf
-                s, t = _best(score, own, k)
+                s, t = _best(score, k)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(score[s, t]), batch.column("lists").take(pa.array(t))], names=["q", "score", "lists"])
 
     found = posted.select("node", "v", "lists").mapInArrow(run, "q long, score double, lists array<int>")
@@ -282,20 +296,16 @@ def _search_length(posted: DataFrame, queries: DataFrame, index: Index, k: int)
             for r in some:
                 for x in lists[r]:
                     of.setdefault(x, []).append(r)
-        pairs = [np.empty((2, 0), np.int64)]
-        scores = [np.empty(0)]
+        a = b = np.empty(0, np.int64)
+        score = np.empty(0)
         for x in asks.keys() & stands.keys():
-            a, b = np.array(asks[x]), np.array(stands[x])
-            score = v[a] @ v[b].T
-            s, t = _best(score, b, k)
-            pairs.append(np.stack([a[s], b[t]]))
-            scores.append(score[s, t])
-        (a, b), score = np.hstack(pairs), np.concatenate(scores)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        one = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.empty(0, bool)
-        a, b = a[one], b[one]
-        score = np.einsum("ij,ij->i", v[a], v[b])
+            of, to = np.array(asks[x]), np.array(stands[x])
+            product = v[of] @ v[to].T
+            s, t = _best(product, k)
+            a, b, score = _trim(np.append(a, of[s]), np.append(b, to[t]), np.append(score, product[s, t]), k)
+        for at in range(0, len(a), 65_536):
+            part = slice(at, at + 65_536)
+            score[part] = np.einsum("ij,ij->i", v[a[part]], v[b[part]])
         least = pa.compute.list_element(ids.take(pa.array(rows)), 0).to_numpy() if len(rows) else np.empty(0, np.int64)
         small = np.zeros(len(nodes), np.int64)
         small[rows] = least
