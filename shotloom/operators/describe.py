@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_sf, normal_ppf
+from .ranks import meet, quantiles
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 #: The modified z-score's factor, the 75 % point of the normal distribution, and its usual cut.
@@ -38,13 +39,13 @@ def kurtosis_g2(value: str) -> Column:
 def describe_by_group(df: DataFrame, value: str, *groups: str, digits: int = 6) -> DataFrame:
     """Moments, quantiles, median absolute deviation and outliers of each group (of all rows without groups).
 
-    Missing (null, NaN) and infinite values are counted apart and left out. Three passes: moments and quantiles, the
-    median of the deviations, the outliers; the first two are joined by group, of which there are few rows.
+    Missing (null, NaN) and infinite values are counted apart and left out. Moments come from one pass over the rows, all
+    else from a second that counts them per group and value; no group's values meet in one task (``ranks.quantiles``).
     """
+    by = list(groups) or ["_all"]
     v = F.when(finite(value), F.col(value))
-    rows = df.select(*groups, F.col(value).alias("raw"), v.alias("v"))
-    q = F.percentile("v", F.array(*[F.lit(x) for x in QUANTILES]))
-    first = rows.groupBy(*groups).agg(
+    rows = df.select(*([F.col(g) for g in groups] or [F.lit(0).alias("_all")]), F.col(value).alias("raw"), v.alias("v"))
+    moments = rows.groupBy(*by).agg(
         F.count("*").alias("n_total"),
         F.count("v").alias("n_observed"),
         F.count_if(F.col("raw").isNull() | F.isnan("raw")).alias("n_missing"),
@@ -56,51 +57,33 @@ def describe_by_group(df: DataFrame, value: str, *groups: str, digits: int = 6)
         F.max("v").alias("max"),
         skewness_g1("v").alias("skewness"),
         kurtosis_g2("v").alias("kurtosis"),
-        q.alias("q"),
     )
-    first = first.select("*", F.col("q")[3].alias("median"), F.col("q")[2].alias("q1"), F.col("q")[4].alias("q3"))
-    if groups:
-        # group keys get other names on the small side, and meet null-safely
-        def small(df: DataFrame, *columns: str) -> tuple[DataFrame, Column]:
-            side = df.select(*[F.col(g).alias(f"_{g}") for g in groups], *columns)
-            on = F.lit(True)
-            for g in groups:
-                on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
-            return side, on
-
-        def meet(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
-            side, on = small(right, *columns)
-            return left.join(side, on).drop(*[f"_{g}" for g in groups])
-
-        near = meet(rows.select(*groups, "v"), first, "median", "q1", "q3")
-    else:
-        one = first.select(F.struct("median", "q1", "q3")).scalar()
-        near = rows.select("v", one.alias("o")).select("v", "o.*")
+    counts = rows.where("v IS NOT NULL").groupBy(*by, "v").agg(F.count("*").alias("n"))
+    q = quantiles(counts, "v", "n", list(QUANTILES), by)
+    centers = q.select(*by, F.col("q")[3].alias("median"), F.col("q")[2].alias("q1"), F.col("q")[4].alias("q3"), "q")
+    near = meet(counts, centers, by, "median", "q1", "q3").withColumn("deviation", F.abs(F.col("v") - F.col("median")))
+    mad = quantiles(near.groupBy(*by, "deviation").agg(F.sum("n").alias("n")), "deviation", "n", [0.5], by).select(*by, F.col("q")[0].alias("mad"))
     spread = F.col("q3") - F.col("q1")
-    second = near.groupBy(*groups).agg(
-        F.percentile(F.abs(F.col("v") - F.col("median")), F.lit(0.5)).alias("mad"),
-        F.count_if((F.col("v") < F.col("q1") - FENCE * spread) | (F.col("v") > F.col("q3") + FENCE * spread)).alias("n_outside_fences"),
-    )
-    score = MAD_FACTOR * F.abs(F.col("v") - F.col("median"))
-    if groups:
-        third = meet(near, second, "mad").groupBy(*groups).agg(F.count_if((score > MAD_CUT * F.col("mad")) & (F.col("mad") > 0)).alias("n_modified_z"))
-        out = meet(meet(first, second, "mad", "n_outside_fences"), third, "n_modified_z")
-    else:
-        mad = second.select("mad").scalar()
-        far = near.select(((score > MAD_CUT * mad) & (mad > 0)).alias("far")).agg(F.count_if("far"))
-        out = first.select("*", mad.alias("mad"), second.select("n_outside_fences").scalar().alias("n_outside_fences"), far.scalar().alias("n_modified_z"))
+    outside = (F.col("v") < F.col("q1") - FENCE * spread) | (F.col("v") > F.col("q3") + FENCE * spread)
+    odd = (MAD_FACTOR * F.col("deviation") > MAD_CUT * F.col("mad")) & (F.col("mad") > 0)
+    own = ["median", "q1", "q3", "q", "mad"]
+    known = meet(centers, mad, by, "mad")
+    far = meet(near, mad, by, "mad").groupBy(*by).agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in (("n_outside_fences", outside), ("n_modified_z", odd))])
+    out = meet(meet(moments, known, by, *own, how="left"), far, by, "n_outside_fences", "n_modified_z", how="left").na.fill(0, ["n_outside_fences", "n_modified_z"])
     r = lambda c: F.round(c, digits).alias(c)
-    counts = ["n_total", "n_observed", "n_missing", "n_infinite", "n_outside_fences", "n_modified_z"]
+    numbers = ["n_total", "n_observed", "n_missing", "n_infinite", "n_outside_fences", "n_modified_z"]
     se = F.round(F.col("sd") / F.sqrt("n_observed"), digits).alias("se")
     iqr = F.round(F.col("q3") - F.col("q1"), digits).alias("iqr")
-    own = [F.round(F.col("q")[k], digits).alias(f"p{int(x * 100):02d}") for k, x in enumerate(QUANTILES)]
-    return out.select(*groups, *counts, *map(r, ["mean", "median", "variance", "sd", "min", "max", "q1", "q3", "mad", "skewness", "kurtosis"]), se, iqr, *own)
+    points = [F.round(F.col("q")[k], digits).alias(f"p{int(x * 100):02d}") for k, x in enumerate(QUANTILES)]
+    return out.select(*groups, *numbers, *map(r, ["mean", "median", "variance", "sd", "min", "max", "q1", "q3", "mad", "skewness", "kurtosis"]), se, iqr, *points)
 
 
 def modified_z_scores(df: DataFrame, value: str) -> DataFrame:
     """Adds ``modified_z``; all zero where the median absolute deviation is zero."""
-    center = df.agg(F.percentile(value, F.lit(0.5))).scalar()
-    spread = df.select(F.abs(F.col(value) - center).alias("d")).agg(F.percentile("d", F.lit(0.5))).scalar()
+    counts = df.where(finite(value)).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    half = lambda rows, c: quantiles(rows, c, "n", [0.5]).select(F.col("q")[0]).scalar()
+    center = half(counts, "v")
+    spread = half(counts.groupBy(F.abs(F.col("v") - center).alias("d")).agg(F.sum("n").alias("n")), "d")
     return df.withColumn("modified_z", F.when(spread == 0, 0.0).otherwise(MAD_FACTOR * (F.col(value) - center) / spread))
 
 

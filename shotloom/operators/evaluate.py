@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import running_sums, value_ranks
+from .ranks import ordinal, running_sums, value_ranks
 from .resample import draw
 
 EPS = 2.220446049250313e-16
@@ -61,8 +61,8 @@ def group_split(df: DataFrame, group: str, test_size: float = 0.25, seed: int =
     """(group, is_test): the share of groups, rounded up, with the smallest hashes; rows follow by a join on the group."""
     groups = df.select(group).where(F.col(group).isNotNull()).distinct()
     n = groups.agg(F.ceil(F.count("*") * test_size)).scalar()
-    ranked = groups.withColumn("_h", draw(seed, group)).withColumn("_k", F.row_number().over(Window.orderBy("_h", group)))
-    return ranked.select(group, (F.col("_k") <= n).alias("is_test"))
+    ranked = ordinal(groups.withColumn("_h", draw(seed, group)), ["_h", group], name="_k")
+    return ranked.select(group, (F.col("_k") < n).alias("is_test"))
 
 
 def assert_no_leakage(train: DataFrame, test: DataFrame, group: str) -> None:
@@ -75,7 +75,7 @@ def one_hot_levels(df: DataFrame, column: str, min_share: float = 0.01) -> DataF
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
     least = df.agg(F.count("*") * min_share).scalar()
     pooled = counts.withColumn("level", F.when(F.col("n") >= least, F.col(column)).otherwise(F.lit("infrequent"))).groupBy("level").agg(F.sum("n").alias("n"))
-    return pooled.withColumn("code", (F.row_number().over(Window.orderBy("level")) - 1).cast("long"))
+    return ordinal(pooled, ["level"], name="code")
 
 
 def standardize(df: DataFrame, *columns: str) -> DataFrame:

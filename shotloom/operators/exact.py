@@ -6,6 +6,7 @@ statistics and counts are Spark aggregates, and a row of them is what a task get
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,6 +74,29 @@ def smirnov_upper(d: float, n1: int, n2: int, two_sided: bool) -> float:
     return float(left[0])
 
 
+def kolmogorov_upper(d: float, n: float) -> float:
+    """P(D >= d) of the two-sided one-sample statistic of n values, n being 100 or more, by an expansion in powers of 1 / sqrt(n).
+
+    Far in the tail, where its complement has no digits left, it is twice the one-sided tail.
+    """
+    n, d = int(n), float(d)
+    z = math.sqrt(n) * d
+    if z <= 0.2:
+        return 1.0
+    if z > 2.5:
+        return min(1.0, 2 * math.exp(-((6 * n * d + 1) ** 2) / (18 * n)))
+    z2 = z * z
+    half, whole = (np.arange(-12, 12) + 0.5) ** 2 * np.pi**2, np.arange(-12, 13) ** 2 * np.pi**2
+    eh, ew = np.exp(-half / (2 * z2)), np.exp(-whole / (2 * z2))
+    root = math.sqrt(np.pi / 2)
+    k0 = root * eh.sum() / z
+    k1 = root * ((half - z2) * eh).sum() / (6 * z2**2)
+    k2 = root * ((6 * z2**3 + 2 * z2**2 + half * (2 * z2**2 - 5 * z2) + half**2 * (1 - 2 * z2)) * eh).sum() / (72 * z * z2**3) - root * (whole * ew).sum() / (36 * z * z2)
+    k3 = root * ((half**3 * (5 - 30 * z2) + half**2 * (212 * z2**2 - 60 * z2) + half * (135 * z2**2 - 96 * z2**3) - (30 * z2**3 + 90 * z2**4)) * eh).sum() / (6480 * z2**5)
+    k3 += root * ((3 * whole * z2 - whole**2) * ew).sum() / (2160 * z2**3)
+    return float(min(1.0, max(0.0, 1 - (k0 + k1 / math.sqrt(n) + k2 / n + k3 / n**1.5))))
+
+
 def column(tail: Callable[..., float], *arguments: Column) -> Column:
     """A tail of columns; null where an argument is."""
 

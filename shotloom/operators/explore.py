@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import running_sums
+from .ranks import ordinal, running_sums
 
 R = 6
 
@@ -84,9 +84,8 @@ def calibration_bins(df: DataFrame, score: str, flag: str, edges: tuple[float, .
 def top_share(groups: DataFrame, amount: str, key: str, part: int = 20) -> DataFrame:
     """The share of the amount that the largest 1/part of the groups hold. groups: a row per key."""
     n = groups.agg(F.expr(f"count(*) div {part}")).scalar()
-    # a bounded top-k would need its size beforehand: ranks are taken on the groups' rows, one per key
-    ranked = groups.withColumn("_k", F.row_number().over(Window.orderBy(F.desc(amount), key))).withColumn("_n", n)
-    return ranked.agg(F.sum(F.when(F.col("_k") <= F.col("_n"), F.col(amount)).otherwise(0)).alias("top"), F.sum(amount).alias("total")).select("top", "total", _r(F.try_divide("top", "total")).alias("share"))
+    ranked = ordinal(groups.withColumn("_down", -F.col(amount)), ["_down", key], name="_k").withColumn("_n", n)
+    return ranked.agg(F.sum(F.when(F.col("_k") < F.col("_n"), F.col(amount)).otherwise(0)).alias("top"), F.sum(amount).alias("total")).select("top", "total", _r(F.try_divide("top", "total")).alias("share"))
 
 
 def aggregate_of_counts(df: DataFrame, key: str) -> DataFrame:
@@ -116,7 +115,7 @@ def ecdf_gap(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
 
 def codes(df: DataFrame, column: str) -> DataFrame:
     """Distinct values numbered from 0 in their order."""
-    return df.select(column).distinct().withColumn("code", (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+    return ordinal(df.select(column).distinct(), [column], name="code")
 
 
 def reconciliation(matches: DataFrame, shots: DataFrame) -> DataFrame:

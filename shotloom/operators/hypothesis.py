@@ -82,7 +82,8 @@ def kolmogorov_smirnov(df: DataFrame, value: str, group: str, first, second, *,
     """The largest gap of two empirical distributions, both ways, and the p-value of ``d``.
 
     ``d`` is the larger gap, or the one that the alternative names: that of the first distribution above the second
-    ("greater"), or below. The p-value is exact up to 10,000 values a sample, else asymptotic.
+    ("greater"), or below. The p-value is exact up to 10,000 values a sample; beyond, that of one sample of the effective
+    size n1 n2 / (n1 + n2) (100 at least), or the limiting one-sided one.
     """
     own = df.where(F.col(group).isin(first, second) & finite(value))
     per = own.groupBy(value).agg(*[F.count_if(F.col(group) == g).alias(c) for c, g in (("a", first), ("b", second))])
@@ -97,8 +98,8 @@ def kolmogorov_smirnov(df: DataFrame, value: str, group: str, first, second, *,
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     scaled = F.col("d") * F.col("d") * n1 * n2 / (n1 + n2)
     if alternative == "two-sided":
-        far = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda t, k: t + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * scaled))
-        far = F.when(scaled < 0.04, 1.0).otherwise(far)  # where the series, cut off, would not yet alternate to 1
+        # the law of one sample of the effective size, not its limit
+        far = exact.column(exact.kolmogorov_upper, F.when(F.greatest("n1", "n2") > exact.KS_MOST, F.col("d")), F.greatest(F.lit(100.0), F.round(n1 * n2 / (n1 + n2))))
     else:
         far = F.exp(-2 * scaled - 2 * F.sqrt(scaled) * (F.greatest(n1, n2) + 2 * F.least(n1, n2)) / F.sqrt(n1 * n2 * (n1 + n2)) / 3)
     is_exact = F.greatest("n1", "n2") <= exact.KS_MOST
@@ -117,29 +118,71 @@ def expected_counts(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def chi_square(df: DataFrame, row: str, column: str, *, correction: bool = True) -> DataFrame:
-    """Pearson's test of independence; Yates' correction for two by two tables only."""
-    e = expected_counts(df, row, column)
-    size = e.agg((F.countDistinct(row) - 1).alias("r"), (F.countDistinct(column) - 1).alias("c"), F.count_if(F.col("expected") < 5).alias("low"), F.sum("n").alias("n"))
-    plain = F.pow(F.col("n") - F.col("expected"), F.lit(2.0)) / F.col("expected")
-    off = F.abs(F.col("n") - F.col("expected"))
-    yates = F.pow(off - F.least(F.lit(0.5), off), F.lit(2.0)) / F.col("expected")
-    sums = e.agg(F.struct(F.sum(plain).alias("plain"), F.sum(yates).alias("yates"))).scalar()
-    rows = size.withColumn("s", sums).withColumn("dof", F.col("r") * F.col("c"))
-    stat = F.when((F.col("dof") == 1) & F.lit(correction), F.col("s.yates")).otherwise(F.col("s.plain"))
-    rows = rows.select("n", "r", "c", "dof", stat.alias("chi2"), F.col("s.plain").alias("chi2_plain"), "low")
-    return rows.select("n", "dof", "chi2", chi2_sf(F.col("chi2"), F.col("dof")).alias("p_value"), F.sqrt(F.col("chi2_plain") / (F.col("n") * F.least("r", "c"))).alias("cramers_v"), "chi2_plain", "r", "c", _warnings((F.col("low") > 0, "some expected counts are below 5")))
+    """Pearson's test of independence; Yates' correction for two by two tables only.
+
+    Only cells that hold rows and the margins are looked at: an empty cell adds its expectation, and all empty cells
+    together what the others' expectations leave of the total.
+    """
+    known = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
+    cells = known.groupBy(F.col(row).alias("_a"), F.col(column).alias("_b")).agg(F.count("*").alias("n"))
+    rows, columns = (cells.groupBy(c).agg(F.sum("n").alias(f"m{c}")) for c in ("_a", "_b"))
+    total = cells.agg(F.sum("n").cast("double")).scalar()
+    size = [x.agg(F.struct(F.count("*").alias("k"), F.min(f"m{c}").alias("least"))).scalar() for x, c in ((rows, "_a"), (columns, "_b"))]
+    e = cells.join(rows, "_a").join(columns, "_b").withColumn("e", F.col("m_a") * F.col("m_b") / total)
+    off = F.abs(F.col("n") - F.col("e"))
+    yates = F.pow(off - F.least(F.lit(0.5), off), F.lit(2.0)) / F.col("e")
+    s = e.agg(F.sum("n").alias("n"), F.count("*").alias("cells"), F.sum(F.pow(off, F.lit(2.0)) / F.col("e")).alias("plain"), F.sum(yates).alias("yates"), F.sum("e").alias("covered"))
+    s = s.withColumns({"sa": size[0], "sb": size[1]})
+    empty = F.col("sa.k") * F.col("sb.k") - F.col("cells")
+    left = F.when(empty > 0, F.greatest(F.lit(0.0), F.col("n") - F.col("covered"))).otherwise(0.0)
+    # of a two by two table's cells one is empty, or two of equal expectation
+    each = F.try_divide(left, empty)
+    moved = F.coalesce(empty * F.try_divide(F.pow(each - F.least(F.lit(0.5), each), F.lit(2.0)), each), F.lit(0.0))
+    s = s.select("n", (F.col("sa.k") - 1).alias("r"), (F.col("sb.k") - 1).alias("c"), (F.col("plain") + left).alias("chi2_plain"), (F.col("yates") + moved).alias("yates"), (F.col("sa.least") * F.col("sb.least") / F.col("n") < 5).alias("low"))
+    s = s.withColumn("dof", F.col("r") * F.col("c"))
+    s = s.withColumn("chi2", F.when((F.col("dof") == 1) & F.lit(correction), F.col("yates")).otherwise(F.col("chi2_plain")))
+    return s.select("n", "dof", "chi2", chi2_sf(F.col("chi2"), F.col("dof")).alias("p_value"), F.sqrt(F.try_divide("chi2_plain", F.col("n") * F.least("r", "c"))).alias("cramers_v"), "chi2_plain", "r", "c", _warnings((F.col("low"), "some expected counts are below 5")))
 
 
 def fisher_exact(tables: DataFrame, alternative: str = "two-sided") -> DataFrame:
-    """tables: rows with cells a, b, c, d. Adds ``odds_ratio`` (ad / bc) and ``p_value``: tables as probable at most as the observed."""
+    """tables: rows with cells a, b, c, d. Adds ``odds_ratio`` (ad / bc) and ``p_value``: tables as probable at most as the observed.
+
+    The probabilities fall away from the mode faster and faster, so each tail is a window of ten deviations from where it
+    begins, beyond which nothing is left that a double holds: memory grows with the root of the margins, not with them.
+    """
     a, b, c, d = (F.col(x).cast("double") for x in "abcd")
     low, high = F.greatest(F.lit(0), (F.col("a") - F.col("d"))).cast("long"), F.least(F.col("a") + F.col("b"), F.col("a") + F.col("c")).cast("long")
     choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
     logp = lambda k: choose(a + b, k) + choose(c + d, a + c - k) - choose(a + b + c + d, a + c)
-    rows = tables.withColumn("_p", F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("k"), F.exp(logp(k.cast("double"))).alias("p")))).withColumn("_o", F.exp(logp(a)))
-    keep = {"two-sided": lambda x: x["p"] <= F.col("_o") * (1 + 1e-7), "less": lambda x: x["k"] <= F.col("a"), "greater": lambda x: x["k"] >= F.col("a")}[alternative]
-    p = F.least(F.lit(1.0), F.aggregate(F.filter("_p", keep), F.lit(0.0), lambda s, x: s + x["p"]))
-    return rows.withColumn("odds_ratio", F.try_divide(a * d, b * c)).withColumn("p_value", p).drop("_p", "_o")
+    n = a + b + c + d
+    sd = F.sqrt(F.coalesce(F.try_divide((a + b) * (a + c) * (b + d) * (c + d), n * n * (n - 1)), F.lit(0.0)))
+    mode = F.least(F.greatest(F.floor(F.try_divide((a + b + 1) * (a + c + 1), n + 2)), F.col("_low")), F.col("_high"))
+    rows = tables.withColumns({"_low": low, "_high": high}).withColumns({"_w": F.ceil(10 * sd + 40), "_m": mode, "_o": logp(a), "_k": F.col("a").cast("long")})
+    up = F.col("_k") >= F.col("_m")
+    side = lambda first, last: F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+    window = lambda k, rising: side(F.greatest(k, F.col("_low")), F.least(k + F.col("_w"), F.col("_high"))) if rising else side(F.greatest(k - F.col("_w"), F.col("_low")), F.least(k, F.col("_high")))
+    if alternative == "two-sided":
+        # by halving: how far from the mode on the other side a table is as improbable as the observed
+        span = F.when(up, F.col("_m") - F.col("_low")).otherwise(F.col("_high") - F.col("_m")) + 1
+        to = lambda i: F.when(up, F.col("_m") - i).otherwise(F.col("_m") + i)
+
+        def halve(s, _):
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("long")
+            far = logp(to(mid).cast("double")) <= F.col("_o") + 1e-7
+            return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(far, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(far, mid).otherwise(s["hi"]).alias("hi")))
+
+        first = F.when(up, F.lit(1)).otherwise(F.lit(0)).cast("long")
+        rows = rows.withColumn("_f", F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(first.alias("lo"), F.greatest(span.cast("long"), first).alias("hi")), halve)["lo"])
+        start = to(F.col("_f"))
+        terms = F.when(up, F.concat(window(F.col("_k"), True), window(start, False))).otherwise(F.concat(window(F.col("_k"), False), window(F.greatest(start, F.col("_k") + 1), True)))
+    elif alternative == "greater":
+        terms = F.when(up, window(F.col("_k"), True)).otherwise(side(F.greatest(F.col("_k"), F.col("_m") - F.col("_w")), F.least(F.col("_m") + F.col("_w"), F.col("_high"))))
+    elif alternative == "less":
+        terms = F.when(up, side(F.greatest(F.col("_low"), F.col("_m") - F.col("_w")), F.least(F.col("_k"), F.col("_m") + F.col("_w")))).otherwise(window(F.col("_k"), False))
+    else:
+        raise ValueError(f"unknown alternative {alternative!r}")
+    p = F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda s, k: s + F.exp(logp(k.cast("double")))))
+    return rows.withColumn("odds_ratio", F.try_divide(a * d, b * c)).withColumn("p_value", p).drop("_low", "_high", "_w", "_m", "_o", "_k", "_f")
 
 
 def paired_t(pairs: DataFrame, a: str, b: str, *, alternative: str = "two-sided") -> DataFrame:

@@ -57,6 +57,9 @@ class Fitted:
     model: PipelineModel
     names: list[str]
     trees: int | None = None
+    #: Of histogram boosting: gain by feature, and what the stopping rule found.
+    gains: dict[str, float] | None = None
+    notes: dict | None = None
 
 
 def _labelled(df: DataFrame) -> DataFrame:
@@ -151,17 +154,8 @@ def repeated_splits(df: DataFrame, fits: dict, root: str, group: str = "match_id
     return df.sparkSession.createDataFrame(out, "seed long, model string, n long, roc_auc double, average_precision double, log_loss double, brier double")
 
 
-#: What ``persist_all_models`` fits.
-ALL_MODELS = {
-    "logistic_baseline": lambda train, seed: fit_logistic(train),
-    "logistic_contextual": lambda train, seed: fit_logistic(train, **CONTEXTUAL),
-    "boosted_contextual": lambda train, seed: fit_boosted(train, **CONTEXTUAL, seed=seed),
-    "boosted_contextual_large_leaves": lambda train, seed: fit_boosted(train, **CONTEXTUAL, least=30, seed=seed),
-}
-
-
 def persist_all_models(df: DataFrame, root: str, group: str = "match_id", test_size: float = 0.25, seed: int = 42, fits: dict | None = None) -> list[str]:
-    """Fits every model on one split by groups and saves each with its metrics on the test groups; returns their names."""
+    """Fits every model (``boosting.ALL_MODELS``) on one split by groups and saves each with its metrics on the test groups; returns their names."""
     split = df.join(group_split(df, group, test_size, seed), group)
     train, test = split.where("NOT is_test").drop("is_test"), split.where("is_test").drop("is_test")
     assert_no_leakage(train, test, group)
@@ -175,10 +169,11 @@ def persist_all_models(df: DataFrame, root: str, group: str = "match_id", test_s
         "test_size": test_size,
         "random_state": seed,
     }
-    fits = ALL_MODELS if fits is None else fits
+    if fits is None:
+        from .boosting import ALL_MODELS as fits
     for name, fit in fits.items():
         fitted = fit(train, seed)
-        save_artifact(fitted, name, root, test, sizes | ({"n_trees": fitted.trees} if fitted.trees else {}))
+        save_artifact(fitted, name, root, test, sizes | ({"n_trees": fitted.trees} if fitted.trees else {}) | (fitted.notes or {}))
     return list(fits)
 
 

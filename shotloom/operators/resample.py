@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import lgamma
+from .ranks import ordinal
 
 #: The reference's number of replicates.
 REPLICATES = 10_000
 #: Rows of a chunk of the bootstrap by rows.
 CHUNK = 1 << 19
+#: Units of a chunk that labels are dealt in.
+DEALT_UNITS = 4096
 #: Units whose sums, a few MB, are sent to every task of the draws.
 FEW_UNITS = 100_000
 
@@ -34,7 +37,7 @@ def units(df: DataFrame, value: str, cluster: str, *strata: str) -> DataFrame:
     """Sums of each cluster, numbered from 0 in the order of their labels (within each stratum); a null label is an error."""
     label = F.coalesce(F.col(cluster), F.raise_error(F.lit(f"{cluster} must not be null")))
     sums = df.select(*strata, label.alias("unit"), F.col(value).cast("double").alias("v")).groupBy(*strata, "unit").agg(F.count("v").alias("n"), F.sum("v").alias("s1"), F.sum(F.col("v") * F.col("v")).alias("s2"))
-    return sums.withColumn("pos", (F.row_number().over(Window.partitionBy(*strata).orderBy("unit")) - 1).cast("long"))
+    return ordinal(sums, ["unit"], list(strata), "pos")
 
 
 def bootstrap_means(unit_sums: DataFrame, replicates: int, seed: int = 42, strata: tuple[str, ...] = ()) -> DataFrame:
@@ -118,7 +121,8 @@ def compare_resampling_units(df: DataFrame, value: str, key: str, cluster: str,
 def bootstrap_callable(df: DataFrame, statistic, replicates: int, seed: int = 42, most: int = 1_000_000) -> DataFrame:
     """(replicate, stat) for any function of a sample's values (a numpy array).
 
-    Such a function sees a whole resample at once, so a task must hold one: more than ``most`` rows are an error.
+    Such a function sees a whole resample at once, so a task must hold one: more than ``most`` rows are an error. Medians,
+    quantiles and trimmed means of larger tables are in ``order_bootstrap``.
     """
     import numpy as np
     import pandas as pd
@@ -163,6 +167,58 @@ def permutation_differences(unit_sums: DataFrame, group: str, first, replicates:
     return dealt.groupBy("replicate").agg(difference("_a", statistic).alias("difference"))
 
 
+def dealt_to(seed: int, replicate: int, chosen: int, units_: int, rows: int, chunk: int) -> int:
+    """How many of ``chosen`` out of all units fall to a chunk of ``rows`` units: halves share them by hypergeometric draws."""
+    import numpy as np
+
+    first, last, node = 0, -(-units_ // rows), 1
+    size = lambda i, j: min(j * rows, units_) - i * rows
+    while last - first > 1:
+        mid = (first + last) // 2
+        left = int(np.random.default_rng([seed, replicate, node, 5]).hypergeometric(size(first, mid), size(mid, last), chosen))
+        if chunk < mid:
+            last, chosen, node = mid, left, 2 * node
+        else:
+            first, chosen, node = mid, chosen - left, 2 * node + 1
+    return chosen
+
+
+def permutation_dealt(unit_sums: DataFrame, group: str, first, replicates: int, seed: int = 42, statistic: str = "mean_difference", rows: int = DEALT_UNITS) -> DataFrame:
+    """(replicate, labelled, difference) as ``permutation_differences``, without ranking the units of each replicate.
+
+    Units lie in chunks; a replicate's first-group labels are dealt to the chunks by hypergeometric draws, then to units
+    inside each chunk, so work is linear and a task holds a chunk. Every replicate labels the same number of units.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    labels = ordinal(_labels(unit_sums, group, first), ["unit"], name="pos")
+    m, k = labels.agg(F.count("*"), F.sum("is_first")).first()
+    if m >= 10**9:
+        raise ValueError("a billion units or more can't be dealt")
+    step = 500
+
+    def deal(table: pa.Table) -> pa.Table:
+        own = table.sort_by("pos")
+        chunk, turn = own.column("chunk")[0].as_py(), own.column("turn")[0].as_py()
+        x = np.stack([own.column(c).to_numpy().astype(float) for c in ("n", "s1", "s2")])
+        ids = range(turn * step + 1, min((turn + 1) * step, replicates) + 1)
+        out = np.zeros((len(ids), 4))
+        for i, r in enumerate(ids):
+            take = dealt_to(seed, r, k, m, rows, chunk)
+            at = np.random.default_rng([seed, r, chunk, 6]).permutation(x.shape[1])[:take]
+            out[i] = take, *x[:, at].sum(1)
+        cols = [pa.array(list(ids), pa.int64()), pa.array(out[:, 0].astype(np.int64)), *map(pa.array, out[:, 1:].T)]
+        return pa.table(cols, names=["replicate", "labelled", "n", "s1", "s2"])
+
+    spread = labels.select(F.floor(F.col("pos") / rows).alias("chunk"), "pos", "n", "s1", "s2", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // step))).alias("turn"))
+    dealt = spread.groupBy("chunk", "turn").applyInArrow(deal, "replicate long, labelled long, n double, s1 double, s2 double")
+    sums = dealt.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("labelled", "n", "s1", "s2")])
+    whole = labels.agg(F.struct(*[F.sum(c).cast("double").alias(c) for c in ("n", "s1", "s2")])).scalar()
+    both = sums.withColumn("w", whole).select("replicate", "labelled", F.explode(F.array(*[F.struct(F.lit(yes).alias("_a"), *[(F.col(c) if yes else F.col(f"w.{c}") - F.col(c)).alias(c) for c in ("n", "s1", "s2")]) for yes in (True, False)])).alias("x"))
+    return both.select("replicate", "labelled", "x.*").groupBy("replicate", "labelled").agg(difference("_a", statistic).alias("difference"))
+
+
 def difference(flag: str, statistic: str = "mean_difference") -> Column:
     """The statistic of the flagged units' rows against the others'."""
     on = lambda c, yes: F.when(F.col(flag) if yes else ~F.col(flag), F.col(c))
@@ -178,10 +234,11 @@ def difference(flag: str, statistic: str = "mean_difference") -> Column:
     return F.try_divide(means[0] - means[1], F.sqrt(var[0] + var[1]))
 
 
-def permutation_test(unit_sums: DataFrame, group: str, first, replicates: int, seed: int = 42, statistic: str = "mean_difference", rows: DataFrame | None = None) -> DataFrame:
+def permutation_test(unit_sums: DataFrame, group: str, first, replicates: int, seed: int = 42, statistic: str = "mean_difference", rows: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """Observed statistic, Monte Carlo p-values (1 + count) / (1 + replicates), the null's mean and deviation, and warnings.
 
-    Warnings are of few units and of a smallest attainable two-sided p-value above 0.01.
+    Warnings are of few units and of a smallest attainable two-sided p-value above 0.01. With ``dealt`` labels come from
+    ``permutation_dealt`` instead of ranks of hashes; medians have ranks only.
     """
     labels = _labels(unit_sums, group, first)
     flagged = labels.withColumn("_a", F.col("is_first") == 1)
@@ -190,7 +247,11 @@ def permutation_test(unit_sums: DataFrame, group: str, first, replicates: int, s
             raise ValueError("medians need the rows (unit, v)")
         flagged = rows.select("unit", "v").join(flagged.select("unit", "_a"), "unit")
     observed = flagged.agg(difference("_a", statistic)).scalar()
-    null = permutation_differences(unit_sums, group, first, replicates, seed, statistic, rows).withColumn("o", observed)
+    if dealt and statistic != "median_difference":
+        null = permutation_dealt(unit_sums, group, first, replicates, seed, statistic)
+    else:
+        null = permutation_differences(unit_sums, group, first, replicates, seed, statistic, rows)
+    null = null.withColumn("o", observed)
     slack = 1e-12 * F.greatest(F.lit(1.0), F.abs("o"))
     s = null.agg(F.first("o").alias("observed"), F.count("difference").alias("replicates"), F.count_if(F.col("difference") >= F.col("o") - slack).alias("up"), F.count_if(F.col("difference") <= F.col("o") + slack).alias("down"), F.avg("difference").alias("null_mean"), F.stddev_samp("difference").alias("null_sd"))
     p = lambda c: (F.col(c) + 1) / (F.col("replicates") + 1)
@@ -203,7 +264,7 @@ def permutation_test(unit_sums: DataFrame, group: str, first, replicates: int, s
 
 
 def permutation_auto(df: DataFrame, value: str, group: str, first, second, key: str, *, statistic: str = "mean_difference", replicates: int = REPLICATES, seed: int = 42, alternative: str = "two-sided", method: str = "auto") -> dict:
-    """Single rows permuted: every labelling where there are at most 50,000, else ``replicates`` of them by hashes.
+    """Single rows permuted: every labelling where there are at most 50,000, else ``replicates`` of them, dealt at random.
 
     Returns p_value, exact and the number of labellings or replicates. Only a sample that has so few labellings is
     brought to the driver.
@@ -220,7 +281,7 @@ def permutation_auto(df: DataFrame, value: str, group: str, first, second, key:
         p = exact_permutation([v for yes, v in values if yes], [v for yes, v in values if not yes], alternative, statistic)
         return {"p_value": p, "exact": True, "labellings": comb(n, k)}
     sums = units(rows, "v", "unit", "is_first")
-    row = permutation_test(sums, "is_first", True, replicates, seed, statistic, rows).first()
+    row = permutation_test(sums, "is_first", True, replicates, seed, statistic, rows, dealt=True).first()
     return {"p_value": row[{"two-sided": "p_value", "less": "p_less", "greater": "p_greater"}[alternative]], "exact": False, "labellings": row["replicates"]}
 
 

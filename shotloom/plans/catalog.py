@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import is_valid_location, marker_radius, shot_angle, shot_distance
-from ..operators import describe, effects, evaluate, explore, features, hypothesis, multiplicity, normalize, proportions, queries, resample
+from ..operators import boosting, describe, effects, evaluate, explore, features, hypothesis, multiplicity, normalize, order_bootstrap, proportions, queries, resample
 from ..streaming.ingest import windowed_counts
 from .standins import load, oracle
 
@@ -583,6 +583,37 @@ def kruskal(t):
     return hypothesis.kruskal_wallis(t("shots"), "quantity", "body_part").select("k", "n", F.round("h", 4).alias("h"))
 
 
+_EDGES = {"x": (72.0, 84.0, 96.0, 108.0), "y": (10.0, 35.0, 60.0)}
+
+
+@query("WITH p AS (SELECT avg(is_goal::INT) AS p FROM shots), b AS (SELECT under_pressure::INT AS node, (CASE WHEN is_goal THEN 1.0 ELSE 0.0 END)::DOUBLE AS y, unnest([{'f': 0, 'b': (x >= 72)::INT + (x >= 84)::INT + (x >= 96)::INT + (x >= 108)::INT}, {'f': 1, 'b': (y >= 10)::INT + (y >= 35)::INT + (y >= 60)::INT}]) AS u FROM shots) SELECT node, u.f AS feature, u.b AS bin, round(sum(p - b.y), 6) AS g, round(sum(p * (1 - p)), 6) AS h, count(*) AS n FROM b, p GROUP BY ALL")
+def gradient_histogram(t):
+    """The sums that a boosted tree's second level is chosen from: by side of a first split, feature and bin."""
+    shots = t("shots")
+    base = shots.agg(F.ln(F.avg(F.col("is_goal").cast("int")) / (1 - F.avg(F.col("is_goal").cast("int"))))).scalar()
+    bins = F.array(*[sum(((F.col(c) >= e).cast("int") for e in edges), F.lit(0)) for c, edges in _EDGES.items()])
+    rows = shots.select(F.col("under_pressure").cast("int").alias("node"), F.col("is_goal").cast("double").alias("y"), bins.alias("b"))
+    return rounded(boosting.gradient_histogram(rows, F.col("node"), base))
+
+
+@query()
+def bootstrap_median(t):
+    """The reference's 10,000 replicates of the median price, over all rows."""
+    return order_bootstrap.bootstrap_median(t("shots"), "price", resample.REPLICATES)
+
+
+@query()
+def bootstrap_trimmed_mean(t):
+    return order_bootstrap.bootstrap_trimmed_mean(t("shots"), "price", 0.1, 1000)
+
+
+@query()
+def permutation_dealt(t):
+    """The difference of mean prices of two halves of the players, whose labels are dealt anew in each replicate."""
+    sums = resample.units(t("shots").withColumn("even", F.col("player_id") % 2 == 0), "price", "player_id", "even")
+    return resample.permutation_dealt(sums, "even", True, resample.REPLICATES)
+
+
 # -- effect sizes -----------------------------------------------------------------------------------------------------
 @query(_TWO + "SELECT round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) AS cohens_d, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * exp(lgamma((n1 + n2 - 2) / 2) - lgamma((n1 + n2 - 3) / 2)) / sqrt((n1 + n2 - 2) / 2), 6) AS hedges_g FROM s")
 def cohens_d(t):

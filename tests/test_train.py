@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotloom import service
-from shotloom.operators import models
+from shotloom.operators import boosting, models
 
 
 @pytest.fixture(scope="module")
@@ -21,9 +21,10 @@ def shots(spark):
 
 
 FEW = {
-    "logistic_baseline": models.ALL_MODELS["logistic_baseline"],
-    "logistic_contextual": models.ALL_MODELS["logistic_contextual"],
+    "logistic_baseline": boosting.ALL_MODELS["logistic_baseline"],
+    "logistic_contextual": boosting.ALL_MODELS["logistic_contextual"],
     "boosted_contextual": lambda train, seed: models.fit_boosted(train, **models.CONTEXTUAL, step=0.5, most=4, patience=2, seed=seed),
+    "boosted_ordered_contextual": lambda train, seed: boosting.fit_ordered(train, **models.CONTEXTUAL, key="shot_distance", step=0.5, most=2, patience=2, seed=seed),
 }
 
 
@@ -41,6 +42,7 @@ def test_persist_list_and_serve(spark, shots, tmp_path):
     about = items["boosted_contextual"]["metadata"]
     assert (about["n_train_groups"], about["n_test_groups"], about["training_samples"] + about["test_samples"]) == (15, 5, 400)
     assert 1 <= about["n_trees"] <= 4 and "n_trees" not in items["logistic_baseline"]["metadata"]
+    assert items["boosted_ordered_contextual"]["metadata"]["trees_grown"] == 2 and items["boosted_ordered_contextual"]["metrics"]["roc_auc"] > 0.6
     assert items["logistic_baseline"]["metrics"]["roc_auc"] > 0.7 and items["logistic_baseline"]["metadata"]["features"] == ["shot_distance", "shot_angle"]
     near, far = (s.predict_shot("logistic_baseline", x, 40) for x in (114, 85))
     assert 0 < far < near < 1
