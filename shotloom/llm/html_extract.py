@@ -38,31 +38,154 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 _SCOPE = frozenset("article aside body div footer form header main nav ol section table td th ul blockquote".split())
 _P_CLOSERS = _SCOPE - {"td", "th", "body"} | frozenset("h1 h2 h3 h4 h5 h6 hr pre p dl figure figcaption address details".split())
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
 def _features(tag: str, attrs: str) -> tuple[str, ...]:
+    """The element's name, and the words of its class, id and role; those of short marks are kept, as pages repeat them."""
+    return _kept_features(tag, attrs) if len(attrs) < 200 else _read_features(tag, attrs)
+
+
+def _read_features(tag: str, attrs: str) -> tuple[str, ...]:
     out = [f"<{tag}>"]
     for m in _ATTR.finditer(attrs):
         out += [f".{w}" for w in _NAME.findall((m[2] or m[3] or m[4] or "").lower())]
-    return tuple(out)
+    return tuple(dict.fromkeys(out))
+
+
+_kept_features = lru_cache(maxsize=4096)(_read_features)
 
 
 class Block:
-    __slots__ = ("around", "link_words", "parts", "tags", "words")
+    """Text between block-level tags: its parts, the tags before it, and what stands around it: facts, or their score."""
+
+    __slots__ = ("around", "link_words", "parts", "score", "tags", "words")
+
+    def __init__(self, around: tuple, score: float, tags: int):
+        self.parts, self.around, self.score, self.tags, self.words, self.link_words = [], around, score, tags, 0, 0
+
+
+class _Next:
+    """Where a pattern comes next, for positions that only rise: text without it is passed once."""
+
+    def __init__(self, pattern: str, page: str):
+        self.find, self.page, self.since, self.found = re.compile(pattern).search, page, 0, -1
+
+    def __call__(self, at: int) -> int:
+        if not self.since <= at <= self.found:
+            m = self.find(self.page, at)
+            self.since, self.found = at, m.start() if m else len(self.page)
+        return self.found
+
+
+class _Cursor:
+    """Marks of a page from left to right, in time that is linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.n = page, len(page)
+        self.open, self.close, self.name_end, self.special = (_Next(x, page) for x in ("<", ">", r"[\s/>]", "[>\"']"))
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.hopeless: set[int] = set()  # quotes outside of quotes after which no mark ends
+
+    def _end(self, at: int) -> int:
+        """Where the > is that ends a mark, outside of quotes; -1 if there is none."""
+        seen = []
+        while (at := self.special(at)) < self.n and at not in self.hopeless:
+            quote = self.page[at]
+            if quote == ">":
+                return at
+            seen.append(at)
+            if self.last[quote] <= at:
+                break
+            at = self.page.find(quote, at + 1) + 1
+        self.hopeless.update(seen)
+        return -1
+
+    def mark(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" or "", element, attributes) of the next mark; comments and declarations have no element."""
+        page, n = self.page, self.n
+        while (at := self.open(at)) < n:
+            after = page[at + 1 : at + 2]
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else n, "", "", ""
+            slash = "/" if after == "/" else ""
+            first = page[at + 2 : at + 3] if slash else after
+            if after in ("!", "?") and after:
+                end = self.close(at)
+                if end < n:
+                    return at, end + 1, "", "", ""
+            elif first.isascii() and first.isalpha():
+                begin = at + 1 + len(slash)
+                stop = self.name_end(begin)
+                if self.close(stop) < n:
+                    end = self._end(stop)
+                    end = end if end >= 0 else self.close(stop)
+                    return at, end + 1, slash, page[begin:stop].lower(), page[stop:end]
+            at += 1
+        return None
+
+
+class _Open:
+    """The open elements, where each kind of them stands, and the facts that they add; push and pop cost what they add."""
+
+    def __init__(self, learned: dict[str, float] | None):
+        self.learned, self.elements, self.facts, self.places = learned, [], set(), {}
+        self.kinds, self.lists = {"block": [], "scope": [], "scope but cells": []}, {}
 
-    def __init__(self, around: tuple, tags: int):
-        self.parts, self.around, self.tags, self.words, self.link_words = [], around, tags, 0, 0
+    def push(self, tag: str, attrs: str) -> None:
+        new = [f for f in _features(tag, attrs) if f not in self.facts]
+        self.facts.update(new)
+        score = self.score + (sum(self.learned.get(f, 0.0) for f in new) if self.learned else 0.0)
+        for place in self._lists(tag):
+            place.append(len(self.elements))
+        self.elements.append((tag, new, score))
 
+    def _lists(self, tag: str) -> list[list[int]]:
+        """The lists of places that an element stands in."""
+        if tag not in self.lists:
+            of = [self.places.setdefault(tag, [])]
+            of += [self.kinds["block"]] * (tag not in INLINE) + [self.kinds["scope"]] * (tag in _SCOPE)
+            self.lists[tag] = of + [self.kinds["scope but cells"]] * (tag in _SCOPE and tag not in ("td", "th"))
+        return self.lists[tag]
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order: text between block-level tags, the features of the elements around it, tags before it."""
-    stack: list[tuple[str, tuple]] = []
-    out: list[Block] = []
+    @property
+    def score(self) -> float:
+        return self.elements[-1][2] if self.elements else 0.0
+
+    def pop_to(self, k: int) -> None:
+        while len(self.elements) > k:
+            tag, new, _ = self.elements.pop()
+            self.facts.difference_update(new)
+            for place in self._lists(tag):
+                place.pop()
+
+    def last(self, tag: str) -> int:
+        return places[-1] if (places := self.places.get(tag)) else -1
+
+    def kind(self, name: str) -> int:
+        return self.kinds[name][-1] if self.kinds[name] else -1
+
+    def close(self, tag: str) -> None:
+        """An inline element is closed only inside the block that it stands in."""
+        k = self.last(tag)
+        if k >= 0 and (tag not in INLINE or k > self.kind("block")):
+            self.pop_to(k)
+
+    def shut_before(self, tag: str) -> None:
+        """Close what the opening of an element closes, within the scope it stands in."""
+        shut = CLOSES.get(tag, set()) | ({"p"} if tag in _P_CLOSERS else set())
+        k = max((self.last(t) for t in shut), default=-1)
+        if k >= 0 and k >= self.kind("scope but cells" if tag == "tr" else "scope"):
+            self.pop_to(k)
+
+
+def blocks_of(page: str, learned: dict[str, float] | None = None) -> list[Block]:
+    """The page's text blocks in order, with the score of what stands around each; without ``learned``, with its facts."""
+    cursor, open_, out = _Cursor(page), _Open(learned), []
     now: Block | None = None
-    tags, at, n, links = 0, 0, len(page), 0
+    tags, at, n = 0, 0, len(page)
     lower = None
 
     def put(text: str) -> None:
@@ -72,31 +195,25 @@ def blocks_of(page: str) -> list[Block]:
         if now is None:
             if text.isspace():
                 return
-            now = Block(tuple(f for _, f in stack), tags)
+            now = Block(() if learned is not None else tuple(open_.facts), open_.score, tags)
             tags = 0
             out.append(now)
         now.parts.append(text)
-        if links:
+        if open_.last("a") >= 0:
             now.link_words += len(text.split())
 
-    def pop_to(k: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
-
     while at < n:
-        m = _MARK.search(page, at)
+        m = cursor.mark(at)
         if m is None:
             rest = page[at:]
             cut = re.search(r"<[a-zA-Z/!]", rest)
             put(rest[: cut.start()] if cut else rest)
             break
-        put(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        start, end, closing, tag, attrs = m
+        put(page[at:start])
+        at = end
         if not tag:
             continue
-        closing, attrs = m[1] or m[4], m[3] or m[6] or ""
         if not closing and tag in RAW and not attrs.endswith("/"):
             lower = page.lower() if lower is None else lower
             lower = lower if len(lower) == n else re.sub("[A-Z]", lambda x: x[0].lower(), page)
@@ -116,35 +233,21 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            open_.close(tag)
             continue
-        shut = CLOSES.get(tag, set()) | ({"p"} if tag in _P_CLOSERS else set())
-        if shut:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shut:
-                    pop_to(k)
-                    break
-                if stack[k][0] in _SCOPE and not (tag == "tr" and stack[k][0] in ("td", "th")):
-                    break
+        open_.shut_before(tag)
         if not attrs.endswith("/"):
-            stack.append((tag, _features(tag, attrs)))
-            links += tag == "a"
+            open_.push(tag, attrs)
     for b in out:
         b.parts = [" ".join(_html.unescape("".join(b.parts)).split())]
         b.words = len(b.parts[0].split())
     return [b for b in out if b.words]
 
 
-def _facts(block: Block) -> list[str]:
-    """What a block's words are judged by."""
-    around = {f for element in block.around for f in element}
+def _own_facts(block: Block) -> list[str]:
+    """What a block's words are judged by beside the elements around it."""
     share = block.link_words / max(1, block.words)
-    return [*around, *(["linked"] if share > 0.5 else ["part linked"] if share > 0.2 else []), "any"]
+    return [*(["linked"] if share > 0.5 else ["part linked"] if share > 0.2 else []), "any"]
 
 
 @lru_cache(maxsize=1)
@@ -157,7 +260,7 @@ def weights(pages: int = PAGES, epochs: int = EPOCHS) -> dict[str, float]:
         truth: dict[str, bool] = {t: c for _, t, c in page if t is not None}
         for b in blocks_of(marked):
             if b.parts[0] in truth:
-                rows.append(_facts(b))
+                rows.append([*b.around, *_own_facts(b)])
                 y.append(truth[b.parts[0]])
     names = {f: k for k, f in enumerate(sorted({f for r in rows for f in r}))}
     x = np.zeros((len(rows), len(names)))
@@ -173,22 +276,30 @@ def weights(pages: int = PAGES, epochs: int = EPOCHS) -> dict[str, float]:
     return {f: float(w[k]) for f, k in names.items()}
 
 
-def extract(page: str | None, learned: dict[str, float]) -> str:
-    """The main text of one page."""
-    found = blocks_of(page) if page else []
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """(first, end) of the run with the largest sum, the shortest from its start on; empty if none is above zero."""
     best = total = 0.0
     region, start = (0, 0), 0
-    scores = []
-    for k, b in enumerate(found):
-        score = max(-LIMIT, min(LIMIT, sum(learned.get(f, 0.0) for f in _facts(b))))
-        scores.append(score)
-        total += TAG_SCORE * b.tags
+    for k, x in enumerate(scores):
         if total <= 0:
             total, start = 0.0, k
-        total += score * b.words * (1 if score > 0 else ISLAND)
+        total += x
         if total > best:
             best, region = total, (start, k + 1)
-    return "\n".join(b.parts[0] for b, s in zip(found[region[0] : region[1]], scores[region[0] : region[1]], strict=True) if s > 0)
+    return region
+
+
+def extract(page: str | None, learned: dict[str, float]) -> str:
+    """The main text of one page."""
+    found = blocks_of(page, learned) if page else []
+    scores, runs = [], []
+    for b in found:
+        score = max(-LIMIT, min(LIMIT, b.score + sum(learned.get(f, 0.0) for f in _own_facts(b))))
+        scores.append(score)
+        # a block's tags, then its words
+        runs += [TAG_SCORE * b.tags, score * b.words * (1 if score > 0 else ISLAND)]
+    first, end = best_run(runs)
+    return "\n".join(b.parts[0] for b, s in zip(found[first // 2 : (end + 1) // 2], scores[first // 2 : (end + 1) // 2], strict=True) if s > 0)
 
 
 def extract_pages(pages: DataFrame, *carry: str) -> DataFrame:

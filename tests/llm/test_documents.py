@@ -181,3 +181,61 @@ def test_pipeline(spark):
     assert rows.groupby("sequence_id").length.sum().max() <= 2048
     assert set(rows.doc_id) <= {r.doc_id for r in docs.select("doc_id").collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "MinHash near-dedup", "best-fit packing"]
+
+
+def test_run_is_the_best_of_all():
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    for _ in range(400):
+        x = [rng.choice((-6, -3, -1, -1, 0, 1, 2, 5)) for _ in range(rng.randint(0, 14))]
+        best = max((sum(x[i:j]) for i, j in itertools.combinations(range(len(x) + 1), 2)), default=0)
+        first, end = html_extract.best_run(x)
+        assert sum(x[first:end]) == max(0, best) and (end > first) == (best > 0)
+
+
+def test_marked_runs_of_pages_are_the_best_of_all():
+    """The region of real pages: no other run of tags and words scores more."""
+    learned = html_extract.weights()
+    for seed in range(3000, 3020):
+        blocks = html_extract.blocks_of("".join(h + (t or "") for h, t, _ in labelled_page(seed)), learned)
+        runs = []
+        for b in blocks:
+            score = max(-html_extract.LIMIT, min(html_extract.LIMIT, b.score + sum(learned.get(f, 0.0) for f in html_extract._own_facts(b))))
+            runs += [html_extract.TAG_SCORE * b.tags, score * b.words * (1 if score > 0 else html_extract.ISLAND)]
+        first, end = html_extract.best_run(runs)
+        assert sum(runs[first:end]) >= max(sum(runs[i:j]) for i in range(len(runs)) for j in range(i + 1, len(runs) + 1)) - 1e-9
+
+
+LONG_PAGES = {
+    "nested": lambda n: "<div>word two" * n,
+    "open quotes": lambda n: '<a "' * n,
+    "odd quotes": lambda n: '<div title="x>a' * n + "'",
+    "unclosed": lambda n: "<a " * n,
+    "closers of nothing": lambda n: "<div>" * n + "</section>x" * n,
+    "inline": lambda n: "<b><div>" + "<i>" * n + "</b>x" * n,
+    "names": lambda n: "<a<" * n,
+}
+
+
+@pytest.mark.parametrize("kind", LONG_PAGES)
+def test_time_is_linear(kind):
+    import time
+
+    learned, took = html_extract.weights(), []
+    for n in (8_000, 64_000):
+        page = LONG_PAGES[kind](n)
+        began = time.process_time()
+        html_extract.extract(page, learned)
+        took.append(time.process_time() - began)
+    # a quadratic scan would take 64 times as long; the floor keeps short times out of it
+    assert took[1] < 20 * max(took[0], 0.05)
+
+
+def test_long_page_and_empty_table(spark):
+    page = "<nav><a href=x>Home</a></nav><article>" + "<p>plain words of a story &amp; more</p>" * 250_000 + "</article>"
+    text = html_extract.extract(page, html_extract.weights())
+    assert len(page) > 9_000_000 and text.split("\n") == ["plain words of a story & more"] * 250_000
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.extract_pages(empty, "page_id", "url").collect() == []
