@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .ranks import ordinal, running_sums
 
 R = 6
+#: Fixed value: the event of an own goal, on the side that gains it.
+OWN_GOAL = "Own Goal For"
 
 
 def _r(c: Column, digits: int = R) -> Column:
@@ -118,11 +120,16 @@ def codes(df: DataFrame, column: str) -> DataFrame:
     return ordinal(df.select(column).distinct(), [column], name="code")
 
 
-def reconciliation(matches: DataFrame, shots: DataFrame) -> DataFrame:
-    """Goals of shots against goals of scores: what is left are own goals."""
+def reconciliation(matches: DataFrame, shots: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Goals of shots against goals of scores: what is left are own goals, which are counted too where ``events`` are given."""
     goals = shots.where("NOT is_shootout").agg(F.count_if("is_goal")).scalar()
     rows = matches.agg(F.sum("total_goals").cast("long").alias("score_goals"))
-    return rows.select("score_goals", goals.alias("shot_goals"), (F.col("score_goals") - goals).alias("difference"))
+    rows = rows.select("score_goals", goals.alias("shot_goals"), (F.col("score_goals") - goals).alias("difference"))
+    if events is None:
+        return rows
+    # each is recorded for the team that gains and for the one that concedes
+    own = events.where(F.col("type") == OWN_GOAL).agg(F.count("*")).scalar()
+    return rows.withColumn("own_goals", own).withColumn("unexplained", F.col("difference") - F.col("own_goals"))
 
 
 def spanning(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -236,7 +234,8 @@ def welch_anova(groups: DataFrame) -> DataFrame:
     s = g.agg(F.count("*").alias("k"), F.sum(F.col("w") * F.pow(F.col("mean") - F.col("t.mean"), F.lit(2.0))).alias("a"), F.sum(F.pow(1 - F.col("w") / F.col("t.w"), F.lit(2.0)) / (F.col("n") - 1)).alias("l"))
     k = F.col("k").cast("double")
     rows = s.select("k", (F.col("k") - 1).alias("df1"), ((k * k - 1) / (3 * F.col("l"))).alias("df2"), ((F.col("a") / (k - 1)) / (1 + 2 * (k - 2) / (k * k - 1) * F.col("l"))).alias("f"))
-    return rows.withColumn("p_value", f_sf(F.col("f"), F.col("df1"), F.col("df2")))
+    warn = _warnings((F.col("k") == 2, "two groups: equivalent to a t-test"), (F.lit(True), CLUSTERING))
+    return rows.withColumn("p_value", f_sf(F.col("f"), F.col("df1"), F.col("df2"))).select("*", warn)
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -246,9 +245,7 @@ def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
     ties = per.agg(F.sum(F.col("tied").cast("double") * F.col("tied") * F.col("tied") - F.col("tied"))).scalar()
     s = sums.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"))
     n = F.col("n").cast("double")
-    rows = s.select("k", "n", (F.col("k") - 1).alias("df"), ((12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - ties / (n * n * n - n))).alias("h"))
-    return rows.withColumn("p_value", chi2_sf(F.col("h"), F.col("df")))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    s = s.withColumns({"_ties": ties, "_dropped": df.agg(F.count_if(F.col(group).isNotNull() & ~F.coalesce(finite(value), F.lit(False)))).scalar()})
+    rows = s.select("k", "n", (F.col("k") - 1).alias("df"), ((12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("_ties") / (n * n * n - n))).alias("h"), "_ties", "_dropped")
+    warn = _warnings((F.col("_dropped") > 0, "values that aren't finite were left out"), (F.col("k") == 2, "two groups: equivalent to a two-sample test"), (F.col("_ties") > 0, "ties: the statistic is corrected for them"), (F.lit(True), CLUSTERING))
+    return rows.select("k", "n", "df", "h", chi2_sf(F.col("h"), F.col("df")).alias("p_value"), warn)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +14,12 @@ from .functions.geometry import shot_angle, shot_distance
 from .operators import features, hypothesis, models, queries
 from .sources.tables import read_table
 
+logger = logging.getLogger(__name__)
 
-#: The model that answers where none is named.
-DEFAULT_MODEL = "logistic_contextual"
+#: The model that answers where none is named, if there is one of that name; else the first there is.
+DEFAULT_MODEL = "logistic_baseline"
+#: Metrics that a listed model must have.
+METRICS = ("roc_auc", "log_loss", "brier")
 
 
 class NotFoundError(LookupError):
@@ -49,38 +55,56 @@ class Service:
         return features.build_shot_features(self._table("shots"), self._table("matches"))
 
     def models(self) -> dict:
-        """The saved models with their metrics and metadata."""
-        names = models.list_artifacts(self.spark, self.models_root) if self.models_root else []
-        return {"items": [models.describe_artifact(self.spark, n, self.models_root) for n in names]}
-
-    def _model(self, name: str | None):
-        """The named model, or the default one."""
+        """The saved models with their metrics and metadata; those that can't be read, or lack a metric, are left out."""
+        items = []
+        for name in models.list_artifacts(self.spark, self.models_root) if self.models_root else []:
+            try:
+                found = models.describe_artifact(self.spark, name, self.models_root)
+                if any(not isinstance(found["metrics"][m], int | float) for m in METRICS):
+                    raise ValueError(f"{METRICS} are needed")
+            except (PySparkException, ValueError, KeyError, TypeError) as e:
+                logger.warning("model %s is left out: %s", name, str(e).split("\n")[0])
+                continue
+            items.append(found)
+        return {"items": items}
+
+    def _model(self, name: str | None) -> tuple:
+        """The name and pipeline of the named model, or of the default one."""
         if self.models_root is None:
             raise UnavailableError("no models are configured")
-        name = name or DEFAULT_MODEL
         found = models.list_artifacts(self.spark, self.models_root)
         if not found:
             raise UnavailableError("no models have been trained")
+        name = name or (DEFAULT_MODEL if DEFAULT_MODEL in found else found[0])
         if name not in found:
             raise NotFoundError(f"model {name}: there are {', '.join(found)}")
-        return models.load_model(f"{self.models_root}/{name}/model")
+        try:
+            return name, models.load_model(f"{self.models_root}/{name}/model")
+        except (PySparkException, Py4JJavaError, ValueError) as e:
+            raise UnavailableError(f"model {name} can't be loaded") from e
 
     def match_shots(self, match_id: int, model: str | None = None) -> dict:
-        """A match's shot map; probabilities are null without a model."""
+        """A match's shot map with probabilities of the named or default model; they are null where no model has been trained."""
         match = queries.match_row(self._table("matches"), match_id).first()
         if match is None:
             raise NotFoundError(f"match {match_id}")
         data = self.dataset().where(F.col("match_id") == match_id)
-        scores = models.predict(self._model(model), data).select("shot_id", "probability") if model else None
+        some = bool(self.models_root and models.list_artifacts(self.spark, self.models_root))
+        if model and not some:
+            raise UnavailableError("no models have been trained")
+        chosen, scores = None, None
+        if some:
+            chosen, fitted = self._model(model)
+            scores = models.predict(fitted, data).select("shot_id", "probability")
         shots = queries.match_shots(data, self._table("shots"), match_id, scores)
-        return {"match": match.asDict(), "shots": [r.asDict() for r in shots.collect()]}
+        return {"match": match.asDict(), "model": chosen, "shots": [r.asDict() for r in shots.collect()]}
 
     def predict_shot(self, model: str | None, x: float, y: float, **context) -> float:
         """The probability of a shot by a model (the default one for None); its geometry is derived from the location."""
         if not (0 <= x <= 120 and 0 <= y <= 80):
             raise ValueError("the location lies outside the pitch")
-        fitted = self._model(model)
-        wanted = models.load_metrics(self.spark, model or DEFAULT_MODEL, self.models_root, "metadata.json")["features"]
+        name, fitted = self._model(model)
+        wanted = models.load_metrics(self.spark, name, self.models_root, "metadata.json")["features"]
         missing = sorted({f.split("=")[0] for f in wanted} - {"shot_distance", "shot_angle", *(k for k, v in context.items() if v is not None)})
         if missing:
             raise ValueError(f"the model also needs {', '.join(missing)}")

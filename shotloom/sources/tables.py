@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schemas import TABLES
+from ..schemas import DATASET_COLUMNS, TABLES
 from .raw import SourceError
 
+DATASET = "shot_dataset"
+
 
 @dataclass(frozen=True, slots=True)
 class TableSummary:
     name: str
     rows: int
     columns: int
+    bytes: int
 
 
 def apply_schema(df: DataFrame, name: str) -> DataFrame:
@@ -34,9 +37,29 @@ def write_table(df: DataFrame, name: str, root: str) -> TableSummary:
     """Overwrites one table; rows are counted while they are written."""
     if name not in TABLES:
         raise SourceError(f"unknown table {name}; tables are {sorted(TABLES)}")
+    return _write(df, name, root)
+
+
+def _write(df: DataFrame, name: str, root: str) -> TableSummary:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{name}")
-    return TableSummary(name, seen.get["rows"], len(df.columns))
+    target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    files = target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    return TableSummary(name, seen.get["rows"], len(df.columns), files.getContentSummary(target).getLength())
+
+
+def write_shot_dataset(df: DataFrame, root: str) -> TableSummary:
+    """Overwrites the feature table, which must have exactly the columns of ``schemas.DATASET_COLUMNS``."""
+    if tuple(df.columns) != DATASET_COLUMNS:
+        raise SourceError(f"{DATASET}: the columns must be {', '.join(DATASET_COLUMNS)}")
+    return _write(df, DATASET, root)
+
+
+def read_shot_dataset(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return spark.read.parquet(f"{root}/{DATASET}")
+    except AnalysisException as e:
+        raise SourceError(f"{DATASET} isn't under {root}; build the features first") from e
 
 
 def read_table(spark: SparkSession, name: str, root: str) -> DataFrame:

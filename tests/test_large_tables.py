@@ -94,3 +94,21 @@ def test_fisher_of_huge_margins(spark):
     near, far = (r.p_value for r in hypothesis.fisher_exact(rows).collect())
     # the normal approximation is close for margins of 10^8
     assert near == pytest.approx(0.1573, abs=0.001) and far < 1e-40
+
+
+def test_warnings_of_many_groups(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("b", 4.0), ("b", 7.0), ("b", float("nan"))], "g string, v double")
+    ranks = hypothesis.kruskal_wallis(rows, "v", "g").first().warnings
+    assert [any(w in x for x in ranks) for w in ("left out", "two groups", "ties")] == [True, True, True]
+    means = hypothesis.welch_anova(hypothesis.group_statistics(rows, "v", "g")).first().warnings
+    assert any("two groups" in x for x in means) and not any("ties" in x for x in means)
+
+
+def test_own_goals_are_reconciled(spark):
+    from shotloom.operators import explore
+
+    matches = spark.createDataFrame([(1, 3), (2, 2)], "match_id long, total_goals long")
+    shots = spark.createDataFrame([(1, True, False), (1, True, False), (2, True, False), (2, True, True)], "match_id long, is_goal boolean, is_shootout boolean")
+    events = spark.createDataFrame([("Own Goal For",), ("Own Goal Against",), ("Pass",)], "type string")
+    assert tuple(explore.reconciliation(matches, shots).first()) == (5, 3, 2)
+    assert tuple(explore.reconciliation(matches, shots, events).first()) == (5, 3, 2, 1, 1)

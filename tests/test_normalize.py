@@ -88,11 +88,25 @@ def test_sources_refuse(spark, tmp_path):
 
 def test_round_trip(built, spark, tmp_path):
     for name, df in built.items():
-        assert tables.write_table(df, name, str(tmp_path)).rows == df.count()
+        summary = tables.write_table(df, name, str(tmp_path))
+        assert summary.rows == df.count() and summary.bytes == sum(f.stat().st_size for f in (tmp_path / name).iterdir() if not f.name.startswith("."))
     tables.register_views(spark, str(tmp_path))
     assert spark.sql("SELECT count(*) FROM shots").first()[0] == 2
 
 
+def test_feature_table(built, spark, tmp_path):
+    from shotloom.operators import features
+
+    with pytest.raises(tables.SourceError, match="build"):
+        tables.read_shot_dataset(spark, str(tmp_path))
+    data = features.build_shot_features(built["shots"], built["matches"])
+    assert tables.write_shot_dataset(data, str(tmp_path)).rows == data.count()
+    again = tables.read_shot_dataset(spark, str(tmp_path))
+    assert again.columns == data.columns and again.collect() == data.collect()
+    with pytest.raises(tables.SourceError, match="columns"):
+        tables.write_shot_dataset(data.drop("goal"), str(tmp_path))
+
+
 def test_ids_and_names_are_required(spark, lake, tmp_path):
     """A shot without a player or team fails, as do lineups without a name; the first of repeated events stays."""
     events = raw.load_events(spark, lake)

@@ -1,3 +1,5 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,11 +48,24 @@ def test_persist_list_and_serve(spark, shots, tmp_path):
     assert items["logistic_baseline"]["metrics"]["roc_auc"] > 0.7 and items["logistic_baseline"]["metadata"]["features"] == ["shot_distance", "shot_angle"]
     near, far = (s.predict_shot("logistic_baseline", x, 40) for x in (114, 85))
     assert 0 < far < near < 1
+    assert s.predict_shot(None, 114, 40) == near  # the baseline answers where none is named
     with pytest.raises(ValueError, match="body_part"):
-        s.predict_shot(None, 108, 40)
-    assert 0 < s.predict_shot(None, 108, 40, body_part="Foot", shot_type="Open Play", technique="Normal", under_pressure=False, first_time=True) < 1
+        s.predict_shot("logistic_contextual", 108, 40)
+    assert 0 < s.predict_shot("logistic_contextual", 108, 40, body_part="Foot", shot_type="Open Play", technique="Normal", under_pressure=False, first_time=True) < 1
     with pytest.raises(service.NotFoundError):
         s.predict_shot("other", 108, 40)
+    # without the baseline the first model answers; what can't be read is left out of the list
+    few = tmp_path / "few"
+    shutil.copytree(tmp_path / "models" / "logistic_contextual", few / "contextual")
+    shutil.copytree(tmp_path / "models" / "logistic_contextual", few / "broken")
+    for part in (few / "broken" / "metrics.json").iterdir():
+        part.write_text("{ not json") if part.name.startswith("part") else part.unlink()
+    for crc in (few / "broken" / "metrics.json").glob(".*crc"):
+        crc.unlink()
+    other = service.Service(spark, str(tmp_path), str(few))
+    assert [x["name"] for x in other.models()["items"]] == ["contextual"]
+    shutil.rmtree(few / "broken")
+    assert 0 < other.predict_shot(None, 108, 40, body_part="Foot", shot_type="Open Play", technique="Normal", under_pressure=False, first_time=True) < 1
 
 
 def test_repeated_splits(shots, tmp_path):
