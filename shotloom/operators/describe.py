@@ -45,7 +45,8 @@ def describe_by_group(df: DataFrame, value: str, *groups: str, digits: int = 6)
     by = list(groups) or ["_all"]
     v = F.when(finite(value), F.col(value))
     rows = df.select(*([F.col(g) for g in groups] or [F.lit(0).alias("_all")]), F.col(value).alias("raw"), v.alias("v"))
-    moments = rows.groupBy(*by).agg(
+    # without groups this is one aggregate, not one by a constant
+    moments = (rows.groupBy(*by) if groups else rows).agg(
         F.count("*").alias("n_total"),
         F.count("v").alias("n_observed"),
         F.count_if(F.col("raw").isNull() | F.isnan("raw")).alias("n_missing"),
@@ -58,6 +59,8 @@ def describe_by_group(df: DataFrame, value: str, *groups: str, digits: int = 6)
         skewness_g1("v").alias("skewness"),
         kurtosis_g2("v").alias("kurtosis"),
     )
+    if not groups:
+        moments = moments.withColumn("_all", F.lit(0))
     counts = rows.where("v IS NOT NULL").groupBy(*by, "v").agg(F.count("*").alias("n"))
     q = quantiles(counts, "v", "n", list(QUANTILES), by)
     centers = q.select(*by, F.col("q")[3].alias("median"), F.col("q")[2].alias("q1"), F.col("q")[4].alias("q3"), "q")
