@@ -4,8 +4,8 @@ A vector of norm r gets one more component, the root of R^2 - r^2 with R the lar
 norm R with 0 there: the largest inner product then is the least distance, whatever the norms. Lists hold the rows near a
 centroid. Centroids come from a bounded sample that is cut in two, again and again, across the line between the means of
 both sides, where the shares of lists to come divide it, so that lists are about even. A row near a border stands in
-several lists: those of the next centroids within ``BORDER`` times the least distance, unless a list it stands in is
-closer to such a centroid than the row is. Lists are dealt into shards of bounded size, larger ones in pieces.
+several lists: those of the next centroids within ``BORDER`` times the least distance, unless a list it stands in is closer
+to such a centroid than ``APART`` times the row is (of noise, centroids lie closer to each other than any row to them). Lists are dealt into shards of bounded size, larger ones in pieces.
 
 A query walks a graph of the centroids (each with its nearest ones, its neighbours in the order of the cuts, and a few
 far ones), best first, and takes every list within a ratio of the least distance. The ratio is measured: a bounded number
@@ -32,8 +32,8 @@ from .storage import free, staged
 
 #: Rows that the centroids are fitted on, at most; lists at most; rows of a sample for a list, at least.
 SAMPLE, MOST_LISTS, SAMPLE_OF_LIST = 65_536, 4096, 8
-#: How much farther than its nearest centroid a further one may be, and lists of a row at most.
-BORDER, REPLICAS = 1.15, 4
+#: How much farther than its nearest centroid a further one may be, how far apart a row's lists are, and lists of a row at most.
+BORDER, APART, REPLICAS = 1.15, 0.45, 4
 #: Queries that the ratio is measured on, and the share of their neighbours that it must reach.
 MEASURED, RECALL = 128, 0.97
 #: Entries of a shard, and queries that a task takes at once.
@@ -115,7 +115,7 @@ class Index:
         for j in range(1, width):
             ok = (away[:, j] <= BORDER**2 * away[:, 0]) & (kept.sum(1) < REPLICAS)
             for i in range(j):
-                ok &= ~kept[:, i] | (((c[near[:, i]] - c[near[:, j]]) ** 2).sum(1) > away[:, j])
+                ok &= ~kept[:, i] | (((c[near[:, i]] - c[near[:, j]]) ** 2).sum(1) > APART**2 * away[:, j])
             kept[:, j] = ok
         return [n[k] for n, k in zip(near, kept, strict=True)]
 
