@@ -1,9 +1,10 @@
 """A quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated by temperature.
 
 Each word has a sparse random index vector, derived from its hash; its context vector is the sum of the index vectors of
-the words around it in the fitting sample. A document is the mean of its words' index and context vectors. Besides
-words, a text yields markers, which have vectors as words do: what symbol ends a word, that it is in capitals, repeats
-its predecessor or, if long, occurred before in the text. Scores see nothing but the text.
+the words around it in the fitting sample. Its sub-word vector is the sum of the index vectors of its first byte, its last
+byte and its last two. The order of words is kept by binding: the products, place by place, of the index vectors of a word
+and its successor, whose mean is near zero for words that change and positive for those that repeat. A document is the
+means of its words' index, context and sub-word vectors and of its bindings. Scores see nothing but the text.
 
 Fitting takes at most ``SAMPLE`` labelled documents (those with the smallest hash of their ids), which is what reaches
 the driver, as vectors of fixed size; scoring reads every whole text in one pass without a shuffle.
@@ -15,7 +16,7 @@ row each; a null ``doc_id`` stays null; other columns are ignored; an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,45 +29,35 @@ from .words import Words, batched, mix, words_of
 
 #: Labelled documents that fitting may take.
 SAMPLE = 8000
-BUCKETS, MARKERS = 1 << 14, 16
+BUCKETS = 1 << 14
 DIM, NONZERO, HIDDEN = 48, 6, 32
 CONTEXT = (1, 2)
 THRESHOLD = 0.3
-SYMBOLS = b"%*$#&!|<>?=_"
-_CAPITALS, _REPEAT, _LONG, _AGAIN = range(len(SYMBOLS), len(SYMBOLS) + 4)
-LONG_WORD = 7
+#: Seeds of the hashes of the three sub-word parts.
+FIRST, LAST, LAST_TWO = 1, 2, 3
+#: Words whose vectors are held at a time.
+TILE = 1 << 13
 
 
 def index_vectors() -> np.ndarray:
-    """The index vector of each bucket and marker: ``NONZERO`` places of 1 or -1."""
-    n = BUCKETS + MARKERS
-    out = np.zeros((n, DIM), np.float32)
+    """The index vector of each bucket: ``NONZERO`` places of 1 or -1."""
+    out = np.zeros((BUCKETS, DIM), np.float32)
     for k in range(NONZERO):
-        h = mix(np.arange(n, dtype=np.uint64) * np.uint64(NONZERO) + np.uint64(k + 1))
-        out[np.arange(n), (h >> np.uint64(8)) % np.uint64(DIM)] += np.where(h & np.uint64(1), 1, -1)
+        h = mix(np.arange(BUCKETS, dtype=np.uint64) * np.uint64(NONZERO) + np.uint64(k + 1))
+        out[np.arange(BUCKETS), (h >> np.uint64(8)) % np.uint64(DIM)] += np.where(h & np.uint64(1), 1, -1)
     return out
 
 
-def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the vector table for words, then (document, row) of the markers."""
-    rows = (w.hash % np.uint64(BUCKETS)).astype(np.int64)
-    marks = []
-    if len(rows):
-        symbol = np.full(256, -1)
-        symbol[list(SYMBOLS)] = np.arange(len(SYMBOLS))
-        last = symbol[w.data[w.end - 1]]
-        small = np.concatenate([[0], np.cumsum((w.data >= 97) & (w.data <= 122))])
-        large = np.concatenate([[0], np.cumsum((w.data >= 65) & (w.data <= 90))])
-        capitals = (small[w.end] == small[w.start]) & (large[w.end] - large[w.start] > 1)
-        repeat = np.concatenate([[False], (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])])
-        long = np.flatnonzero(w.end - w.start >= LONG_WORD)
-        own = mix(w.hash[long] ^ mix(w.doc[long].astype(np.uint64)))
-        again = np.ones(len(long), bool)
-        again[np.unique(own, return_index=True)[1]] = False
-        marks = [(np.flatnonzero(last >= 0), last[last >= 0]), (np.flatnonzero(capitals), _CAPITALS), (np.flatnonzero(repeat), _REPEAT), (long, _LONG), (long[again], _AGAIN)]
-    at = np.concatenate([m[0] for m in marks]) if marks else np.zeros(0, np.int64)
-    kind = np.concatenate([np.broadcast_to(m[1], len(m[0])) for m in marks]) if marks else np.zeros(0, np.int64)
-    return rows, (w.doc[at] if len(at) else at), kind + BUCKETS
+def word_rows(w: Words) -> np.ndarray:
+    """The bucket of each word."""
+    return (w.hash % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def part_rows(w: Words) -> Iterator[np.ndarray]:
+    """The bucket of each word's first byte, last byte, and last two bytes (its only byte stands for both)."""
+    first, last, before = (w.data[at].astype(np.uint64) for at in (w.start, w.end - 1, np.maximum(w.end - 2, w.start)))
+    for seed, value in ((FIRST, first), (LAST, last), (LAST_TWO, before << np.uint64(8) | last)):
+        yield (mix(value | np.uint64(seed << 32)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _add_rows(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
@@ -78,12 +69,27 @@ def _add_rows(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
         out[own[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
+def _add_words(out: np.ndarray, doc: np.ndarray, values: Callable[[slice], np.ndarray]) -> None:
+    """Adds the rows ``values(words)`` to those of ``out`` that the ascending ``doc`` names, some ``TILE`` words at a time.
+
+    A document is summed in pieces that are counted from its own start, so its sum doesn't depend on what is beside it.
+    """
+    if not len(doc):
+        return
+    at = np.arange(len(doc))
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], doc[1:] != doc[:-1]]), at, 0))
+    piece = np.flatnonzero((at - begin) % TILE == 0)
+    tiles = np.split(piece, np.flatnonzero(np.diff(piece // TILE)) + 1)
+    for tile, stop in zip(tiles, [*(t[0] for t in tiles[1:]), len(doc)], strict=True):
+        np.add.at(out, doc[tile], np.add.reduceat(values(slice(tile[0], stop)), tile - tile[0], axis=0))
+
+
 def context_sums(texts: list[bytes], index: np.ndarray) -> np.ndarray:
     """Per bucket the sum of the index vectors of its words' neighbours."""
     out = np.zeros((BUCKETS, DIM), np.float32)
     for part in batched(texts, 1 << 19):
         w = words_of(texts[part])
-        rows, _, _ = tokens(w)
+        rows = word_rows(w)
         for k in CONTEXT:
             same = np.flatnonzero(w.doc[k:] == w.doc[:-k])
             _add_rows(out, rows[same], index[rows[same + k]])
@@ -92,21 +98,25 @@ def context_sums(texts: list[bytes], index: np.ndarray) -> np.ndarray:
 
 
 def word_vectors(index: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Index vectors beside context vectors of length 1; markers have no context."""
+    """Index vectors beside context vectors of length 1."""
     length = np.linalg.norm(context, axis=1, keepdims=True)
-    unit = np.concatenate([context / np.maximum(length, 1e-6), np.zeros((MARKERS, DIM), np.float32)])
-    return np.concatenate([index, unit.astype(np.float32)], axis=1)
+    return np.concatenate([index, (context / np.maximum(length, 1e-6)).astype(np.float32)], axis=1)
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """A row per text: the mean of its words' and markers' vectors, and the logarithm of its length."""
-    out = np.zeros((len(texts), vectors.shape[1] + 1), np.float32)
+    """A row per text: the means of its words' vectors, sub-word vectors and bindings, and the logarithm of its length."""
+    wide = vectors.shape[1]
+    out = np.zeros((len(texts), wide + 2 * DIM + 1), np.float32)
+    index = np.ascontiguousarray(vectors[:, :DIM])
     for part in batched(texts, 1 << 19):
         w = words_of(texts[part])
-        rows, doc, marks = tokens(w)
-        own, n = np.zeros((w.n_docs, vectors.shape[1]), np.float32), w.counts()
-        _add_rows(own, w.doc, vectors[rows])
-        _add_rows(own, doc, vectors[marks] * np.float32(3))
+        rows, n, own = word_rows(w), w.counts(), np.zeros((w.n_docs, wide + 2 * DIM), np.float32)
+        _add_words(own[:, :wide], w.doc, lambda k, rows=rows: vectors[rows[k]])
+        for at in part_rows(w):
+            _add_words(own[:, wide : wide + DIM], w.doc, lambda k, at=at: index[at[k]])
+        same = np.flatnonzero(w.doc[1:] == w.doc[:-1])
+        left, right = rows[same], rows[same + 1]
+        _add_words(own[:, wide + DIM :], w.doc[same], lambda k, a=left, b=right: index[a[k]] * index[b[k]])
         out[part, :-1] = own / np.maximum(n, 1)[:, None]
         out[part, -1] = np.log1p(n) / 4
     return out
