@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 stage's documents. The first three return documents with all their columns: those that the classifier predicts as good,
 those that the current policy of the rules keeps, and one of each near-duplicate class. The last returns the pieces of
 the documents that are left, with their places in sequences.
+
+Defined cases: a null text is the empty text, which the rules reject; rows with a null ``doc_id`` are documents like
+others; of repeated rows one is left; other columns, of whatever names, stay with their documents up to the packing; an
+empty table gives no rows; without labels, or with labels of one kind only, all documents have one score.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shotloom.llm import classifier, minhash, packing, quality_rules
-from shotloom.llm.storage import staged
+from shotloom.llm.storage import scratch, staged
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +47,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else staged(out, f"stage-{k}")
-    return docs
+    with scratch(spark) as keep:
+        for k, (_, stage) in enumerate(STAGES):
+            with scratch(spark) as hand_on:  # what a stage needed only inside itself goes when its documents are written
+                docs = hand_on(staged(stage(spark, docs, sf_dir), f"stage-{k}"))
+        return keep(docs)

@@ -5,7 +5,8 @@ int64 ids of its documents, the int64 end of each document (its ids and those be
 of each block, and a footer of six int64: bits, block size, number of ids, documents, blocks, and the magic as a number.
 Any id is found by its block's offset and its place; a block is unpacked by vectorised shifts.
 
-Files hold ascending ``doc_id`` ranges (nulls first; rows of equal id by a hash of their text), so that file k's ids
+A file ends after the document that takes it to ``FILE_IDS`` ids or ``FILE_DOCS`` documents, whichever comes first, so the
+number of files grows with the corpus and not their size. Files hold ascending ``doc_id`` ranges (nulls first; rows of equal id by a hash of their text), so that file k's ids
 come before file k+1's. A null text is a document of the end id only; repeated rows are written once each; an empty table
 gives no files.
 """
@@ -21,12 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import UNKNOWN, scan_bytes
 from .storage import new_dir, open_fs, write_whole
 from .tokens import encoded, encoder, release, tokenizer_path
 
 MAGIC = b"SLBITS01"
 BLOCK = 65_536
 END_ID = 1
+#: Ids and documents after which a task begins another file, so that a file and its index are bounded.
+FILE_IDS, FILE_DOCS = 1 << 27, 1 << 20
+#: Stored text that a task takes, as far as the optimiser knows the size of the table.
+TASK_BYTES = 256 << 20
 #: Stored for a null doc_id.
 NO_ID = -(2**63)
 
@@ -143,16 +149,28 @@ class Reader:
             start = end
 
 
-def write_tokens(docs: DataFrame, target: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, files: int | None = None) -> list[tuple[str, int, int]]:
+_FILES = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+
+
+def _until_full(writer: Writer, first, rest: Iterator, ids: int, docs: int) -> Iterator:
+    """The first document, then others until the writer holds as many ids or documents as a file may."""
+    yield first
+    while writer.size < ids and len(writer.ends) < docs and (x := next(rest, None)) is not None:
+        yield x
+
+
+def write_tokens(docs: DataFrame, target: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, files: int | None = None, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> list[tuple[str, int, int]]:
     """Encode documents and write them in ascending doc_id order; (file, documents, ids) of each file in order.
 
-    One small row per file reaches the driver. Documents are dealt by ranges of their ids before they are encoded, so
+    ``files`` is the number of id ranges, each written by one task as one file, or several if it is longer than a file may
+    be. One small row per file reaches the driver. Documents are dealt by ranges of their ids before they are encoded, so
     each text is encoded once.
     """
     spark = docs.sparkSession
     target, path = target or new_dir(spark, "tokens"), tokenizer or tokenizer_path("word_bpe_49k.json")
     end = np.array([end_id], "<u4").tobytes()
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = scan_bytes(docs)
+    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / TASK_BYTES) if size < UNKNOWN else 0)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,14 +178,13 @@ def write_tokens(docs: DataFrame, target: str | None = None, tokenizer: str | No
 
         release()
         enc, shard = encoder(path), TaskContext.get().partitionId()
-        writer = Writer(bits_for(max(enc.size, end_id + 1)))
+        bits, number = bits_for(max(enc.size, end_id + 1)), 0
         ids = ((d, x.tobytes() + end) for b in batches for d, x in encoded(enc, b))
-        first = next(ids, None)
-        if first is None:
-            return
-        uri = posixpath.join(target, f"tokens-{shard:06d}.bits")
-        write_whole(uri, writer.add(x for part in ([first], ids) for x in part))
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [uri], "n_docs": [len(writer.ends)], "n_ids": [writer.size]}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        while (first := next(ids, None)) is not None:
+            writer, uri = Writer(bits), posixpath.join(target, f"tokens-{shard:06d}-{number:06d}.bits")
+            write_whole(uri, writer.add(_until_full(writer, first, ids, file_ids, file_docs)))
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [uri], "n_docs": [len(writer.ends)], "n_ids": [writer.size]}, schema=_FILES)
+            number += 1
 
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return [(r["file"], r["n_docs"], r["n_ids"]) for r in sorted(ordered.mapInArrow(run, "shard int, file string, n_docs long, n_ids long").collect())]

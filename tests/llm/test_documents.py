@@ -2,13 +2,15 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shotloom.llm import classifier, html_extract, language_model, quality_rules, queries
+from shotloom.llm import classifier, html_extract, language_model, minhash, quality_rules, queries, storage
 from shotloom.llm.html_pages import labelled_page
 from shotloom.llm.words import mix, words_of
 
@@ -220,6 +222,50 @@ def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "MinHash near-dedup", "best-fit packing"]
 
 
+def test_pipeline_defined_cases(spark, odd, empty, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, an empty table."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    clash = {c: F.lit(3) for c in ("score", "predicted", "document", "kept", "class_id", "n_words", "id", "y", "k1")}
+    for name, docs in (("odd", odd.withColumns(clash)), ("none", empty)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        at = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        schema = at.schema
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+            at = stage(spark, at, f"{tmp_path}/{name}")
+            assert at.schema.names == schema.names
+            at.write.parquet(f"{tmp_path}/{name}/{k}")
+            at = spark.read.parquet(f"{tmp_path}/{name}/{k}")
+        left = at.collect()
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").toPandas()
+        assert Counter(r.doc_id for r in left) == Counter(None if i != i else i for i in rows[rows.piece == 0].doc_id)
+        # long prose, one of its copies and repeats, and the document without an id; the rules reject the others
+        want = {ODD[7], ODD[8], "no id " + prose(3, 20)} if name == "odd" else set()
+        assert Counter(r.text for r in left) == Counter(want)
+        assert name == "none" or {r.doc_id for r in left} == {7, 8, None}
+
+
+def test_scratch_leaves_what_is_kept(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = set(Path(storage.shared_dir(spark).removeprefix("file://")).iterdir()) if storage.new_dir(spark, "x") else set()
+    with pytest.raises(ZeroDivisionError), storage.scratch(spark):
+        storage.staged(docs, "lost")
+        raise ZeroDivisionError
+    with storage.scratch(spark) as keep:
+        with storage.scratch(spark) as hand_on:
+            storage.staged(docs, "inner")
+            handed = hand_on(storage.staged(docs, "handed"))
+        assert handed.count() == docs.count()
+        kept = keep(storage.staged(minhash.near_duplicates(docs), "kept"))
+    assert kept.count() == docs.count()
+    left = set(Path(storage.shared_dir(spark).removeprefix("file://")).iterdir()) - before
+    assert [x.name.split("-")[0] for x in left] == ["kept"]
+
+
+def test_no_local_folder_on_a_cluster():
+    assert [storage.is_local(x) for x in ("local", "local[8]", "local[*,4]", "local-cluster[3,2,1024]", "spark://a:7077", "yarn")] == [True, True, True, False, False, False]
+
+
 def test_run_is_the_best_of_all():
     import itertools
     import random

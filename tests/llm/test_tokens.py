@@ -93,6 +93,17 @@ def test_bit_files(spark, odd, empty, tmp_path):
     assert bitfile.read_documents(spark, bitfile.write_tokens(empty)).count() == 0
 
 
+def test_bit_files_are_bounded(spark, odd, tmp_path):
+    """Tasks go on to another file; what is read back is the same."""
+    whole, cut = (bitfile.write_tokens(odd, str(tmp_path / str(most)), files=2, file_ids=most, file_docs=3) for most in (1 << 27, 50))
+    assert len(whole) >= 4 and max(n for _, n, _ in whole) == 3
+    for name, n_docs, n_ids in cut:  # only the last document of a file may pass the bound
+        ends = bitfile.Reader(name).ends
+        assert len(ends) == n_docs and ends[-1] == n_ids and (n_docs == 1 or ends[-2] < 50)
+    rows = [sorted(map(tuple, bitfile.read_documents(spark, x).collect()), key=lambda r: r[1]) for x in (whole, cut, bitfile.write_tokens(odd, files=1))]
+    assert rows[0] == rows[1] == rows[2]
+
+
 def test_separator_scan(spark, tmp_path):
     rng, files, want = np.random.default_rng(0), [], []
     for k in range(3):
