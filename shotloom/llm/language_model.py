@@ -7,8 +7,8 @@ symbol of its own, so that the vocabulary grows with the corpus, as the square r
 not seen are one symbol. The model is a distribution over the words seen, the end and the unseen word, so its scores
 compare with those of the add-one unigram model (``base_score``).
 
-The network is a minimal gated recurrent unit: a gate and a candidate from the symbol's own rows, and the state moves
-from the old to the candidate by the gate. The next symbol's class has a softmax over the state, and a class of frequent
+The network is a gated recurrent unit: a gate and a candidate, each from the symbol's own row and the state before it, and
+the state moves from the old to the candidate by the gate. The next symbol's class has a softmax over the state, and a class of frequent
 words another one over its members; classes and members both number about the square root of the vocabulary. Training is by
 truncated backpropagation in numpy over all training documents, once: in each round tasks start from the same weights,
 train on their documents, and their weights are averaged. The rounds grow as the fourth root of the training tokens, and the tasks of a round as the square root; a
@@ -307,6 +307,7 @@ def initial(table: Table, seed: int = 5) -> Weights:
     w = {
         "gate": rng.normal(0, 0.1, (symbols, HIDDEN)) - 2.0,
         "new": rng.normal(0, 0.5, (symbols, HIDDEN)),
+        "state": rng.normal(0, 0.1, (HIDDEN, 2 * HIDDEN)),
         "out": rng.normal(0, 0.05, (HIDDEN, groups + BANDS + 2)),
         "out_b": np.log(np.bincount(kind, count) / count.sum()),
         "in": rng.normal(0, 0.05, (groups, HIDDEN, size)),
@@ -360,20 +361,26 @@ def sparse_window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray,
     """
     steps, n = x.shape
     alive = (lengths[None] > np.arange(steps)[:, None]).sum(1)
-    # a symbol's gate is worked out once for all its occurrences
-    some, at_symbol = np.unique(x, return_inverse=True) if learn else (slice(None), x)
-    opened = w["gate"][some] if learn else w.get("opened")
-    if opened is None or learn:
-        opened = 1 / (1 + np.exp(-(w["gate"] if opened is None else opened)))
-    gate = opened[at_symbol.reshape(x.shape)]
-    new = w["new"][x]
+    # half of what the gate is a function of, so that the gate 1 / (1 + exp(-2a)) is (1 + tanh a) / 2
+    gate, new = w["halves"][x] if "halves" in w else w["gate"][x] * w["gate"].dtype.type(0.5), w["new"][x]
+    to_gate, to_new = (np.ascontiguousarray(part) for part in np.hsplit(w["state"], 2))
+    to_gate = to_gate * to_gate.dtype.type(0.5)
     states = np.empty_like(new)
     begins = fresh.any(1).tolist() if fresh is not None else [False] * steps
     for t, k in enumerate(alive.tolist()):
         if begins[t]:
             h[fresh[t]] = 0
         states[t] = h
-        h[:k] += gate[t, :k] * (new[t, :k] - h[:k])
+        now, opened, newest = h[:k], gate[t, :k], new[t, :k]
+        opened += now @ to_gate
+        np.tanh(opened, out=opened)
+        opened += 1
+        opened *= 0.5
+        newest += now @ to_new
+        np.tanh(newest, out=newest)
+        change = newest - now
+        change *= opened
+        now += change
     # the symbol at t is foretold by the state before it
     at = np.flatnonzero((np.arange(n)[None] < alive[:, None]).reshape(-1))
     s, y = states.reshape(-1, HIDDEN)[at], x.reshape(-1)[at]
@@ -410,16 +417,21 @@ def sparse_window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray,
         foretold[at] = back
         foretold = foretold.reshape(steps, n, HIDDEN)
         both, carry = np.zeros((steps, n, 2 * HIDDEN), new.dtype), np.zeros((n, HIDDEN), new.dtype)
-        d_gate, d_new = both[:, :, :HIDDEN], both[:, :, HIDDEN:]
+        back_turn = np.ascontiguousarray(w["state"].T)
+        # what a step's gradients are multiples of, for all steps at once
+        to_new, to_gate, stay = 1 - new * new, (new - states) * (1 - gate), 1 - gate
         for t in range(steps - 1, -1, -1):
             k = int(alive[t])
-            moved = carry[:k] * gate[t, :k]
-            d_new[t, :k] = moved
-            d_gate[t, :k] = moved * (new[t, :k] - states[t, :k]) * (1 - gate[t, :k])
-            carry[:k] -= moved
+            own = carry[:k]
+            moved = own * gate[t, :k]
+            np.multiply(moved, to_gate[t, :k], out=both[t, :k, :HIDDEN])
+            np.multiply(moved, to_new[t, :k], out=both[t, :k, HIDDEN:])
+            own *= stay[t, :k]
+            own += both[t, :k] @ back_turn
             carry += foretold[t]
             if begins[t]:
                 carry[fresh[t]] = 0
+        grads["state"] = slice(None), states.reshape(-1, HIDDEN).T @ both.reshape(-1, 2 * HIDDEN)
         rows, both = _add_rows(x.reshape(-1), both.reshape(-1, 2 * HIDDEN))
         grads["gate"], grads["new"] = (rows, both[:, :HIDDEN]), (rows, both[:, HIDDEN:])
     return np.bincount(at % n if owner is None else owner.reshape(-1)[at], score, n if owner is None else 0), grads
@@ -428,7 +440,7 @@ def sparse_window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray,
 def run_documents(w: Weights, docs: list[np.ndarray], learn: bool, state: dict | None = None) -> np.ndarray:
     """Natural log-likelihood of each document; when learning, ``w`` moves by Adagrad after every window."""
     if not learn:
-        w = w | {"opened": 1 / (1 + np.exp(-w["gate"]))}
+        w = w | {"halves": w["gate"] * np.float32(0.5)}
     out, kind = np.zeros(len(docs)), class_of((w["in"].shape[0], w["in"].shape[2]))
     # documents are dealt to lanes, the longest first to the shortest lane, so that windows are full
     heap, lanes = [(0, k) for k in range(min(BATCH, len(docs)))], [[] for _ in range(min(BATCH, len(docs)))]

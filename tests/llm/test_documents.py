@@ -157,7 +157,8 @@ def test_scores_are_those_of_single_steps():
             if kind[y] < len(w["in"]):
                 z = h @ w["in"][kind[y]] + w["in_b"][kind[y]]
                 want += z[y - kind[y] * size] - np.log(np.exp(z).sum())
-            h = h + (w["new"][y] - h) / (1 + np.exp(-w["gate"][y]))
+            to_gate, to_new = np.split(h @ w["state"], 2)
+            h = h + (np.tanh(w["new"][y] + to_new) - h) / (1 + np.exp(-(w["gate"][y] + to_gate)))
         assert score == pytest.approx(want, rel=1e-3)
 
 
@@ -204,7 +205,7 @@ def test_gradients():
     kind, x, lengths = language_model.class_of(), rng.integers(0, 60, (7, 3)), np.array([7, 5, 2])
     start = lambda: np.zeros((3, language_model.HIDDEN))
     _, grads = language_model.window(w, x, lengths, start(), kind, True)
-    for name in ("gate", "new", "out", "in", "in_b"):
+    for name in ("gate", "new", "state", "out", "in", "in_b"):
         at = np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
         old, step, out = w[name][at], 1e-3, []
         for d in (step, -step):
