@@ -30,8 +30,8 @@ def two_samples(df: DataFrame, value: str, group: str, first, second) -> DataFra
     return rows.agg(*out, skewness_g1("_a").alias("g1_1"), skewness_g1("_b").alias("g1_2"), F.count_if(F.col("_v").isNull()).alias("dropped"))
 
 
-def t_test(samples: DataFrame, *, equal_variance: bool = False, alternative: str = "two-sided", confidence: float = 0.95) -> DataFrame:
-    """Welch's test, or Student's with a pooled variance, of the difference of two means."""
+def t_statistic(samples: DataFrame, *, equal_variance: bool = False) -> DataFrame:
+    """The samples with ``difference``, its standard error ``se``, ``df`` and ``t``: what the test needs short of its distribution."""
     n1, n2, v1, v2 = (F.col(c).cast("double") for c in ("n1", "n2", "v1", "v2"))
     if equal_variance:
         df = n1 + n2 - 2
@@ -39,7 +39,12 @@ def t_test(samples: DataFrame, *, equal_variance: bool = False, alternative: str
     else:
         a, b = v1 / n1, v2 / n2
         se, df = F.sqrt(a + b), (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1))
-    rows = samples.select("*", (F.col("m1") - F.col("m2")).alias("difference"), se.alias("se"), df.alias("df")).withColumn("t", F.col("difference") / F.col("se"))
+    return samples.select("*", (F.col("m1") - F.col("m2")).alias("difference"), se.alias("se"), df.alias("df")).withColumn("t", F.col("difference") / F.col("se"))
+
+
+def t_test(samples: DataFrame, *, equal_variance: bool = False, alternative: str = "two-sided", confidence: float = 0.95) -> DataFrame:
+    """Welch's test, or Student's with a pooled variance, of the difference of two means."""
+    rows = t_statistic(samples, equal_variance=equal_variance)
     ratio, small = F.greatest("v1", "v2") / F.nullif(F.least("v1", "v2"), F.lit(0.0)), lambda k: F.col(f"n{k}").between(3, 14) & (F.abs(f"g1_{k}") > 1)
     warn = _warnings(
         (F.col("dropped") > 0, "missing or infinite values were dropped"),
@@ -48,9 +53,10 @@ def t_test(samples: DataFrame, *, equal_variance: bool = False, alternative: str
         (small(1) | small(2), "a small sample is skewed"),
         (F.lit(True), CLUSTERING),
     )
-    p = by_alternative(1 - t_sf(F.col("t"), F.col("df")), t_sf(F.col("t"), F.col("df")), alternative)
-    half = t_ppf((1 + confidence) / 2, F.col("df")) * F.col("se")
-    return rows.select("n1", "n2", "t", "df", "difference", p.alias("p_value"), (F.col("difference") - half).alias("low"), (F.col("difference") + half).alias("high"), warn)
+    # the long expressions of the tail and the quantile stand in the plan once each
+    rows = rows.withColumns({"upper": t_sf(F.col("t"), F.col("df")), "half": t_ppf((1 + confidence) / 2, F.col("df")) * F.col("se")})
+    p = by_alternative(1 - F.col("upper"), F.col("upper"), alternative)
+    return rows.select("n1", "n2", "t", "df", "difference", p.alias("p_value"), (F.col("difference") - F.col("half")).alias("low"), (F.col("difference") + F.col("half")).alias("high"), warn)
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first, second, *, alternative: str = "two-sided") -> DataFrame:

@@ -417,12 +417,12 @@ def _two(t) -> DataFrame:
 
 @query(_TWO + "SELECT n1, n2, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 6) AS t, (n1 + n2 - 2)::DOUBLE AS df, round(m1 - m2, 4) AS difference FROM s")
 def student_t(t):
-    return hypothesis.t_test(_two(t), equal_variance=True).select("n1", "n2", F.round("t", R).alias("t"), "df", F.round("difference", 4).alias("difference"))
+    return hypothesis.t_statistic(_two(t), equal_variance=True).select("n1", "n2", F.round("t", R).alias("t"), "df", F.round("difference", 4).alias("difference"))
 
 
 @query(_TWO + "SELECT n1, n2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) AS t, round((v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)), 3) AS df, round(m1 - m2, 4) AS difference FROM s")
 def welch_t(t):
-    return hypothesis.t_test(_two(t)).select("n1", "n2", F.round("t", R).alias("t"), F.round("df", 3).alias("df"), F.round("difference", 4).alias("difference"))
+    return hypothesis.t_statistic(_two(t)).select("n1", "n2", F.round("t", R).alias("t"), F.round("df", 3).alias("df"), F.round("difference", 4).alias("difference"))
 
 
 @query()
@@ -754,6 +754,7 @@ def permutation_clusters_all(t):
 for _name in ("bootstrap_clusters", "bootstrap_strata", "permutation_clusters"):
     _keys = {"bootstrap_clusters": "r, s", "bootstrap_strata": "r, stage, pos", "permutation_clusters": "r, unit"}[_name]
     ORACLES[_name] = ORACLES[_name].replace("concat_ws(':', '42', r)", f"concat_ws(':', '42', {_keys})")
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(f"range(1, {B + 1})", f"range(1, {resample.REPLICATES + 1})")
 
 
 # -- evaluation -------------------------------------------------------------------------------------------------------

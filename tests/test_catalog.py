@@ -5,7 +5,7 @@ import __spark_entry__
 from shotloom.plans import catalog
 
 #: One of each kind; the whole catalogue runs in the driver's comparison.
-SOME = ["player_conversion", "shots_by_team", "list_matches_page", "dedup_first", "shot_dataset", "goals_by_player", "team_conversion", "describe_by_group", "mann_whitney", "chi_square_yates", "fisher_exact", "bootstrap_strata", "permutation_clusters", "probability_metrics", "group_split", "dagostino_k2", "cramers_v_corrected", "two_proportion_z", "beta_binomial", "compare_model_metrics", "keys_with_all", "phase_means", "ecdf", "ordered_target_stat"]
+SOME = ["player_conversion", "student_t", "welch_t", "bootstrap_clusters_all", "shots_by_team", "list_matches_page", "dedup_first", "shot_dataset", "goals_by_player", "team_conversion", "describe_by_group", "mann_whitney", "chi_square_yates", "fisher_exact", "bootstrap_strata", "permutation_clusters", "probability_metrics", "group_split", "dagostino_k2", "cramers_v_corrected", "two_proportion_z", "beta_binomial", "compare_model_metrics", "keys_with_all", "phase_means", "ecdf", "ordered_target_stat"]
 
 
 @pytest.fixture(scope="module")
