@@ -58,9 +58,19 @@ def ordinal(df: DataFrame, order: list[str], groups: list[str] | None = None, na
     sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLED).orderBy(*order).collect()
     cuts = sample[:: max(1, len(sample) // CUTS)]
     kinds = [df.schema[c].dataType for c in order]
-    cut = lambda r: F.struct(*[F.lit(x).cast(t).alias(c) for c, x, t in zip(order, r, kinds, strict=True)])
-    at = F.size(F.filter(F.array(*[cut(r) for r in cuts]), lambda c: c <= key)) if cuts else F.lit(0)
-    rows = df.withColumn("_r", at)
+    if len(order) == 1:  # plain values compare faster; what is null lies below all cuts
+        key, cuts = F.col(order[0]), [r for r in cuts if r[0] is not None]
+    value = lambda x, t: F.lit(x).cast(t)
+    cut = lambda r: value(r[0], kinds[0]) if len(order) == 1 else F.struct(*[value(x, t).alias(c) for c, x, t in zip(order, r, kinds, strict=True)])
+
+    def at(low: int, high: int) -> Column:
+        """How many cuts are not above the key, by halving."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(cut(cuts[mid]) <= key, at(mid + 1, high)).otherwise(at(low, mid))
+
+    rows = df.withColumn("_r", at(0, len(cuts)))
     before = Window.partitionBy(*groups).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = rows.groupBy(*groups, "_r").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     rows = meet(rows, offsets, [*groups, "_r"], "_before")

@@ -3,12 +3,16 @@
 Rows are first summed to units (rows, clusters), so a replicate draws units and joins their sums; the work is replicates
 times units, never replicates times rows of a cluster. Draw (seed, replicate, slot) is the unit at the first 32 bits of
 an md5, modulo the number of units.
+
+Units' sums travel as arrays, a block of units in a row, to tasks that have a few replicates each (a turn). There a block is
+summed before the next is read, or, in the bootstrap of units, up to ``MOST_UNITS`` of a stratum are held at once.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb, sqrt
+from collections.abc import Iterator
+from itertools import combinations, groupby
+from math import ceil, comb, sqrt
 from statistics import fmean, median, variance
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +27,11 @@ REPLICATES = 10_000
 CHUNK = 1 << 19
 #: Units of a chunk that labels are dealt in.
 DEALT_UNITS = 4096
-#: Units whose sums, a few MB, are sent to every task of the draws.
-FEW_UNITS = 100_000
+#: Turns that replicates are dealt to; units of a block; units whose sums (16 bytes each) a task of the bootstrap of units
+#: holds at once: of larger strata each part draws all, and keeps its own.
+TURNS, BLOCK, MOST_UNITS = 96, 1 << 16, 1 << 24
+#: Below this number of units draws of several replicates are digested together.
+FEW_DRAWS = 1024
 
 
 def draw(seed: int, *parts: str | Column) -> Column:
@@ -40,20 +47,106 @@ def units(df: DataFrame, value: str, cluster: str, *strata: str) -> DataFrame:
     return ordinal(sums, ["unit"], list(strata), "pos")
 
 
+def _blocks(unit_sums: DataFrame, by: list[str], columns: list[str], size: int | None = None) -> DataFrame:
+    """(by, block) and arrays of doubles of the columns (bytes, for ``label``: with their lengths), in the order of ``pos``."""
+    import numpy as np
+    import pyarrow as pa
+
+    def pack(table: pa.Table) -> pa.Table:
+        own = table.sort_by("pos")
+        out = own.select([*by, "block"]).slice(0, 1)
+        for c in columns:
+            if c == "label":
+                texts = [x.encode() for x in own.column(c).to_pylist()]
+                out = out.append_column("lengths", pa.array([np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()]))
+                out = out.append_column(c, pa.array([b"".join(texts)]))
+            else:
+                out = out.append_column(c, pa.array([own.column(c).to_numpy().astype(np.float64).tobytes()]))
+        return out
+
+    # a unit whose values are all missing has no sum
+    values = [F.col(c) if c == "label" else F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
+    rows = unit_sums.select(*by, F.floor(F.col("pos") / (size or BLOCK)).alias("block"), "pos", *values)
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*by, "block")]
+    packed = [f"`{x}` binary" for c in columns for x in (("lengths", c) if c == "label" else (c,))]
+    return rows.groupBy(*by, "block").applyInArrow(pack, ", ".join([*kinds, *packed]))
+
+
+def _turns(blocks: DataFrame, replicates: int, *order: str) -> tuple[DataFrame, int]:
+    """Blocks for each turn, a partition each and in order, and the number of replicates of a turn."""
+    step = max(1, -(-replicates // TURNS))
+    turns = -(-replicates // step)
+    spread = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+    return spread.repartitionById(turns, "turn").sortWithinPartitions("turn", *order, "block"), step
+
+
+def _rows(batches) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):  # a block at a time
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _ids(turn: int, step: int, replicates: int) -> list[int]:
+    return list(range(turn * step + 1, min((turn + 1) * step, replicates) + 1))
+
+
+def drawn_slots(seed: int, ids: list[int], prefix: str, m: int) -> Iterator[tuple]:
+    """(which replicate, the units drawn by some of its slots), until each of the replicates has drawn m times."""
+    import numpy as np
+
+    from ..functions.digest import first_bits, number_tiles, text_tiles
+
+    def within(h: np.ndarray) -> np.ndarray:
+        return (h if m > 0xFFFFFFFF else h - h // np.uint32(m) * np.uint32(m)).astype(np.intp)
+
+    if m >= FEW_DRAWS:
+        for _, tile in number_tiles(0, m):
+            for i, r in enumerate(ids):
+                yield i, within(first_bits(f"{seed}:{r}:{prefix}".encode(), tile))
+        return
+    texts = [f"{r}:{prefix}{s}".encode() for r in ids for s in range(m)]
+    pos = np.empty(len(texts), np.intp)
+    for at, tile in text_tiles(np.fromiter(map(len, texts), np.int64, len(texts)), b"".join(texts)):
+        pos[at] = within(first_bits(f"{seed}:".encode(), tile))
+    for i in range(len(ids)):
+        yield i, pos[i * m : (i + 1) * m]
+
+
 def bootstrap_means(unit_sums: DataFrame, replicates: int, seed: int = 42, strata: tuple[str, ...] = ()) -> DataFrame:
-    """(replicate, mean) of resamples of whole units with replacement; each stratum keeps its number of units."""
-    sizes = unit_sums.groupBy(*strata).agg(F.count("*").alias("m"))
-    # replicates are dealt out first: draws are made in many tasks, and counted where they are made
-    turns = sizes.select(*strata, "m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).repartition(max(64, replicates // 100), "replicate")
-    drawn = turns.select(*strata, "replicate", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("slot"))
-    drawn = drawn.withColumn("pos", F.pmod(draw(seed, "replicate", *strata, "slot"), F.col("m")))
-    # how often each unit is drawn, before the sums are joined
-    times = drawn.groupBy(*strata, "replicate", "pos").agg(F.count("*").alias("k"))
-    # Spark takes the draws, exploded from few rows, for the smaller side and would broadcast them
-    few = unit_sums.limit(FEW_UNITS + 1).count() <= FEW_UNITS
-    rows = times.hint("merge").join(unit_sums, [*strata, "pos"]) if not few else times.join(F.broadcast(unit_sums), [*strata, "pos"])
-    rows = rows.groupBy("replicate")
-    return rows.agg((F.sum(F.col("k") * F.col("s1")) / F.sum(F.col("k") * F.col("n"))).alias("mean"))
+    """(replicate, mean) of resamples of whole units with replacement; each stratum keeps its number of units.
+
+    Draws are made where a stratum's sums lie in an array, so that neither draws nor counts of them are shuffled. Units
+    without a stratum take no part.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    most = max(1, MOST_UNITS // BLOCK)  # blocks
+    known = unit_sums.dropna(subset=list(strata)) if strata else unit_sums
+    blocks = _blocks(known, list(strata), ["n", "s1"])
+    sizes = known.groupBy(*strata).agg(F.count("*").alias("m"))
+    prefix = F.concat(*[x for c in strata for x in (F.col(c).cast("string"), F.lit(":"))]) if strata else F.lit("")
+    blocks = (blocks.join(F.broadcast(sizes), list(strata)) if strata else blocks.withColumn("m", sizes.scalar())).withColumn("prefix", prefix).withColumn("part", F.floor(F.col("block") / most))
+    spread, step = _turns(blocks, replicates, *strata, "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[float]] = {}
+        for (turn, part, m, text, *_), found in groupby(_rows(batches), lambda x: (x["turn"], x["part"], x["m"], x["prefix"], *[x[c] for c in strata])):
+            parts = [(np.frombuffer(x["n"]), np.frombuffer(x["s1"])) for x in found]
+            n, s1 = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            ids, low = _ids(turn, step, replicates), part * most * BLOCK
+            for i, pos in drawn_slots(seed, ids, text, m):
+                if len(n) < m:
+                    pos = pos[(pos >= low) & (pos < low + len(n))] - low
+                total = sums.setdefault(ids[i], [0.0, 0.0])
+                total[0] += float(n[pos].sum())
+                total[1] += float(s1[pos].sum())
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([int(x[0]) for x in sums.values()], pa.int64()), pa.array([x[1] for x in sums.values()], pa.float64())], names=["replicate", "n", "s1"])
+
+    drawn = spread.mapInArrow(run, "replicate int, n long, s1 double")
+    return drawn.select("replicate", (F.col("s1") / F.col("n")).alias("mean"))
 
 
 def bootstrap_summary(means: DataFrame, unit_sums: DataFrame, confidence: float = 0.95) -> DataFrame:
@@ -143,6 +236,8 @@ def bootstrap_callable(df: DataFrame, statistic, replicates: int, seed: int = 42
 STATISTICS = ("mean_difference", "median_difference", "welch_t")
 #: Labellings that are enumerated at most, and units below which a warning is given.
 MOST_LABELLINGS, FEW = 50_000, 8
+#: Standard deviations of a rank's hash within which units are put in order.
+NEAR = 10
 
 
 def _labels(unit_sums: DataFrame, group: str, first) -> DataFrame:
@@ -156,38 +251,95 @@ def permutation_differences(unit_sums: DataFrame, group: str, first, replicates:
 
     Unit by unit, the label goes to those of the smallest hashes. A unit in both groups is an error. ``difference`` is the
     statistic: of the rows' means, Welch's t, or of the rows' medians, which need the ``rows`` (unit, v) beside the sums.
+
+    For sums no replicate is sorted: units whose hash lies clearly below the wanted rank are added up, and only those near
+    it, some 20 times the root of the units, are put in order, ties by the unit.
     """
     labels = _labels(unit_sums, group, first)
-    k = labels.agg(F.sum("is_first")).scalar()
-    reps = labels.select("unit", "n", "s1", "s2", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    rank = F.row_number().over(Window.partitionBy("replicate").orderBy(draw(seed, "replicate", "unit"), "unit"))
-    dealt = reps.withColumn("_a", rank <= k)
     if statistic == "median_difference":
-        dealt = rows.select("unit", "v").join(dealt.select("unit", "replicate", "_a"), "unit")
-    return dealt.groupBy("replicate").agg(difference("_a", statistic).alias("difference"))
+        k = labels.agg(F.sum("is_first")).scalar()
+        reps = labels.select("unit", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+        rank = F.row_number().over(Window.partitionBy("replicate").orderBy(draw(seed, "replicate", "unit"), "unit"))
+        dealt = rows.select("unit", "v").join(reps.withColumn("_a", rank <= k), "unit")
+        return dealt.groupBy("replicate").agg(difference("_a", statistic).alias("difference"))
+    import numpy as np
+    import pyarrow as pa
 
+    m, k = labels.agg(F.count("*"), F.coalesce(F.sum("is_first"), F.lit(0))).first()
+    share = k / max(1, m)
+    half = NEAR * sqrt(share * (1 - share) / max(1, m)) + 64 / max(1, m)  # as a share of the hashes
+    low, high = max(0, ceil((share - half) * 2**32)), min(2**32, ceil((share + half) * 2**32))
+    numbered = ordinal(labels.withColumn("label", F.col("unit").cast("string")), ["unit"], name="pos")
+    spread, step = _turns(_blocks(numbered, [], ["n", "s1", "s2", "label"]), replicates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..functions.digest import first_bits, text_tiles
+
+        sums, near = {}, {}
+        for x in _rows(batches):
+            ids, values = _ids(x["turn"], step, replicates), np.stack([np.frombuffer(x[c]) for c in ("n", "s1", "s2")])
+            sums = sums or {r: np.zeros(4) for r in ids}
+            near = near or {r: [] for r in ids}
+            for at, tile in text_tiles(np.frombuffer(x["lengths"], np.int64), x["label"]):
+                own = np.vstack([np.ones(len(at)), values[:, at]])
+                for r in ids:
+                    h = first_bits(f"{seed}:{r}:".encode(), tile)
+                    below = h < low
+                    sums[r] += np.einsum("ij,j->i", own, below.astype(np.float64))
+                    edge = np.flatnonzero(~below & (h < high))
+                    near[r].append((h[edge], x["block"] * BLOCK + at[edge], own[:, edge]))
+        for r in sums:
+            h, pos, own = (np.concatenate(v, axis=-1) for v in zip(*near.pop(r), strict=True))
+            wanted = k - int(sums[r][0])
+            if not 0 <= wanted <= len(h):
+                raise ValueError("the hashes of a replicate are not uniform")
+            sums[r] += own[:, np.lexsort((pos, h))[:wanted]].sum(1)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *[pa.array([float(v[i]) for v in sums.values()]) for i in (1, 2, 3)]], names=["replicate", "n", "s1", "s2"])
+
+    return _against_others(spread.mapInArrow(run, "replicate int, n double, s1 double, s2 double"), labels, statistic, "replicate")
+
+
+def _against_others(sums: DataFrame, labels: DataFrame, statistic: str, *keep: str) -> DataFrame:
+    """(keep, difference) of the sums of the labelled units (a row per replicate) against those of all others."""
+    whole = labels.agg(F.struct(*[F.sum(c).cast("double").alias(c) for c in ("n", "s1", "s2")])).scalar()
+    both = sums.withColumn("w", whole).select(*keep, F.explode(F.array(*[F.struct(F.lit(yes).alias("_a"), *[(F.col(c) if yes else F.col(f"w.{c}") - F.col(c)).alias(c) for c in ("n", "s1", "s2")]) for yes in (True, False)])).alias("x"))
+    return both.select(*keep, "x.*").groupBy(*keep).agg(difference("_a", statistic).alias("difference"))
 
-def dealt_to(seed: int, replicate: int, chosen: int, units_: int, rows: int, chunk: int) -> int:
-    """How many of ``chosen`` out of all units fall to a chunk of ``rows`` units: halves share them by hypergeometric draws."""
+
+def dealt_over(seed: int, replicate: int, chosen: int, units_: int, rows: int, begin: int, end: int) -> list[int]:
+    """How many of ``chosen`` out of all units fall to each of the chunks of ``rows`` units from ``begin`` to ``end``, without it.
+
+    Halves share them by hypergeometric draws, each half's with a generator of its own, so any chunks may be asked for.
+    """
     import numpy as np
 
-    first, last, node = 0, -(-units_ // rows), 1
     size = lambda i, j: min(j * rows, units_) - i * rows
-    while last - first > 1:
+
+    def walk(first: int, last: int, node: int, chosen: int) -> Iterator[int]:
+        if last <= begin or first >= end:
+            return
+        if last - first == 1:
+            yield chosen
+            return
         mid = (first + last) // 2
         left = int(np.random.default_rng([seed, replicate, node, 5]).hypergeometric(size(first, mid), size(mid, last), chosen))
-        if chunk < mid:
-            last, chosen, node = mid, left, 2 * node
-        else:
-            first, chosen, node = mid, chosen - left, 2 * node + 1
-    return chosen
+        yield from walk(first, mid, 2 * node, left)
+        yield from walk(mid, last, 2 * node + 1, chosen - left)
+
+    return list(walk(0, -(-units_ // rows), 1, chosen))
+
+
+def dealt_to(seed: int, replicate: int, chosen: int, units_: int, rows: int, chunk: int) -> int:
+    """``dealt_over`` of one chunk."""
+    return dealt_over(seed, replicate, chosen, units_, rows, chunk, chunk + 1)[0]
 
 
 def permutation_dealt(unit_sums: DataFrame, group: str, first, replicates: int, seed: int = 42, statistic: str = "mean_difference", rows: int = DEALT_UNITS) -> DataFrame:
     """(replicate, labelled, difference) as ``permutation_differences``, without ranking the units of each replicate.
 
     Units lie in chunks; a replicate's first-group labels are dealt to the chunks by hypergeometric draws, then to units
-    inside each chunk, so work is linear and a task holds a chunk. Every replicate labels the same number of units.
+    inside each chunk, so work is linear and a task holds a block of chunks. Every replicate labels the same number of units.
     """
     import numpy as np
     import pyarrow as pa
@@ -196,27 +348,26 @@ def permutation_dealt(unit_sums: DataFrame, group: str, first, replicates: int,
     m, k = labels.agg(F.count("*"), F.sum("is_first")).first()
     if m >= 10**9:
         raise ValueError("a billion units or more can't be dealt")
-    step = 500
-
-    def deal(table: pa.Table) -> pa.Table:
-        own = table.sort_by("pos")
-        chunk, turn = own.column("chunk")[0].as_py(), own.column("turn")[0].as_py()
-        x = np.stack([own.column(c).to_numpy().astype(float) for c in ("n", "s1", "s2")])
-        ids = range(turn * step + 1, min((turn + 1) * step, replicates) + 1)
-        out = np.zeros((len(ids), 4))
-        for i, r in enumerate(ids):
-            take = dealt_to(seed, r, k, m, rows, chunk)
-            at = np.random.default_rng([seed, r, chunk, 6]).permutation(x.shape[1])[:take]
-            out[i] = take, *x[:, at].sum(1)
-        cols = [pa.array(list(ids), pa.int64()), pa.array(out[:, 0].astype(np.int64)), *map(pa.array, out[:, 1:].T)]
-        return pa.table(cols, names=["replicate", "labelled", "n", "s1", "s2"])
-
-    spread = labels.select(F.floor(F.col("pos") / rows).alias("chunk"), "pos", "n", "s1", "s2", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // step))).alias("turn"))
-    dealt = spread.groupBy("chunk", "turn").applyInArrow(deal, "replicate long, labelled long, n double, s1 double, s2 double")
-    sums = dealt.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("labelled", "n", "s1", "s2")])
-    whole = labels.agg(F.struct(*[F.sum(c).cast("double").alias(c) for c in ("n", "s1", "s2")])).scalar()
-    both = sums.withColumn("w", whole).select("replicate", "labelled", F.explode(F.array(*[F.struct(F.lit(yes).alias("_a"), *[(F.col(c) if yes else F.col(f"w.{c}") - F.col(c)).alias(c) for c in ("n", "s1", "s2")]) for yes in (True, False)])).alias("x"))
-    return both.select("replicate", "labelled", "x.*").groupBy("replicate", "labelled").agg(difference("_a", statistic).alias("difference"))
+    many = max(1, BLOCK // rows)  # chunks of a block
+    spread, step = _turns(_blocks(labels, [], ["n", "s1", "s2"], many * rows), replicates)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in _rows(batches):
+            x = np.stack([np.frombuffer(b[c]) for c in ("n", "s1", "s2")])
+            chunks = -(-x.shape[1] // rows)
+            for r in _ids(b["turn"], step, replicates):
+                total = sums.setdefault(r, np.zeros(4))
+                for c, take in enumerate(dealt_over(seed, r, k, m, rows, b["block"] * many, b["block"] * many + chunks)):
+                    own = x[:, c * rows : (c + 1) * rows]
+                    at = np.random.default_rng([seed, r, b["block"] * many + c, 6]).permutation(own.shape[1])[:take]
+                    total += (take, *own[:, at].sum(1))
+        if sums:
+            cols = [pa.array(list(sums), pa.int64()), pa.array([int(v[0]) for v in sums.values()], pa.int64()), *[pa.array([float(v[i]) for v in sums.values()]) for i in (1, 2, 3)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["replicate", "labelled", "n", "s1", "s2"])
+
+    dealt = spread.mapInArrow(deal, "replicate long, labelled long, n double, s1 double, s2 double")
+    return _against_others(dealt, labels, statistic, "replicate", "labelled")
 
 
 def difference(flag: str, statistic: str = "mean_difference") -> Column:
