@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import ordinal, running_sums, value_ranks
+from .ranks import RANGES, ordinal, running_sums, value_ranks
 from .resample import draw
 
 EPS = 2.220446049250313e-16
 
 
-def checked(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """(y, p) with an error for truths other than 0 and 1 and scores that aren't probabilities."""
+def checked(df: DataFrame, truth: str, score: str, *keep: str) -> DataFrame:
+    """(keep, y, p) with an error for truths other than 0 and 1 and scores that aren't probabilities."""
     y = F.when(F.col(truth).cast("int").isin(0, 1), F.col(truth).cast("int")).otherwise(F.raise_error(F.lit("truth must be 0 or 1")))
     p = F.when(F.col(score).between(0, 1), F.col(score).cast("double")).otherwise(F.raise_error(F.lit("scores must lie in [0, 1]")))
-    return df.select(y.alias("y"), p.alias("p"))
+    return df.select(*keep, y.alias("y"), p.alias("p"))
 
 
 def metrics(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -35,6 +33,36 @@ def metrics(df: DataFrame, truth: str, score: str) -> DataFrame:
     return s.select("n", "positives", "prevalence", ((F.col("a.r") - pos * (pos + 1) / 2) / (pos * neg)).alias("roc_auc"), "average_precision", "log_loss", "brier", "mean_prediction", (1 - F.col("log_loss") / base_log).alias("log_loss_skill"), (1 - F.col("brier") / base_brier).alias("brier_skill"), (F.col("mean_prediction") - F.col("prevalence")).alias("calibration_in_the_large"))
 
 
+def _metrics(per: DataFrame) -> DataFrame:
+    """A row per model, from a row per model and distinct score p with its rows n and positives pos."""
+    weighted = lambda c: F.sum(F.col("n") * c)
+    q = F.least(F.greatest(F.col("p"), F.lit(EPS)), F.lit(1 - EPS))
+    # ranges of scores and their totals, a model's at once; any cuts give the same result
+    whole = per.groupBy("model").agg(F.percentile_approx("p", [k / RANGES for k in range(1, RANGES)], 1000).alias("_cuts"), F.sum("n").alias("_all"), F.sum("pos").alias("_pos"))
+    rows = per.join(F.broadcast(whole), "model").withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col("p"))))
+    before = Window.partitionBy("model").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    ranges = rows.groupBy("model", "_r").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p"))
+    ranges = ranges.select("model", "_r", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before{c}") for c in ("_n", "_p")])
+    inside = Window.partitionBy("model", "_r").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(F.broadcast(ranges), ["model", "_r"]).withColumns({"_upto": F.col("_before_n") + F.sum("n").over(inside), "_posupto": F.col("_before_p") + F.sum("pos").over(inside)})
+    rank = F.col("_upto") - (F.col("n") - 1) / 2
+    cn, cp = F.col("_all") - F.col("_upto") + F.col("n"), F.col("_pos") - F.col("_posupto") + F.col("pos")  # of this score and above
+    s = rows.groupBy("model").agg(
+        F.sum("n").alias("n"),
+        F.sum("pos").cast("long").alias("positives"),
+        (weighted(F.col("p")) / F.sum("n")).alias("mean_prediction"),
+        (-F.sum(F.col("pos") * F.ln(q) + (F.col("n") - F.col("pos")) * F.ln(1 - q)) / F.sum("n")).alias("log_loss"),
+        (F.sum(F.col("pos") * (F.col("p") - 1) * (F.col("p") - 1) + (F.col("n") - F.col("pos")) * F.col("p") * F.col("p")) / F.sum("n")).alias("brier"),
+        F.sum(F.col("pos") * rank).alias("r"),
+        (F.try_divide(F.sum(F.col("pos") * cp / cn), F.sum("pos"))).alias("average_precision"),
+    )
+    s = s.withColumn("prevalence", F.col("positives") / F.col("n"))
+    pos, neg, share = F.col("positives"), F.col("n") - F.col("positives"), F.col("prevalence")
+    auc = F.try_divide(F.col("r") - pos * (pos + 1) / 2, pos * neg)
+    base_log, base_brier = -(share * F.ln(share) + (1 - share) * F.ln(1 - share)), share * (1 - share)
+    return s.select("model", "n", "positives", "prevalence", auc.alias("roc_auc"), "average_precision", "log_loss", "brier", "mean_prediction", F.try_divide(base_log - F.col("log_loss"), base_log).alias("log_loss_skill"), F.try_divide(base_brier - F.col("brier"), base_brier).alias("brier_skill"), (F.col("mean_prediction") - share).alias("calibration_in_the_large"))
+
+
 def curve_points(df: DataFrame, truth: str, score: str) -> DataFrame:
     """A row per distinct threshold: true and false positives at it, and the rates of both curves."""
     rows = checked(df, truth, score)
@@ -53,16 +81,29 @@ def compare_models(df: DataFrame, truth: str, scores: list[str]) -> DataFrame:
 
 
 def compare_model_metrics(df: DataFrame, truth: str, scores: list[str]) -> DataFrame:
-    """All metrics of several score columns against one truth, a row per model."""
-    return reduce(DataFrame.unionByName, [metrics(df, truth, s).select(F.lit(s).alias("model"), "*") for s in scores])
+    """All metrics of several score columns against one truth, a row per model, in one pass over the rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("p")) for s in scores]))
+    long = df.select(F.col(truth).alias("y"), each.alias("x")).select("y", "x.*")
+    known = checked(long, "y", "p", "model")
+    return _metrics(known.groupBy("model", "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos")))
 
 
 def group_split(df: DataFrame, group: str, test_size: float = 0.25, seed: int = 42) -> DataFrame:
-    """(group, is_test): the share of groups, rounded up, with the smallest hashes; rows follow by a join on the group."""
-    groups = df.select(group).where(F.col(group).isNotNull()).distinct()
-    n = groups.agg(F.ceil(F.count("*") * test_size)).scalar()
-    ranked = ordinal(groups.withColumn("_h", draw(seed, group)), ["_h", group], name="_k")
-    return ranked.select(group, (F.col("_k") < n).alias("is_test"))
+    """(group, is_test): the share of groups, rounded up, with the smallest hashes; rows follow by a join on the group.
+
+    Groups are counted by their hash's first half; only those of the half that holds the last test group are put in order.
+    """
+    groups = df.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_h", draw(seed, group))
+    half = F.shiftright("_h", 16)
+    upto = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))  # 65,536 rows at most
+    counts = groups.groupBy(half.alias("_b")).agg(F.count("*").alias("_n")).select("_b", "_n", upto.alias("_upto"))
+    wanted = F.ceil(F.max("_upto").over(Window.partitionBy()) * test_size)
+    edge = counts.withColumn("_want", wanted).where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
+    near = groups.join(F.broadcast(edge), half == F.col("_b"))
+    place = F.col("_upto") - F.col("_n") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", group))
+    last = near.withColumn("_k", place).where(F.col("_k") == F.col("_want")).agg(F.max(F.struct("_h", group))).scalar()
+    # no last one: no group is wanted
+    return groups.withColumn("_last", last).select(group, F.coalesce(F.struct("_h", group) <= F.col("_last"), F.lit(False)).alias("is_test"))
 
 
 def assert_no_leakage(train: DataFrame, test: DataFrame, group: str) -> None:

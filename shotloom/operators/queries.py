@@ -116,3 +116,10 @@ def search_matches(matches: DataFrame, text: str) -> DataFrame:
     """Matches whose label holds the text, whatever its case."""
     label = F.lower(F.concat_ws(" ", "home_team", "away_team", "competition_name", "season_name", "stage"))
     return matches.where(F.contains(label, F.lower(F.trim(F.lit(text)))))
+
+
+def in_both(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows that both have, once each, of columns of the same kinds: repeats go before rows meet, so no task has all of them."""
+    side = lambda df, k: df.toDF(*left.columns).select("*", *[F.lit(int(i == k)).alias(f"_in_{i}") for i in (0, 1)])
+    met = side(left, 0).union(side(right, 1)).groupBy(*left.columns).agg(F.max("_in_0").alias("_in_0"), F.max("_in_1").alias("_in_1"))
+    return met.where("_in_0 = 1 AND _in_1 = 1").drop("_in_0", "_in_1")

@@ -167,7 +167,7 @@ def orphans_anti(t):
 
 @query("SELECT team FROM shots WHERE is_goal INTERSECT SELECT home_team FROM matches WHERE total_goals = 0")
 def overlap_intersect(t):
-    return t("shots").where("is_goal").select("team").intersect(t("matches").where("total_goals = 0").select(F.col("home_team").alias("team")))
+    return queries.in_both(t("shots").where("is_goal").select("team"), t("matches").where("total_goals = 0").select(F.col("home_team").alias("team")))
 
 
 @query("SELECT match_id, competition_id, home_team_id AS team_id, home_team AS team FROM matches UNION ALL SELECT match_id, competition_id, away_team_id, away_team FROM matches")
