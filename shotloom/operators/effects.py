@@ -88,8 +88,14 @@ def noncentral_odds(a: int, b: int, c: int, d: int, confidence: float) -> tuple[
 def conditional_odds_ratio(tables: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Adds the conditional odds ratio and its exact interval to rows with cells a, b, c, d; null where a margin is empty.
 
-    A row takes time and memory in its smallest margin, which is the number of its terms.
+    Like tables are solved once. A table takes time and memory in its smallest margin, which is the number of its terms.
     """
+    from .hypothesis import once_per_table
+
+    return once_per_table(tables, lambda own: _conditional_odds_ratio(own, confidence), "odds_ratio", "low", "high")
+
+
+def _conditional_odds_ratio(tables: DataFrame, confidence: float) -> DataFrame:
     ddl = ", ".join(f"`{c}` {t}" for c, t in tables.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

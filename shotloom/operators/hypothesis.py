@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +10,15 @@ from ..functions.special import by_alternative, chi2_sf, f_sf, lgamma, normal_sf
 from . import exact
 from .describe import finite, skewness_g1
 from .explore import complete_table
-from .ranks import running_sums, value_ranks
+from .ranks import meet, running_sums, value_ranks
 
 
 def _warnings(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(text)) for c, text in pairs])).alias("warnings")
 
 
+#: Tasks that different tables are dealt to.
+TABLE_TASKS = 96
 CLUSTERING = "rows are taken as independent; rows of one cluster may not be"
 
 
@@ -148,7 +151,24 @@ def chi_square(df: DataFrame, row: str, column: str, *, correction: bool = True)
     return s.select("n", "dof", "chi2", chi2_sf(F.col("chi2"), F.col("dof")).alias("p_value"), F.sqrt(F.try_divide("chi2_plain", F.col("n") * F.least("r", "c"))).alias("cramers_v"), "chi2_plain", "r", "c", _warnings((F.col("low"), "some expected counts are below 5")))
 
 
+def once_per_table(tables: DataFrame, found, *columns: str) -> DataFrame:
+    """Adds columns of ``found``, a function of tables with cells a, b, c, d, which is asked once for each different table.
+
+    Different tables are few and small against their work, so they are dealt to a fixed number of tasks.
+    """
+    cells = ["a", "b", "c", "d"]
+    each = found(tables.select(*cells).distinct().repartition(TABLE_TASKS, *cells))
+    # kept, a few bytes a table: the long expressions are planned and met once, however often the result is read
+    each = each.select(*cells, *columns).persist(StorageLevel.MEMORY_AND_DISK)
+    return meet(tables.drop(*columns), each, cells, *columns)
+
+
 def fisher_exact(tables: DataFrame, alternative: str = "two-sided") -> DataFrame:
+    """``odds_ratio`` and ``p_value`` of rows with cells a, b, c, d; like tables are tested once."""
+    return once_per_table(tables, lambda own: _fisher_exact(own, alternative), "odds_ratio", "p_value")
+
+
+def _fisher_exact(tables: DataFrame, alternative: str) -> DataFrame:
     """tables: rows with cells a, b, c, d. Adds ``odds_ratio`` (ad / bc) and ``p_value``: tables as probable at most as the observed.
 
     The probabilities fall away from the mode faster and faster, so each tail is a window of ten deviations from where it
