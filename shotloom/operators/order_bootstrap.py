@@ -4,7 +4,8 @@ Of N draws with replacement from N rows in order, the k-th smallest lies at plac
 uniform numbers, which follows a beta law; the next one is the least of the N - k others, uniform above u. So a replicate
 of a quantile is one or two places, drawn at once, and the values at these places are looked up by a join. The draws
 between two such places are uniform between them: a trimmed mean adds them up chunk by chunk, each chunk's number of draws
-coming from a tree of binomial draws that every task can walk by itself. Results depend on seed and replicate alone.
+coming from a tree of binomial draws that every task can walk by itself. Where values are shared by many rows, a chunk's draws
+fall on its values at once (multinomial), so that work grows with the different values. Results depend on seed and replicate alone.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import value_ranks
+from .resample import SHARED
 
 #: Places of a lookup's bucket are as many as make this number of buckets; rows of a chunk of a trimmed mean.
 BUCKETS, CHUNK = 4096, 1 << 19
@@ -119,13 +121,19 @@ def bootstrap_trimmed_mean(df: DataFrame, value: str, share: float, replicates:
         chunk = group.column("chunk")[0].as_py()
         start, stop = chunk * rows, min((chunk + 1) * rows, n)
         first, end = np.maximum(kept.column("first").to_numpy(), start), np.minimum(kept.column("last").to_numpy() + 1, stop)
-        values = np.repeat(kept.column("v").to_numpy(), end - first)
+        known = kept.column("v").to_numpy()
+        values = np.repeat(known, end - first)
+        shared = len(values) >= SHARED * len(known)
         out = []
         for r, a, b in zip(*(asked.column(c).to_pylist() for c in ("replicate", "a", "b")), strict=True):
             ends = [min(int(u * n), n - 1) for u in ((a, b) if high > low else (a,))]
             s = sum(float(values[p - start]) for p in ends if start <= p < stop)
             between = draws_of_chunk(seed, r, max(0, high - low - 1), a, b, bounds, chunk)
-            if between:
+            span = np.maximum(0.0, np.minimum(end / n, b) - np.maximum(first / n, a)) if between and shared else None
+            if between and shared and span.sum() > 0:
+                # uniform numbers fall on a value by the part of its places that lies between
+                s += float(np.random.default_rng([seed, r, chunk, 8]).multinomial(between, span / span.sum()) @ known)
+            elif between:
                 u = np.random.default_rng([seed, r, chunk, 8]).uniform(max(a, start / n), min(b, stop / n), between)
                 s += values[np.clip((u * n).astype(np.int64) - start, 0, len(values) - 1)].sum()
             out.append((r, float(s)))

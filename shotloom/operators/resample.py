@@ -30,6 +30,8 @@ DEALT_UNITS = 4096
 #: Turns that replicates are dealt to; units of a block; units whose sums (16 bytes each) a task of the bootstrap of units
 #: holds at once: of larger strata each part draws all, and keeps its own.
 TURNS, BLOCK, MOST_UNITS = 96, 1 << 16, 1 << 24
+#: Rows of a value from which on draws of values are faster than draws of rows.
+SHARED = 4
 #: Below this number of units draws of several replicates are digested together.
 FEW_DRAWS = 1024
 
@@ -166,32 +168,52 @@ def bootstrap_row_sums(df: DataFrame, value: str, key: str, replicates: int, see
 
     Rows lie in chunks by a hash of ``key``. A replicate's draws fall on the chunks by their sizes (multinomial), then on a
     chunk's rows alike: the same as drawing from all rows. Draws depend on seed, replicate and chunk, not on partitions.
+
+    Rows of a table of more than one chunk are alike if their values are: it is chunked by a hash of the value, and where
+    values are shared by some ``SHARED`` rows or more, a chunk's draws fall on its values by their numbers of rows
+    (multinomial), so that work grows with the different values. The law of the sums is the same.
     """
     import numpy as np
     import pyarrow as pa
 
     rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
     m = rows.count()
-    chunks, step = max(1, -(-m // CHUNK)), 500
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(chunks)).cast("int"))
-    found = {r["chunk"]: r["count"] for r in rows.groupBy("chunk").count().collect()}
+    if m > CHUNK:
+        counts = rows.groupBy("v").agg(F.count("*").alias("w"))
+        chunks = max(1, -(-counts.count() // CHUNK))
+        rows = counts.select(F.lit(None).cast("long").alias("k"), "v", "w", F.pmod(F.xxhash64("v"), F.lit(chunks)).cast("int").alias("chunk"))
+    else:
+        chunks, rows = 1, rows.select("k", "v", F.lit(1).cast("long").alias("w"), F.lit(0).alias("chunk"))
+    found = {r["chunk"]: r["m"] for r in rows.groupBy("chunk").agg(F.sum("w").alias("m")).collect()}
     sizes = np.array([found.get(c, 0) for c in range(chunks)])
+    step = max(1, -(-replicates // TURNS))
 
     def draws(group: pa.Table) -> pa.Table:
         chunk, first = group.column("chunk")[0].as_py(), group.column("first")[0].as_py()
-        v = group.sort_by([("k", "ascending"), ("v", "ascending")]).column("v").to_numpy()
+        group = group.sort_by([("k", "ascending"), ("v", "ascending")])
+        v, w = group.column("v").to_numpy(), group.column("w").to_numpy()
         known = ~np.isnan(v)
-        full, v = known.all(), np.where(known, v, 0.0)
+        v = np.where(known, v, 0.0)
+        by_value = w.sum() >= SHARED * len(w)
+        if not by_value:  # a few rows a value at most: the chunk's rows themselves
+            v, known = np.repeat(v, w), np.repeat(known, w)
+        full = known.all()
         out = []
         for r in range(first, min(first + step, replicates + 1)):
             n = np.random.default_rng([seed, r]).multinomial(m, sizes / m)[chunk]
-            at = np.random.default_rng([seed, r, chunk]).integers(0, len(v), n, dtype=np.int32)
-            got = v[at]
-            out.append((r, float(got.sum()), float(got @ got), int(n if full else known[at].sum())))
+            rng = np.random.default_rng([seed, r, chunk])
+            if by_value:
+                k = rng.multinomial(n, w / w.sum())
+                out.append((r, float(k @ v), float(k @ (v * v)), int(k[known].sum())))
+            else:
+                at = rng.integers(0, len(v), n, dtype=np.int32)
+                got = v[at]
+                out.append((r, float(got.sum()), float(got @ got), int(n if full else known[at].sum())))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["replicate", "s1", "s2", "n"])
 
     spread = rows.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(step))))
-    drawn = spread.groupBy("chunk", "first").applyInArrow(draws, "replicate int, s1 double, s2 double, n long")
+    # as many partitions as turns: a task's work is in its draws, not in the bytes that it reads
+    drawn = spread.repartition(TURNS * 2, "chunk", "first").groupBy("chunk", "first").applyInArrow(draws, "replicate int, s1 double, s2 double, n long")
     return drawn.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
 
 
