@@ -60,8 +60,12 @@ def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-#: Tokens whose classes are scored together.
+#: Tokens whose classes are scored together, so that their odds stay in a core's cache.
 TILE = 1024
+#: Rows that are added up one by one; more of one symbol are summed at once.
+FEW = 12
+#: Tokens of a task's documents that are dealt to lanes together, so that few windows are short of lanes at the end.
+CHUNK_TOKENS = 1 << 22
 #: Bytes of text whose words are hashed together.
 PIECE = 1 << 20
 
@@ -135,8 +139,17 @@ def tasks_for(tokens: int) -> int:
 
 def class_shape(words: int) -> tuple[int, int]:
     """Number and size of the classes of so many words."""
-    size = max(CLASS, math.ceil(math.sqrt(words)))
-    return max(TOP // CLASS, -(-words // size)), size
+    size = max(CLASS, math.ceil(3 * words ** (1 / 3)))
+    groups = max(TOP // CLASS, -(-words // size))
+    return (groups if (of := middle(groups)) is None else math.prod(of)), size
+
+
+def middle(groups: int) -> tuple[int, int] | None:
+    """Number and size of the classes of so many classes, where they are too many for one softmax."""
+    if groups <= 2 * CLASS:
+        return None
+    size = math.ceil(math.sqrt(groups))
+    return -(-groups // size), size
 
 
 def _counts(data: bytes) -> np.ndarray:
@@ -282,9 +295,16 @@ def class_of(shape: tuple[int, int] = (TOP // CLASS, CLASS)) -> np.ndarray:
     return np.concatenate([np.arange(groups * size) // size, np.arange(BANDS + 2) + groups])
 
 
+def heads(kind: np.ndarray, groups: int) -> np.ndarray:
+    """Each symbol's place in the first softmax: its class's class, or its class where those are few."""
+    if (of := middle(groups)) is None:
+        return kind
+    return np.where(kind < groups, kind // of[1], kind - groups + of[0])
+
+
 def in_training(bands_at: int = TOP) -> np.ndarray:
     """The symbol that an occurrence stands for in training, where it doesn't count for itself."""
-    out = np.arange(bands_at + BANDS + 2)
+    out = np.arange(bands_at + BANDS + 2, dtype=np.int32)
     out[bands_at + 1], out[bands_at + 2], out[bands_at + 3] = bands_at + BANDS, bands_at + 1, bands_at + 2
     return out
 
@@ -303,176 +323,274 @@ def initial(table: Table, seed: int = 5) -> Weights:
     count[top + BANDS], count[top + 1], count[top + 2], count[top + 3] = count[top + 1], count[top + 2], count[top + 3], 0
     count[top + BANDS + 1] = table.ends
     count += 0.5
-    kind = class_of(table.shape)
+    kind, of = class_of(table.shape), middle(groups)
+    head = heads(kind, groups)
     w = {
         "gate": rng.normal(0, 0.1, (symbols, HIDDEN)) - 2.0,
         "new": rng.normal(0, 0.5, (symbols, HIDDEN)),
         "state": rng.normal(0, 0.1, (HIDDEN, 2 * HIDDEN)),
-        "out": rng.normal(0, 0.05, (HIDDEN, groups + BANDS + 2)),
-        "out_b": np.log(np.bincount(kind, count) / count.sum()),
+        "out": rng.normal(0, 0.05, (HIDDEN, int(head[-1]) + 1)),
+        "out_b": np.log(np.bincount(head, count) / count.sum()),
         "in": rng.normal(0, 0.05, (groups, HIDDEN, size)),
         "in_b": np.log(count[:top].reshape(-1, size)),
     }
+    if of:
+        w |= {"mid": rng.normal(0, 0.05, (of[0], HIDDEN, of[1])), "mid_b": np.log(count[:top].reshape(*of, size).sum(2))}
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _class_odds(s: np.ndarray, weights: np.ndarray, bias: np.ndarray, y: np.ndarray, every: np.ndarray, learn: bool):
-    """Row softmax of s @ weights + bias (unfinished unless learning), and the log-probability of y in each row.
+def packed(w: Weights) -> Weights:
+    """The weights as windows read them: the biases as the last row of their weights."""
+    out = {k: w[k] for k in ("gate", "new", "state")}
+    for k in ("out", "mid", "in"):
+        if k in w:
+            out[k] = np.concatenate([w[k], w[f"{k}_b"][..., None, :]], axis=-2)
+    return out
 
-    Logits are kept below 80, where a float's exponential and the sum of thousands are finite, rather than shifted.
-    """
-    z = s @ weights
-    z += bias
-    np.minimum(z, 80, out=z)
-    own = z[every, y]
-    np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], z.dtype)
-    score = own - np.log(np.maximum(total, 1e-30))
-    if learn:
-        z *= (1 / np.maximum(total, 1e-30))[:, None]
-    return z, np.maximum(score, -69.0)
+
+def unpacked(p: Weights) -> Weights:
+    """Views of packed weights by their own names."""
+    out = {k: p[k] for k in ("gate", "new", "state")}
+    for k in ("out", "mid", "in"):
+        if k in p:
+            out |= {k: p[k][..., :HIDDEN, :], f"{k}_b": p[k][..., HIDDEN, :]}
+    return out
 
 
-def _add_rows(at: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """The places that occur, and the sums of each of ``values`` at them."""
-    order = np.argsort(at, kind="stable")
-    own = at[order]
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    return [own[first], *[np.add.reduceat(v[order], first, axis=0) for v in values]]
+def _odds(s: np.ndarray, weights: np.ndarray, of: np.ndarray, y: np.ndarray, score: np.ndarray, back: np.ndarray | None, by: float = 1.0) -> tuple | None:
+    """Adds the log-probability of y in each row to ``score``; when ``back`` is given, adds the gradient of each row's state
+    to it and returns the groups met and their weights' gradients, all of them times ``by``.
+
+    Each row has a softmax over the weights of its group ``of``, which doesn't fall from row to row. A tile of rows takes a
+    product for each of its groups and everything else at once. Logits are kept below 80, where a float's exponential and
+    the sum of thousands are finite, rather than shifted.
+    """
+    n, size, learn = len(s), weights.shape[2], back is not None
+    ends = np.searchsorted(of, np.arange(len(weights) + 1))
+    met = np.flatnonzero(ends[1:] > ends[:-1])
+    spans = [(k, g, i, j) for k, (g, i, j) in enumerate(zip(met.tolist(), ends[met].tolist(), ends[met + 1].tolist(), strict=True))]
+    grads = np.empty((len(met), *weights.shape[1:]), s.dtype) if learn else None
+    odds, ones, every, at = np.empty((min(TILE, n), size), s.dtype), np.ones(size, s.dtype), np.arange(min(TILE, n)), 0
+    felt, turned = np.empty((min(TILE, n), HIDDEN), s.dtype), weights[:, :HIDDEN].transpose(0, 2, 1)
+    for start in range(0, n, TILE):
+        stop, own = min(start + TILE, n), []
+        while at < len(spans) and spans[at][2] < stop:
+            k, g, i, j = spans[at]
+            own.append((k, g, max(i, start), min(j, stop), i < start))
+            if j > stop:
+                break
+            at += 1
+        z, each, target = odds[: stop - start], every[: stop - start], y[start:stop]
+        for _, g, i, j, _ in own:
+            np.matmul(s[i:j], weights[g], out=z[i - start : j - start])
+        mine = z[each, target]
+        np.exp(z, out=z)
+        total = z @ ones
+        if not total.max() < 1e30:
+            for _, g, i, j, _ in own:
+                np.matmul(s[i:j], weights[g], out=z[i - start : j - start])
+            np.minimum(z, 80, out=z)
+            mine = z[each, target]
+            np.exp(z, out=z)
+            total = z @ ones
+        total = np.maximum(total, 1e-30)
+        score[start:stop] += np.maximum(mine - np.log(total), -69.0)
+        if learn:
+            z *= (by / total)[:, None]
+            z[each, target] -= by
+            for k, g, i, j, more in own:
+                q = z[i - start : j - start]
+                if more:
+                    grads[k] += s[i:j].T @ q
+                else:
+                    np.matmul(s[i:j].T, q, out=grads[k])
+                np.matmul(q, turned[g], out=felt[i - start : j - start])
+            back[start:stop] += felt[: stop - start]
+    return (slice(None) if len(met) == len(weights) else met, grads) if learn else None
+
+
+def _add_rows(at: np.ndarray, *many: np.ndarray) -> list[np.ndarray]:
+    """The places that occur in ``at``, which ascends, and for each of ``many`` the sums of its rows at them."""
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    count = np.diff(first, append=len(at))
+    order = np.argsort(-count, kind="stable")
+    first, count = first[order], count[order]
+    longer, sums = np.searchsorted(-count, -np.arange(FEW + 1)).tolist(), [at[first]]  # how many occur more often than that
+    for values in many:
+        out = values[first]
+        for k, (i, n) in enumerate(zip(first[: longer[FEW]].tolist(), count.tolist(), strict=False)):
+            values[i : i + n].sum(0, out=out[k])
+        for r in range(1, FEW):
+            out[longer[FEW] : longer[r]] += values[first[longer[FEW] : longer[r]] + r]
+        sums.append(out)
+    return sums
+
+
+def _room(rooms: dict, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+    """An array of any content in memory that windows use again, as fresh pages cost as much as what is done in them."""
+    size = math.prod(shape)
+    if name not in rooms or rooms[name].size < size:
+        rooms[name] = np.empty(size, kind)
+    return rooms[name][:size].reshape(shape)
 
 
 def window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray, kind: np.ndarray, learn: bool):
     """``sparse_window`` with gradients of the weights' own shapes."""
-    score, grads = sparse_window(w, x, lengths, h, kind, learn)
-    out = {k: np.zeros_like(w[k]) for k in grads}
+    p = packed(w)
+    score, grads = sparse_window(p, x, lengths, h, kind, learn)
+    out = {k: np.zeros_like(p[k]) for k in grads}
     for k, (rows, g) in grads.items():
         out[k][rows] = g
-    return score, out
+    return score, unpacked(out) if learn else out
 
 
-def sparse_window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray, kind: np.ndarray, learn: bool, owner: np.ndarray | None = None, fresh: np.ndarray | None = None):
+def sparse_window(w: Weights, x: np.ndarray, lengths: np.ndarray, h: np.ndarray, kind: np.ndarray, learn: bool, owner: np.ndarray | None = None, fresh: np.ndarray | None = None, by: float = 1.0, rooms: dict | None = None):
     """One window of lanes of documents: natural log-likelihood per document, and gradients if learning; ``h`` moves on.
 
-    Gradients are pairs of rows and their values, as a window meets few of the symbols and classes.
+    Weights are ``packed``, and so are the gradients: pairs of rows and their values, as a window meets few of the symbols.
 
     x: symbols by (step, lane); lanes come in falling order of their lengths in this window, so that those alive at a step
     are the first ones and no step needs a mask. ``owner`` is the document of each place (the lane unless given);
-    ``fresh`` says where a document begins, from the empty state.
+    ``fresh`` says where a document begins, from the empty state. Gradients are multiplied by ``by``.
     """
     steps, n = x.shape
     alive = (lengths[None] > np.arange(steps)[:, None]).sum(1)
     # half of what the gate is a function of, so that the gate 1 / (1 + exp(-2a)) is (1 + tanh a) / 2
-    gate, new = w["halves"][x] if "halves" in w else w["gate"][x] * w["gate"].dtype.type(0.5), w["new"][x]
-    to_gate, to_new = (np.ascontiguousarray(part) for part in np.hsplit(w["state"], 2))
-    to_gate = to_gate * to_gate.dtype.type(0.5)
-    states = np.empty_like(new)
+    flat, kinds = x.reshape(-1), w["new"].dtype
+    rooms = {} if rooms is None else rooms
+    both = _room(rooms, "both", (2, steps, n, HIDDEN), kinds)
+    for rows, out in zip((w["gate"], w["new"]), both, strict=True):
+        rows.take(flat, axis=0, out=out.reshape(-1, HIDDEN), mode="clip")
+    both[0] *= 0.5
+    turn = np.stack(np.hsplit(w["state"], 2))
+    turn[0] *= 0.5
+    states = _room(rooms, "states", (steps, n, HIDDEN + 1), kinds)
+    states[..., HIDDEN] = 1
     begins = fresh.any(1).tolist() if fresh is not None else [False] * steps
+    product, change, part = np.empty((2, n, HIDDEN), kinds), np.empty((n, HIDDEN), kinds), np.empty((n, HIDDEN), kinds)
     for t, k in enumerate(alive.tolist()):
         if begins[t]:
             h[fresh[t]] = 0
-        states[t] = h
-        now, opened, newest = h[:k], gate[t, :k], new[t, :k]
-        opened += now @ to_gate
-        np.tanh(opened, out=opened)
-        opened += 1
-        opened *= 0.5
-        newest += now @ to_new
-        np.tanh(newest, out=newest)
-        change = newest - now
-        change *= opened
-        now += change
-    # the symbol at t is foretold by the state before it
-    at = np.flatnonzero((np.arange(n)[None] < alive[:, None]).reshape(-1))
-    s, y = states.reshape(-1, HIDDEN)[at], x.reshape(-1)[at]
-    c = kind[y]
-    every = np.arange(len(at))
-    score, grads, back = np.empty(len(at), new.dtype), {}, np.empty_like(s) if learn else None
-    if learn:
-        grads["out"], grads["out_b"] = (slice(None), np.zeros_like(w["out"])), (slice(None), np.zeros_like(w["out_b"]))
-    for i in range(0, len(at), TILE):  # so many rows of all classes stay in a core's cache
-        rows = slice(i, i + TILE)
-        p, score[rows] = _class_odds(s[rows], w["out"], w["out_b"], c[rows], every[: len(s[rows])], learn)
-        if learn:
-            p[every[: len(p)], c[rows]] -= 1
-            grads["out"][1][...] += s[rows].T @ p
-            grads["out_b"][1][...] += p.sum(0)
-            np.matmul(p, w["out"].T, out=back[rows])
+        states[t, :, :HIDDEN] = h
+        now, own, moved = h[:k], both[:, t, :k], change[:k]
+        own += np.matmul(now, turn, out=product[:, :k])
+        np.tanh(own, out=own)
+        np.subtract(own[1], now, out=moved)
+        moved += np.multiply(own[0], moved, out=part[:k])
+        moved *= 0.5
+        now += moved
+    # the symbol at t is foretold by the state before it; places come by symbol, and so by class
+    y = flat
+    short = y.astype(np.uint16) if len(kind) <= 1 << 16 else y
+    if alive[-1] == n:
+        at = np.argsort(short, kind="stable")
+    else:
+        at = np.flatnonzero((np.arange(n)[None] < alive[:, None]).reshape(-1))
+        at = at[np.argsort(short[at], kind="stable")]
+    s, y = _room(rooms, "s", (len(at), HIDDEN + 1), kinds), y[at]
+    states.reshape(-1, HIDDEN + 1).take(at, axis=0, out=s, mode="clip")
     groups, _, size = w["in"].shape
-    order = np.argsort(c, kind="stable")
-    ends = np.searchsorted(c[order], np.arange(groups + 1))
-    met = np.flatnonzero(ends[1:] > ends[:-1])
-    inner = np.zeros((len(met), *w["in"].shape[1:]), new.dtype), np.zeros((len(met), size), new.dtype)
-    for at_met, g in enumerate(met.tolist()):
-        own = order[ends[g] : ends[g + 1]]
-        state, k, each = s[own], y[own] - g * size, every[: ends[g + 1] - ends[g]]
-        q, inside = _class_odds(state, w["in"][g], w["in_b"][g], k, each, learn)
-        score[own] += inside
+    score, back, grads = np.zeros(len(at), kinds), _room(rooms, "back", (len(at), HIDDEN), kinds) if learn else None, {}
+    if learn:
+        back[...] = 0
+    words = int(np.searchsorted(y, groups * size))  # the other symbols are their own classes
+    c, back_words = kind[y[:words]], back[:words] if learn else None
+    with np.errstate(over="ignore"):
+        got = _odds(s, w["out"][None], np.zeros(len(at), np.int64), heads(kind, groups)[y], score, back, by)
         if learn:
-            q[each, k] -= 1
-            inner[0][at_met], inner[1][at_met] = state.T @ q, q.sum(0)
-            back[own] += q @ w["in"][g].T
+            grads["out"] = slice(None), got[1][0]
+        if "mid" in w:
+            of = c // w["mid"].shape[2]
+            grads["mid"] = _odds(s[:words], w["mid"], of, c - of * w["mid"].shape[2], score[:words], back_words, by)
+        grads["in"] = _odds(s[:words], w["in"], c, y[:words] - c * size, score[:words], back_words, by)
     if learn:
-        grads["in"], grads["in_b"] = (met, inner[0]), (met, inner[1])
-        foretold = np.zeros((steps * n, HIDDEN), new.dtype)
+        foretold = _room(rooms, "foretold", (steps * n, HIDDEN), kinds)
+        if len(at) < len(foretold):
+            foretold[...] = 0
         foretold[at] = back
         foretold = foretold.reshape(steps, n, HIDDEN)
-        both, carry = np.zeros((steps, n, 2 * HIDDEN), new.dtype), np.zeros((n, HIDDEN), new.dtype)
-        back_turn = np.ascontiguousarray(w["state"].T)
-        # what a step's gradients are multiples of, for all steps at once
-        to_new, to_gate, stay = 1 - new * new, (new - states) * (1 - gate), 1 - gate
+        carry, back_turn = np.zeros((n, HIDDEN), kinds), np.ascontiguousarray(np.stack(np.hsplit(w["state"], 2)).transpose(0, 2, 1))
+        # what a step's gradients are multiples of, for all steps at once; they take the place of what they are made from
+        gate, new = both
+        gate *= 0.5
+        stay, now = (_room(rooms, k, gate.shape, kinds) for k in ("stay", "now"))
+        np.subtract(0.5, gate, out=stay)
+        np.subtract(new, states[..., :HIDDEN], out=now)
+        now *= stay
+        gate += 0.5
+        now *= gate
+        new *= new
+        np.subtract(1, new, out=new)
+        new *= gate
+        gate[...] = now
+        taken = [_room(rooms, k, (len(at), HIDDEN), kinds) for k in ("gate", "new")]
         for t in range(steps - 1, -1, -1):
             k = int(alive[t])
-            own = carry[:k]
-            moved = own * gate[t, :k]
-            np.multiply(moved, to_gate[t, :k], out=both[t, :k, :HIDDEN])
-            np.multiply(moved, to_new[t, :k], out=both[t, :k, HIDDEN:])
+            own, moved = carry[:k], both[:, t, :k]
+            moved *= own
             own *= stay[t, :k]
-            own += both[t, :k] @ back_turn
+            np.matmul(moved, back_turn, out=product[:, :k])
+            own += product[0, :k]
+            own += product[1, :k]
             carry += foretold[t]
             if begins[t]:
                 carry[fresh[t]] = 0
-        grads["state"] = slice(None), states.reshape(-1, HIDDEN).T @ both.reshape(-1, 2 * HIDDEN)
-        rows, both = _add_rows(x.reshape(-1), both.reshape(-1, 2 * HIDDEN))
-        grads["gate"], grads["new"] = (rows, both[:, :HIDDEN]), (rows, both[:, HIDDEN:])
-    return np.bincount(at % n if owner is None else owner.reshape(-1)[at], score, n if owner is None else 0), grads
+        for g, out in zip(both, taken, strict=True):
+            g.reshape(-1, HIDDEN).take(at, axis=0, out=out, mode="clip")
+        grads["state"] = slice(None), np.concatenate([s[:, :HIDDEN].T @ g for g in taken], axis=1)
+        rows, gate, new = _add_rows(y, *taken)
+        grads["gate"], grads["new"] = (rows, gate), (rows, new)
+    return np.bincount(at % n if owner is None else owner.reshape(-1)[at], score, n if owner is None else 0), grads if learn else {}
 
 
 def run_documents(w: Weights, docs: list[np.ndarray], learn: bool, state: dict | None = None) -> np.ndarray:
     """Natural log-likelihood of each document; when learning, ``w`` moves by Adagrad after every window."""
-    if not learn:
-        w = w | {"halves": w["gate"] * np.float32(0.5)}
     out, kind = np.zeros(len(docs)), class_of((w["in"].shape[0], w["in"].shape[2]))
+    if not docs:
+        return out
+    own = packed(w)
     # documents are dealt to lanes, the longest first to the shortest lane, so that windows are full
-    heap, lanes = [(0, k) for k in range(min(BATCH, len(docs)))], [[] for _ in range(min(BATCH, len(docs)))]
+    many = min(BATCH if learn else 2 * BATCH, len(docs))
+    heap, lanes = [(0, k) for k in range(many)], [[] for _ in range(many)]
     for d in np.argsort([-len(d) for d in docs], kind="stable").tolist():
         size, k = heap[0]
         lanes[k].append(d)
         heapq.heapreplace(heap, (size + len(docs[d]), k))
     lanes.sort(key=lambda own: -sum(len(docs[d]) for d in own))
-    streams = [np.concatenate([docs[d] for d in own]) for own in lanes]
-    owners = [np.repeat(own, [len(docs[d]) for d in own]) for own in lanes]
-    total = np.array([len(x) for x in streams], np.int64)
-    h = np.zeros((len(lanes), HIDDEN), np.float32)
+    total = np.array([sum(len(docs[d]) for d in own) for own in lanes], np.int64)
+    begin, dealt = np.cumsum(total) - total, [d for lane in lanes for d in lane]
+    sizes = np.array([len(docs[d]) for d in dealt], np.int64)
+    symbols, owners, starts = np.concatenate([docs[d] for d in dealt]), np.repeat(np.array(dealt, np.int32), sizes), np.zeros(int(total.sum()), bool)
+    starts[np.cumsum(sizes) - sizes] = True
+    h, rooms = np.zeros((len(lanes), HIDDEN), np.float32), {}
     for start in range(0, int(total.max(initial=0)), WINDOW):
         n = int((total > start).sum())
         h = h[:n]
         steps = int(min(WINDOW, total[0] - start))
-        x, owner, lengths = np.zeros((n, steps), np.int64), np.full((n, steps), -1), np.minimum(total[:n] - start, steps)
-        fresh = np.zeros((n, steps), bool)
-        for k in range(n):
-            x[k, : lengths[k]] = streams[k][start : start + steps]
-            own = owners[k][max(0, start - 1) : start + steps]
-            owner[k, : lengths[k]] = own[min(1, start) :]
-            fresh[k, int(start == 0) : lengths[k]] = own[1:] != own[:-1]
-        score, grads = sparse_window(w, np.ascontiguousarray(x.T), lengths, h, kind, learn, np.ascontiguousarray(owner.T), np.ascontiguousarray(fresh.T))
+        lengths = np.minimum(total[:n] - start, steps)
+        place = begin[:n] + start + np.arange(steps)[:, None]
+        inside = np.arange(steps)[:, None] < lengths
+        place[~inside] = 0  # never looked at
+        score, grads = sparse_window(own, symbols[place], lengths, h, kind, learn, owners[place], starts[place] & inside, np.float32(1 / np.sqrt(lengths.sum())), rooms)
         out[: len(score)] += score
         for k, (rows, g) in grads.items():
             if k not in state:
-                state[k] = np.full_like(w[k], START if isinstance(rows, slice) else START_SPARSE)
-            g = g * np.float32(1 / np.sqrt(lengths.sum()))
-            squares = state[k][rows] + g * g
-            state[k][rows] = squares
-            w[k][rows] -= np.float32(RATE) * g / np.sqrt(squares)
+                state[k] = np.full_like(own[k], START if k in ("out", "state") else START_SPARSE)
+            squares = g * g
+            if isinstance(rows, slice):
+                state[k] += squares
+                np.sqrt(state[k], out=squares)
+            else:
+                squares += state[k][rows]
+                state[k][rows] = squares
+                np.sqrt(squares, out=squares)
+            g *= np.float32(RATE)
+            g /= squares
+            own[k][rows] -= g
+    if learn:
+        for k, moved in unpacked(own).items():
+            if w[k] is not moved:
+                w[k][...] = moved
     return out
 
 
@@ -486,7 +604,23 @@ def _shaped(flat: np.ndarray, like: Weights) -> Weights:
 
 
 def _symbols(column) -> list[np.ndarray]:
-    return [np.frombuffer(zstandard.decompress(x), "<u4").astype(np.int64) for x in column.to_pylist()]
+    return [np.frombuffer(zstandard.decompress(x), "<u4").astype(np.int32) for x in column.to_pylist()]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in order, in tables that end with the row that brings them to CHUNK_TOKENS."""
+    held, size = [], 0
+    for batch in batches:
+        ends, at, before = np.cumsum(batch.column("n_tokens").to_numpy()), 0, 0
+        while at < batch.num_rows:
+            stop = min(batch.num_rows, int(np.searchsorted(ends, before + CHUNK_TOKENS - size)) + 1)
+            held.append(batch.slice(at, stop - at))
+            size, before, at = size + int(ends[stop - 1]) - before, int(ends[stop - 1]), stop
+            if size >= CHUNK_TOKENS:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _moved(data: bytes, size: int) -> np.ndarray:
@@ -511,16 +645,15 @@ def train(streams: DataFrame, weights: Weights, rounds: int = ROUNDS, tasks: int
 
         def local(batches, shared=shared):
             w, state, n = {k: v.copy() for k, v in shared.value.items()}, {}, 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, 8 * BATCH):
-                    docs = [moved[d] for d in _symbols(batch.column(0).slice(at, 8 * BATCH))]
-                    run_documents(w, docs, True, state)
-                    n += sum(map(len, docs))
+            for rows in _chunks(batches):
+                docs = [moved[d] for d in _symbols(rows.column("symbols"))]
+                run_documents(w, docs, True, state)
+                n += sum(map(len, docs))
             if n:
                 data = np.clip(_flat(w) - _flat(shared.value), -60000, 60000).astype("<f2").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([data], pa.binary())], names=["n", "data"])
 
-        own = streams.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rounds)) == turn)).select("symbols")
+        own = streams.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rounds)) == turn)).select("n_tokens", "symbols")
         parts = tasks
         found = own.coalesce(tasks).mapInArrow(local, schema)
         while parts > 1:  # averages of averages, so that one row reaches the driver
@@ -544,12 +677,9 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8 * BATCH):
-                some = batch.slice(at, 8 * BATCH)
-                got = run_documents(shared.value, _symbols(some.column("symbols")), False) / np.log(10)
-                score = got + some.column("tail").to_numpy()
-                yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        for rows in _chunks(batches):
+            score = run_documents(shared.value, _symbols(rows.column("symbols")), False) / np.log(10) + rows.column("tail").to_numpy()
+            yield from pa.table([*rows.columns[:5], pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]).to_batches()
 
     out = streams.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(table.tokens).cast("long").alias("train_tokens"), "base_score", "score")
