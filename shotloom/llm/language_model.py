@@ -99,14 +99,24 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), counts
 
 
+def _places(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The place of each hash in the ascending ``own``, which holds it: looked up by leading bits, then from there on."""
+    bits = max(1, len(own)).bit_length() + 2
+    shift = np.uint64(64 - bits)
+    first = np.searchsorted(own >> shift, np.arange(1 << bits, dtype=np.uint64))
+    place = first[hashes >> shift]
+    late = np.flatnonzero(own[place] != hashes) if len(own) else place
+    while len(late):
+        place[late] += 1
+        late = late[own[place[late]] != hashes[late]]
+    return place
+
+
 def _distinct(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes by part of the word table and hash, and for each hash its place in them; also their parts."""
-    order = np.argsort(hashes)
-    ranked = hashes[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
-    place = np.empty(len(hashes), np.int64)
-    place[order] = np.cumsum(new) - 1
-    own = ranked[new]
+    ranked = np.sort(hashes)
+    own = ranked[np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]]
+    place = _places(hashes, own)
     if n == 1:
         return own, place, np.zeros(len(own), np.int64)
     part = ((own >> np.uint64(32)) % np.uint64(n)).astype(np.int64)

@@ -94,3 +94,14 @@ def test_chunks_hold_all_rows_in_order(monkeypatch):
     batches = [pa.RecordBatch.from_pydict({"n_tokens": pa.array(s, pa.int64())}) for s in sizes]
     got = [t.column("n_tokens").to_pylist() for t in lm._chunks(iter(batches))]
     assert got == [[3, 4, 5], [50], [1, 9], [1, 10], [11], [2]]
+
+
+def test_distinct_hashes_and_their_places():
+    rng = np.random.default_rng(4)
+    ends = np.array([5, 5, 0, 2**64 - 1, 2**64 - 1, 6], np.uint64)
+    for hashes in (ends, ends[:0], ends[:1], np.arange(3000, dtype=np.uint64), rng.permutation(np.repeat(rng.integers(0, 2**63, 500, dtype=np.uint64), 9))):
+        for n in (1, 5):
+            own, place, part = lm._distinct(hashes, n)
+            assert (own[place] == hashes).all() and len(own) == len(set(hashes.tolist()))
+            assert n == 1 or (part == (own >> np.uint64(32)) % np.uint64(n)).all()
+            assert sorted(zip(part.tolist(), own.tolist(), strict=True)) == list(zip(part.tolist(), own.tolist(), strict=True))
