@@ -9,7 +9,8 @@ compare with those of the add-one unigram model (``base_score``).
 
 The network is a gated recurrent unit: a gate and a candidate, each from the symbol's own row and the state before it, and
 the state moves from the old to the candidate by the gate. The next symbol's class has a softmax over the state, and a class of frequent
-words another one over its members; classes and members both number about the square root of the vocabulary. Training is by
+words another one over its members. Beyond 48 classes, the first softmax is over classes of classes and a second one over one's
+classes, so that all three grow as the cube root of the vocabulary. Training is by
 truncated backpropagation in numpy over all training documents, once: in each round tasks start from the same weights,
 train on their documents, and their weights are averaged. The rounds grow as the fourth root of the training tokens, and the tasks of a round as the square root; a
 task sends how far its weights moved, in half precision. A word's own
