@@ -2,16 +2,17 @@
 
 Unit vectors x, y of cosine c have squared distance 2 - 2c, which any orthogonal rotation keeps. If the rotated vectors
 are split into blocks, the blocks' squared distances sum to it, so one block at least has no more than its share, in
-proportion to its width. Each block is range-joined under that budget: a grid over the block's first coordinates brings
-those within reach together, every pair in one cell; inside, vectors meet along a further coordinate within reach, block
-distances beyond the budget drop out by one matrix product, and what is left is verified on the whole vectors in double
-precision. A pair counts in the first block that has it within budget, so the union over blocks needs no pass over pairs,
-and a task returns a row per vector: its number of links and the smallest vector that it reaches there.
-
-Every coordinate of the grid makes cells some 2.5 times smaller and doubles the copies of a vector; ``grid_for`` takes
-the number at which copies and comparisons together cost least, so that it grows with the table. Identical vectors are
-one row with a multiplicity before the join. Cells of more than ``CHUNK`` rows are cut into chunks that meet pairwise, so
-a task holds two chunks at most.
+proportion to its width. Each block is range-joined under that budget: along the block's first coordinate vectors lie in
+strips of some ``CHUNK`` each, and two strips meet in one task, with those of their vectors that are within reach of the
+other; there, coordinate by coordinate, vectors are cut into pieces that meet what is within reach of them, block distances
+beyond the budget drop out by one matrix product, and what is left is verified on the whole vectors in double precision. A
+pair counts in the first block that has it within budget, so the union over blocks needs no pass over pairs, and a task
+returns a row per vector: its number of links and the smallest vector that it reaches there.
+
+Vectors travel packed, those of a batch that go to one task in a row, a row ``PACKED`` of them at most; a vector is copied
+once a block as long as a block is one strip, and once for each strip within its reach beyond. A task holds two strips at
+most, whatever the size of the table. Identical vectors are one row with a multiplicity before the join. Strips are cut at
+quantiles of a sample, which only says how even they are.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are kept;
 vectors of different lengths never link; a null ``vec_id`` takes no part in links and returns as its own row; rows of one
@@ -32,11 +33,12 @@ from .storage import staged
 
 THRESHOLD = 0.95
 BLOCK_WIDTH = 8
-CHUNK = 16_384
-#: Rows of a tile that is compared at once, on either side.
-TILE = (512, 4096)
-#: Seconds that a copy of a vector costs, and a comparison within a cell, about.
-COPY_S, COMPARE_S = 4e-6, 3e-9
+#: Vectors of a strip, about; those that strips are cut by, for each strip; vectors of a packed row.
+CHUNK, SAMPLED, PACKED = 1 << 17, 256, 1 << 11
+#: Pieces of a coordinate, members of a piece that is not cut further, and rows that it meets at once.
+PIECES, LEAF, TILE = 8, 64, 4096
+#: Pairs that are verified at once.
+PAIRS = 1 << 14
 _SLACK = 1e-6
 
 
@@ -57,127 +59,152 @@ def budgets(n: int, threshold: float, width: int = BLOCK_WIDTH) -> tuple[list[sl
     return blocks, np.array([(2 - 2 * threshold) * (b.stop - b.start) / n for b in blocks])
 
 
-def grid_for(total: int) -> int:
-    """Coordinates of the grid: a vector has (2^g + 1) / 2 copies, and a cell's share of all vectors is 2.5^-g."""
-    cost = lambda g: (2**g + 1) / 2 * (COPY_S + COMPARE_S * total / 2.5**g)
-    return min(range(1, BLOCK_WIDTH + 1), key=cost)
-
-
 def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def _near(y: np.ndarray, members: np.ndarray, along: np.ndarray, reach: float, most: float):
-    """Pairs (member, any) of rows of y whose distance is within the budget, with some that are not, tile by tile."""
+def strips(vectors: DataFrame, chunk: int) -> dict[int, list[np.ndarray]]:
+    """Per length of vectors and block, where the block's first coordinate is cut into strips of some ``chunk`` vectors; none where one will do."""
+    size = F.size("v").alias("size")
+    many = {r["size"]: -(-r["count"] // chunk) for r in vectors.groupBy(size).count().collect()}
+    cuts = {}
+    for length, parts in many.items():
+        if parts > 1:
+            found = vectors.where(F.size("v") == length).select("node", "v").orderBy(F.xxhash64("node")).limit(SAMPLED * parts).toArrow()
+            first = _unit(_vectors(found.column("v"))) @ rotation(length)[:, ::BLOCK_WIDTH]
+            cuts[length] = list(np.quantile(first, np.arange(1, parts) / parts, axis=0).T)
+    return cuts
+
+
+def meetings(first: np.ndarray, cuts: np.ndarray, reach: float):
+    """(p, q, rows): which rows take part where strips p and q meet, p <= q, by the coordinate that strips are cut along."""
+    strip = np.searchsorted(cuts, first, side="right")
+    lowest, highest = np.searchsorted(cuts, first - reach, side="left"), np.searchsorted(cuts, first + reach, side="right")
+    for s in range(len(cuts) + 1):
+        own = np.flatnonzero(strip == s)
+        if len(own):
+            for t in range(lowest[own].min(), highest[own].max() + 1):
+                yield min(s, t), max(s, t), own[(lowest[own] <= t) & (t <= highest[own])]
+
+
+def _pieces(y: np.ndarray, some: np.ndarray, others: np.ndarray, reach: float, coordinate: int = 0):
+    """(rows of some, rows of others) so that all pairs whose coordinates are all within reach are in just one of them."""
+    n = min(PIECES, -(-len(some) // LEAF))
+    if n <= 1 or coordinate == y.shape[1]:
+        yield some, others
+        return
+    some, others = (z[np.argsort(y[z, coordinate], kind="stable")] for z in (some, others))
+    place = y[others, coordinate]
+    for piece in np.array_split(some, n):
+        low, high = np.searchsorted(place, y[piece[0], coordinate] - reach, side="left"), np.searchsorted(place, y[piece[-1], coordinate] + reach, side="right")
+        if high > low:
+            yield from _pieces(y, piece, others[low:high], reach, coordinate + 1)
+
+
+def _near(y: np.ndarray, some: np.ndarray, others: np.ndarray, reach: float, most: float):
+    """Pairs (some, other) of rows of y whose distance is within the budget, with some that are not, tile by tile."""
     square = (y * y).sum(1, keepdims=True)
     one = np.ones_like(square)
     left, right = np.hstack([-2 * y, square, one]), np.hstack([y, one, square])
-    every, members = np.argsort(along, kind="stable"), members[np.argsort(along[members], kind="stable")]
-    place = along[every]
-    right = np.ascontiguousarray(right[every])
-    for i in range(0, len(members), TILE[0]):
-        some = members[i : i + TILE[0]]
-        own = left[some]
-        first, last = np.searchsorted(place, (along[some[0]] - reach, along[some[-1]] + reach), side="left") + (0, 1)
-        for j in range(first, min(last, len(every)), TILE[1]):
-            b = right[j : min(j + TILE[1], last)]
-            hit = np.flatnonzero((own @ b.T).reshape(-1) <= most)
-            if len(hit):
-                s, t = np.divmod(hit, len(b))
-                yield some[s], every[j + t]
-
-
-def links(vectors: DataFrame, threshold: float = THRESHOLD, grid: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    for a, b in _pieces(y, some, others, reach):
+        for i in range(0, len(a), 4 * LEAF):
+            s = a[i : i + 4 * LEAF]
+            own = left[s]
+            for j in range(0, len(b), TILE):
+                t = b[j : j + TILE]
+                hit = np.flatnonzero((own @ right[t].T).reshape(-1) <= most)
+                if len(hit):
+                    k, m = np.divmod(hit, len(t))
+                    yield s[k], t[m]
+
+
+def _root(root: np.ndarray, x: np.ndarray) -> np.ndarray:
+    while ((to := root[x]) != x).any():
+        x = to
+    return x
+
+
+def _unite(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Joins the trees of u and v pair by pair; the smaller root stays one."""
+    while len(u):
+        a, b = _root(root, u), _root(root, v)
+        root[u], root[v] = a, b
+        low, high, apart = np.minimum(a, b), np.maximum(a, b), a != b
+        np.minimum.at(root, high[apart], low[apart])
+        u, v = u[apart], v[apart]
+
+
+def links(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """vectors (node, n, v: array), distinct and valid, to rows (node, root, n_links); some nodes in several rows."""
-    grid = grid or grid_for(vectors.count())
-    kind = vectors.schema["v"].dataType.simpleString()
-
-    def placed(batch):
-        """Per length of vectors: the rows of that length, and per row its place in them, cell, block and whether it is at home there."""
-        for size in set(batch.column("size").to_pylist()):
-            own = batch.filter(pc.equal(batch.column("size"), size))
-            x = _unit(_vectors(own.column("v"))) @ rotation(size)
-            blocks, most = budgets(size, threshold)
-            out = []
-            for k, (b, m) in enumerate(zip(blocks, most, strict=True)):
-                reach, g = np.sqrt(m) * (1 + _SLACK) + _SLACK, min(grid, b.stop - b.start)
-                y, width = x[:, b][:, :g], 2 * np.sqrt(m)
-                home, low, high = (np.floor(z / width).astype(np.int64) for z in (y, y - reach, y + reach))
-                for step in range(3**g):
-                    move = np.array([step // 3**j % 3 - 1 for j in range(g)])
-                    to = home + move
-                    # to cells that come later in the order of coordinates only: each pair meets once
-                    ahead = not move.any() or move[np.flatnonzero(move)[0]] > 0
-                    hit = np.flatnonzero(((to >= low) & (to <= high)).all(1)) if ahead else []
-                    if len(hit):
-                        key = np.full(len(hit), size * 64 + k, np.int64)
-                        for j in range(g):
-                            key = key * 1_000_003 + to[hit, j] + 500
-                        out.append((hit, key, np.full(len(hit), k, np.int32), np.full(len(hit), bool(move.any()))))
-            yield own, *(np.concatenate(z) for z in zip(*out, strict=True))
-
-    def cells(batches):
-        for batch in batches:
-            for own, at, key, block, probe in placed(batch):
-                rows = own.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(block), pa.array(probe), *rows.select(["node", "n", "v"]).columns], names=["cell", "block", "probe", "node", "n", "v"])
+    cuts = strips(vectors, chunk)
+    kinds = ["size", "block", "p", "q", "node", "n", "high", "v"]
+    rows_of = lambda out: pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if c in kinds[:4] else pa.binary()) for c, x in zip(kinds, zip(*out, strict=True), strict=True)], names=kinds)
+    kind = np.float32 if vectors.schema["v"].dataType.simpleString() == "array<float>" else np.float64
 
-    def sizes(batches):
+    def packed(batches):
+        """A row per length, block and two strips that meet, and the batch's rows that take part, as bytes."""
         for batch in batches:
-            for _, _, key, _, _ in placed(batch):
-                cell, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "size"])
-
-    kept = vectors.select("node", "n", F.size("v").alias("size"), "v")
-    # a row per cell beyond a chunk
-    parts = kept.mapInArrow(sizes, "cell long, size long").groupBy("cell").agg(F.ceil(F.sum("size") / chunk).alias("parts"))
-    parts = staged(parts.where("parts > 1"), "vector-cells")
-    rows = kept.mapInArrow(cells, f"cell long, block int, probe boolean, node long, n long, v {kind}").join(parts, "cell", "left")
-    rows = rows.withColumns({"parts": F.coalesce("parts", F.lit(1)), "own": F.pmod(F.xxhash64("node", F.lit(5)), F.coalesce("parts", F.lit(1)))})
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    rows = rows.select("*", other).select("cell", "block", "probe", "node", "n", "v", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own")
+            for size in set(batch.column("size").to_pylist()):
+                own = batch.filter(pc.equal(batch.column("size"), size))
+                raw = own.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                node, n = (own.column(c).to_numpy() for c in ("node", "n"))
+                blocks, most = budgets(size, threshold)
+                first = _unit(raw.astype(np.float64)) @ rotation(size)[:, ::BLOCK_WIDTH]
+                for k, m in enumerate(most):
+                    cut = cuts[size][k] if size in cuts else np.empty(0)
+                    out = []
+                    for p, q, at in meetings(first[:, k], cut, np.sqrt(m) * (1 + _SLACK) + _SLACK):
+                        strip = (np.searchsorted(cut, first[at, k], side="right") == q).astype(np.int8)
+                        out += [(size, k, p, q, *(z.tobytes() for z in (node[rows], n[rows], high, raw[rows]))) for i in range(0, len(at), PACKED) for rows, high in [(at[i : i + PACKED], strip[i : i + PACKED])]]
+                        if sum(len(x[-1]) for x in out) > 1 << 24:
+                            yield rows_of(out)
+                            out = []
+                    if out:
+                        yield rows_of(out)
 
     def join(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        order = np.argsort(nodes, kind="stable")  # smaller places are smaller nodes
-        weight, probe, own = (table.column(c).to_numpy()[order] for c in ("n", "probe", "own"))
-        nodes, x = nodes[order], _unit(_vectors(table.column("v")))[order]
-        k, p, q = (table.column(c)[0].as_py() for c in ("block", "p", "q"))
-        blocks, most = budgets(x.shape[1], threshold)
-        turn = rotation(x.shape[1])
-        y = (x @ turn[:, blocks[k]]).astype(np.float32)
-        count, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
-        along = y[:, min(grid, y.shape[1] - 1)]
-        for s, t in _near(y, np.flatnonzero(~probe), along, np.sqrt(most[k]) + 1e-5, most[k] + 1e-5):
-            # two members meet once; chunks p and q meet each other, and themselves where p is q
-            ok = (probe[t] | (s < t)) & ((own[s] != own[t]) | (p == q))
-            s, t = s[ok], t[ok]
-            for at in range(0, len(s), 200_000):
-                u, v = s[at : at + 200_000], t[at : at + 200_000]
-                ok = np.einsum("ij,ij->i", x[u], x[v]) >= threshold
-                u, v = u[ok], v[ok]
-                d = ((x[u] - x[v]) @ turn) ** 2
+        size, k, p, q = (table.column(c)[0].as_py() for c in ("size", "block", "p", "q"))
+        nodes, weight, high, raw = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("node", np.int64), ("n", np.int64), ("high", np.int8), ("v", kind)))
+        del table
+        raw = raw.reshape(-1, size)
+        blocks, most = budgets(size, threshold)
+        turn = rotation(size)
+        y, biggest, norm = np.empty((len(raw), blocks[k].stop - blocks[k].start), np.float32), np.empty(len(raw)), np.empty(len(raw))
+        for i in range(0, len(raw), TILE):
+            x = raw[i : i + TILE].astype(np.float64)
+            biggest[i : i + TILE] = np.abs(x).max(1)
+            x /= biggest[i : i + TILE, None]
+            norm[i : i + TILE] = np.linalg.norm(x, axis=1)
+            y[i : i + TILE] = (x / norm[i : i + TILE, None]) @ turn[:, blocks[k]]
+        unit = lambda u: raw[u].astype(np.float64) / biggest[u, None] / norm[u, None]
+        every = np.arange(len(nodes))
+        count, root, order, place = np.zeros(len(nodes), np.int64), every.copy(), np.argsort(nodes, kind="stable"), every.copy()
+        place[order] = every  # smaller places are smaller nodes
+        some, others = (every, every) if p == q else (every[high == 0], every[high == 1])
+        for s, t in _near(y, some, others, np.float32(np.sqrt(most[k]) + 1e-5), most[k] + 1e-5):
+            if p == q:  # both are members of the strip: they meet once
+                s, t = s[s < t], t[s < t]
+            for at in range(0, len(s), PAIRS):
+                u, v = s[at : at + PAIRS], t[at : at + PAIRS]
+                a, b = unit(u), unit(v)
+                ok = np.einsum("ij,ij->i", a, b) >= threshold
+                if not ok.any():
+                    continue
+                u, v, d = u[ok], v[ok], ((a[ok] - b[ok]) @ turn) ** 2
                 within = np.stack([d[:, z].sum(1) for z in blocks], 1) <= most * (1 + _SLACK) + 1e-12
                 ok = within.argmax(1) == k
                 u, v = u[ok], v[ok]
-                if not len(u):
-                    continue
-                count += np.bincount(u, weight[v], len(nodes)).astype(np.int64) + np.bincount(v, weight[u], len(nodes)).astype(np.int64)
-                while len(u):
-                    low = np.minimum(root[u], root[v])
-                    apart = root[u] != root[v]
-                    if not apart.any():
-                        break
-                    for w in (root[u], root[v], u, v):
-                        np.minimum.at(root, w, low)
-                    u, v = u[apart], v[apart]
-        while (nxt := root[root]).tolist() != root.tolist():
-            root = nxt
+                np.add.at(count, u, weight[v])
+                np.add.at(count, v, weight[u])
+                _unite(root, place[u], place[v])
+        root = _root(root, place)
         some = count > 0
-        return pa.table({"node": pa.array(nodes[some]), "root": pa.array(nodes[root[some]]), "n_links": pa.array(count[some])})
+        return pa.table({"node": pa.array(nodes[some]), "root": pa.array(nodes[order[root[some]]]), "n_links": pa.array(count[some])})
 
-    return rows.groupBy("cell", "p", "q").applyInArrow(join, "node long, root long, n_links long")
+    kept = vectors.select("node", "n", F.size("v").alias("size"), "v")
+    rows = kept.mapInArrow(packed, "size int, block int, p int, q int, node binary, n binary, high binary, v binary")
+    return rows.groupBy("size", "block", "p", "q").applyInArrow(join, "node long, root long, n_links long")
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
