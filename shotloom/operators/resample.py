@@ -23,8 +23,9 @@ from .ranks import ordinal
 
 #: The reference's number of replicates.
 REPLICATES = 10_000
-#: Rows of a chunk of the bootstrap by rows.
-CHUNK = 1 << 19
+#: Different values, or units, of a chunk of the bootstrap by counts; parts of their hashes that chunks are made of; tasks
+#: that chunks and turns make together, about.
+CHUNK, BUCKETS, TASKS = 1 << 19, 1 << 16, 192
 #: Units of a chunk that labels are dealt in.
 DEALT_UNITS = 4096
 #: Turns that replicates are dealt to; units of a block; units whose sums (16 bytes each) a task of the bootstrap of units
@@ -153,8 +154,10 @@ def bootstrap_means(unit_sums: DataFrame, replicates: int, seed: int = 42, strat
 
 def bootstrap_summary(means: DataFrame, unit_sums: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Estimate, standard error, bias and percentile interval, with warnings."""
-    estimate = unit_sums.agg(F.sum("s1") / F.sum("n")).scalar()
-    n_units = unit_sums.agg(F.count("*")).scalar()
+    return _summary(means, unit_sums.agg(F.sum("s1") / F.sum("n")).scalar(), unit_sums.agg(F.count("*")).scalar(), confidence)
+
+
+def _summary(means: DataFrame, estimate: Column, n_units: Column, confidence: float = 0.95) -> DataFrame:
     tail = (1 - confidence) / 2
     s = means.agg(F.count("mean").alias("replicates"), F.stddev_samp("mean").alias("se"), F.avg("mean").alias("center"), F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"))
     bias = F.col("center") - F.col("estimate")
@@ -163,58 +166,99 @@ def bootstrap_summary(means: DataFrame, unit_sums: DataFrame, confidence: float
     return rows.select("replicates", "units", "estimate", "se", "bias", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"), warn.alias("warnings"))
 
 
-def bootstrap_row_sums(df: DataFrame, value: str, key: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, n, s1, s2) of resamples of single rows with replacement, for tables of more rows than can be joined to every draw.
-
-    Rows lie in chunks by a hash of ``key``. A replicate's draws fall on the chunks by their sizes (multinomial), then on a
-    chunk's rows alike: the same as drawing from all rows. Draws depend on seed, replicate and chunk, not on partitions.
+class Drawn:
+    """Resamples of weighted items (side, key, w and columns), each side's as many draws as its weights add up to.
 
-    Rows of a table of more than one chunk are alike if their values are: it is chunked by a hash of the value, and where
-    values are shared by some ``SHARED`` rows or more, a chunk's draws fall on its values by their numbers of rows
-    (multinomial), so that work grows with the different values. The law of the sums is the same.
+    Items lie in chunks by a hash of their key. A replicate's draws fall on the chunks by their weights (multinomial), then on
+    a chunk's items (``functions.draws``): the same as drawing from all. So a replicate's work grows with the items, and what
+    is sent is a chunk's columns, packed, for each turn; there are the fewer turns the more chunks there are. Draws depend on
+    seed, side, replicate and chunk, not on partitions.
     """
+
+    def __init__(self, items: DataFrame, columns: list[str], **totals: Column):
+        import numpy as np
+
+        self.columns = columns
+        placed = items.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+        found = placed.groupBy("side", "bucket").agg(F.count("*").alias("items"), F.sum("w").alias("m"), *[c.alias(k) for k, c in totals.items()]).collect()
+        self.m = {s: sum(r["m"] for r in found if r["side"] == s) for s in {r["side"] for r in found}}
+        self.totals = {k: sum(r[k] or 0 for r in found) for k in totals}
+        self.items = sum(r["items"] for r in found)
+        self.chunks = max(1, -(-self.items // CHUNK))
+        self.sizes = {s: np.zeros(self.chunks) for s in self.m}
+        for r in found:
+            self.sizes[r["side"]][r["bucket"] * self.chunks // BUCKETS] += r["m"]
+        self.placed = placed.withColumn("chunk", F.floor(F.col("bucket") * self.chunks / BUCKETS).cast("int"))
+
+    def sums(self, expand, names: list[str], replicates: int, seed: int) -> DataFrame:
+        """(side, replicate, names): sums over each replicate's draws of what ``expand`` makes of the columns, an array of a column a name."""
+        import numpy as np
+        import pyarrow as pa
+
+        from ..functions.draws import TOGETHER, Weighted
+
+        columns, sizes, whole = self.columns, self.sizes, self.m
+        turns = min(TURNS, -(-TASKS // (self.chunks * max(1, len(whole)))))
+        step = -(-replicates // (turns * TOGETHER)) * TOGETHER
+        turns = -(-replicates // step)
+
+        def pack(table: pa.Table) -> pa.Table:
+            own = table.sort_by("key")
+            out = own.select(["side", "chunk"]).slice(0, 1)
+            for c in ("w", *columns):
+                out = out.append_column(c, pa.array([own.column(c).to_numpy().astype(np.float64).tobytes()]))
+            return out
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in _rows(batches):
+                side, chunk = x["side"], x["chunk"]
+                share = sizes[side] / whole[side]
+                own = Weighted(expand(*[np.frombuffer(x[c]) for c in columns]), np.frombuffer(x["w"]), sizes[side][chunk])
+                ids, got = _ids(x["turn"], step, replicates), []
+                for i in range(0, len(ids), TOGETHER):
+                    n = [np.random.default_rng([seed, side, r]).multinomial(whole[side], share)[chunk] for r in ids[i : i + TOGETHER]]
+                    got.append(own.sums(np.random.default_rng([seed, side, ids[i], chunk, 9]), np.array(n)))
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array([side] * len(ids), pa.int32()), pa.array(ids, pa.int32()), *[pa.array(c) for c in np.concatenate(got).T]], names=["side", "replicate", *names])
+
+        packed = self.placed.select("side", "chunk", "key", "w", *columns).groupBy("side", "chunk").applyInArrow(pack, ", ".join(["side int", "chunk int", *[f"`{c}` binary" for c in ("w", *columns)]]))
+        spread = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+        place = ((F.col("side") * self.chunks + F.col("chunk")) * turns + F.col("turn")).cast("int")
+        drawn = spread.withColumn("place", place).repartitionById((max(whole, default=0) + 1) * self.chunks * turns, "place")
+        drawn = drawn.mapInArrow(run, ", ".join(["side int", "replicate int", *[f"`{c}` double" for c in names]]))
+        return drawn.groupBy("side", "replicate").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _powers(v):
+    """What a draw of each value adds to the number of known values, and to the finite ones' sum and sum of squares."""
     import numpy as np
-    import pyarrow as pa
 
-    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    m = rows.count()
-    if m > CHUNK:
-        counts = rows.groupBy("v").agg(F.count("*").alias("w"))
-        chunks = max(1, -(-counts.count() // CHUNK))
-        rows = counts.select(F.lit(None).cast("long").alias("k"), "v", "w", F.pmod(F.xxhash64("v"), F.lit(chunks)).cast("int").alias("chunk"))
-    else:
-        chunks, rows = 1, rows.select("k", "v", F.lit(1).cast("long").alias("w"), F.lit(0).alias("chunk"))
-    found = {r["chunk"]: r["m"] for r in rows.groupBy("chunk").agg(F.sum("w").alias("m")).collect()}
-    sizes = np.array([found.get(c, 0) for c in range(chunks)])
-    step = max(1, -(-replicates // TURNS))
+    x = np.where(np.isfinite(v), v, 0.0)
+    return np.column_stack([~np.isnan(v), x, x * x])
 
-    def draws(group: pa.Table) -> pa.Table:
-        chunk, first = group.column("chunk")[0].as_py(), group.column("first")[0].as_py()
-        group = group.sort_by([("k", "ascending"), ("v", "ascending")])
-        v, w = group.column("v").to_numpy(), group.column("w").to_numpy()
-        known = ~np.isnan(v)
-        v = np.where(known, v, 0.0)
-        by_value = w.sum() >= SHARED * len(w)
-        if not by_value:  # a few rows a value at most: the chunk's rows themselves
-            v, known = np.repeat(v, w), np.repeat(known, w)
-        full = known.all()
-        out = []
-        for r in range(first, min(first + step, replicates + 1)):
-            n = np.random.default_rng([seed, r]).multinomial(m, sizes / m)[chunk]
-            rng = np.random.default_rng([seed, r, chunk])
-            if by_value:
-                k = rng.multinomial(n, w / w.sum())
-                out.append((r, float(k @ v), float(k @ (v * v)), int(k[known].sum())))
-            else:
-                at = rng.integers(0, len(v), n, dtype=np.int32)
-                got = v[at]
-                out.append((r, float(got.sum()), float(got @ got), int(n if full else known[at].sum())))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["replicate", "s1", "s2", "n"])
 
-    spread = rows.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(step))))
-    # as many partitions as turns: a task's work is in its draws, not in the bytes that it reads
-    drawn = spread.repartition(TURNS * 2, "chunk", "first").groupBy("chunk", "first").applyInArrow(draws, "replicate int, s1 double, s2 double, n long")
-    return drawn.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+def _powers_and_ends(v):
+    import numpy as np
+
+    return np.column_stack([_powers(v), v == np.inf, v == -np.inf])
+
+
+def bootstrap_row_sums(df: DataFrame, value: str, key: str, replicates: int, seed: int = 42, side: Column | None = None) -> DataFrame:
+    """(replicate, n, s1, s2) of resamples of single rows with replacement; with ``side`` (whole numbers from 0), of each side's rows.
+
+    Rows are alike if their values are, so they are counted by value and a replicate draws how often each value occurs: its
+    work grows with the different values, and who the rows are by their ``key`` doesn't matter.
+    """
+    counts = df.select((F.lit(0) if side is None else side).cast("int").alias("side"), F.col(value).cast("double").alias("key")).groupBy("side", "key").agg(F.count("*").alias("w"))
+    drawn = Drawn(counts.withColumn("v", F.col("key")), ["v"], ends=F.count_if(F.abs("key") == float("inf")))
+    s1, s2 = F.col("s1"), F.col("s2")
+    if drawn.totals["ends"]:
+        sums = drawn.sums(_powers_and_ends, ["n", "s1", "s2", "up", "down"], replicates, seed)
+        end = lambda c, x: F.when(F.col(c) > 0, F.lit(x)).otherwise(F.lit(0.0))
+        s1, s2 = s1 + end("up", float("inf")) + end("down", float("-inf")), s2 + end("up", float("inf")) + end("down", float("inf"))
+    else:
+        sums = drawn.sums(_powers, ["n", "s1", "s2"], replicates, seed)
+    return sums.select(*([] if side is None else ["side"]), "replicate", F.col("n").cast("long").alias("n"), s1.alias("s1"), s2.alias("s2"))
 
 
 def bootstrap_row_means(df: DataFrame, value: str, key: str, replicates: int, seed: int = 42) -> DataFrame:
@@ -223,14 +267,22 @@ def bootstrap_row_means(df: DataFrame, value: str, key: str, replicates: int, se
 
 
 def compare_resampling_units(df: DataFrame, value: str, key: str, cluster: str, replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
-    """Summaries of the bootstraps by rows and by whole clusters, one row each, and the clusters' standard error over the rows'."""
-    clusters = units(df, value, cluster)
-    row_sums = df.select(F.col(value).cast("double").alias("s1"), F.col(value).isNotNull().cast("long").alias("n"))
-    by_row = bootstrap_summary(bootstrap_row_means(df, value, key, replicates, seed), row_sums)
-    by_cluster = bootstrap_summary(bootstrap_means(clusters, replicates, seed), clusters)
-    both = by_row.withColumn("unit", F.lit("row")).unionByName(by_cluster.withColumn("unit", F.lit("cluster")))
+    """Summaries of the bootstraps by rows and by whole clusters, one row each, and the clusters' standard error over the rows'.
+
+    Both draw how often each value, or cluster, occurs; the clusters' draws are not those of ``bootstrap_means``' hashes, of
+    which there would be one for each cluster and replicate.
+    """
+    import numpy as np
+
+    label = F.coalesce(F.col(cluster), F.raise_error(F.lit(f"{cluster} must not be null")))
+    sums = df.select(label.alias("key"), F.col(value).cast("double").alias("v")).groupBy("key").agg(F.count("v").alias("n"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("s1"), F.count("*").alias("rows"))
+    clusters = Drawn(sums.select(F.lit(0).alias("side"), "key", F.lit(1).cast("long").alias("w"), "n", "s1", "rows"), ["n", "s1"], n=F.sum("n"), s1=F.sum("s1"), rows=F.sum("rows"))
+    by_cluster = clusters.sums(lambda n, s1: np.column_stack([n, s1]), ["n", "s1"], replicates, seed + 1).select("replicate", F.try_divide("s1", "n").alias("mean"))
+    n, s1 = clusters.totals["n"], clusters.totals["s1"]
+    estimate = F.lit(s1 / n if n else None).cast("double")
+    both = [_summary(means, estimate, F.lit(of).cast("long")).withColumn("unit", F.lit(unit)) for unit, means, of in (("row", bootstrap_row_means(df, value, key, replicates, seed), clusters.totals["rows"]), ("cluster", by_cluster, clusters.items))]
     ratio = F.max(F.when(F.col("unit") == "cluster", F.col("se"))).over(Window.partitionBy()) / F.max(F.when(F.col("unit") == "row", F.col("se"))).over(Window.partitionBy())  # two rows
-    return both.select("unit", *by_row.columns, ratio.alias("se_ratio"))
+    return both[0].unionByName(both[1]).select("unit", *[c for c in both[0].columns if c != "unit"], ratio.alias("se_ratio"))
 
 
 def bootstrap_callable(df: DataFrame, statistic, replicates: int, seed: int = 42, most: int = 1_000_000) -> DataFrame:
