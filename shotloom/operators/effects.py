@@ -28,8 +28,9 @@ def cohens_d_interval(df: DataFrame, value: str, group: str, first, second, key:
     from .hypothesis import two_samples
 
     own = df.where(F.col(group).isin(first, second) & finite(value))
-    sides = [resample.bootstrap_row_sums(own.where(F.col(group) == g), value, key, replicates, seed + k).select("replicate", F.col("n").alias(f"n{k}"), F.col("s1").alias(f"s{k}"), F.col("s2").alias(f"q{k}")) for k, g in ((1, first), (2, second))]
-    both = sides[0].join(sides[1], "replicate")
+    sums = resample.bootstrap_row_sums(own, value, key, replicates, seed, side=(F.col(group) == second).cast("int"))
+    of = lambda c, k: F.max(F.when(F.col("side") == k - 1, F.col(c)))
+    both = sums.groupBy("replicate").agg(*[of(c, k).alias(f"{name}{k}") for k in (1, 2) for c, name in (("n", "n"), ("s1", "s"), ("s2", "q"))]).where("n1 > 0 AND n2 > 0")
     for k in (1, 2):
         both = both.withColumn(f"m{k}", F.try_divide(f"s{k}", f"n{k}")).withColumn(f"v{k}", F.greatest(F.lit(0.0), F.try_divide(F.col(f"q{k}") - F.col(f"s{k}") * F.col(f"m{k}"), F.col(f"n{k}") - 1)))
     name = "hedges_g" if bias_correction else "cohens_d"

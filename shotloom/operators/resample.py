@@ -15,6 +15,7 @@ from itertools import combinations, groupby
 from math import ceil, comb, sqrt
 from statistics import fmean, median, variance
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,14 +173,15 @@ class Drawn:
     Items lie in chunks by a hash of their key. A replicate's draws fall on the chunks by their weights (multinomial), then on
     a chunk's items (``functions.draws``): the same as drawing from all. So a replicate's work grows with the items, and what
     is sent is a chunk's columns, packed, for each turn; there are the fewer turns the more chunks there are. Draws depend on
-    seed, side, replicate and chunk, not on partitions.
+    seed, side, replicate and chunk, not on partitions. The items are kept on disk from their counting on, so that what they
+    are made from is passed over once.
     """
 
     def __init__(self, items: DataFrame, columns: list[str], **totals: Column):
         import numpy as np
 
         self.columns = columns
-        placed = items.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+        placed = items.persist(StorageLevel.DISK_ONLY).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
         found = placed.groupBy("side", "bucket").agg(F.count("*").alias("items"), F.sum("w").alias("m"), *[c.alias(k) for k, c in totals.items()]).collect()
         self.m = {s: sum(r["m"] for r in found if r["side"] == s) for s in {r["side"] for r in found}}
         self.totals = {k: sum(r[k] or 0 for r in found) for k in totals}
